@@ -6,11 +6,11 @@ their maximum, and two sets agree in one with a probability close to their Jacca
 
 Steps: (1) one pass makes each document's set size, set identity and registers; (2) documents with
 equal sets form a class, its smallest doc_id stands for it; (3) representatives that agree in a band
-of registers are candidates; each is compared with its bucket's smallest member first, and members
-of one bucket that are still in different components are compared with each other afterwards, so
-that no link between components is lost while a large group never emits all its pairs; (4) a pair
-whose joint likelihood estimate is far below the threshold is dropped, all others are verified on
-their full sets; (5) links become components.
+of registers are candidates; each is set against its bucket's smallest member; a pair whose joint
+likelihood estimate is far below the threshold is dropped, all others are verified on their full
+sets; (4) where that leaves a cluster of buckets in several components, those outside the largest
+one are compared with all of the cluster in blocks, so that no link between components is lost
+while a large group never emits all its pairs; (5) links become components.
 """
 
 from __future__ import annotations
@@ -186,7 +186,64 @@ def _verified(batches: Iterator, percent: int) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetSketch = SetSketch(), part: int = 64) -> DataFrame:
+def _unit(hubs: list, rows: list, percent: int) -> list[tuple[int, int]]:
+    """Links of ``rows`` (id, component, set) with ``hubs`` of other components, enough to join what they join.
+
+    The hubs' sets become one sorted list of hashes with owners, against which each row's set is
+    counted at once.
+    """
+    values = np.concatenate([h[2] for h in hubs])
+    owner = np.repeat(np.arange(len(hubs)), [len(h[2]) for h in hubs])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    size = np.array([len(h[2]) for h in hubs])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            x = p
+        return x
+
+    links = []
+    for ident, comp, own in rows:
+        lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(hubs))
+        for i in np.flatnonzero(100 * both >= percent * (size + len(own) - both)).tolist():
+            x, y = root(hubs[i][1]), root(comp)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                links.append((hubs[i][0], ident))
+    return links
+
+
+def _blocks(batches: Iterator, percent: int) -> Iterator:
+    """Rows sorted by unit (comp, part, part2): the unit's members, and which of them are to be compared with all."""
+    unit, hubs, rows = None, [], []
+
+    def done():
+        links = _unit(hubs, rows, percent) if hubs and rows else []
+        a, b = zip(*links, strict=True) if links else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(x).to_pylist() for x in ("cluster", "i", "j", "hub", "open", "id", "comp", "s")]
+        for cluster, i, j, hub, open_, ident, comp, s in zip(*columns, strict=True):
+            if (cluster, i, j) != unit:
+                if unit is not None:
+                    yield done()
+                unit, hubs, rows = (cluster, i, j), [], []
+            row = (ident, comp, np.frombuffer(s, np.uint64))
+            if hub:
+                hubs.append(row)
+            if open_:
+                rows.append(row)
+    if unit is not None:
+        yield done()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetSketch = SetSketch(), part: int = 64, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| over their sets of k-word shingles
@@ -195,7 +252,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     row is returned as often as it is there; rows that share a doc_id are one document. A null doc_id
     has no component and is kept. No rows in, no rows out.
     """
-    spark = docs.sparkSession
     rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     sketches = as_table(rows.mapInArrow(lambda it: _sketches(it, k, sketch), "doc_id long, n long, h1 long, h2 long, k binary"), "sketches")
     full = sketches.where("n > 0 and doc_id is not null")
@@ -207,44 +263,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     # Buckets of two or more; each member is set against the bucket's smallest id.
     bands = reps.mapInArrow(lambda it: _bands(it, sketch), "key long, id long, n long")
     hubs = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    buckets = bands.join(hubs, "key").select("key", "id", "n", "c", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    buckets = as_table(buckets, "buckets")
-    near = "100 * least(n, hub_n) >= {p} * greatest(n, hub_n) and id <> hub".format(p=percent)
-    stars = buckets.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    wanted = buckets.select("id").distinct()
+    stars = bands.join(hubs, "key").where("id <> hub.id")
+    stars = stars.select(F.col("hub.id").alias("a"), F.col("hub.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
+    stars = as_table(stars, "stars")
+    # All that buckets hold together, whether linked or not: each candidate pair is within one cluster.
+    clusters = as_table(connected_components(stars.select("a", "b")), "clusters")
+    wanted = clusters.select("id").hint("merge")
     sets = as_table(rows.withColumnRenamed("doc_id", "id").join(wanted, "id").mapInArrow(lambda it: _sets(it, k), "id long, s binary"), "sets")
     small = as_table(reps.withColumnRenamed("doc_id", "id").join(wanted, "id"), "sketches-wanted")
 
+    # Stars: likelihood first, then full sets. A hub's members are dealt out in parts of about ``part``.
     j = percent / 100
     least = max(0.0, j - 6 * (j * (1 - j) / sketch.size) ** 0.5)
-
-    def links(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka")), "a")
-        with_b = with_a.join(small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb")), "b")
-        likely = as_table(with_b.mapInArrow(lambda it: _likely(it, sketch, least), "a long, b long"), "likely")
-        # A hub's members are dealt out in parts of about ``part``; its set goes once to each part.
-        degree = likely.groupBy("a").agg(F.count("*").alias("d"))
-        dealt = likely.join(degree, "a").select(
-            F.col("a").alias("hub"), F.expr(f"cast(pmod(xxhash64(b), ceil(d / {part})) as int)").alias("part"), F.col("b").alias("id")
-        )
-        own = dealt.select("hub", "part").distinct().withColumn("id", F.col("hub"))
-        needs = dealt.unionByName(own).join(sets, "id")
-        units = needs.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
-        return units.select("hub", "part", "id", "s").mapInArrow(lambda it: _verified(it, percent), "a long, b long")
-
-    found = as_table(links(stars), "links")
-    parts = connected_components(found)
-
-    # What the stars left open: members of one bucket in different components.
-    open_ = buckets.where("c > 2").join(parts.withColumnRenamed("id", "pid"), F.col("id") == F.col("pid"), "left")
-    open_ = open_.select("key", "id", "n", "hub", F.coalesce("component", "id").alias("comp"))
-    split = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_ = as_table(open_.join(split, "key"), "open")
-    if open_.head(1):
-        right = open_.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp")])
-        test = f"comp < comp2 and id <> hub and id2 <> hub and 100 * least(n, n2) >= {percent} * greatest(n, n2)"
-        cross = open_.join(right, "key").where(test).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        more = as_table(links(cross), "links")
+    pairs = stars.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    pairs = pairs.join(small.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a")
+    pairs = pairs.join(small.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    likely = as_table(pairs.mapInArrow(lambda it: _likely(it, sketch, least), "a long, b long"), "likely")
+    degree = likely.groupBy("a").agg(F.count("*").alias("d"))
+    dealt = likely.join(degree, "a").select(
+        F.col("a").alias("hub"), F.expr(f"cast(pmod(xxhash64(b), ceil(d / {part})) as int)").alias("part"), F.col("b").alias("id")
+    )
+    own = dealt.select("hub", "part").distinct().withColumn("id", F.col("hub"))
+    units = dealt.unionByName(own).join(sets, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
+    found = as_table(units.select("hub", "part", "id", "s").mapInArrow(lambda it: _verified(it, percent), "a long, b long"), "links")
+    parts = as_table(connected_components(found), "parts")
+
+    # What the stars left open: in clusters of several components, whoever isn't in the largest one is
+    # compared with all others of the cluster, in blocks; only links leave a block.
+    placed = clusters.select("id", F.col("component").alias("cluster")).join(parts, "id", "left")
+    placed = placed.select("id", "cluster", F.coalesce("component", "id").alias("comp"))
+    counts = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("cluster").agg(F.max_by("comp", "n").alias("main"), F.sum("n").alias("m"), F.max("n").alias("most"))
+    counts = counts.where("m > most and m > 2").select("cluster", "main", "m", (F.col("m") - F.col("most")).alias("r"))
+    dealt = placed.join(counts, "cluster").withColumn("open", F.expr("comp <> main"))
+    dealt = dealt.withColumns({"ni": F.expr(f"cast(ceil(m / {block}) as int)"), "nj": F.expr(f"cast(ceil(r / {block}) as int)")})
+    i, j_ = F.expr("cast(pmod(xxhash64(id), ni) as int)"), F.expr("cast(pmod(xxhash64(id, 1), nj) as int)")
+    as_hub = dealt.select("id", "comp", "cluster", i.alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), F.lit(True).alias("hub"), F.lit(False).alias("open"))
+    as_row = dealt.where("open").select("id", "comp", "cluster", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), j_.alias("j"), F.lit(False).alias("hub"), F.lit(True).alias("open"))
+    blocks = as_hub.unionByName(as_row).join(sets, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    blocks = blocks.select("cluster", "i", "j", "hub", "open", "id", "comp", "s")
+    more = as_table(blocks.mapInArrow(lambda it: _blocks(it, percent), "a long, b long"), "links")
+    if more.head(1):
         parts = connected_components(found.unionByName(more))
 
     every = members.select("doc_id", "rep").distinct().join(parts, F.col("rep") == F.col("id"), "left")
