@@ -10,6 +10,8 @@ from .common import table
 from .minhash import near_duplicates
 from .packing import pack
 from .tokencount import token_counts
+from .topk import top_k
+from .winnow import fingerprints
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +27,25 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), most=4096, end=1)
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"), k=12, w=32)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_winnowing": op7_winnowing,
     "op8_token_counts": op8_token_counts,
+    "op9_exact_topk": op9_exact_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {}
