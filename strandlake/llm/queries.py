@@ -9,8 +9,10 @@ from .bytebpe import encode
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack
+from .quality import quality_scores
 from .tokencount import token_counts
 from .topk import top_k
+from .warc import round_trip
 from .winnow import fingerprints
 
 
@@ -18,11 +20,19 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), most=4096, end=1)
 
@@ -41,7 +51,9 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_warc": op5_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_winnowing": op7_winnowing,
     "op8_token_counts": op8_token_counts,
