@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bytebpe import encode
 from .common import table
+from .licenses import licences
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality_scores
@@ -20,6 +22,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licences", " ").alias("licences"), F.col("n_found").cast("long"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3)
 
@@ -51,6 +58,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
