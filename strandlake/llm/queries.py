@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bytebpe import encode
 from .common import table
+from .linedup import similar_lines
 from .licenses import licences
 from .minhash import near_duplicates
 from .packing import pack
@@ -56,6 +57,10 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_lines(table(spark, sf_dir, "documents"), num=4, den=5)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -66,6 +71,7 @@ QUERIES = {
     "op7_winnowing": op7_winnowing,
     "op8_token_counts": op8_token_counts,
     "op9_exact_topk": op9_exact_topk,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
