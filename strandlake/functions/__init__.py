@@ -1 +1 @@
-
+"""Column functions and the filter language."""

@@ -1 +1 @@
-
+"""Relational operators over reads, variants and intervals."""

@@ -1 +1 @@
-
+"""Views over tables and named queries."""

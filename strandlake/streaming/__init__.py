@@ -1 +1 @@
-
+"""Stateless and windowed operators on streams."""
