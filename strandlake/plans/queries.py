@@ -210,10 +210,10 @@ def index_bins(spark, sf):
 CLASS = "case when alt = '*' then 32 when alt in ('<*>') then 0 when alt like '<%' then 8 when alt = 'ACG[chr2:5[' then 16 when ref = 'ACGT' then 1 when ref = 'G' then 1 when ref = 'A' and alt = 'T' then 1 when alt = 'ACC' then 68 when ref = 'AC' then 132 when ref = 'ACG' then 2 else -1 end"
 
 
-@query(f"select {CLASS.replace('68', '4 + 64').replace('132', '4 + 128')} as kind, cast(case when alt = '*' then 0 when alt = '<*>' then 0 when alt like '<%' or alt like '%[%' then null when ref = 'ACGT' then 1 when alt = 'ACC' then 2 when ref = 'AC' then -1 when ref = 'ACG' then 3 else 1 end as int) as len, count(*) as n from {VV} group by 1, 2")
+@query(f"select {CLASS.replace('68', '4 + 64').replace('132', '4 + 128')} as kind, cast(case when alt = '*' then 0 when alt = '<*>' then 0 when alt like '<%' or alt like '%[%' then -1000 when ref = 'ACGT' then 1 when alt = 'ACC' then 2 when ref = 'AC' then -1 when ref = 'ACG' then 3 else 1 end as int) as len, count(*) as n from {VV} group by 1, 2")
 def variant_classify(spark, sf):
     c = V.classify(F.col("ref"), F.col("alt"))
-    return view(spark, sf, "variants").groupBy(c["kind"].alias("kind"), c["len"].alias("len")).agg(F.count("*").alias("n"))
+    return view(spark, sf, "variants").groupBy(c["kind"].alias("kind"), F.coalesce(c["len"], F.lit(-1000)).alias("len")).agg(F.count("*").alias("n"))
 
 
 @query(f"select rec_idx, cast(greatest(length(ref), coalesce(greatest(info_end - pos + 1, 1), 0), coalesce(case when alt like '<%' and alt <> '<*>' then abs(svlen) + 1 end, 0)) as bigint) as span from {VV}")
