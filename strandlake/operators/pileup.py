@@ -108,3 +108,57 @@ def template_lengths(reads: DataFrame) -> DataFrame:
     n, length = F.count("*").over(w), F.max("__end").over(w) - F.min("pos").over(w)
     first = F.row_number().over(w.orderBy("pos", (F.col("flag").bitwiseAND(64) == 0), "rec_idx")) == 1
     return rows.withColumn("tlen_new", F.when(n < 2, 0).otherwise(F.when(first, length).otherwise(-length))).drop("__end")
+
+
+def mates(reads: DataFrame) -> DataFrame:
+    """qname, rname and the structs a, b of two mapped mates on one contig, a the left one; names with more or fewer reads have none."""
+    flag = F.col("flag")
+    r = reads.where((flag.bitwiseAND(1) != 0) & (flag.bitwiseAND(12) == 0))
+    both = F.array_sort(F.collect_list(F.struct("pos", "rec_idx", *[c for c in reads.columns if c not in ("pos", "rec_idx", "qname", "rname", "aux")])))
+    # A name that is on more reads than a pair is counted first, so its rows are never gathered.
+    pairs = r.groupBy("qname", "rname").agg(F.count("*").alias("n")).where("n = 2").drop("n")
+    found = r.join(pairs, ["qname", "rname"]).groupBy("qname", "rname").agg(both.alias("m"))
+    return found.select("qname", "rname", F.col("m")[0].alias("a"), F.col("m")[1].alias("b"))
+
+
+def overlap_qualities(reads: DataFrame) -> DataFrame:
+    """rec_idx and qual_new (array) of mates that overlap: a base that both show counts once.
+
+    Equal bases: the sum, 200 at most, goes to one mate and 0 to the other; a hash of the name says which. Different
+    bases: the better one keeps 0.8 of its quality, of equals that of the same mate, and the other gets 0.
+    """
+    import pyarrow as pa
+
+    from ..functions.kernels import operations as parts
+
+    def cells_of(pos: int, cigar: str) -> dict[int, int]:
+        out, at, i = {}, pos, 0
+        for n, o in parts(cigar):
+            if o in "M=X":
+                out |= {at + k: i + k for k in range(n)}
+            at += n * (o in ON_REFERENCE)
+            i += n * (o in ON_READ)
+        return out
+
+    def run(batches):
+        for b in batches:
+            ids, quals = [], []
+            for keep, x, y in zip(b.column("keep").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                p, q = cells_of(x["pos"], x["cigar"]), cells_of(y["pos"], y["cigar"])
+                qx, qy = ([ord(c) - 33 for c in r["qual"]] for r in (x, y))
+                for at in p.keys() & q.keys():
+                    i, j = p[at], q[at]
+                    u, v = qx[i], qy[j]
+                    if x["seq"][i] == y["seq"][j]:
+                        best, first = min(u + v, 200), keep
+                    else:
+                        best, first = int(0.8 * max(u, v)), u > v or (u == v and keep)
+                    qx[i], qy[j] = (best, 0) if first else (0, best)
+                ids += [x["rec_idx"], y["rec_idx"]]
+                quals += [qx, qy]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(quals, pa.list_(pa.int32()))], names=["rec_idx", "qual_new"])
+
+    from ..functions.scalars import wang, x31
+
+    slim = mates(reads.select("rec_idx", "qname", "rname", "pos", "flag", "cigar", "seq", "qual"))
+    return slim.select((wang(x31(F.col("qname"))).bitwiseAND(1) == 0).alias("keep"), "a", "b").mapInArrow(run, "rec_idx long, qual_new array<int>")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions import scalars as S
 from ..functions import variants as V
 from ..functions.filters import Compiler, cigar_sum, flag_filter, hard_clip, read_filter, read_symbols, read_tags, soft_clip
@@ -361,3 +362,51 @@ def reverse_complement(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey % 8 as k").distinct()
     return p.select("k", S.reverse_complement(F.expr("substr(repeat('ACGTTGCA', 20), cast(k + 1 as int), 25)")).alias("rc"))
 
+
+
+def contigs(spark: SparkSession) -> DataFrame:
+    """name, seq: five made-up references of 20,000 bases."""
+    name = F.concat(F.lit("chr"), (F.col("id") + 1).cast("string")).alias("name")
+    return spark.range(5).select(name, F.repeat(F.expr("substr('ACGTTGCAACGGTTAC', cast(id + 1 as int), 8)"), 2500).alias("seq"))
+
+
+def matched(spark: SparkSession, sf: str) -> DataFrame:
+    qual = F.repeat(F.char(F.lit(33) + F.col("rec_idx") % 8 * 5), 40)
+    df = pileup.selected(reads(spark, sf)).where("cigar in ('40M', '10M3I27M', '20M10D20M', '5S30M5S') and pos < 1500")
+    return df.select("rec_idx", "rname", "pos", "cigar", "seq", "flag", qual.alias("qual"))
+
+
+@query()
+def md_nm(spark, sf):
+    return kernels.with_md_nm(matched(spark, sf), contigs(spark)).select("rec_idx", "md_new", "nm_new")
+
+
+@query()
+def mapq_cap(spark, sf):
+    return kernels.with_mapq_cap(matched(spark, sf), contigs(spark)).select("rec_idx", "cap")
+
+
+@query()
+def baq(spark, sf):
+    return kernels.with_alignment_quality(matched(spark, sf).where("pos < 150"), contigs(spark)).select("rec_idx", F.concat_ws(",", F.transform("baq", lambda x: x.cast("string"))).alias("baq"))
+
+
+@query()
+def base_mods(spark, sf):
+    df = view(spark, sf, "alignments").where("pos < 1500").select("rec_idx", "flag", "seq", F.lit("C+m,1,2;A-a,0").alias("mm"), F.array(F.lit(200), F.lit(100), F.lit(7)).alias("ml"))
+    return kernels.modifications(df)
+
+
+@query(
+    f"with a as (select * from {A} where (flag & 1) = 1 and (flag & 12) = 0), g as (select qname, rname, count(*) as n from a group by qname, rname having count(*) = 2), "
+    "p as (select a.*, row_number() over (partition by a.qname, a.rname order by pos, rec_idx) as k from a join g using (qname, rname)) "
+    "select x.qname, x.rname, x.rec_idx as first, y.rec_idx as second from p x join p y on x.qname = y.qname and x.rname = y.rname and x.k = 1 and y.k = 2"
+)
+def mate_pairs(spark, sf):
+    return pileup.mates(view(spark, sf, "alignments")).select("qname", "rname", F.col("a.rec_idx").alias("first"), F.col("b.rec_idx").alias("second"))
+
+
+@query()
+def overlap_quality(spark, sf):
+    df = reads(spark, sf).withColumn("qual", F.repeat(F.char(F.lit(43) + F.col("rec_idx") % 20), 40))
+    return pileup.overlap_qualities(df).select("rec_idx", "qual_new")
