@@ -1,0 +1,371 @@
+"""Small cases of the ten operators: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import base64
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from strandlake.llm import bytebpe, licenses, linedup, minhash, packing, quality, tokencount, topk, warc, winnow
+from strandlake.llm.common import WordHashes, connected_components, word_shingles
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+CLASH = "doc_id long, text string, lang string, n long, id long, k string, component_id long, line int, pos long, bucket int, g long, score double"
+
+
+def words(rng, n, v=400):
+    return " ".join(f"w{rng.randrange(v)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    base = [words(rng, rng.randrange(3, 120)) for _ in range(30)]
+    out = [None, "", "   \n\t", "one", "One", "a b c", "x" * 70000, "wort " * 20000, "é ñ ü 中文 😀 ab\x1cc", "<|endoftext|> hi", *base, *base[:5]]
+    for t in base:
+        w = t.split()
+        for _ in range(3):
+            e = list(w)
+            for _ in range(rng.randrange(0, 4)):
+                e[rng.randrange(len(e))] = f"n{rng.randrange(10**6)}"
+            out.append(" ".join(e))
+    out += ["\n".join(rng.choice(base) for _ in range(4)) for _ in range(20)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", 1, 2, "k", 3, 4, 5, 6, 7, 0.5) for i, t in enumerate(texts)]
+    rows += [(None, "no id here", *rows[0][2:]), (None, None, *rows[0][2:]), rows[20], rows[20]]
+    return spark.createDataFrame(rows, CLASH).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], CLASH)
+
+
+def components(sets, linked):
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and linked(sets[a], sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+def shingles(text, k):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_duplicates(docs, texts, k):
+    got = minhash.near_duplicates(docs, k=k).collect()
+    assert len(got) == docs.count()
+    sets = {i: shingles(t, k) for i, t in enumerate(texts)}
+    want = components(sets, lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b))
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+        else:
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
+    assert len(set(want.values())) < len(want) - 20
+
+
+def test_near_duplicates_in_blocks(spark):
+    """A large group of which the stars leave many components open."""
+    rng = random.Random(2)
+    base = words(rng, 60, 10**6).split()
+    rows = []
+    for i in range(120):
+        e = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            e[rng.randrange(60)] = f"q{rng.randrange(10**6)}"
+        rows.append((i, " ".join(e)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4, block=16).collect()}
+    sets = {i: shingles(t, 4) for i, t in rows}
+    assert got == components(sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+
+
+def test_sketch_estimates_and_merges():
+    sketch = minhash.SetSketch(bands=64)
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 2**63, 900, np.uint64), rng.integers(0, 2**63, 900, np.uint64)
+    both = rng.integers(0, 2**63, 600, np.uint64)
+    ka, kb, ku = sketch.of([np.concatenate((a, both)), np.concatenate((b, both)), np.concatenate((a, b, both))])
+    assert (sketch.merge(ka, kb) == ku).all()
+    j = sketch.jaccard(ka[None], kb[None], np.array([1500.0]), np.array([1500.0]))[0]
+    assert abs(j - 600 / 2400) < 0.1
+    assert sketch.of([np.empty(0, np.uint64)]).sum() == 0
+
+
+def test_components_settle(spark, monkeypatch):
+    from strandlake.llm import common
+
+    monkeypatch.setattr(common, "CONTRACT", 40)
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 200) if i % 50] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(40)] + [(5, None), (7, 7)]
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    nodes = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    pairs = {tuple(sorted(e)) for e in edges if None not in e}
+    while True:
+        new = {x: min([nodes[x], *(nodes[y] for a, b in pairs for y in (a, b) if x in (a, b) and y in nodes)]) for x in nodes}
+        if new == nodes:
+            break
+        nodes = new
+    assert got == nodes
+
+
+def test_licences(docs):
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n"
+    cases = {
+        "Licensed under CC BY-NC 4.0.\nmore": ["CC-BY-NC-4.0"], "a\nReleased under the MIT License.": ["MIT"], "This work is licensed under the GNU General Public License, version 3.": ["GPL-3"],
+        "x. All rights reserved.": ["Proprietary"], "// SPDX-License-Identifier: MIT\n": ["MIT"], "no license at all here": [], "": [], apache: ["Apache-2.0"],
+        "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.": ["MIT", "Apache-2.0"],
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version.": ["GPL-2-or-later"],
+    }
+    for text, want in cases.items():
+        assert [f.licence for f in licenses.scan(text)] == want, text
+    f = licenses.scan("ab.\nReleased under the MIT License.")[0]
+    assert "ab.\nReleased under the MIT License."[f.start : f.end] == "Released under the MIT License."
+    assert licenses.licences(docs).where("n_found > 0").count() == 0 and licenses.licences(docs).count() == docs.count()
+
+
+def test_quality(spark, none):
+    rng = random.Random(1)
+    rows = [(i, words(rng, 60) if i % 3 else ("spam " * 60 if i % 2 else "BUY!! NOW!! " * 20)) for i in range(900)]
+    rows += [(1000, None), (1001, ""), (None, "no id"), rows[4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i % 3 else 0) for i in range(900)] + [(3, None), (None, 1)], "doc_id long, quality int")
+    got = quality.quality_scores(docs, labels, most_labelled=400).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["held_out"] is False
+            continue
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 900]
+    assert sum(r["predicted"] == (1 if r["doc_id"] % 3 else 0) for r in held) / len(held) > 0.97
+    assert quality.quality_scores(none, labels).count() == 0
+    assert {r["score"] for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_rules_compile_to_the_same_scores(spark):
+    rng = np.random.default_rng(0)
+    x = rng.random((500, len(quality.STATISTICS)))
+    model = quality.fit(x, ((x[:, 0] > 0.5) & (x[:, 3] < 0.7)).astype(float))
+    assert 0 < len(model.rules) < 400
+    df = spark.createDataFrame(x.tolist(), quality.STATISTICS)
+    assert np.allclose([r[0] for r in df.select(model.column()).collect()], model.score(x))
+
+
+def test_byte_bpe(spark, docs, none):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(BYTES, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    junk = ["".join(rng.choice(" \n\t  abc's'reÉéñΣİ́　\x1c\x85 <|>endoftext123½٣中文😀​\xa0") for _ in range(rng.randrange(60))) for _ in range(300)] + ["aaaa" * 400, "=" * 3000, "ab" * 900]
+    bpe = bytebpe.ByteBpe(BYTES, public_tokenizers.PATTERN)
+    for t in junk:
+        ids = library.encode_ordinary(t)
+        assert bpe.encode(t) == ",".join(map(str, ids)) and bpe.decode(bpe.encode(t)) == t.encode() and "".join(bpe.decode_stream(ids)) == t
+    rows = bytebpe.encode(docs, BYTES, public_tokenizers.PATTERN)
+    for r, t in ((r, t) for r in rows.collect() if r["doc_id"] is not None for t in [docs.where(F.col("doc_id") == r["doc_id"]).first()["text"] or ""] if r["doc_id"] < 14):
+        ids = library.encode_ordinary(t)
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+    back = {r["doc_id"]: r["text"] for r in bytebpe.decode(rows, BYTES, public_tokenizers.PATTERN).collect()}
+    assert all(back[r["doc_id"]] == (r["text"] or "") for r in docs.where("doc_id is not null").collect())
+    assert bytebpe.encode(none, BYTES, public_tokenizers.PATTERN).count() == 0
+
+
+def test_utf8_stream_holds_back_parts():
+    data = "aé中😀".encode() + b"\xff\xc3"
+    s = bytebpe.Utf8Stream()
+    assert "".join(s.push(data[i : i + 1]) for i in range(len(data))) + s.end() == data.decode("utf-8", "replace")
+
+
+def test_warc(spark, none):
+    rng = random.Random(6)
+    html = [None, "", "<p>same</p>", "<p>same</p>", "é" * 5000, *("<p>" + words(rng, 30) + "</p>" for _ in range(40)), *["hot"] * 30]
+    rows = [(i, f"http://x/{i} ü\r\n", h, "digest", "file") for i, h in enumerate(html)] + [(500, None, "only", "d", "f"), (None, "u", "only", "d", "f"), (7, "http://x/7", html[7], "d", "f")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, file string").repartition(3)
+    got = warc.round_trip(pages).collect()
+    assert len(got) == len(rows)
+    most = {}
+    for i, _, h, *_ in rows:
+        if i is not None:
+            most[h or ""] = max(most.get(h or "", i), i)
+    have = {i: h or "" for i, _, h, *_ in rows}
+    for r in got:
+        if r["page_id"] is None:
+            assert r["record_type"] == "response"
+            continue
+        h = have[r["page_id"]]
+        first = most[h]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode())
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if first == r["page_id"] else ("revisit", first))
+    assert warc.round_trip(none.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("url"), F.col("text").alias("html"))).count() == 0
+    big = warc.round_trip(pages, least=10).where("payload_bytes < 10 and record_type = 'revisit'").count()
+    assert big == 0
+
+
+def test_warc_ranges_merge():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"file": ["a", "a", "a", "b"], "offset": [0, 10, 10**6, 0], "length": [10, 5, 5, 3]})
+    assert list(warc._ranges([rows])) == [("a", 0, 15, [(0, 10), (10, 5)]), ("a", 10**6, 10**6 + 5, [(10**6, 5)]), ("b", 0, 3, [(0, 3)])]
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    got = packing.pack(docs, WORDS, most=256).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect():
+        ids = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 1], np.uint32)
+        want = Counter((k, s, len(ids[s : s + 256]), zlib.crc32(ids[s : s + 256].tobytes())) for k, s in enumerate(range(0, len(ids), 256)))
+        mine = Counter((x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in by[r["doc_id"]])
+        assert mine == (want if r["doc_id"] != 20 else Counter({k: 3 for k in want}))
+    sequences: dict = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in sequences.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and sum(s[-1]) <= 256
+    assert len(sequences) <= 1.05 * sum(r["length"] for r in got) / 256 + 2
+    assert packing.pack(none, WORDS).count() == 0
+
+
+def test_two_documents_replace_one():
+    # 60 + 25 leave 15; in place of 25, 20 + 20 fill the 40 to the last token.
+    bins, offsets = packing.best_two_fit(np.array([60, 25, 20, 20]), 100)
+    assert bins.tolist() == [0, 1, 0, 0] and sorted(offsets[[0, 2, 3]].tolist()) == [0, 60, 80]
+
+
+def test_winnowing(spark, docs, none):
+    rows = {r["doc_id"]: r for r in winnow.fingerprints(docs, k=5, w=8).where("doc_id is not null").collect()}
+    assert winnow.fingerprints(docs, k=5, w=8).count() == docs.count()
+    texts = sorted(((r["doc_id"], r["text"] or "") for r in docs.where("doc_id is not null").collect()), reverse=True)
+    prints: dict = {}
+    for i, (ident, t) in enumerate(texts):
+        n = len(t) // 3
+        edited = t[: len(t) - n] + texts[(i + 1) % len(texts)][1][:n]
+        r = rows[ident]
+        assert r["n_chars"] == len(t) and 0 <= r["near_edited"] <= 1 and prints.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+        if ident != 20:
+            assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    lone = winnow.fingerprints(docs.where("doc_id is null")).collect()
+    assert len(lone) == 2 and all(r["edited_sha256"] is None for r in lone)
+    assert winnow.fingerprints(none).count() == 0
+
+
+def test_winnowing_finds_each_long_passage():
+    rng = random.Random(8)
+    for _ in range(50):
+        shared = "".join(rng.choice("abcd ") for _ in range(12))  # w + k - 1 characters
+        a, b = ("".join(rng.choice("efgh ") for _ in range(rng.randrange(40))) + shared + "".join(rng.choice("ijkl") for _ in range(30)) for _ in range(2))
+        (h, p), (g, _) = winnow.winnow([a, b], k=5, w=8)
+        assert set(h.tolist()) & set(g.tolist()) and (np.diff(p) > 0).all()
+
+
+def test_token_counts(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    rng = random.Random(4)
+    junk = ["".join(rng.choice(" \n\t  abc's'reÉéñΣİ́　\x1c\x85 <|>endoftext123½٣中文😀​\xa0") for _ in range(rng.randrange(60))) for _ in range(300)] + ["<|startoftext|>x<|endoftext|>", "=" * 700, "aaaa" * 300, "ab" * 500]
+    counter = tokencount.WordCounter(WORDS)
+    for t in junk:
+        assert counter.count(t) == len(library.encode(t, add_special_tokens=False).ids), t
+    got = tokencount.token_counts(docs, WORDS, limit=50).collect()
+    assert len(got) == docs.count()
+    have = {r["doc_id"]: r["text"] or "" for r in docs.where("doc_id is not null").collect()}
+    for r in got:
+        if r["doc_id"] is not None:
+            t = have[r["doc_id"]]
+            assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n := len(library.encode(t, add_special_tokens=False).ids), n > 50)
+    assert tokencount.token_counts(none, WORDS).count() == 0
+
+
+def test_state_maps_compose():
+    maps = [{0: (1, 2), 1: (0, 5)}, {0: (0, 1), 1: (1, 7)}, {0: (1, 1), 1: (0, 3)}]
+    assert tokencount.scan(maps, 0) == [(1, 2), (1, 9), (0, 12)]
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in v], 0.5, 1) for i, v in enumerate(rng.normal(size=(150, 8)).round(1))]
+    rows += [(200 + i, rows[0][1], 0.5, 1) for i in range(40)]  # ties
+    bad = [(400, None, 0.5, 1), (420, [1.0, None] + [0.0] * 6, 0.5, 1), (440, [float("nan")] * 8, 0.5, 1), (460, [float("inf")] + [0.0] * 7, 0.5, 1), (None, [1.0] * 8, 0.5, 1)]
+    odd = [(500, [0.0] * 8, 0.5, 1), (520, [1.0] * 3, 0.5, 1), (521, [2.0] * 3, 0.5, 1)]
+    df = spark.createDataFrame([*rows, *bad, *odd, rows[3]], "vec_id long, embedding array<double>, score double, rank int")
+    for block in (8192, 32):
+        got = [tuple(r) for r in topk.top_k(df, k=20, block=block, query_block=4 if block == 32 else 8192).orderBy("query_id", "rank").collect()]
+        good = {i: np.floor(64 * np.array(e)).astype(int) for i, e, *_ in [*rows, *odd]}
+        want = []
+        for q in sorted(i for i in good if i % 20 == 0):
+            other = sorted((-int(good[q] @ good[i]), i) for i in good if i != q and len(good[i]) == len(good[q]))[:20]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(other)]
+        assert got == want
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+def similar(rows, p=(4, 5)):
+    lines = [(i, k, frozenset(x.encode().lower().split())) for i, t in sorted(rows) for k, x in enumerate((t or "").split("\n"))]
+    gone = set()
+    for j, (i, k, s) in enumerate(lines):
+        if s and any(5 * len(s & t) >= 4 * len(s | t) for _, _, t in lines[:j] if t):
+            gone.add((i, k))
+    return gone
+
+
+def test_similar_lines(spark, none):
+    rng = random.Random(9)
+    base = [words(rng, rng.randrange(1, 30), 60) for _ in range(40)]
+    hot = words(rng, 40, 10**6).split()
+    rows = []
+    for i in range(60):
+        text = [rng.choice(base) if rng.random() < 0.3 else words(rng, rng.randrange(1, 25), 60) for _ in range(rng.randrange(1, 6))]
+        e = list(hot)
+        for _ in range(rng.randrange(0, 12)):
+            e[rng.randrange(40)] = f"q{rng.randrange(10**6)}"
+        rows.append((i, "\n".join([*text, " ".join(e), "", "THE same Line"])))
+    rows += [(90, None), (91, ""), (92, "\n\n"), (93, "long " * 3000 + "end")]
+    df = spark.createDataFrame([*rows, (None, "the same line")], "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("n", F.lit(2)).repartition(4)
+    got = linedup.similar_lines(df).collect()
+    assert len({(r["doc_id"], r["line"]) for r in got}) == len(got)
+    assert {(r["doc_id"], r["line"]) for r in got} == similar(rows)
+    assert all((r["like_doc_id"], r["like_line"]) < (r["doc_id"], r["line"]) for r in got)
+    assert linedup.similar_lines(none).count() == 0
+    gone = similar(rows)
+    left = {r["doc_id"]: r["text"] for r in linedup.drop_similar_lines(df).where("doc_id is not null").collect()}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for k, x in enumerate(lines) if (i, k) not in gone]
+        if any(x.split() for x in kept) or not any(x.split() for x in lines):
+            assert left[i] == (None if t is None else "\n".join(kept))
+        else:
+            assert i not in left
+
+
+def test_shingles():
+    h = WordHashes()
+    assert len(word_shingles(b"", 4, h)) == 0 and len(word_shingles(b"a b", 4, h)) == 1 and len(word_shingles(b"a a a a a a", 4, h)) == 1
+    assert (word_shingles(b"A B c", 4, h) == word_shingles(b"a  b\nc", 4, h)).all() and word_shingles(b"a b", 4, h)[0] != word_shingles(b"a b", 1, h)[0]
