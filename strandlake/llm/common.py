@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -36,6 +36,27 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scope:
+    """An operator's intermediate tables. ``result`` writes what it returns and deletes the others, so that they don't pile up in the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        out = as_table(df, name)
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+        return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -119,7 +140,7 @@ def _forest(batches: Iterator, names: tuple[str, str]) -> Iterator:
 CONTRACT = 200_000
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, write: Callable[[DataFrame, str], DataFrame] = as_table) -> DataFrame:
     """(a, b) long edges -> (id, component): each node on an edge and the smallest id it can reach.
 
     Tasks first contract up to CONTRACT edges each; large-star and small-star rounds follow until every
@@ -129,7 +150,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     n = edges.count()
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = e.where("a is not null and b is not null and u > v").select("u", "v").coalesce(-(-n // CONTRACT) or 1)
-    e = as_table(e.mapInArrow(lambda it: _forest(it, ("u", "v")), "u long, v long"), "components")
+    e = write(e.mapInArrow(lambda it: _forest(it, ("u", "v")), "u long, v long"), "components")
     for _ in range(max_rounds):
         seen = e.select(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("r"))
         seen = seen.unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("r")))
@@ -141,7 +162,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = as_table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "components")
+        e = write(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "components")
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("u"), "v").distinct()

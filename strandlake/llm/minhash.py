@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_table, connected_components, mix64, rows_only, slices, word_shingles
+from .common import Scope, WordHashes, connected_components, mix64, rows_only, slices, word_shingles
 
 
 @dataclass(frozen=True)
@@ -252,12 +252,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     row is returned as often as it is there; rows that share a doc_id are one document. A null doc_id
     has no component and is kept. No rows in, no rows out.
     """
+    scope = Scope(docs.sparkSession)
     rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    sketches = as_table(rows.mapInArrow(lambda it: _sketches(it, k, sketch), "doc_id long, n long, h1 long, h2 long, k binary"), "sketches")
+    sketches = scope.table(rows.mapInArrow(lambda it: _sketches(it, k, sketch), "doc_id long, n long, h1 long, h2 long, k binary"), "sketches")
     full = sketches.where("n > 0 and doc_id is not null")
     classes = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     members = full.join(classes, ["h1", "h2", "n"]).select("doc_id", "rep", "n", "k")
-    members = as_table(members, "classes")
+    members = scope.table(members, "classes")
     reps = members.where("doc_id = rep").select("doc_id", "n", "k").dropDuplicates(["doc_id", "n", "k"])
 
     # Buckets of two or more; each member is set against the bucket's smallest id.
@@ -265,12 +266,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     hubs = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
     stars = bands.join(hubs, "key").where("id <> hub.id")
     stars = stars.select(F.col("hub.id").alias("a"), F.col("hub.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
-    stars = as_table(stars, "stars")
+    stars = scope.table(stars, "stars")
     # All that buckets hold together, whether linked or not: each candidate pair is within one cluster.
-    clusters = as_table(connected_components(stars.select("a", "b")), "clusters")
+    clusters = scope.table(connected_components(stars.select("a", "b"), write=scope.table), "clusters")
     wanted = clusters.select("id").hint("merge")
-    sets = as_table(rows.withColumnRenamed("doc_id", "id").join(wanted, "id").mapInArrow(lambda it: _sets(it, k), "id long, s binary"), "sets")
-    small = as_table(reps.withColumnRenamed("doc_id", "id").join(wanted, "id"), "sketches-wanted")
+    sets = scope.table(rows.withColumnRenamed("doc_id", "id").join(wanted, "id").mapInArrow(lambda it: _sets(it, k), "id long, s binary"), "sets")
+    small = scope.table(reps.withColumnRenamed("doc_id", "id").join(wanted, "id"), "sketches-wanted")
 
     # Stars: likelihood first, then full sets. A hub's members are dealt out in parts of about ``part``.
     j = percent / 100
@@ -278,15 +279,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     pairs = stars.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     pairs = pairs.join(small.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a")
     pairs = pairs.join(small.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
-    likely = as_table(pairs.mapInArrow(lambda it: _likely(it, sketch, least), "a long, b long"), "likely")
+    likely = scope.table(pairs.mapInArrow(lambda it: _likely(it, sketch, least), "a long, b long"), "likely")
     degree = likely.groupBy("a").agg(F.count("*").alias("d"))
     dealt = likely.join(degree, "a").select(
         F.col("a").alias("hub"), F.expr(f"cast(pmod(xxhash64(b), ceil(d / {part})) as int)").alias("part"), F.col("b").alias("id")
     )
     own = dealt.select("hub", "part").distinct().withColumn("id", F.col("hub"))
     units = dealt.unionByName(own).join(sets, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
-    found = as_table(units.select("hub", "part", "id", "s").mapInArrow(lambda it: _verified(it, percent), "a long, b long"), "links")
-    parts = as_table(connected_components(found), "parts")
+    found = scope.table(units.select("hub", "part", "id", "s").mapInArrow(lambda it: _verified(it, percent), "a long, b long"), "links")
+    parts = scope.table(connected_components(found, write=scope.table), "parts")
 
     # What the stars left open: in clusters of several components, whoever isn't in the largest one is
     # compared with all others of the cluster, in blocks; only links leave a block.
@@ -302,9 +303,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     as_row = dealt.where("open").select("id", "comp", "cluster", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), j_.alias("j"), F.lit(False).alias("hub"), F.lit(True).alias("open"))
     blocks = as_hub.unionByName(as_row).join(sets, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     blocks = blocks.select("cluster", "i", "j", "hub", "open", "id", "comp", "s")
-    more = as_table(blocks.mapInArrow(lambda it: _blocks(it, percent), "a long, b long"), "links")
+    more = scope.table(blocks.mapInArrow(lambda it: _blocks(it, percent), "a long, b long"), "links")
     if more.head(1):
-        parts = connected_components(found.unionByName(more))
+        parts = connected_components(found.unionByName(more), write=scope.table)
 
     every = members.select("doc_id", "rep").distinct().join(parts, F.col("rep") == F.col("id"), "left")
     every = every.select("doc_id", F.coalesce("component", "rep").alias("c"))
@@ -312,7 +313,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     every = every.groupBy("doc_id").agg(F.min("c").alias("c"))
     out = sketches.select("doc_id", "n").join(every, "doc_id", "left")
     component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return scope.result(out, "near-duplicates")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

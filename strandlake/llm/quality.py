@@ -78,12 +78,13 @@ class RuleEnsemble:
             z += weight * holds(rule, x)
         return 1 / (1 + np.exp(-z))
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
+        """The score over columns (or fields, with a prefix) named as the statistics are."""
         z = F.lit(self.bias)
         for rule, weight in self.rules:
             test = F.lit(True)
             for s, below, at in rule:
-                test = test & (F.col(STATISTICS[s]) <= at if below else F.col(STATISTICS[s]) > at)
+                test = test & (F.col(prefix + STATISTICS[s]) <= at if below else F.col(prefix + STATISTICS[s]) > at)
             z = z + F.when(test, weight).otherwise(0.0)
         return 1 / (1 + F.exp(-z))
 
@@ -177,16 +178,34 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_0
     classes of labels every score is the share of label 1.
     """
     known = as_table(statistics(docs), "statistics")
+    model = learn(known, labels, most_labelled)
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    marks = rows_only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long"), "quality")
-    sample = known.where(rest != 0).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(most_labelled).toPandas()
-    model = fit(sample[STATISTICS].to_numpy(np.float64), sample["quality"].to_numpy(np.float64))
     scored = known.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """``docs`` without those that score below ``cut``; a null doc_id stays. Rows that share a doc_id go only if each of them is rejected."""
-    worst = quality_scores(docs, labels, cut=cut).groupBy("doc_id").agg(F.max("predicted").alias("p"))
-    gone = worst.where("p = 0 and doc_id is not null").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def learn(known: DataFrame, labels: DataFrame, most_labelled: int) -> RuleEnsemble:
+    """Fits the ensemble on the labelled rows of ``known`` (doc_id and statistics) that aren't held out."""
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    marks = rows_only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long"), "quality")
+    sample = known.where(rest != 0).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(most_labelled).toPandas()
+    return fit(sample[STATISTICS].to_numpy(np.float64), sample["quality"].to_numpy(np.float64))
+
+
+def _beside(batches: Iterator, at: int) -> Iterator:
+    """The batches' own columns and a struct of the text's statistics."""
+    kinds = _kinds()
+    for b in batches:
+        rows = [statistics_of(t.as_py() or "", kinds) for t in b.column(at)]
+        columns = np.array(rows, np.float64).reshape(len(rows), len(STATISTICS)).T
+        struct = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=STATISTICS)
+        yield pa.RecordBatch.from_arrays([*b.columns, struct], names=[*b.schema.names, "__statistics"])
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, most_labelled: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``cut``. Texts aren't moved: statistics are taken once to learn and once beside the rows."""
+    model = learn(statistics(docs), labels, most_labelled)
+    at = docs.columns.index("text")
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    both = docs.mapInArrow(lambda it: _beside(it, at), f"{own}, __statistics struct<{', '.join(f'{s}: double' for s in STATISTICS)}>")
+    return both.where(model.column("__statistics.") >= cut).select(*[F.col(f"`{c}`") for c in docs.columns])
