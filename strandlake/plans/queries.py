@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions import records as R
 from ..functions import scalars as S
 from ..functions import variants as V
 from ..functions.filters import Compiler, cigar_sum, flag_filter, hard_clip, read_filter, read_symbols, read_tags, soft_clip
@@ -410,3 +411,67 @@ def mate_pairs(spark, sf):
 def overlap_quality(spark, sf):
     df = reads(spark, sf).withColumn("qual", F.repeat(F.char(F.lit(43) + F.col("rec_idx") % 20), 40))
     return pileup.overlap_qualities(df).select("rec_idx", "qual_new")
+
+
+@query("select p_partkey as id, p_size as dp, case when p_size % 3 = 0 then -1 else p_size % 7 end as second, p_size % 2 = 0 as flag from part")
+def info_typed(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    info = F.concat(F.lit("DP="), F.col("p_size").cast("string"), F.lit(";AF=1,"), F.when(F.col("p_size") % 3 == 0, ".").otherwise((F.col("p_size") % 7).cast("string")), F.when(F.col("p_size") % 2 == 0, ";DB").otherwise(""))
+    v = p.select("p_partkey", info.alias("i"))
+    af = V.values_of(V.info_of(F.col("i"), "AF"), "int")
+    return v.select(F.col("p_partkey").alias("id"), V.values_of(V.info_of(F.col("i"), "DP"), "int")[0].alias("dp"), F.coalesce(af[1], F.lit(-1)).alias("second"), V.info_of(F.col("i"), "DB").isNotNull().alias("flag"))
+
+
+@query("select p_partkey as id, case p_size % 3 when 0 then 'q10' when 1 then 'q10' else 's50;q10' end as filters, case when p_size % 2 = 0 then 'DP=9;AF=0.5' else 'AF=0.5;DP=9' end as info from part")
+def record_edit(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    filters = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("PASS"))).when(F.col("p_size") % 3 == 1, F.array(F.lit("q10"))).otherwise(F.array(F.lit("s50")))
+    info = F.when(F.col("p_size") % 2 == 0, F.lit("DP=1;AF=0.5")).otherwise(F.lit("AF=0.5;XX=1"))
+    return p.select(F.col("p_partkey").alias("id"), F.array_join(R.add_filter(filters, "q10"), ";").alias("filters"), R.set_info(R.set_info(info, "DP", F.lit("9")), "XX", None).alias("info"))
+
+
+@query("select p_partkey as id, concat('c', cast(p_size as varchar), '|.|a', cast(p_partkey as varchar)) as samples from part")
+def sample_translate(spark, sf):
+    s = F.array(F.array(F.concat(F.lit("a"), F.col("p_partkey").cast("string"))), F.array(F.lit("b")), F.array(F.concat(F.lit("c"), F.col("p_size").cast("string"))))
+    out = R.translate_samples(s, R.sample_order(["A", "B", "C"], ["C", "D", "A"]))
+    return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), F.array_join(F.transform(out, lambda x: F.array_join(x, ":")), "|").alias("samples"))
+
+
+@query("select l_orderkey as id, cast(count(distinct l_partkey % 200) as bigint) as n from lineitem group by l_orderkey")
+def bit_set_count(spark, sf):
+    g = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.col("l_partkey") % 200).alias("v"))
+    return g.select("id", R.bits_count(R.bit_set(F.col("v"), 4)).alias("n"))
+
+
+@query("select p_partkey as id, cast(epoch(make_timestamp(2000 + cast(p_size // 12 as bigint), 1, 1, 0, 0, 0.0) + to_months(cast(p_size % 12 as int)) + to_days(cast(p_partkey % 400 as int)) + to_hours(cast(p_size as bigint))) as bigint) as t from part")
+def utc_time(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.select(F.col("p_partkey").alias("id"), R.utc_seconds(F.lit(2000), F.col("p_size") + 1, F.col("p_partkey") % 400 + 1, F.col("p_size"), F.lit(0), F.lit(0)).alias("t"))
+
+
+@query("select p_partkey as id, coalesce(nullif(strpos(p_name, substr(p_name, 3, 2)) - 1, -1), -1) as at, case when p_size % 2 = 0 then concat('a\\tb\\\\', cast(p_size as varchar)) else '\\\"x\\\"' end as shown from part")
+def text_tools(spark, sf):
+    raw = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("a\tb\\"), F.col("p_size").cast("string"))).otherwise(F.lit('"x"'))
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.select(F.col("p_partkey").alias("id"), F.coalesce(R.find_text(F.col("p_name"), F.substring("p_name", 3, 2)), F.lit(-1)).cast("long").alias("at"), R.escaped(raw).alias("shown"))
+
+
+@query("select event_type, count(*) as n, count(case when regexp_matches(m, '\\.\\s*$') then 1 end) as stops, count(case when regexp_matches(m, '^[a-z]') then 1 end) as lower from (select event_type, concat(case when event_id % 2 = 0 then 'Read ' else 'read ' end, event_type, case when event_id % 3 = 0 then '.' else '' end) as m from events) group by event_type")
+def log_style(spark, sf):
+    m = F.concat(F.when(F.col("event_id") % 2 == 0, "Read ").otherwise("read "), "event_type", F.when(F.col("event_id") % 3 == 0, ".").otherwise(""))
+    s = R.log_style(m)
+    has = lambda n: F.count(F.when(F.array_contains(s, n), 1))
+    return spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), has("full_stop").alias("stops"), has("lower_case").alias("lower"))
+
+
+@query(f"select contig, count(*) as n from (select contig, pos, lag(pos) over (partition by contig order by rec_idx % 100, rec_idx) as before from {VV}) where pos < before group by contig")
+def unsorted_records(spark, sf):
+    v = view(spark, sf, "variants").withColumn("rec_idx", F.col("rec_idx") % 100 * 1_000_000_000 + F.col("rec_idx"))
+    return vo.unsorted(v).groupBy("contig").agg(F.count("*").alias("n"))
+
+
+@query("select distinct concat('c', cast(o_orderkey % 3 as varchar)) as contig, o_orderkey % 50 as beg, o_orderkey % 50 + 10 as stop, concat('n', cast(o_orderkey % 4 as varchar)) as payload from orders where o_orderkey % 7 <> 0")
+def bed_lines(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    line = F.when(F.col("o_orderkey") % 7 == 0, "# skip").otherwise(F.concat_ws("\t", F.concat(F.lit("c"), (F.col("o_orderkey") % 3).cast("string")), (F.col("o_orderkey") % 50).cast("string"), (F.col("o_orderkey") % 50 + 10).cast("string"), F.concat(F.lit("n"), (F.col("o_orderkey") % 4).cast("string"))))
+    return T.parse_bed(o.select(line.alias("line"), F.col("o_orderkey").alias("rec_idx"))).select("contig", "beg", "stop", "payload").distinct()
