@@ -223,8 +223,10 @@ class Part(InputPartition):
 
 
 class BamReader(DataSourceReader):
+    """Option ``region`` (contig:from-to): only the chunks that a file's index names are read, one task each."""
+
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.region = options["path"], options.get("region")
 
     def partitions(self):
         from pyarrow import fs
@@ -234,7 +236,9 @@ class BamReader(DataSourceReader):
         paths = [inner] if info.type == fs.FileType.File else sorted(x.path for x in system.get_file_info(fs.FileSelector(inner)) if x.path.endswith(".bam"))
         out = []
         for p in paths:
-            if system.get_file_info(f"{p}.splits").type == fs.FileType.File:
+            if self.region:
+                out += self._chunks(system, p)
+            elif system.get_file_info(f"{p}.splits").type == fs.FileType.File:
                 with system.open_input_file(f"{p}.splits") as f:
                     points = json.loads(f.read())
                 out += [Part(p, a, b) for a, b in zip(points, [*points[1:], None], strict=True)]
@@ -242,6 +246,36 @@ class BamReader(DataSourceReader):
                 out.append(Part(p, None, None))
         return out
 
+    def _chunks(self, system, path: str) -> list[Part]:
+        from pyarrow import fs
+
+        from ..operators.intervals import parse_region
+        from .index import candidates, read_index
+
+        with system.open_input_file(path) as f:
+            _, references = read_header(Blocks(f))
+        names = [n for n, _ in references]
+        region = parse_region(self.region, names.__contains__)
+        found = next((c for c in candidates(path) if system.get_file_info(c).type == fs.FileType.File), None)
+        if found is None:
+            return [Part(path, None, None)]
+        with system.open_input_file(found) as f:
+            index = read_index(f.read())
+        return [Part(path, lo, hi) for lo, hi in index.chunks(names.index(region.contig), region.beg, region.stop)]
+
+    def _inside(self, row: tuple) -> bool:
+        from ..functions.kernels import operations
+        from ..operators.intervals import parse_region
+
+        if not self.region:
+            return True
+        if not hasattr(self, "_region"):
+            self._region = parse_region(self.region)
+        if row[2] != self._region.contig or row[3] is None:
+            return False
+        span = sum(n for n, o in operations(row[5]) if o in "MDN=X")
+        return row[3] - 1 < self._region.stop and row[3] - 1 + max(span, 1) > self._region.beg
+
     def read(self, partition) -> Iterator[tuple]:
         system, _ = open_path(self.path)
         with system.open_input_file(partition.path) as f:
@@ -257,7 +291,9 @@ class BamReader(DataSourceReader):
                 n = blocks.int()
                 if n is None:
                     return
-                yield (*decode_record(blocks.read(n), references), max(at, i))
+                row = decode_record(blocks.read(n), references)
+                if self._inside(row):
+                    yield (*row, max(at, i))
 
 
 class Written(WriterCommitMessage):

@@ -67,3 +67,33 @@ def test_streams(spark, tmp_path):
     assert spark.table("hits").count() == want > 0
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert windowed_counts(events, "ts", "event_type").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_indexes(spark, tmp_path):
+    import io
+    import random
+
+    from strandlake.sources import bgzf, index
+
+    spark.dataSource.register(bam.BamSource)
+    rng = random.Random(1)
+    header = "@SQ\tSN:a\tLN:900000\n@SQ\tSN:b\tLN:900000\n"
+    made = sorted((rng.randrange(2), rng.randrange(1, 800000), rng.choice(["50M", "20M9000N30M", "10S40M"])) for _ in range(4000))
+    rows = [{"qname": f"q{i}", "flag": 0, "rname": "ab"[c], "pos": p, "mapq": 9, "cigar": g, "rnext": None, "pnext": None, "tlen": 0, "seq": "ACGTA" * 10, "qual": None} for i, (c, p, g) in enumerate(made)]
+    (tmp_path / "x.bam").write_bytes(bam.write_bam(header, rows))
+    with (tmp_path / "x.bam").open("rb") as f:
+        built = index.index_bam(f)
+    span = {"50M": 50, "20M9000N30M": 9050, "10S40M": 40}
+    for name, data in (("x.bam.bai", index.bai_bytes(built)), ("x.bam.csi", index.csi_bytes(built))):
+        (tmp_path / name).write_bytes(data)
+        assert list(index.read_index(data).rows()) == list(built.rows())
+        for region, lo, hi in (("a:1000-2000", 999, 2000), ("b:400,000-460,000", 399999, 460000), ("b:899,000-900,000", 898999, 900000)):
+            got = spark.read.format("bam").option("region", region).load(str(tmp_path / "x.bam"))
+            want = sorted(r["qname"] for r in rows if r["rname"] == region[0] and r["pos"] - 1 < hi and r["pos"] - 1 + span[r["cigar"]] > lo)
+            assert sorted(r["qname"] for r in got.collect()) == want
+        (tmp_path / name).unlink()
+    text = "".join(f"{'ab'[c]}\t{p}\t{p + 10}\n" for c, p, _ in made).encode()
+    t = index.index_text(io.BytesIO(bgzf.compress(text)), (0, 1, 2), zero_based=True)
+    again = index.read_index(index.tbi_bytes(t))
+    assert again.names == ["a", "b"] and list(again.rows()) == list(t.rows())
+    assert index.candidates("d/x.bam")[:2] == ["d/x.bam.csi", "d/x.csi"] and index.candidates("a##idx##b") == ["b"]
