@@ -130,3 +130,10 @@ def text_format(line: Column) -> Column:
 
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn", "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn"))
+
+
+def shifted_qualities(qual: Column, tag: Column, apply: bool = True) -> Column:
+    """Quality text with an alignment-quality tag (offset 64) subtracted, or added back."""
+    q, t = F.split(qual, ""), F.split(tag, "")
+    one = lambda a, b: F.char(F.ascii(a) - (F.ascii(b) - 64) if apply else F.ascii(a) + (F.ascii(b) - 64))
+    return F.when(tag.isNull(), qual).otherwise(F.array_join(F.zip_with(q, t, one), ""))

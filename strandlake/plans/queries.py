@@ -475,3 +475,31 @@ def bed_lines(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
     line = F.when(F.col("o_orderkey") % 7 == 0, "# skip").otherwise(F.concat_ws("\t", F.concat(F.lit("c"), (F.col("o_orderkey") % 3).cast("string")), (F.col("o_orderkey") % 50).cast("string"), (F.col("o_orderkey") % 50 + 10).cast("string"), F.concat(F.lit("n"), (F.col("o_orderkey") % 4).cast("string"))))
     return T.parse_bed(o.select(line.alias("line"), F.col("o_orderkey").alias("rec_idx"))).select("contig", "beg", "stop", "payload").distinct()
+
+
+@query("select p_partkey as id, concat(chr(cast(73 - p_size % 9 as int)), chr(cast(53 - p_partkey % 5 as int))) as qual, 'I5' as back from part")
+def baq_apply_revert(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    tag = F.concat(F.char(F.lit(64) + F.col("p_size") % 9), F.char(F.lit(64) + F.col("p_partkey") % 5))
+    done = S.shifted_qualities(F.lit("I5"), tag)
+    return p.select(F.col("p_partkey").alias("id"), done.alias("qual"), S.shifted_qualities(done, tag, apply=False).alias("back"))
+
+
+@query(f"select rname, cast(sum(case when (flag & 16) <> 0 then 1 else 0 end) as bigint) as reverse, count(*) as n, min(rec_idx) as first from {A} where mapq >= 40 group by rname")
+def limited_view(spark, sf):
+    good = reads(spark, sf).where(read_filter("mapq >= 40"))
+    return good.groupBy("rname").agg(F.sum(F.when(F.col("flag").bitwiseAND(16) != 0, 1).otherwise(0)).cast("long").alias("reverse"), F.count("*").alias("n"), F.min("rec_idx").alias("first"))
+
+
+@query(f"select rec_idx, qname from {A} where mapq >= 45 order by rec_idx limit 100")
+def first_records(spark, sf):
+    return reads(spark, sf).where(read_filter("mapq >= 45")).orderBy("rec_idx").limit(100).select("rec_idx", "qname")
+
+
+@query()
+def base_mod_pileup(spark, sf):
+    """Modified bases per reference position: rname, position, code, n and the sum of probabilities."""
+    df = pileup.selected(view(spark, sf, "alignments")).where("pos < 800").withColumns({"mm": F.lit("C+m,1,2;A-a,0"), "ml": F.array(F.lit(200), F.lit(100), F.lit(7))})
+    calls = kernels.modifications(df)
+    at = pileup.cells(df.select("rec_idx", "rname", "pos", "flag", "cigar", "seq")).where("offset is not null").select("rec_idx", "rname", "position", "offset")
+    return calls.join(at, ["rec_idx", "offset"]).groupBy("rname", "position", "code").agg(F.count("*").alias("n"), F.sum("probability").alias("p"))
