@@ -97,3 +97,22 @@ def test_indexes(spark, tmp_path):
     again = index.read_index(index.tbi_bytes(t))
     assert again.names == ["a", "b"] and list(again.rows()) == list(t.rows())
     assert index.candidates("d/x.bam")[:2] == ["d/x.bam.csi", "d/x.csi"] and index.candidates("a##idx##b") == ["b"]
+
+
+def test_bcf_round_trip(spark, tmp_path):
+    from strandlake.sources import bcf
+    from strandlake.sources.text import parse_vcf, vcf_line
+
+    header = (
+        '##fileformat=VCFv4.3\n##contig=<ID=c1>\n##contig=<ID=c2>\n##FILTER=<ID=PASS,Description="">\n##FILTER=<ID=q10,Description="x">\n##INFO=<ID=DP,Number=1,Type=Integer,Description="x">\n##INFO=<ID=AF,Number=A,Type=Float,Description="x">\n'
+        '##INFO=<ID=DB,Number=0,Type=Flag,Description="x">\n##INFO=<ID=TX,Number=1,Type=String,Description="x">\n##INFO=<ID=END,Number=1,Type=Integer,Description="x">\n##FORMAT=<ID=GT,Number=1,Type=String,Description="x">\n##FORMAT=<ID=AD,Number=R,Type=Integer,Description="x">\n##FORMAT=<ID=GL,Number=G,Type=Float,Description="x">\n##FORMAT=<ID=FT,Number=1,Type=String,Description="x">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\n'
+    )
+    lines = [
+        "c1\t5\trs1\tA\tC,T\t30\tPASS\tDP=300;AF=0.5,.;DB;TX=a b\tGT:AD:GL:FT\t0/1:1,2,3:0.5,-1,2:ok\t.|2:.:.:longer",
+        "c2\t70000\t.\tACGT\t.\t.\t.\t.\tGT\t0\t./.", "c1\t9\t.\tN\t<DEL>\t0.25\tq10\tEND=100000;DP=-70000\tAD\t7\t8,70000", "c2\t1\tx\tA\tG\t3\tPASS\tTX=" + "z" * 40 + "\tFT\ta\tb",
+    ]
+    (tmp_path / "a.bcf").write_bytes(bcf.write_bcf(header, lines))
+    spark.dataSource.register(bcf.BcfSource)
+    back = spark.read.format("bcf").load(str(tmp_path / "a.bcf")).orderBy("rec_idx")
+    assert [r["line"] for r in back.collect()] == lines
+    assert [r["l"] for r in parse_vcf(back).orderBy("rec_idx").select(vcf_line().alias("l")).collect()] == lines
