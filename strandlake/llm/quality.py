@@ -188,6 +188,10 @@ def learn(known: DataFrame, labels: DataFrame, most_labelled: int) -> RuleEnsemb
     """Fits the ensemble on the labelled rows of ``known`` (doc_id and statistics) that aren't held out."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     marks = rows_only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long"), "quality")
+    # About as many rows as may be kept take part, so that the sort and what reaches the driver don't grow with the labels.
+    total = marks.count()
+    if total > most_labelled:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(total)) < F.lit(int(1.3 * most_labelled)))
     sample = known.where(rest != 0).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(most_labelled).toPandas()
     return fit(sample[STATISTICS].to_numpy(np.float64), sample["quality"].to_numpy(np.float64))
 
