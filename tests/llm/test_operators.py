@@ -365,6 +365,20 @@ def test_similar_lines(spark, none):
             assert i not in left
 
 
+def test_similar_lines_that_are_refused_first(spark):
+    """Lines just below the similarity, so that signatures often take a line for alike that isn't."""
+    rng = random.Random(12)
+    base = words(rng, 40, 10**6).split()
+    rows = []
+    for i in range(220):
+        e = list(base)
+        for k in rng.sample(range(40), rng.choice([1, 3, 3, 4])):
+            e[k] = f"q{rng.randrange(10**6)}"
+        rows.append((i, " ".join(e)))
+    got = linedup.similar_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["line"]) for r in got} == similar(rows)
+
+
 def test_shingles():
     h = WordHashes()
     assert len(word_shingles(b"", 4, h)) == 0 and len(word_shingles(b"a b", 4, h)) == 1 and len(word_shingles(b"a a a a a a", 4, h)) == 1
