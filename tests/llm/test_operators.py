@@ -379,6 +379,34 @@ def test_similar_lines_that_are_refused_first(spark):
     assert {(r["doc_id"], r["line"]) for r in got} == similar(rows)
 
 
+def test_line_links(spark, none):
+    """All links between different sets of words, and each line of an equal set with the first one."""
+    rng = random.Random(31)
+    base = words(rng, 40, 10**6).split()
+    rows = [(0, "a b c d e f g h i x"), (1, "a b c d e f g h y j"), (2, "a b c d e f g h x y"), (3, "long " * 3000 + "end\nX y A b c d e f g h")]
+    rows = [(i, t + "\n") for i, t in rows] + [(6, None), (7, "\n")]
+    for i in range(10, 90):
+        e = list(base)
+        for k in rng.sample(range(40), rng.choice([0, 1, 2, 3, 4])):
+            e[k] = f"q{rng.randrange(10**6)}"
+        rows.append((i, " ".join(e) + f"\n{words(rng, rng.randrange(1, 9), 12)}"))
+    first: dict = {}
+    want = []
+    for i, t in rows:
+        for k, x in enumerate((t or "").lower().split("\n")):
+            s = frozenset(x.split())
+            if s in first:
+                want.append((i, k, *first[s], True))
+            elif s:
+                want += [(i, k, *place, False) for o, place in first.items() if 5 * len(s & o) >= 4 * len(s | o)]
+                first[s] = (i, k)
+    df = spark.createDataFrame([*rows, (None, "a b c d e f g h i x")], "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in linedup.line_links(df).collect()]
+    assert {(2, 0, 0, 0, False), (2, 0, 1, 0, False), (3, 1, 2, 0, True)} <= set(got) and (1, 0, 0, 0, False) not in got
+    assert sorted(got) == sorted(want)
+    assert linedup.line_links(none).count() == 0
+
+
 def test_shingles():
     h = WordHashes()
     assert len(word_shingles(b"", 4, h)) == 0 and len(word_shingles(b"a b", 4, h)) == 1 and len(word_shingles(b"a a a a a a", 4, h)) == 1
