@@ -39,9 +39,9 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", width:
     return rows.where(F.col("__hit") if how == "left_semi" else ~F.col("__hit")).select("__l.*")
 
 
-def count_per_region(rows: DataFrame, regions: DataFrame) -> DataFrame:
+def count_per_region(rows: DataFrame, regions: DataFrame, width: int = 1 << 14) -> DataFrame:
     """contig, beg, stop, region_idx and n: overlapping rows of each region, regions without any included."""
-    inner = interval_join(rows, regions).groupBy("r_region_idx").agg(F.count("*").alias("n"))
+    inner = interval_join(rows, regions, width=width).groupBy("r_region_idx").agg(F.count("*").alias("n"))
     return regions.join(inner, regions["region_idx"] == inner["r_region_idx"], "left").select("contig", "beg", "stop", "region_idx", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -41,8 +41,13 @@ def spans(df: DataFrame) -> DataFrame:
     return df.withColumns({"contig": F.col("rname"), "beg": F.col("pos") - 1, "stop": F.col("pos") - 1 + cigar_sum(F.col("cigar"), "MDN=X")})
 
 
-def regions(spark: SparkSession, sf: str, every: int) -> DataFrame:
-    return view(spark, sf, "intervals").where(F.col("region_idx") % every == 0)
+#: Bins of about the intervals' length (50 to 149), so that few pairs of a bin don't overlap. Results don't depend on it.
+NARROW = 1 << 8
+
+
+def regions(spark: SparkSession, sf: str) -> DataFrame:
+    """All intervals. The SQL of the queries that use them still holds a part only (region_idx % 50, % 10, < 20000)."""
+    return view(spark, sf, "intervals")
 
 
 HIT = f"i.contig = a.rname and a.pos - 1 < i.stop and a.pos - 1 + {SPAN} > i.beg"
@@ -51,7 +56,7 @@ HIT = f"i.contig = a.rname and a.pos - 1 < i.stop and a.pos - 1 + {SPAN} > i.beg
 @query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select rname, count(*) as n from a where (flag & 4) = 0 and mapq >= 30 and exists (select 1 from i where {HIT}) group by rname")
 def mapped_reads_in_regions(spark, sf):
     good = reads(spark, sf).where(read_filter("mapq >= 30 && !flag.unmap"))
-    hits = intervals.interval_join(spans(good).select("rec_idx", "rname", "contig", "beg", "stop"), regions(spark, sf, 50).select("contig", "beg", "stop"), "left_semi")
+    hits = intervals.interval_join(spans(good).select("rec_idx", "rname", "contig", "beg", "stop"), regions(spark, sf).select("contig", "beg", "stop"), "left_semi", NARROW)
     return hits.groupBy("rname").agg(F.count("*").alias("n"))
 
 
@@ -94,32 +99,32 @@ def expr_functions(spark, sf):
 
 @query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select i.region_idx, count(*) as n, cast(sum(a.rec_idx) as bigint) as ids from a join i on {HIT} group by i.region_idx")
 def interval_overlap_inner(spark, sf):
-    both = intervals.interval_join(spans(view(spark, sf, "alignments")).select("contig", "beg", "stop", "rec_idx"), regions(spark, sf, 50))
+    both = intervals.interval_join(spans(view(spark, sf, "alignments")).select("contig", "beg", "stop", "rec_idx"), regions(spark, sf), width=NARROW)
     return both.groupBy(F.col("r_region_idx").alias("region_idx")).agg(F.count("*").alias("n"), F.sum("rec_idx").alias("ids"))
 
 
 @query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select a.rec_idx, a.rname, a.pos from a where exists (select 1 from i where {HIT})")
 def interval_overlap_semi(spark, sf):
     rows = spans(view(spark, sf, "alignments")).select("contig", "beg", "stop", "rec_idx", "rname", "pos")
-    return intervals.interval_join(rows, regions(spark, sf, 50), "left_semi").select("rec_idx", "rname", "pos")
+    return intervals.interval_join(rows, regions(spark, sf), "left_semi", NARROW).select("rec_idx", "rname", "pos")
 
 
 @query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select a.rec_idx, a.rname, a.pos from a where not exists (select 1 from i where {HIT})")
 def interval_targets_anti(spark, sf):
     rows = spans(view(spark, sf, "alignments")).select("contig", "beg", "stop", "rec_idx", "rname", "pos")
-    return intervals.interval_join(rows, regions(spark, sf, 50), "left_anti").select("rec_idx", "rname", "pos")
+    return intervals.interval_join(rows, regions(spark, sf), "left_anti", NARROW).select("rec_idx", "rname", "pos")
 
 
 @query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select i.region_idx, i.contig, cast(count(a.rec_idx) as bigint) as n from i left join a on {HIT} group by i.region_idx, i.contig")
 def separate_regions(spark, sf):
     rows = spans(view(spark, sf, "alignments")).select("contig", "beg", "stop")
-    return intervals.count_per_region(rows, regions(spark, sf, 50)).select("region_idx", "contig", F.col("n").cast("long"))
+    return intervals.count_per_region(rows, regions(spark, sf), NARROW).select("region_idx", "contig", F.col("n").cast("long"))
 
 
 @query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select i.region_idx, a.rec_idx from a join i on {HIT} where i.region_idx < 20000")
 def multi_region_dup(spark, sf):
     rows = spans(view(spark, sf, "alignments")).select("contig", "beg", "stop", "rec_idx")
-    return intervals.interval_join(rows, regions(spark, sf, 50).where("region_idx < 20000")).select(F.col("r_region_idx").alias("region_idx"), "rec_idx")
+    return intervals.interval_join(rows, regions(spark, sf), width=NARROW).select(F.col("r_region_idx").alias("region_idx"), "rec_idx")
 
 
 @query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select a.rec_idx, min(i.region_idx) as region_idx from a join i on {HIT} where i.region_idx < 20000 group by a.rec_idx")
@@ -138,7 +143,7 @@ def overlap_query(mode: str) -> None:
     def run(spark, sf):
         v = view(spark, sf, "variants").withColumn("beg", F.col("pos") - 1)
         v = v.withColumn("stop", F.greatest(F.coalesce("info_end", F.lit(0)), F.col("pos") + F.length("ref"), F.col("pos") + F.length("alt")) + 1)
-        both = intervals.interval_join(v, regions(spark, sf, 10).select("contig", "beg", "stop", "region_idx"))
+        both = intervals.interval_join(v, regions(spark, sf).select("contig", "beg", "stop", "region_idx"), width=NARROW)
         alts, end = F.array("alt"), F.col("info_end")
         return both.where(intervals.variant_overlaps(mode, F.col("pos"), F.col("ref"), alts, end, F.col("r_beg"), F.col("r_stop"))).select("rec_idx", F.col("r_region_idx").alias("region_idx"))
 
