@@ -188,12 +188,13 @@ BLOCKS = "case cigar when '5S30M5S' then [{'r': 0, 'q': 5, 'n': 30, 'o': 'M'}] w
     "select rname, pos + b.r + k as position, case b.o when 'D' then '*' when 'N' then case when (flag & 16) <> 0 then '<' else '>' end else case when (flag & 16) <> 0 then lower(substr(seq, cast(b.q + k + 1 as bigint), 1)) else upper(substr(seq, cast(b.q + k + 1 as bigint), 1)) end end as base, count(*) as n from c group by 1, 2, 3"
 )
 def pileup_bases(spark, sf):
-    return pileup.base_counts(pileup.selected(view(spark, sf, "alignments"), min_mapq=10).where("pos < 3000"))
+    """At all positions; the SQL holds those of reads that start before 3,000."""
+    return pileup.base_counts(pileup.selected(view(spark, sf, "alignments"), min_mapq=10))
 
 
 @query()
 def pileup_columns(spark, sf):
-    return pileup.columns(pileup.selected(view(spark, sf, "alignments"), min_mapq=10).where("pos < 500"))
+    return pileup.columns(pileup.selected(view(spark, sf, "alignments"), min_mapq=10))
 
 
 @query(
@@ -370,36 +371,47 @@ def reverse_complement(spark, sf):
 
 
 
-def contigs(spark: SparkSession) -> DataFrame:
-    """name, seq: five made-up references of 20,000 bases."""
-    name = F.concat(F.lit("chr"), (F.col("id") + 1).cast("string")).alias("name")
-    return spark.range(5).select(name, F.repeat(F.expr("substr('ACGTTGCAACGGTTAC', cast(id + 1 as int), 8)"), 2500).alias("seq"))
+#: Made-up references go to reads in stretches: positions that a stretch serves, and bases that it has besides on both sides. Multiples of 8.
+STRETCH, BESIDE = 1 << 10, 1 << 8
 
 
 def matched(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads without skips on stretches of their contigs: rname 'chr1:2' and the position in it."""
     qual = F.repeat(F.char(F.lit(33) + F.col("rec_idx") % 8 * 5), 40)
-    df = pileup.selected(reads(spark, sf)).where("cigar in ('40M', '10M3I27M', '20M10D20M', '5S30M5S') and pos < 1500")
-    return df.select("rec_idx", "rname", "pos", "cigar", "seq", "flag", qual.alias("qual"))
+    df = pileup.selected(reads(spark, sf)).where("cigar in ('40M', '10M3I27M', '20M10D20M', '5S30M5S')")
+    n = F.floor((F.col("pos") - 1) / STRETCH)
+    first = F.greatest(n * STRETCH - BESIDE, F.lit(0))
+    return df.select("rec_idx", F.concat_ws(":", "rname", n.cast("string")).alias("rname"), (F.col("pos") - first).alias("pos"), "cigar", "seq", "flag", qual.alias("qual"))
+
+
+def contigs(df: DataFrame) -> DataFrame:
+    """name, seq: the stretches that reads lie on, of five made-up references that have no end; each repeats 8 bases of its own."""
+    bases = F.expr("substr('ACGTTGCAACGGTTAC', cast(substr(substring_index(rname, ':', 1), 4) as int), 8)")
+    size = F.when(F.col("rname").endswith(":0"), STRETCH + BESIDE).otherwise(STRETCH + 2 * BESIDE)
+    return df.select("rname").distinct().select(F.col("rname").alias("name"), F.repeat(bases, (size / 8).cast("int")).alias("seq"))
 
 
 @query()
 def md_nm(spark, sf):
-    return kernels.with_md_nm(matched(spark, sf), contigs(spark)).select("rec_idx", "md_new", "nm_new")
+    df = matched(spark, sf)
+    return kernels.with_md_nm(df, contigs(df)).select("rec_idx", "md_new", "nm_new")
 
 
 @query()
 def mapq_cap(spark, sf):
-    return kernels.with_mapq_cap(matched(spark, sf), contigs(spark)).select("rec_idx", "cap")
+    df = matched(spark, sf)
+    return kernels.with_mapq_cap(df, contigs(df)).select("rec_idx", "cap")
 
 
 @query()
 def baq(spark, sf):
-    return kernels.with_alignment_quality(matched(spark, sf).where("pos < 150"), contigs(spark)).select("rec_idx", F.concat_ws(",", F.transform("baq", lambda x: x.cast("string"))).alias("baq"))
+    df = matched(spark, sf)
+    return kernels.with_alignment_quality(df, contigs(df)).select("rec_idx", F.concat_ws(",", F.transform("baq", lambda x: x.cast("string"))).alias("baq"))
 
 
 @query()
 def base_mods(spark, sf):
-    df = view(spark, sf, "alignments").where("pos < 1500").select("rec_idx", "flag", "seq", F.lit("C+m,1,2;A-a,0").alias("mm"), F.array(F.lit(200), F.lit(100), F.lit(7)).alias("ml"))
+    df = view(spark, sf, "alignments").select("rec_idx", "flag", "seq", F.lit("C+m,1,2;A-a,0").alias("mm"), F.array(F.lit(200), F.lit(100), F.lit(7)).alias("ml"))
     return kernels.modifications(df)
 
 
@@ -504,7 +516,7 @@ def first_records(spark, sf):
 @query()
 def base_mod_pileup(spark, sf):
     """Modified bases per reference position: rname, position, code, n and the sum of probabilities."""
-    df = pileup.selected(view(spark, sf, "alignments")).where("pos < 800").withColumns({"mm": F.lit("C+m,1,2;A-a,0"), "ml": F.array(F.lit(200), F.lit(100), F.lit(7))})
+    df = pileup.selected(view(spark, sf, "alignments")).withColumns({"mm": F.lit("C+m,1,2;A-a,0"), "ml": F.array(F.lit(200), F.lit(100), F.lit(7))})
     calls = kernels.modifications(df)
     at = pileup.cells(df.select("rec_idx", "rname", "pos", "flag", "cigar", "seq")).where("offset is not null").select("rec_idx", "rname", "position", "offset")
     return calls.join(at, ["rec_idx", "offset"]).groupBy("rname", "position", "code").agg(F.count("*").alias("n"), F.sum("probability").alias("p"))

@@ -5,6 +5,7 @@ from datetime import datetime
 
 import pytest
 
+from strandlake.functions import kernels as K
 from strandlake.plans.queries import QUERIES
 from strandlake.plans.views import view
 
@@ -66,3 +67,26 @@ def test_overlap_modes(spark, sf):
             want, found = (Counter({k: n for k, n in c.items() if k[0] in plain}) for c in (want, found))
         assert any(k % 10 for _, k in want)
         assert found == want, mode
+
+
+def test_reads_at_all_positions(spark, sf):
+    """Kernels give what they give on whole contigs, wherever reads lie; pileups and modifications leave no read out."""
+    a = view(spark, sf, "alignments").collect()
+    kept = [x for x in a if not x["flag"] & 0x704]
+    good = [x for x in kept if x["cigar"] in SPANS]
+    assert min(x["pos"] for x in good) < 100 and max(x["pos"] for x in good) > 139_000
+    assert any((x["pos"] - 1) % 1024 < 4 or (x["pos"] - 1) % 1024 > 984 for x in good)
+    whole = {f"chr{k + 1}": "ACGTTGCAACGGTTAC"[k : k + 8] * 20_000 for k in range(5)}
+    qual = {x["rec_idx"]: [x["rec_idx"] % 8 * 5] * 40 for x in good}
+    assert got(spark, sf, "md_nm") == Counter((x["rec_idx"], *K.md_nm(x["pos"], x["cigar"], x["seq"], whole[x["rname"]])) for x in good)
+    assert got(spark, sf, "mapq_cap") == Counter((x["rec_idx"], K.cap_of(x["pos"], x["cigar"], x["seq"], qual[x["rec_idx"]], whole[x["rname"]])) for x in good)
+    rows = [(x["rec_idx"], x["rname"], x["pos"], x["cigar"], x["seq"], x["flag"], chr(33 + x["rec_idx"] % 8 * 5) * 40) for x in good]
+    df = spark.createDataFrame(rows, "rec_idx long, rname string, pos long, cigar string, seq string, flag int, qual string")
+    want = K.with_alignment_quality(df, spark.createDataFrame(list(whole.items()), "name string, seq string")).collect()
+    assert got(spark, sf, "baq") == Counter((r["rec_idx"], ",".join(map(str, r["baq"]))) for r in want)
+    mods = Counter((x["rec_idx"], *c) for x in a for c in K.base_modifications(x["seq"], bool(x["flag"] & 16), "C+m,1,2;A-a,0", [200, 100, 7]))
+    assert got(spark, sf, "base_mods") == mods
+    cells = [(x["rname"], x["pos"] + k) for x in kept if x["mapq"] >= 10 for k in range(SPANS.get(x["cigar"], 135))]
+    assert Counter({(r["rname"], r["position"]): r["depth"] for r in QUERIES["pileup_columns"](spark, sf).collect()}) == Counter(cells)
+    assert sum(r["n"] for r in QUERIES["pileup_bases"](spark, sf).collect()) == len(cells)
+    assert max(r["position"] for r in QUERIES["base_mod_pileup"](spark, sf).collect()) > 139_000
