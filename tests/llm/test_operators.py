@@ -144,6 +144,44 @@ def test_licences(docs):
     assert licenses.licences(docs).where("n_found > 0").count() == 0 and licenses.licences(docs).count() == docs.count()
 
 
+def test_licence_hints():
+    """Whatever a known sentence's pattern matches passes the prefilter."""
+    from re import _parser
+
+    rng = random.Random(8)
+
+    def sample(items) -> str:
+        out = ""
+        for op, x in items:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(x)
+            elif op == "IN":
+                kind, x = rng.choice(x)
+                out += chr(x) if str(kind) == "LITERAL" else chr(x[0]) if str(kind) == "RANGE" else "3"
+            elif op == "BRANCH":
+                out += sample(rng.choice(x[1]))
+            elif op == "SUBPATTERN":
+                out += sample(x[-1])
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += "".join(sample(x[2]) for _ in range(rng.randint(x[0], min(x[1], x[0] + 1))))
+            else:
+                assert op in ("ANY", "AT"), op
+                out += "q" if op == "ANY" else ""
+        return out
+
+    for name, p in licenses.SENTENCES:
+        for _ in range(300):
+            text = sample(_parser.parse(p))
+            assert any(h in text for h in licenses.HINTS), (name, text)
+    cases = {
+        "Released under the GPL v3.": ["GPL-3"], "This library is LGPL 2.1.": ["LGPL-2.1"], "Distributed under AGPL 3.0.": ["AGPL-3.0"], "Released under the WTFPL.": ["WTFPL"],
+        "Released under the BSD-3-Clause.": ["BSD-3"], "Plain words.\nIt is CC_BY 4.0.": ["CC-BY-4.0"], "It was placed in the public\n# domain.": ["Public-domain"], "\u00a9 2020 A. B.\n\nAll rights\nreserved.": ["Proprietary"],
+    }
+    for text, want in cases.items():
+        assert [f.licence for f in licenses.scan(text)] == want, text
+
+
 def test_quality(spark, none):
     rng = random.Random(1)
     rows = [(i, words(rng, 60) if i % 3 else ("spam " * 60 if i % 2 else "BUY!! NOW!! " * 20)) for i in range(900)]
