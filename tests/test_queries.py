@@ -90,3 +90,10 @@ def test_reads_at_all_positions(spark, sf):
     assert Counter({(r["rname"], r["position"]): r["depth"] for r in QUERIES["pileup_columns"](spark, sf).collect()}) == Counter(cells)
     assert sum(r["n"] for r in QUERIES["pileup_bases"](spark, sf).collect()) == len(cells)
     assert max(r["position"] for r in QUERIES["base_mod_pileup"](spark, sf).collect()) > 139_000
+
+
+def test_faidx_fetch_of_every_order(spark, sf):
+    keys = [r["o_orderkey"] for r in spark.read.parquet(f"{sf}/orders.parquet").collect()]
+    whole = ["ACGTTGCAAC"[k : k + 5] * 200 for k in range(5)]
+    want = Counter((f"chr{k % 5 + 1}", k % 900, min(k % 900 + 120, 1000), whole[k % 5][k % 900 : k % 900 + 120]) for k in keys)
+    assert got(spark, sf, "faidx_fetch") == want
