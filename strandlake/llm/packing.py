@@ -4,8 +4,8 @@ Tokenizing: documents are cut at white space; a worker remembers chunks' ids and
 words of a batch at once in numpy. Only (document, piece, length, checksum) rows leave that pass.
 Packing: pieces are dealt at random into groups of about ``group`` pieces. In a group, each bin takes
 the longest piece left and then, again and again, the longest that fits; then its smallest document
-gives way to two unpacked ones if these fill the widened gap more tightly. A group leaves
-at most about one bin open, so the loss is a fraction of a thousandth at any size.
+gives way to two unpacked ones if these fill the widened gap more tightly. A group leaves at most
+about one bin open; the pieces of these are packed anew, again in groups of that size.
 """
 
 from __future__ import annotations
@@ -261,14 +261,23 @@ def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 1, group: int
     """
     rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     pieces = as_table(rows.mapInArrow(lambda it: _pieces(it, path, most, end), PIECES), "pieces")
-    n = pieces.count()
-    groups = max(1, -(-n // group), min(64, n // 512))
-    dealt = pieces.withColumn("g", F.floor(F.rand(6) * groups))
-
-    def packed(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        bins, offsets = best_two_fit(t.column("length").to_numpy(), most)
-        g = t.column("g")[0].as_py()
-        return t.drop_columns(["g"]).append_column("sequence_id", pa.array(bins + (g << 32))).append_column("offset", pa.array(offsets))
-
-    return dealt.groupBy("g").applyInArrow(packed, PIECES + ", sequence_id long, offset long")
+    groups = max(1, -(-pieces.count() // group))
+    schema = PIECES + ", sequence_id long, offset long"
+
+    def packed(rows: DataFrame, groups: int, first: int) -> DataFrame:
+        """sequence_id, offset and whether the sequence is its group's last; groups are numbered from ``first``."""
+
+        def one(t: pa.Table) -> pa.Table:
+            t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+            bins, offsets = best_two_fit(t.column("length").to_numpy(), most)
+            g = t.column("g")[0].as_py()
+            return t.drop_columns(["g"]).append_column("sequence_id", pa.array(bins + (g << 32))).append_column("offset", pa.array(offsets)).append_column("last", pa.array(bins == bins.max()))
+
+        return rows.withColumn("g", F.floor(F.rand(6) * groups) + first).groupBy("g").applyInArrow(one, schema + ", last boolean")
+
+    out = packed(pieces, groups, 0)
+    if groups > 1:
+        out = as_table(out, "packed")
+        rest = out.where("last").drop("sequence_id", "offset", "last")
+        out = out.where("not last").unionByName(packed(rest, -(-rest.count() // group), groups))
+    return out.drop("last")

@@ -291,6 +291,19 @@ def test_packing(docs, none):
     assert packing.pack(none, WORDS).count() == 0
 
 
+def test_packing_of_short_texts(spark):
+    """Groups' open sequences are packed together: pieces of one length need no more sequences than in one group."""
+    df = spark.range(20_000).selectExpr("id as doc_id", "'a b c d e f g h i j k l m n o p q r s' as text")
+    got = packing.pack(df, WORDS).collect()
+    length = got[0]["length"]
+    assert len({r["doc_id"] for r in got}) == len(got) == 20_000 and {r["length"] for r in got} == {length}
+    sequences: dict = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append(r["offset"])
+    assert all(sorted(s) == list(range(0, length * len(s), length)) for s in sequences.values())
+    assert len(sequences) == -(-20_000 // (4096 // length))
+
+
 def test_two_documents_replace_one():
     # 60 + 25 leave 15; in place of 25, 20 + 20 fill the 40 to the last token.
     bins, offsets = packing.best_two_fit(np.array([60, 25, 20, 20]), 100)
