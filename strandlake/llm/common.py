@@ -17,9 +17,11 @@ WORD_CACHE = 400_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a fresh local one where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a fresh local one where that is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -61,6 +63,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Groups that join_heavy broadcasts at most; smaller ones never count as heavy.
+HEAVY, LEAST_HEAVY = 1000, 1000
+
+
+def join_heavy(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined with their group's one row in ``groups``, in which ``count`` is the group's size.
+
+    Groups of more than a HEAVYth of all rows, of which there can't be more than HEAVY, are broadcast, so that no
+    task gets all of their rows; the others are joined by shuffle.
+    """
+    bound = max(LEAST_HEAVY, total // HEAVY)
+    heavy = groups.where(F.col(count) > bound)
+    if not heavy.head(1):
+        return rows.join(groups, keys)
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(groups.where(F.col(count) <= bound), keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(light)
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered for up to WORD_CACHE words."""
 

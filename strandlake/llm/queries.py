@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .bytebpe import encode
 from .common import table
-from .linedup import line_links
+from .linedup import line_classes
 from .licenses import licences
 from .minhash import near_duplicates
 from .packing import pack
@@ -58,7 +58,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_links(table(spark, sf_dir, "documents"), num=4, den=5)
+    return line_classes(table(spark, sf_dir, "documents"), num=4, den=5)
 
 
 QUERIES = {

@@ -430,32 +430,66 @@ def test_similar_lines_that_are_refused_first(spark):
     assert {(r["doc_id"], r["line"]) for r in got} == similar(rows)
 
 
-def test_line_links(spark, none):
-    """All links between different sets of words, and each line of an equal set with the first one."""
+def plain_classes(rows):
+    """line_classes by comparing all pairs."""
+    lines = sorted((i, k, frozenset(x.split())) for i, t in rows for k, x in enumerate((t or "").lower().split("\n")) if x.split())
+    first: dict = {}
+    for i, k, s in lines:
+        first.setdefault(s, (i, k))
+    like = {s: sorted(first[o] for o in first if o != s and 5 * len(s & o) >= 4 * len(s | o)) for s in first}
+    return sorted(
+        (i, k, *first[s], len(like[s]), *(like[s][0] if like[s] else (None, None)), (i, k) != first[s] or bool(like[s]) and like[s][0] < first[s]) for i, k, s in lines
+    )
+
+
+@pytest.mark.parametrize("settings", [{}, {"block": 7, "hot": 8, "most": 3}])
+def test_line_classes(spark, none, settings):
+    """All links between different sets of words: whole clusters and texts by filter, or small blocks, split words and texts by join."""
     rng = random.Random(31)
-    base = words(rng, 40, 10**6).split()
+    base, far = words(rng, 40, 10**6).split(), words(rng, 300, 10**6).split()
     rows = [(0, "a b c d e f g h i x"), (1, "a b c d e f g h y j"), (2, "a b c d e f g h x y"), (3, "long " * 3000 + "end\nX y A b c d e f g h")]
     rows = [(i, t + "\n") for i, t in rows] + [(6, None), (7, "\n")]
     for i in range(10, 90):
-        e = list(base)
+        e, f = list(base), list(far)
         for k in rng.sample(range(40), rng.choice([0, 1, 2, 3, 4])):
             e[k] = f"q{rng.randrange(10**6)}"
-        rows.append((i, " ".join(e) + f"\n{words(rng, rng.randrange(1, 9), 12)}"))
-    first: dict = {}
-    want = []
-    for i, t in rows:
-        for k, x in enumerate((t or "").lower().split("\n")):
-            s = frozenset(x.split())
-            if s in first:
-                want.append((i, k, *first[s], True))
-            elif s:
-                want += [(i, k, *place, False) for o, place in first.items() if 5 * len(s & o) >= 4 * len(s | o)]
-                first[s] = (i, k)
+        for k in rng.sample(range(300), rng.choice([0, 10, 31, 33, 36, 80])):
+            f[k] = f"q{rng.randrange(10**6)}"
+        rows.append((i, " ".join(e) + f"\n{words(rng, rng.randrange(1, 9), 12)}\n" + " ".join(f[: rng.choice([80, 100, 230, 300])])))
     df = spark.createDataFrame([*rows, (None, "a b c d e f g h i x")], "doc_id long, text string").repartition(4)
-    got = [tuple(r) for r in linedup.line_links(df).collect()]
-    assert {(2, 0, 0, 0, False), (2, 0, 1, 0, False), (3, 1, 2, 0, True)} <= set(got) and (1, 0, 0, 0, False) not in got
-    assert sorted(got) == sorted(want)
-    assert linedup.line_links(none).count() == 0
+    names = ["doc_id", "line", "class_doc_id", "class_line", "n_links", "like_doc_id", "like_line", "removed"]
+    got = linedup.line_classes(df, **settings)
+    assert got.columns == names
+    want = plain_classes(rows)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == want
+    assert sum(r[4] for r in want) > 1000
+    gone = linedup.similar_lines(df, **settings).collect()
+    assert sorted((r["doc_id"], r["line"]) for r in gone) == [r[:2] for r in want if r[7]]
+    assert all((r["like_doc_id"], r["like_line"]) < (r["doc_id"], r["line"]) for r in gone)
+    assert linedup.line_classes(none).count() == 0
+
+
+def test_line_classes_of_a_common_line(spark):
+    """A word with so many lines that families are gathered around pivots, and a class of many lines."""
+    rng = random.Random(4)
+    base = [words(rng, 30, 10**6).split() for _ in range(3)]
+    rows = []
+    for i in range(1500):
+        e = list(rng.choice(base)) if rng.random() < 0.8 else words(rng, 30, 10**6).split()
+        for k in rng.sample(range(30), rng.choice([0, 1, 2, 3, 4, 5])):
+            e[k] = f"q{rng.randrange(10**6)}"
+        rows.append((i, "the same line\n" + " ".join([*e, "shared"])))
+    got = linedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == plain_classes(rows)
+
+
+def test_postings_are_packed_and_unpacked():
+    rng = np.random.default_rng(3)
+    n = rng.integers(1, 400, 500).astype(np.uint32)
+    t, pos, h = np.sort(rng.integers(0, 2**32, 500, np.uint32)), rng.integers(0, 90, 500).astype(np.uint32), rng.integers(0, 2**63, 500, np.uint64)
+    s = [rng.integers(0, 2**63, 500, np.uint64) for _ in range(4)]
+    got = linedup._unpacked(linedup._packed(t, n, pos, h, s))
+    assert all((a == b).all() for a, b in zip(got, [t, n, pos, h, s[0], np.where(n > linedup.WIDE, s[1], 0), *(np.where(n > linedup.WIDER, x, 0) for x in s[2:])], strict=True))
 
 
 def test_shingles():
