@@ -3,8 +3,8 @@
 Texts are cut by the vocabulary's pattern; each piece runs through the transducer, unless it is a
 vocabulary entry itself, which then is its encoding. A pattern match never goes on past a
 non-blank run into the white space that follows, so a text is first cut into such stretches, whose
-ids are remembered in a bounded cache. Decoding joins the entries' bytes; streams go through an
-incremental UTF-8 state machine that holds back at most three bytes.
+ids are remembered in a bounded cache. Decoding goes through an incremental UTF-8 state machine over
+the entries' bytes, which holds back at most three bytes of a character that isn't whole yet.
 """
 
 from __future__ import annotations
@@ -20,43 +20,66 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_only
+from .common import Recent, rows_only
 from .transducer import IdTransducer, Merges
 
 #: White space as the pattern's \s has it (Unicode's White_Space). Fixed values.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Stretches a worker remembers.
-CACHE = 500_000
+#: Stretches, and pieces of them, that each generation of a worker's memory holds.
+STRETCHES, PIECES = 600_000, 200_000
+#: States with bytes held back that the decoder remembers.
+MOST_STATES = 10_000
 
 
-class Utf8Stream:
-    """Bytes in, text out: a state machine that keeps back a sequence's bytes until it is whole.
+def utf8_step(held: bytes, byte: int) -> tuple[str, bytes]:
+    """One step of the UTF-8 state machine: the text that ``byte`` makes certain, and the next state.
 
-    The state is the number of continuation bytes still due; malformed bytes become U+FFFD.
+    A state is the bytes of a sequence that isn't whole yet; it says how many continuation bytes are due and which
+    the next one may be. A byte that can't follow turns the sequence into U+FFFD and starts anew.
     """
+    if held:
+        first = held[0]
+        low = {0xE0: 0xA0, 0xF0: 0x90}.get(first, 0x80) if len(held) == 1 else 0x80
+        high = {0xED: 0x9F, 0xF4: 0x8F}.get(first, 0xBF) if len(held) == 1 else 0xBF
+        if low <= byte <= high:
+            held += bytes((byte,))
+            whole = len(held) == (2 if first < 0xE0 else 3 if first < 0xF0 else 4)
+            return (held.decode(), b"") if whole else ("", held)
+        text, held = utf8_step(b"", byte)
+        return "\ufffd" + text, held
+    if byte < 0x80:
+        return chr(byte), b""
+    return ("", bytes((byte,))) if 0xC2 <= byte < 0xF5 else ("\ufffd", b"")
 
-    def __init__(self) -> None:
-        self.held = b""
-
-    @staticmethod
-    def _due(tail: bytes) -> int:
-        """How many of the last bytes start a sequence that is not whole yet."""
-        for back in range(1, min(3, len(tail)) + 1):
-            c = tail[-back]
-            if c & 0xC0 != 0x80:  # a first byte
-                need = 1 if c < 0x80 else 2 if 0xC2 <= c < 0xE0 else 3 if 0xE0 <= c < 0xF0 else 4 if 0xF0 <= c < 0xF5 else 1
-                return back if need > back else 0
-        return 0
-
-    def push(self, data: bytes) -> str:
-        data = self.held + data
-        due = self._due(data[-3:])
-        self.held = data[len(data) - due :] if due else b""
-        return data[: len(data) - due].decode("utf-8", "replace")
-
-    def end(self) -> str:
-        out, self.held = self.held.decode("utf-8", "replace"), b""
-        return out
+
+class Utf8Stream:
+    """Tokens in, text out. Transitions over whole tokens are run through utf8_step once, when a state first meets the token."""
+
+    def __init__(self, tokens: dict):
+        self.tokens = tokens
+        self.go: dict[bytes, dict] = {b"": {}}
+
+    def step(self, state: bytes, token) -> tuple[str, bytes]:
+        known = self.go.setdefault(state, {})
+        found = known.get(token)
+        if found is None:
+            parts, to = [], state
+            for byte in self.tokens[token]:
+                text, to = utf8_step(to, byte)
+                parts.append(text)
+            found = known[token] = "".join(parts), to
+            if len(self.go) > MOST_STATES:
+                self.go = {b"": self.go[b""]}
+        return found
+
+    def run(self, tokens: Iterable) -> Iterator[str]:
+        state = b""
+        for t in tokens:
+            text, state = self.step(state, t)
+            if text:
+                yield text
+        if state:
+            yield "\ufffd"
 
 
 class ByteBpe:
@@ -69,53 +92,42 @@ class ByteBpe:
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
         self.stretches = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.machine = IdTransducer(Merges(self.bytes, {i: self.ranks[bytes((i,))] for i in range(256)}, self._rule))
-        self.short: dict[str, list[int]] = {}
-        outer = self
-
-        class Known(dict):
-            def __missing__(self, stretch: str) -> str:
-                ids = ",".join(map(str, outer.ids(stretch)))
-                if len(self) >= CACHE:
-                    self.clear()
-                if len(stretch) < 64:
-                    self[stretch] = ids
-                return ids
-
-        self.known = Known()
+        self.pieces_known = Recent(self._piece, PIECES, 32)
+        self.known = Recent(lambda stretch: ",".join(map(str, self.ids(stretch))), STRETCHES)
+        self.stream = Utf8Stream(self.bytes)
+        # By ids as they are written: the text of tokens that begin and end between characters, and all transitions.
+        self.whole = {str(t): text for t in self.bytes for text, state in [self.stream.step(b"", t)] if not state and "\ufffd" not in text}
+        self.written = Utf8Stream({str(t): x for t, x in self.bytes.items()})
 
     def _rule(self, a: int, b: int) -> tuple[int, int] | None:
         to = self.ranks.get(self.bytes[a] + self.bytes[b])
         return None if to is None else (to, to)
 
+    def _piece(self, piece: str) -> list[int]:
+        data = piece.encode()
+        whole = self.ranks.get(data)
+        return self.machine(data) if whole is None else [whole]
+
     def ids(self, text: str) -> list[int]:
         out: list[int] = []
         for piece in self.pieces.findall(text):
-            ids = self.short.get(piece)
-            if ids is None:
-                data = piece.encode()
-                whole = self.ranks.get(data)
-                ids = self.machine(data) if whole is None else [whole]
-                if len(piece) < 32:
-                    if len(self.short) >= CACHE:
-                        self.short.clear()
-                    self.short[piece] = ids
-            out += ids
+            out += self.pieces_known[piece]
         return out
 
     def encode(self, text: str) -> str:
         """Decimal ids joined by commas."""
         return ",".join(map(self.known.__getitem__, self.stretches.findall(text)))
 
-    def decode(self, ids: str) -> bytes:
-        return b"".join(map(self.by_text.__getitem__, ids.split(","))) if ids else b""
+    def decode(self, ids: str) -> str:
+        """The text of ids as encode gives them. While tokens end between characters the state machine stays in its first state."""
+        if not ids:
+            return ""
+        tokens = ids.split(",")
+        parts = list(map(self.whole.get, tokens))
+        return "".join(self.written.run(tokens) if None in parts else parts)
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        stream = Utf8Stream()
-        for i in ids:
-            if part := stream.push(self.bytes[i]):
-                yield part
-        if part := stream.end():
-            yield part
+        return self.stream.run(ids)
 
 
 @lru_cache(maxsize=2)
@@ -131,7 +143,7 @@ def _digests(batches: Iterator, path: str, pattern: str, with_ids: bool) -> Iter
             ids = bpe.encode(text.as_py() or "")
             n.append(ids.count(",") + 1 if ids else 0)
             coded.append(hashlib.sha256(ids.encode()).hexdigest())
-            decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             if with_ids:
                 kept.append([int(x) for x in ids.split(",")] if ids else [])
         columns = [b.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]

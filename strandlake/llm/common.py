@@ -81,6 +81,28 @@ def join_heavy(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
     return rows.join(F.broadcast(heavy), keys).unionByName(light)
 
 
+class Recent(dict):
+    """What ``make`` gives for a key, remembered in two generations of up to ``most`` keys.
+
+    A full young generation becomes the old one, whose keys come back when they are asked for, so common keys stay.
+    """
+
+    def __init__(self, make: Callable, most: int, longest: int = 64):
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered for up to WORD_CACHE words."""
 

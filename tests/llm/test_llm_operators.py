@@ -220,7 +220,7 @@ def test_byte_bpe(spark, docs, none):
     bpe = bytebpe.ByteBpe(BYTES, public_tokenizers.PATTERN)
     for t in junk:
         ids = library.encode_ordinary(t)
-        assert bpe.encode(t) == ",".join(map(str, ids)) and bpe.decode(bpe.encode(t)) == t.encode() and "".join(bpe.decode_stream(ids)) == t
+        assert bpe.encode(t) == ",".join(map(str, ids)) and bpe.decode(bpe.encode(t)) == t and "".join(bpe.decode_stream(ids)) == t
     rows = bytebpe.encode(docs, BYTES, public_tokenizers.PATTERN)
     for r, t in ((r, t) for r in rows.collect() if r["doc_id"] is not None for t in [docs.where(F.col("doc_id") == r["doc_id"]).first()["text"] or ""] if r["doc_id"] < 14):
         ids = library.encode_ordinary(t)
@@ -230,10 +230,15 @@ def test_byte_bpe(spark, docs, none):
     assert bytebpe.encode(none, BYTES, public_tokenizers.PATTERN).count() == 0
 
 
-def test_utf8_stream_holds_back_parts():
-    data = "aé中😀".encode() + b"\xff\xc3"
-    s = bytebpe.Utf8Stream()
-    assert "".join(s.push(data[i : i + 1]) for i in range(len(data))) + s.end() == data.decode("utf-8", "replace")
+def test_utf8_stream_is_the_incremental_decoder():
+    """Any bytes, cut anywhere into tokens, give what Python's decoder gives with replacement."""
+    rng = random.Random(8)
+    whole = [c.encode() for c in "aé中😀\ud7ff\ue000\U0010ffff"]
+    for _ in range(400):
+        data = b"".join(rng.choice([*whole, bytes((rng.randrange(256),)), rng.choice(whole)[:-1], b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xe0\x9f"]) for _ in range(12))
+        cuts = sorted(rng.sample(range(len(data) + 1), min(4, len(data))))
+        tokens = dict(enumerate(data[i:j] for i, j in zip([0, *cuts], [*cuts, len(data)])))
+        assert "".join(bytebpe.Utf8Stream(tokens).run(tokens)) == data.decode("utf-8", "replace")
 
 
 def test_warc(spark, none):
