@@ -15,18 +15,21 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, rows_only
-from .transducer import IdTransducer, Merges
+from .common import Generations, rows_only, slices
+from .transducer import IdTransducer, Lockstep, Merges
 
 #: White space as the pattern's \s has it (Unicode's White_Space). Fixed values.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stretches, and pieces of them, that each generation of a worker's memory holds.
 STRETCHES, PIECES = 600_000, 200_000
+#: Longer pieces go through the transducer one by one.
+LONG = 64
 #: States with bytes held back that the decoder remembers.
 MOST_STATES = 10_000
 
@@ -92,8 +95,9 @@ class ByteBpe:
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
         self.stretches = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.machine = IdTransducer(Merges(self.bytes, {i: self.ranks[bytes((i,))] for i in range(256)}, self._rule))
-        self.pieces_known = Recent(self._piece, PIECES, 32)
-        self.known = Recent(lambda stretch: ",".join(map(str, self.ids(stretch))), STRETCHES)
+        self.batch = Lockstep(self.machine)
+        self.names = {t: str(t) for t in self.bytes}
+        self.stretches_known, self.pieces_known = Generations(STRETCHES), Generations(PIECES)
         self.stream = Utf8Stream(self.bytes)
         # By ids as they are written: the text of tokens that begin and end between characters, and all transitions.
         self.whole = {str(t): text for t in self.bytes for text, state in [self.stream.step(b"", t)] if not state and "\ufffd" not in text}
@@ -103,20 +107,43 @@ class ByteBpe:
         to = self.ranks.get(self.bytes[a] + self.bytes[b])
         return None if to is None else (to, to)
 
-    def _piece(self, piece: str) -> list[int]:
-        data = piece.encode()
-        whole = self.ranks.get(data)
-        return self.machine(data) if whole is None else [whole]
-
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.pieces.findall(text):
-            out += self.pieces_known[piece]
+    def _learn(self, stretches: set[str]) -> None:
+        """Makes the ids of all these stretches known, as they are written."""
+        cut = {x: self.pieces.findall(x) for x in stretches}
+        pieces = self.pieces_known.missing(set().union(*cut.values()))
+        known, short, data = self.pieces_known.known, [], []
+        for p in pieces:
+            d = p.encode()
+            whole = self.ranks.get(d)
+            if whole is not None:
+                known[p] = self.names[whole]
+            elif len(d) <= LONG:
+                short.append(p)
+                data.append(d)
+            else:
+                known[p] = ",".join(map(str, self.machine(d)))
+        if short:
+            ids, count = self.batch(np.frombuffer(b"".join(data), np.uint8).astype(np.int64), np.fromiter(map(len, data), np.int64, len(data)))
+            names = list(map(self.names.__getitem__, ids.tolist()))
+            at = 0
+            for p, n in zip(short, count.tolist(), strict=True):
+                known[p] = ",".join(names[at : at + n])
+                at += n
+        get = known.__getitem__
+        self.stretches_known.known.update((x, ",".join(map(get, p)) if len(p) > 1 else get(p[0])) for x, p in cut.items())
+        self.pieces_known.rest()
+
+    def encode_batch(self, texts: list[str]) -> list[str]:
+        """Decimal ids joined by commas, of each text."""
+        cut = [self.stretches.findall(t) for t in texts]
+        self._learn(self.stretches_known.missing(set().union(*cut)))
+        get = self.stretches_known.known.__getitem__
+        out = [",".join(map(get, x)) for x in cut]
+        self.stretches_known.rest()
         return out
 
     def encode(self, text: str) -> str:
-        """Decimal ids joined by commas."""
-        return ",".join(map(self.known.__getitem__, self.stretches.findall(text)))
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: str) -> str:
         """The text of ids as encode gives them. While tokens end between characters the state machine stays in its first state."""
@@ -139,13 +166,14 @@ def _digests(batches: Iterator, path: str, pattern: str, with_ids: bool) -> Iter
     bpe = byte_bpe(path, pattern)
     for b in batches:
         n, coded, decoded, kept = [], [], [], []
-        for text in b.column(1):
-            ids = bpe.encode(text.as_py() or "")
-            n.append(ids.count(",") + 1 if ids else 0)
-            coded.append(hashlib.sha256(ids.encode()).hexdigest())
-            decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            if with_ids:
-                kept.append([int(x) for x in ids.split(",")] if ids else [])
+        texts = [t or "" for t in b.column(1).to_pylist()]
+        for lo, hi in slices(len(texts), list(map(len, texts)), 2 << 20):
+            for ids in bpe.encode_batch(texts[lo:hi]):
+                n.append(ids.count(",") + 1 if ids else 0)
+                coded.append(hashlib.sha256(ids.encode()).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                if with_ids:
+                    kept.append([int(x) for x in ids.split(",")] if ids else [])
         columns = [b.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:

@@ -103,6 +103,28 @@ class Recent(dict):
         return value
 
 
+class Generations:
+    """As Recent, for whole batches: a batch's keys are all in ``known`` until ``rest``."""
+
+    def __init__(self, most: int, longest: int = 64):
+        self.known, self.old, self.most, self.longest = {}, {}, most, longest
+
+    def missing(self, keys: set) -> set:
+        """The keys that aren't known; those of the old generation become known."""
+        new = keys.difference(self.known)
+        back = {k: v for k in new if (v := self.old.get(k)) is not None}
+        self.known.update(back)
+        self.fresh = new.difference(back)
+        return self.fresh
+
+    def rest(self) -> None:
+        """After a batch: long keys are forgotten, and a full generation is set aside."""
+        for k in [k for k in self.fresh if len(k) > self.longest]:
+            del self.known[k]
+        if len(self.known) > self.most:
+            self.known, self.old = {}, self.known
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered for up to WORD_CACHE words."""
 

@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
+
 #: Transitions after which a machine forgets its states, which bounds a worker's memory.
 MOST_TRANSITIONS = 350_000
 #: A hypothesis is one integer: trie node, token before it (plus 1), tokens waiting.
@@ -98,6 +100,7 @@ class CountTransducer:
         self.inner: list[bool] = [False]
         self.depth: list[int] = [0]
         self.width = {t: len(s) for t, s in merges.symbols.items()}
+        self.longest = max(self.width.values())
         for t, symbols in merges.symbols.items():
             node = 0
             for s in symbols:
@@ -156,14 +159,13 @@ class CountTransducer:
                 end, waiting = t, (h & WAITING) + 1
             if inner[to]:
                 on.append(to << NODE | h & (1 << NODE) - 1)
-        if end < 0:
-            raise ValueError("no vocabulary entry for a symbol")
         return on, end, waiting
 
     def _step(self, state: int, symbol: int) -> tuple[int, int]:
         on, end, waiting = self._on(state, symbol)
-        on.append((end + 1) << LAST | waiting)  # the hypothesis that starts here is last
-        sure = min(h & WAITING for h in on)
+        if end >= 0:
+            on.append((end + 1) << LAST | waiting)  # the hypothesis that starts here is last
+        sure = min((h & WAITING for h in on), default=0)
         step = self.go[state << 9 | symbol] = self._state(tuple(h - sure for h in on)), sure
         return step
 
@@ -178,7 +180,55 @@ class CountTransducer:
 
     def waiting(self, state: int) -> int:
         """Tokens that leave if the string ends in this state."""
-        return self.live[state][-1] & WAITING
+        live = self.live[state]
+        if not live or live[-1] >> NODE:
+            raise ValueError("no vocabulary entry for a symbol")
+        return live[-1] & WAITING
+
+    def _node(self, symbols: Sequence[int]) -> int | None:
+        node = 0
+        for s in symbols:
+            node = self.child.get(node << 9 | s)
+            if node is None:
+                return None
+        return node
+
+    def entries(self, before: Sequence[int], whole: bool) -> list[int]:
+        """Hypotheses that may be live where a block begins, judged by the symbols before it alone.
+
+        ``before``: all of them (``whole``), or the last ones, twice as many as the longest entry has. An entry may
+        be growing since some place; the token before that place is any that ends there.
+        """
+        out, n = [], len(before)
+        for x in range(n, max(-1, n - self.longest - 1), -1):
+            node = self._node(before[x:])
+            if node is None or node and not self.inner[node]:
+                continue
+            if x == 0 and whole:
+                out.append(node << NODE)
+            for y in range(max(0, x - self.longest), x):
+                token = self.token[at] if (at := self._node(before[y:x])) is not None else -1
+                if token >= 0 and self.merges.steps_of(token) is not None:
+                    out.append(node << NODE | (token + 1) << LAST)
+        return out
+
+    def block_map(self, block: Sequence[int], entries: Iterable[int]) -> dict[int, dict[int, int]]:
+        """entry -> {exit: tokens between}: what is live after ``block`` if a hypothesis is before it. Entries that meet in a state go on together."""
+        runs = {self._state((q,)): [(q, 0)] for q in entries}
+        go = self.go
+        for s in block:
+            on: dict[int, list] = {}
+            for state, came in runs.items():
+                to, n = go.get(state << 9 | s) or self._step(state, s)
+                if self.live[to]:
+                    on.setdefault(to, []).extend([(q, c + n) for q, c in came] if n else came)
+            runs = on
+        out: dict[int, dict[int, int]] = {}
+        for state, came in runs.items():
+            for h in self.live[state]:
+                for q, c in came:
+                    out.setdefault(q, {})[h & ~WAITING] = c + (h & WAITING)
+        return out
 
     def __call__(self, symbols: Iterable[int]) -> int:
         self.trim()
@@ -188,10 +238,15 @@ class CountTransducer:
 
 class IdTransducer(CountTransducer):
     def _step(self, state: int, symbol: int) -> tuple[int, int]:
+        step = self.go[state << 9 | symbol] = self.made(state, symbol)
+        return step
+
+    def made(self, state: int, symbol: int) -> tuple[int, int]:
         on, end, _ = self._on(state, symbol)
+        if end < 0:
+            raise ValueError("no vocabulary entry for a symbol")
         on.append((end + 1) << LAST)
-        step = self.go[state << 9 | symbol] = self._state(tuple(on)), end
-        return step
+        return self._state(tuple(on)), end
 
     def sure(self, state: int, ends: list[int]) -> int:
         """The last place that every tokenization still possible goes through."""
@@ -237,3 +292,78 @@ class IdTransducer(CountTransducer):
             state = step[0]
             ends.append(step[1])
         return self._back(ends, len(ends))
+
+
+class Lockstep:
+    """Runs many strings through an IdTransducer side by side, a place at a time. Transitions are made when first met, in a table of fixed size."""
+
+    def __init__(self, machine: IdTransducer, size: int = 1 << 21):
+        self.machine, self.size = machine, size
+        self.width = np.zeros(max(machine.width) + 1, np.int64)
+        self.width[list(machine.width)] = list(machine.width.values())
+        self.keys, self.to, self.end = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.n = 0
+
+    def reset(self) -> None:
+        self.machine.reset()
+        self.keys.fill(-1)
+        self.n = 0
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        """Each key's place in the table; unknown transitions are made."""
+        slot = self._slot(key)
+        left = np.flatnonzero(self.keys[slot] != key)
+        while len(left):
+            free = self.keys[slot[left]] == -1
+            if free.any():
+                for k in set(key[left[free]].tolist()):
+                    self._make(k)
+            moved = left[~free]
+            slot[moved] = (slot[moved] + 1) & self.size - 1
+            left = left[self.keys[slot[left]] != key[left]]
+        return slot
+
+    def _slot(self, key):
+        return (key * 0x9E3779B1 >> 8) & self.size - 1
+
+    def _make(self, key: int) -> None:
+        slot = self._slot(key)
+        while (k := int(self.keys[slot])) != -1:
+            if k == key:
+                return
+            slot = (slot + 1) & self.size - 1
+        self.keys[slot] = key
+        self.to[slot], self.end[slot] = self.machine.made(key >> 9, key & 511)
+        self.n += 1
+
+    def __call__(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all strings one after the other, how many each has) of non-empty strings whose symbols stand one after the other."""
+        if self.n > self.size // 2:
+            self.reset()
+        order = np.argsort(-sizes, kind="stable")
+        start, n = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        state = np.full(len(n), self.machine.start)
+        ends = np.zeros((len(n), int(n.max(initial=0))), np.int32)
+        live = len(n)
+        for place in range(ends.shape[1]):
+            live = int(np.searchsorted(-n, -place, "left")) if place else live
+            slot = self._slots(state[:live] << 9 | symbols[start[:live] + place])
+            state[:live] = self.to[slot]
+            ends[:live, place] = self.end[slot]
+        # From each string's end back along its tokens.
+        row, at, back = np.arange(len(n)), n.copy(), []
+        while len(row):
+            token = ends[row, at - 1]
+            back.append((row, token))
+            at = at - self.width[token]
+            row, at = row[at > 0], at[at > 0]
+        many = np.zeros(len(n), np.int64)
+        for row, _ in back:
+            many[row] += 1
+        count = np.empty_like(many)
+        count[order] = many
+        last = np.cumsum(count)[order] - 1
+        out = np.empty(int(count.sum()), np.int64)
+        for k, (row, token) in enumerate(back):
+            out[last[row] - k] = token
+        return out, count
