@@ -10,6 +10,7 @@ about one bin open; the pieces of these are packed anew, again in groups of that
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -19,13 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, rows_only, slices
-from .tokencount import CACHE, WordCounter
+from .common import Generations, Scope, rows_only, slices
+from .tokencount import WordCounter
 from .transducer import IdTransducer
 
 NEVER = 1 << 30
 #: Longer words go through the transducer one by one.
 LONG = 48
+#: Chunks and words that each generation of a worker's memory holds.
+CHUNKS, WORDS = 500_000, 250_000
+#: A chunk of letters that neither lower case nor NFC splits or joins, and marks that make one piece.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+)([.,;:!?]*)").fullmatch
 
 
 class BatchEncoder(WordCounter):
@@ -33,8 +38,8 @@ class BatchEncoder(WordCounter):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.known: dict[str, bytes] = {}
-        self.words_known: dict[str, bytes] = {}
+        self.chunks_known, self.words_known = Generations(CHUNKS), Generations(WORDS)
+        self.special_bytes = {s: np.uint32(i).tobytes() for s, i in self.special_ids.items()}
         self.first_of = np.full(512, -1, np.int64)
         for s, t in self.first.items():
             self.first_of[s] = t
@@ -104,23 +109,21 @@ class BatchEncoder(WordCounter):
 
     def learn(self, chunks: set[str]) -> None:
         """Makes every chunk's ids known."""
-        new, cut = set(), {}
+        plain, other, need = [], {}, set()
         for c in chunks:
-            low = c.lower() if c.isascii() else None
-            if low is not None and low.isalpha():
-                cut[c] = p = [low]
-            elif low is not None and low[:-1].isalpha() and low[-1] in ".,;:!?":
-                cut[c] = p = [low[:-1], low[-1]]
+            m = PLAIN(c)
+            if m:
+                word, mark = m.groups()
+                word = word.lower()
+                plain.append((c, word, mark))
+                need.add(word)
+                need.add(mark)
             else:
-                cut[c] = p = list(self.parts(c))
-            for x in p:
-                if x is not None and x not in self.words_known:
-                    new.add(x)
-        if len(self.words_known) + len(new) > CACHE:
-            self.words_known.clear()
-            new = {x for p in cut.values() for x in p if x is not None}
-        if len(self.known) + len(cut) > CACHE:
-            self.known.clear()
+                other[c] = p = list(self.parts(c))
+                need.update(x for x in p if x is not None)
+        need.discard("")
+        new = self.words_known.missing(need)
+        known = self.words_known.known
         short, data = [], []
         for w in new:
             d = w.encode()
@@ -128,34 +131,25 @@ class BatchEncoder(WordCounter):
                 short.append(w)
                 data.append(d)
             else:
-                self.words_known[w] = np.array(self.long(self.piece_symbols(w)), np.uint32).tobytes()
-        self.words_known.update(zip(short, self.merge(data), strict=True))
-        ids = {s: np.uint32(self.special_ids[s]).tobytes() for s in self.special}
-        for c, p in cut.items():
+                known[w] = np.array(self.long(self.piece_symbols(w)), np.uint32).tobytes()
+        known.update(zip(short, self.merge(data), strict=True))
+        get = known.__getitem__
+        self.chunks_known.known.update([(c, get(w) + get(m) if m else get(w)) for c, w, m in plain])
+        for c, p in other.items():
             if None in p:
                 marks = iter(self.split.findall(c))
-                self.known[c] = b"".join(ids[next(marks)] if x is None else self.words_known[x] for x in p)
+                self.chunks_known.known[c] = b"".join(self.special_bytes[next(marks)] if x is None else get(x) for x in p)
             else:
-                self.known[c] = b"".join([self.words_known[x] for x in p])
-        for w in [w for w in new if len(w) > LONG]:
-            del self.words_known[w]
+                self.chunks_known.known[c] = b"".join(map(get, p))
+        self.words_known.rest()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. All chunks of the batch become known first."""
         words = [self.words(t) for t in texts]
-        new = set()
-        for w in words:
-            new.update(w)
-        new.difference_update(self.known)
-        kept = len(self.known)
-        self.learn(new)
-        if len(self.known) < kept:  # the cache was cleared: learn what this batch also needs
-            self.learn({c for w in words for c in w if c not in self.known})
-        get = self.known.__getitem__
+        self.learn(self.chunks_known.missing(set().union(*words)))
+        get = self.chunks_known.known.__getitem__
         out = [b"".join(map(get, w)) for w in words]
-        if any(len(c) > 200 for c in new):
-            for c in new:
-                if len(c) > 200:
-                    self.known.pop(c, None)
+        self.chunks_known.rest()
         return out
 
 
@@ -252,15 +246,19 @@ def best_two_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
-def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 1, group: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 1, group: int = 32768) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``.
 
+    Pieces are dealt at random into groups of about ``group``, which bounds what a task holds; the sequences that groups
+    leave open are packed anew, in groups of the same size.
+
     A document is its text's ids and ``end``; one longer than ``most`` tokens is cut into pieces of
     ``most``, of which the last may be shorter. A null text counts as empty (just ``end``). Repeated
     rows and rows with null doc_ids are packed each; other columns are ignored. No rows in, none out.
     """
     rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    pieces = as_table(rows.mapInArrow(lambda it: _pieces(it, path, most, end), PIECES), "pieces")
+    scope = Scope(docs.sparkSession)
+    pieces = scope.table(rows.mapInArrow(lambda it: _pieces(it, path, most, end), PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group))
     schema = PIECES + ", sequence_id long, offset long"
 
@@ -273,11 +271,12 @@ def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 1, group: int
             g = t.column("g")[0].as_py()
             return t.drop_columns(["g"]).append_column("sequence_id", pa.array(bins + (g << 32))).append_column("offset", pa.array(offsets)).append_column("last", pa.array(bins == bins.max()))
 
-        return rows.withColumn("g", F.floor(F.rand(6) * groups) + first).groupBy("g").applyInArrow(one, schema + ", last boolean")
+        dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(first)), F.lit(groups)) + first)
+        return dealt.repartition(groups, "g").groupBy("g").applyInArrow(one, schema + ", last boolean")
 
     out = packed(pieces, groups, 0)
     if groups > 1:
-        out = as_table(out, "packed")
+        out = scope.table(out, "packed")
         rest = out.where("last").drop("sequence_id", "offset", "last")
         out = out.where("not last").unionByName(packed(rest, -(-rest.count() // group), groups))
-    return out.drop("last")
+    return scope.result(out.drop("last"), "sequences")
