@@ -1,10 +1,12 @@
 """Token counts by a compiled finite-state tokenizer.
 
 The tokenizer file's merges become a deterministic transducer whose transitions carry the number of
-tokens they emit. White space brings every state back to the start, so a chunk between white space
-maps each state to the start and a count; chunks' maps compose by a prefix scan, of which a
-document's count is the last value. Inside a chunk without white space, long pieces are cut into
-blocks whose state maps (entry state -> exit state, count) are remembered and composed likewise.
+tokens they emit. White space brings the machine back to its start, so the map of a chunk between white
+space has one entry, the start, and is known whatever comes before; all chunks' maps of a batch compose
+by one prefix scan (of counts, as every exit is the start), from which documents take their differences.
+A long piece is cut into blocks. A block's map is made for every hypothesis that the symbols next to it
+allow at its beginning, without knowing what the blocks before it make of them; maps compose by a prefix
+scan over their entries and exits.
 """
 
 from __future__ import annotations
@@ -13,19 +15,22 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_only
 from .bytebpe import SPACE
-from .transducer import MOST_TRANSITIONS, CountTransducer, Merges
+from .common import Recent, rows_only, slices
+from .transducer import NODE, CountTransducer, Merges
 
-CACHE = 600_000
-#: Symbols in a block of a long piece.
-BLOCK = 32
+#: Chunks, and pieces of them, that each generation of a worker's memory holds.
+CHUNKS, PIECES = 500_000, 200_000
+#: Symbols in a block of a long piece, and blocks whose maps are remembered.
+BLOCK, MAPS = 256, 1000
 
 
 def printable_bytes() -> dict[str, int]:
@@ -35,16 +40,21 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-def scan(maps: list[dict], entry: int) -> list[tuple[int, int]]:
-    """Inclusive prefix scan by doubling over state maps; (state, count so far) after each, from ``entry``.
+Map = dict[int, dict[int, int]]
 
-    Composition is associative: (f then g)(s) = (g.state(f(s)), f.count(s) + g.count(f.state(s))).
-    """
-    done, step = [dict(m) for m in maps], 1
+
+def compose(f: Map, g: Map) -> Map:
+    """entry of f -> {exit of g: tokens}. A hypothesis is reached in one way only, so no two ways give it different counts."""
+    return {q: {end: n + m for mid, n in exits.items() for end, m in g.get(mid, {}).items()} for q, exits in f.items()}
+
+
+def scan(maps: list[Map]) -> list[Map]:
+    """Inclusive prefix scan by doubling: each step composes maps that are 1, 2, 4, ... apart."""
+    done, step = list(maps), 1
     while step < len(done):
-        done = [done[i] if i < step else {s: (done[i][t][0], n + done[i][t][1]) for s, (t, n) in done[i - step].items() if t in done[i]} for i in range(len(done))]
+        done = [done[i] if i < step else compose(done[i - step], done[i]) for i in range(len(done))]
         step *= 2
-    return [m[entry] for m in done]
+    return done
 
 
 class WordCounter:
@@ -69,28 +79,14 @@ class WordCounter:
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}"))
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.merges = Merges(symbols, self.first, lambda a, b: self.rules.get(a << 20 | b))
-        self.short: dict[str, int] = {}
-        self.blocks: dict[tuple, dict] = {}
-        self.known = self.cache()
+        self.pieces_known = Recent(lambda p: self.piece(self.piece_symbols(p)), PIECES, 32)
+        self.chunks_known = Recent(self.chunk, CHUNKS)
+        self.maps: dict[tuple, Map] = {}
 
     @cached_property
     def machine(self) -> CountTransducer:
         return CountTransducer(self.merges)
 
-    def cache(self) -> dict:
-        outer = self
-
-        class Known(dict):
-            def __missing__(self, chunk: str):
-                value = outer.chunk(chunk)
-                if len(self) >= CACHE:
-                    self.clear()
-                if len(chunk) < 64:
-                    self[chunk] = value
-                return value
-
-        return Known()
-
     @staticmethod
     def words(text: str) -> list[str]:
         """Chunks between white space; U+001C to U+001F, which str.split() takes for white space, are not."""
@@ -115,42 +111,33 @@ class WordCounter:
         return s
 
     def chunk(self, chunk: str) -> int:
-        n = 0
-        for p in self.parts(chunk):
-            if p is None:
-                n += 1
-                continue
-            c = self.short.get(p)
-            if c is None:
-                c = self.piece(self.piece_symbols(p))
-                if len(p) < 32:
-                    if len(self.short) >= CACHE:
-                        self.short.clear()
-                    self.short[p] = c
-            n += c
-        return n
+        return sum(1 if p is None else self.pieces_known[p] for p in self.parts(chunk))
 
     def piece(self, symbols: list[int]) -> int:
-        if len(symbols) <= 2 * BLOCK:
-            if len(self.machine.go) > MOST_TRANSITIONS:
-                self.blocks.clear()  # they hold the machine's states
-            return self.machine(symbols)
-        if len(self.blocks) > 20_000 or len(self.machine.go) > MOST_TRANSITIONS:
-            self.blocks.clear()
-            self.machine.reset()
-        maps, state = [], self.machine.start
-        for i in range(0, len(symbols), BLOCK):
-            block = tuple(symbols[i : i + BLOCK])
-            known = self.blocks.setdefault(block, {})
-            if state not in known:
-                known[state] = self.machine.run(block, state)
-            maps.append({state: known[state]})
-            state = known[state][0]
-        end, count = scan(maps, self.machine.start)[-1]
-        return count + self.machine.waiting(end)
-
-    def count(self, text: str) -> int:
-        return sum(map(self.known.__getitem__, self.words(text)))
+        return self.machine(symbols) if len(symbols) <= 2 * BLOCK else self.long_piece(symbols)
+
+    def block_map(self, before: tuple, block: tuple, whole: bool) -> Map:
+        key = (before, block, whole)
+        found = self.maps.get(key)
+        if found is None:
+            if len(self.maps) >= MAPS:
+                self.maps.clear()
+            self.machine.trim()
+            found = self.maps[key] = self.machine.block_map(block, self.machine.entries(before, whole))
+        return found
+
+    def long_piece(self, symbols: list[int], block: int = BLOCK) -> int:
+        context = 2 * self.machine.longest
+        maps = [self.block_map(tuple(symbols[max(0, i - context) : i]), tuple(symbols[i : i + block]), i <= context) for i in range(0, len(symbols), block)]
+        # From the start (an empty entry with no token before it) to the exit at which no entry is growing.
+        return next(n for end, n in scan(maps)[-1][0].items() if end < 1 << NODE)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """Tokens of each text: differences of the scan over all chunks."""
+        chunks = [self.words(t) for t in texts]
+        n = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        total = np.cumsum(np.fromiter(map(self.chunks_known.__getitem__, chain.from_iterable(chunks)), np.int64, n.sum()))
+        return np.diff(np.concatenate(([0], total))[np.concatenate(([0], np.cumsum(n)))])
 
 
 @lru_cache(maxsize=2)
@@ -161,12 +148,10 @@ def word_counter(path: str) -> WordCounter:
 def _counts(batches: Iterator, path: str, limit: int) -> Iterator:
     counter = word_counter(path)
     for b in batches:
-        size, n = [], []
-        for text in b.column(1):
-            text = text.as_py() or ""
-            size.append(len(text) if text.isascii() else len(text.encode()))
-            n.append(counter.count(text))
-        columns = [b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
+        texts = [t or "" for t in b.column(1).to_pylist()]
+        size = [len(t) if t.isascii() else len(t.encode()) for t in texts]
+        n = np.concatenate([np.empty(0, np.int64), *(counter.counts(texts[lo:hi]) for lo, hi in slices(len(texts), size, 2 << 20))])
+        columns = [b.column(0), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 
