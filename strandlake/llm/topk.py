@@ -1,9 +1,12 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
 Candidates are dealt into blocks, queries into blocks of their own; each pair of blocks is one unit of
-work. A block keeps, for each dimension, its rows sorted by that component. For a query the lists are
-read from the better end in steps; rows met are scored in full; once the k-th best score is above
-what any row further down all lists could reach, the search stops. Blocks' best k are merged.
+work. A block's vectors are rotated onto their principal components, of which as many as hold nearly
+all of their length become dimensions; the length of what is left is one more. For each dimension the
+block keeps its rows sorted by it. For a query the lists are read from the better end in steps; rows
+met are scored in full, on the unrotated integers. Once the k-th best score is above what any row
+further down all lists could reach (the sum of the lists' edges by the query's components), or all rows
+have been met, the search stops. Blocks' best k are merged.
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ from pyspark.sql import functions as F
 from .common import rows_only
 
 
+#: Share of the vectors' squared length that the dimensions with lists of their own hold at least.
+HELD = 0.99
+
+
 class SortedLists:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")  # so that a smaller row number is a smaller id
@@ -25,44 +32,55 @@ class SortedLists:
         # Sums of products stay exact in doubles up to 2 ** 53.
         big = float(np.abs(self.x).max(initial=0))
         self.exact = x.shape[1] * big * big < 2**53
-        self.rows = np.argsort(self.x, axis=0, kind="stable").T.copy()
         self.f = self.x.astype(np.float64)
+        power, turn = np.linalg.eigh(self.f.T @ self.f)
+        turn, power = turn[:, ::-1], np.maximum(power[::-1], 0)
+        m = min(x.shape[1], int(np.searchsorted(np.cumsum(power), HELD * power.sum())) + 1)
+        self.turn = turn[:, :m]
+        y = self.f @ self.turn
+        rest = np.sqrt(np.maximum((self.f**2).sum(1) - (y**2).sum(1), 0))
+        y = np.column_stack([y, rest])
+        self.rows = np.argsort(y, axis=0, kind="stable").T.copy()
+        self.sorted = np.sort(y, axis=0).T.copy()
+        # Rotated numbers are rounded; bounds are raised by more than that.
+        self.slack = 1e-9 * x.shape[1] * (1 + big)
+        self.scored = 0
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows but those with id ``own``, ties to smaller ids."""
+        """(ids, scores) of the k best rows but those with id ``own``, ties to smaller ids; ``scored`` counts the rows scored."""
         n = len(self.ids)
-        dims = np.flatnonzero(q)
         if self.exact and float(np.abs(q).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * len(q) < 2**53:
             x, weight = self.f, q.astype(np.float64)
         else:
             x, weight = self.x, q
-        seen = np.zeros(n, bool)
-        skip = np.flatnonzero(self.ids == own)
-        seen[skip] = True
+        turned = q @ self.turn
+        turned = np.append(turned, np.sqrt(max(0.0, float((q.astype(np.float64) ** 2).sum() - (turned**2).sum()))))
+        slack = self.slack * (1 + float(np.abs(q).max(initial=0)))
+        lists = np.flatnonzero(np.abs(turned) > 0)
+        turned = turned[lists]
+        unseen = self.ids != own
         at, score = np.empty(0, np.int64), np.empty(0, weight.dtype)
-        down = q[dims] > 0
-        depth, step = 0, max(64, n // 16)
-        if not len(dims):
-            fresh = np.flatnonzero(~seen)[:k]
-            return self.ids[fresh], np.zeros(len(fresh), np.int64)
-        lists = self.rows[dims]
-        while depth < n:
+        down = turned > 0
+        depth, step = 0, max(2 * k, n // 128)
+        while unseen.any():
             end = min(n, depth + step)
-            met = np.concatenate([lists[~down, depth:end].ravel(), lists[down, n - end : n - depth].ravel()])
             mark = np.zeros(n, bool)
-            mark[met] = True
-            fresh = np.flatnonzero(mark & ~seen)
-            seen |= mark
+            mark[self.rows[lists[~down], depth:end]] = True
+            mark[self.rows[lists[down], n - end : n - depth]] = True
+            if not len(lists):
+                mark[depth:end] = True
+            fresh = np.flatnonzero(mark & unseen)
+            unseen &= ~mark
+            self.scored += len(fresh)
             at = np.concatenate([at, fresh])
             score = np.concatenate([score, x[fresh] @ weight])
             if len(at) > k:
                 best = np.lexsort((at, -score))[:k]
                 at, score = at[best], score[best]
-            edge = np.where(down, lists[:, n - end], lists[:, end - 1])
-            bound = (x[edge, dims] * weight[dims]).sum()
-            if len(at) >= k and score.min() > bound:
+            edge = np.where(down, self.sorted[lists, n - end], self.sorted[lists, end - 1])
+            if len(lists) and len(at) >= k and score.min() > (edge * turned).sum() + slack:
                 break
-            depth, step = end, step * 2
+            depth, step = end, step + step // 2
         best = np.lexsort((at, -score))[:k]
         return self.ids[at[best]], score[best].astype(np.int64)
 
@@ -93,7 +111,7 @@ def _units(batches: Iterator, k: int) -> Iterator:
         yield done()
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block: int = 8192, query_block: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block: int = 4096, query_block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows with the largest inner product for each query.
 
     Components become floor(scale * x). Queries are the rows whose vec_id is divisible by ``every``;
@@ -107,12 +125,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
     rows = rows.groupBy("id").agg(F.min("e").alias("e")).select("id", F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("x"), F.size("e").alias("dim"))
     n = rows.count()
     nc, nq = max(1, -(-n // block)), max(1, -(-n // (query_block * every)))
+    spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(spread, min(2 * nc * nq, 8 * spread))
     query = F.col("id") % every == 0
     c, q = F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nq)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     as_row = rows.select("dim", c.alias("c"), each(nq).alias("q"), F.lit(False).alias("query"), "id", "x")
     as_query = rows.where(query).select("dim", each(nc).alias("c"), q.alias("q"), F.lit(True).alias("query"), "id", "x")
-    units = as_row.unionByName(as_query).repartition("dim", "c", "q").sortWithinPartitions("dim", "c", "q", "query")
+    units = as_row.unionByName(as_query).repartition(tasks, "dim", "c", "q").sortWithinPartitions("dim", "c", "q", "query")
     found = units.mapInArrow(lambda it: _units(it, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

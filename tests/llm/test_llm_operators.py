@@ -218,6 +218,7 @@ def test_byte_bpe(spark, docs, none):
     rng = random.Random(4)
     junk = ["".join(rng.choice(" \n\t  abc's'reÉéñΣİ́　\x1c\x85 <|>endoftext123½٣中文😀​\xa0") for _ in range(rng.randrange(60))) for _ in range(300)] + ["aaaa" * 400, "=" * 3000, "ab" * 900]
     bpe = bytebpe.ByteBpe(BYTES, public_tokenizers.PATTERN)
+    assert bpe.encode_batch(junk) == [",".join(map(str, library.encode_ordinary(t))) for t in junk]
     for t in junk:
         ids = library.encode_ordinary(t)
         assert bpe.encode(t) == ",".join(map(str, ids)) and bpe.decode(bpe.encode(t)) == t and "".join(bpe.decode_stream(ids)) == t
@@ -296,6 +297,23 @@ def test_packing(docs, none):
     assert packing.pack(none, WORDS).count() == 0
 
 
+def test_encoder_forgets_and_learns_again(monkeypatch):
+    """Vocabularies beyond what a generation holds, within a batch and over batches; ids stay the library's."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CHUNKS", 50)
+    monkeypatch.setattr(packing, "WORDS", 20)
+    library, encoder = Tokenizer.from_file(WORDS), packing.BatchEncoder(WORDS)
+    rng = random.Random(7)
+    old = [f"Word{i}, " for i in range(40)]
+    odd = ["İstanbul", "ŉx", "STRASSE", "Straße.,;", "é́", "It's", "a<|endoftext|>b", "x" * 90, "Σας", "ñandú!", "µm", "a×b", "12ab,"]
+    for _ in range(12):
+        batch = [" ".join(rng.choice(odd) if rng.random() < 0.3 else f"w{rng.randrange(10**4)}" for _ in range(rng.randrange(60))) + rng.choice(old) for _ in range(5)]
+        for text, ids in zip(batch, encoder.encode_batch(batch), strict=True):
+            assert np.frombuffer(ids, np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.chunks_known.old) < 400 and not any(len(w) > 64 for w in encoder.chunks_known.known)
+
+
 def test_packing_of_short_texts(spark):
     """Groups' open sequences are packed together: pieces of one length need no more sequences than in one group."""
     df = spark.range(20_000).selectExpr("id as doc_id", "'a b c d e f g h i j k l m n o p q r s' as text")
@@ -349,7 +367,7 @@ def test_token_counts(spark, docs, none):
     junk = ["".join(rng.choice(" \n\t  abc's'reÉéñΣİ́　\x1c\x85 <|>endoftext123½٣中文😀​\xa0") for _ in range(rng.randrange(60))) for _ in range(300)] + ["<|startoftext|>x<|endoftext|>", "=" * 700, "aaaa" * 300, "ab" * 500]
     counter = tokencount.WordCounter(WORDS)
     for t in junk:
-        assert counter.count(t) == len(library.encode(t, add_special_tokens=False).ids), t
+        assert counter.counts([t, "", t]).tolist() == [n := len(library.encode(t, add_special_tokens=False).ids), 0, n], t
     got = tokencount.token_counts(docs, WORDS, limit=50).collect()
     assert len(got) == docs.count()
     have = {r["doc_id"]: r["text"] or "" for r in docs.where("doc_id is not null").collect()}
@@ -361,8 +379,27 @@ def test_token_counts(spark, docs, none):
 
 
 def test_state_maps_compose():
-    maps = [{0: (1, 2), 1: (0, 5)}, {0: (0, 1), 1: (1, 7)}, {0: (1, 1), 1: (0, 3)}]
-    assert tokencount.scan(maps, 0) == [(1, 2), (1, 9), (0, 12)]
+    """Blocks' maps are made in any order, each from its own symbols and those next to it; scanned, they give the library's count of every prefix's blocks."""
+    from tokenizers import Tokenizer
+
+    f, g = {0: {1: 2}, 5: {1: 4}}, {1: {7: 3, 8: 1}, 9: {7: 1}}
+    assert tokencount.compose(f, g) == {0: {7: 5, 8: 3}, 5: {7: 7, 8: 5}}
+    library, counter = Tokenizer.from_file(WORDS), tokencount.WordCounter(WORDS)
+    rng = random.Random(5)
+    syllables = ["the", "ing", "on", "er", "st", "q", "z", "tion", "a", "é"]
+    pieces = ["x" * 700, "ab" * 300, *("".join(rng.choice(syllables) for _ in range(n)) for n in (40, 90, 200, 400)), *("".join(rng.choice("abcdexyz") for _ in range(300)) for _ in range(6))]
+    for p in pieces:
+        symbols, context = counter.piece_symbols(p), 2 * counter.machine.longest
+        want = len(library.encode(p, add_special_tokens=False).ids)
+        for block in (7, 32, 64):
+            cuts = list(range(0, len(symbols), block))
+            maps = {}
+            for i in rng.sample(cuts, len(cuts)):
+                counter.machine.reset()  # nothing is left of what other blocks did
+                maps[i] = counter.machine.block_map(symbols[i : i + block], counter.machine.entries(symbols[max(0, i - context) : i], i <= context))
+            assert max(len(m) for m in maps.values()) > 1
+            assert [n for end, n in tokencount.scan([maps[i] for i in cuts])[-1][0].items() if end < 1 << tokencount.NODE] == [want]
+            assert counter.long_piece(symbols, block) == want == counter.piece(symbols)
 
 
 def test_top_k(spark):
@@ -383,6 +420,20 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_threshold_stops_early():
+    """Vectors near a few directions: the bound stops the search long before all rows are scored, and nothing is lost."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(4, 32))
+    x = np.floor(64 * (rng.normal(size=(3000, 4)) * [4, 2, 1, 1] @ base / 8 + rng.normal(size=(3000, 32)) / 50)).astype(np.int64)
+    lists = topk.SortedLists(np.arange(3000), x)
+    for i in range(0, 3000, 100):
+        score = x @ x[i]
+        best = [j for j in np.lexsort((np.arange(3000), -score)).tolist() if j != i][:20]
+        ids, scores = lists.search(x[i], i, 20)
+        assert ids.tolist() == best and scores.tolist() == score[best].tolist()
+    assert lists.scored < 0.5 * 30 * 3000
+
+
 def similar(rows, p=(4, 5)):
     lines = [(i, k, frozenset(x.encode().lower().split())) for i, t in sorted(rows) for k, x in enumerate((t or "").split("\n"))]
     gone = set()
