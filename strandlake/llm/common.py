@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,15 +42,41 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Scope lets an Arrow batch have: texts and sets are long, and both sides hold a batch whole.
+BATCH = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``f``, after which what the worker doesn't use any more goes back to the system: later stages run in the same worker."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Scope:
-    """An operator's intermediate tables. ``result`` writes what it returns and deletes the others, so that they don't pile up in the shared folder."""
+    """An operator's intermediate tables. ``result`` writes what it returns and deletes the others, so that they don't pile up in the shared folder.
+
+    Until then Arrow batches hold at most BATCH rows.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
+        self.rows = spark.conf.get(_ROWS)
+        spark.conf.set(_ROWS, min(int(self.rows), BATCH) if int(self.rows) > 0 else BATCH)
+
+    def path(self, name: str) -> str:
+        self.paths.append(path := new_path(self.spark, name))
+        return path
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, name)
-        self.paths.append(path)
+        path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -56,6 +86,7 @@ class Scope:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
         self.paths = []
+        self.spark.conf.set(_ROWS, self.rows)
         return out
 
 
@@ -170,8 +201,6 @@ def word_shingles(text: bytes, k: int, hashes: WordHashes) -> np.ndarray:
 
 def _forest(batches: Iterator, names: tuple[str, str]) -> Iterator:
     """Within one partition: edges to a star per component (each node to its smallest)."""
-    import pyarrow as pa
-
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -214,7 +243,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, write: Callable
     n = edges.count()
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = e.where("a is not null and b is not null and u > v").select("u", "v").coalesce(-(-n // CONTRACT) or 1)
-    e = write(e.mapInArrow(lambda it: _forest(it, ("u", "v")), "u long, v long"), "components")
+    e = write(e.mapInArrow(lean(lambda it: _forest(it, ("u", "v"))), "u long, v long"), "components")
     for _ in range(max_rounds):
         seen = e.select(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("r"))
         seen = seen.unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("r")))

@@ -23,7 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scope, WordHashes, connected_components, mix64, rows_only, slices, word_shingles
+from .common import Scope, WordHashes, connected_components, join_heavy, lean, mix64, rows_only, slices, word_shingles
+
+
+#: Hashes of the sets on one side of a block, about.
+BLOCK_HASHES = 500_000
 
 
 @dataclass(frozen=True)
@@ -219,7 +223,7 @@ def _unit(hubs: list, rows: list, percent: int) -> list[tuple[int, int]]:
 
 
 def _blocks(batches: Iterator, percent: int) -> Iterator:
-    """Rows sorted by unit (comp, part, part2): the unit's members, and which of them are to be compared with all."""
+    """Rows sorted by unit (cluster, size, i, j): the unit's members, and which of them are to be compared with all."""
     unit, hubs, rows = None, [], []
 
     def done():
@@ -228,12 +232,12 @@ def _blocks(batches: Iterator, percent: int) -> Iterator:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        columns = [batch.column(x).to_pylist() for x in ("cluster", "i", "j", "hub", "open", "id", "comp", "s")]
-        for cluster, i, j, hub, open_, ident, comp, s in zip(*columns, strict=True):
-            if (cluster, i, j) != unit:
+        columns = [batch.column(x).to_pylist() for x in ("cluster", "size", "i", "j", "hub", "open", "id", "comp", "s")]
+        for cluster, size, i, j, hub, open_, ident, comp, s in zip(*columns, strict=True):
+            if (cluster, size, i, j) != unit:
                 if unit is not None:
                     yield done()
-                unit, hubs, rows = (cluster, i, j), [], []
+                unit, hubs, rows = (cluster, size, i, j), [], []
             row = (ident, comp, np.frombuffer(s, np.uint64))
             if hub:
                 hubs.append(row)
@@ -254,15 +258,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     """
     scope = Scope(docs.sparkSession)
     rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    sketches = scope.table(rows.mapInArrow(lambda it: _sketches(it, k, sketch), "doc_id long, n long, h1 long, h2 long, k binary"), "sketches")
+    sketches = scope.table(rows.mapInArrow(lean(lambda it: _sketches(it, k, sketch)), "doc_id long, n long, h1 long, h2 long, k binary"), "sketches")
     full = sketches.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    members = full.join(classes, ["h1", "h2", "n"]).select("doc_id", "rep", "n", "k")
+    classes = scope.table(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "equal-sets")
+    members = join_heavy(full, classes, ["h1", "h2", "n"], "c", sketches.count()).select("doc_id", "rep", "n", "k")
     members = scope.table(members, "classes")
     reps = members.where("doc_id = rep").select("doc_id", "n", "k").dropDuplicates(["doc_id", "n", "k"])
 
     # Buckets of two or more; each member is set against the bucket's smallest id.
-    bands = reps.mapInArrow(lambda it: _bands(it, sketch), "key long, id long, n long")
+    bands = reps.mapInArrow(lean(lambda it: _bands(it, sketch)), "key long, id long, n long")
     hubs = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
     stars = bands.join(hubs, "key").where("id <> hub.id")
     stars = stars.select(F.col("hub.id").alias("a"), F.col("hub.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
@@ -270,7 +274,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     # All that buckets hold together, whether linked or not: each candidate pair is within one cluster.
     clusters = scope.table(connected_components(stars.select("a", "b"), write=scope.table), "clusters")
     wanted = clusters.select("id").hint("merge")
-    sets = scope.table(rows.withColumnRenamed("doc_id", "id").join(wanted, "id").mapInArrow(lambda it: _sets(it, k), "id long, s binary"), "sets")
+    sets = scope.table(rows.withColumnRenamed("doc_id", "id").join(wanted, "id").mapInArrow(lean(lambda it: _sets(it, k)), "id long, s binary"), "sets")
     small = scope.table(reps.withColumnRenamed("doc_id", "id").join(wanted, "id"), "sketches-wanted")
 
     # Stars: likelihood first, then full sets. A hub's members are dealt out in parts of about ``part``.
@@ -279,31 +283,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     pairs = stars.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     pairs = pairs.join(small.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a")
     pairs = pairs.join(small.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
-    likely = scope.table(pairs.mapInArrow(lambda it: _likely(it, sketch, least), "a long, b long"), "likely")
+    likely = scope.table(pairs.mapInArrow(lean(lambda it: _likely(it, sketch, least)), "a long, b long"), "likely")
     degree = likely.groupBy("a").agg(F.count("*").alias("d"))
     dealt = likely.join(degree, "a").select(
         F.col("a").alias("hub"), F.expr(f"cast(pmod(xxhash64(b), ceil(d / {part})) as int)").alias("part"), F.col("b").alias("id")
     )
     own = dealt.select("hub", "part").distinct().withColumn("id", F.col("hub"))
     units = dealt.unionByName(own).join(sets, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
-    found = scope.table(units.select("hub", "part", "id", "s").mapInArrow(lambda it: _verified(it, percent), "a long, b long"), "links")
+    found = scope.table(units.select("hub", "part", "id", "s").mapInArrow(lean(lambda it: _verified(it, percent)), "a long, b long"), "links")
     parts = scope.table(connected_components(found, write=scope.table), "parts")
 
     # What the stars left open: in clusters of several components, whoever isn't in the largest one is
-    # compared with all others of the cluster, in blocks; only links leave a block.
+    # compared with the others of the cluster whose sets aren't too small or large, in blocks; only links leave a block.
     placed = clusters.select("id", F.col("component").alias("cluster")).join(parts, "id", "left")
     placed = placed.select("id", "cluster", F.coalesce("component", "id").alias("comp"))
     counts = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
     counts = counts.groupBy("cluster").agg(F.max_by("comp", "n").alias("main"), F.sum("n").alias("m"), F.max("n").alias("most"))
-    counts = counts.where("m > most and m > 2").select("cluster", "main", "m", (F.col("m") - F.col("most")).alias("r"))
-    dealt = placed.join(counts, "cluster").withColumn("open", F.expr("comp <> main"))
-    dealt = dealt.withColumns({"ni": F.expr(f"cast(ceil(m / {block}) as int)"), "nj": F.expr(f"cast(ceil(r / {block}) as int)")})
+    counts = counts.where("m > most and m > 2").select("cluster", "main")
+    # Sizes that differ by less than the similarity allows are in the same class or in neighbouring ones.
+    wide = 1.0001 * float(np.log(max(100 / percent, 1.01)))
+    open_ = placed.join(counts, "cluster").join(small.select("id", "n"), "id").select("id", "cluster", "comp", "n", F.floor(F.log("n") / wide).alias("size"), F.expr("comp <> main").alias("open"))
+    open_ = scope.table(open_, "open")
+    as_hub = open_.select("id", "comp", "cluster", "size", "n", F.lit(True).alias("hub"), F.lit(False).alias("open"))
+    as_row = open_.where("open").select("id", "comp", "cluster", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"), "n", F.lit(False).alias("hub"), F.lit(True).alias("open"))
+    both = as_hub.unionByName(as_row)
+    many = lambda hub: F.greatest(F.ceil(F.count(F.when(hub, 1)) / block), F.ceil(F.sum(F.when(hub, F.col("n"))) / BLOCK_HASHES)).cast("int")
+    units = both.groupBy("cluster", "size").agg(many(F.col("hub")).alias("ni"), many(F.col("open")).alias("nj")).where("ni > 0 and nj > 0")
+    both = both.drop("n").join(units, ["cluster", "size"])
     i, j_ = F.expr("cast(pmod(xxhash64(id), ni) as int)"), F.expr("cast(pmod(xxhash64(id, 1), nj) as int)")
-    as_hub = dealt.select("id", "comp", "cluster", i.alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), F.lit(True).alias("hub"), F.lit(False).alias("open"))
-    as_row = dealt.where("open").select("id", "comp", "cluster", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), j_.alias("j"), F.lit(False).alias("hub"), F.lit(True).alias("open"))
-    blocks = as_hub.unionByName(as_row).join(sets, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    blocks = blocks.select("cluster", "i", "j", "hub", "open", "id", "comp", "s")
-    more = scope.table(blocks.mapInArrow(lambda it: _blocks(it, percent), "a long, b long"), "links")
+    as_hub = both.where("hub").select("id", "comp", "cluster", "size", i.alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), "hub", "open")
+    as_row = both.where("open").select("id", "comp", "cluster", "size", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), j_.alias("j"), "hub", "open")
+    blocks = as_hub.unionByName(as_row).join(sets, "id").repartition("cluster", "size", "i", "j").sortWithinPartitions("cluster", "size", "i", "j")
+    blocks = blocks.select("cluster", "size", "i", "j", "hub", "open", "id", "comp", "s")
+    more = scope.table(blocks.mapInArrow(lean(lambda it: _blocks(it, percent)), "a long, b long"), "links")
     if more.head(1):
         parts = connected_components(found.unionByName(more), write=scope.table)
 
@@ -318,6 +330,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that near_duplicates doesn't keep; a null doc_id stays."""
+    """``docs`` without the documents that near_duplicates doesn't keep; a null doc_id stays.
+
+    Ties: of a group the smallest doc_id stays. Repeated rows are one document: all of them stay or go. Documents without
+    words stay. Other columns stay as they are, whatever their names. No rows in, no rows out.
+    """
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

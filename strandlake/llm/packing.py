@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, Scope, rows_only, slices
+from .common import Generations, Scope, lean, rows_only, slices
 from .tokencount import WordCounter
 from .transducer import IdTransducer
 
@@ -258,7 +258,7 @@ def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 1, group: int
     """
     rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     scope = Scope(docs.sparkSession)
-    pieces = scope.table(rows.mapInArrow(lambda it: _pieces(it, path, most, end), PIECES), "pieces")
+    pieces = scope.table(rows.mapInArrow(lean(lambda it: _pieces(it, path, most, end)), PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group))
     schema = PIECES + ", sequence_id long, offset long"
 

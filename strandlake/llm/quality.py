@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, rows_only
+from .common import rows_only
 
 STATISTICS = [
     "chars", "words", "word_length", "upper", "digit", "space", "punct", "symbol", "other",
@@ -177,22 +177,27 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_0
     a null doc_id is never learnt from and held_out is false. Null labels are ignored. Without two
     classes of labels every score is the share of label 1.
     """
-    known = as_table(statistics(docs), "statistics")
-    model = learn(known, labels, most_labelled)
+    model = learn(docs, labels, most_labelled)
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    scored = known.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), model.column().alias("score"))
+    scored = statistics(docs).select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
 
 
-def learn(known: DataFrame, labels: DataFrame, most_labelled: int) -> RuleEnsemble:
-    """Fits the ensemble on the labelled rows of ``known`` (doc_id and statistics) that aren't held out."""
+def learn(docs: DataFrame, labels: DataFrame, most_labelled: int) -> RuleEnsemble:
+    """Fits the ensemble on labelled rows of ``docs`` (doc_id, text) that aren't held out.
+
+    If there are more than ``most_labelled`` such rows, about 1.3 times as many are drawn by a hash of their doc_id,
+    and the first ``most_labelled`` in that hash's order are learnt from; only these texts are looked at.
+    """
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    marks = rows_only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long"), "quality")
-    # About as many rows as may be kept take part, so that the sort and what reaches the driver don't grow with the labels.
-    total = marks.count()
+    marks = rows_only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long"), "quality").where(rest != 0)
+    rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    total = rows.select("doc_id").join(marks, "doc_id").count()
     if total > most_labelled:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(total)) < F.lit(int(1.3 * most_labelled)))
-    sample = known.where(rest != 0).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(most_labelled).toPandas()
+        drawn = F.pmod(F.xxhash64("doc_id"), F.lit(total)) < F.lit(int(1.3 * most_labelled))
+        marks, rows = marks.where(drawn), rows.where(drawn)
+    known = statistics(rows.join(marks.select("doc_id").distinct(), "doc_id", "left_semi"))
+    sample = known.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(most_labelled).toPandas()
     return fit(sample[STATISTICS].to_numpy(np.float64), sample["quality"].to_numpy(np.float64))
 
 
@@ -207,8 +212,13 @@ def _beside(batches: Iterator, at: int) -> Iterator:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, most_labelled: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``cut``. Texts aren't moved: statistics are taken once to learn and once beside the rows."""
-    model = learn(statistics(docs), labels, most_labelled)
+    """The rows of ``docs`` whose text scores at least ``cut``. Texts aren't moved: statistics are taken beside the rows.
+
+    A null text is scored as an empty one; rows with a null doc_id are scored, but never learnt from. Repeated rows are
+    scored each. Other columns stay as they are, whatever their names. No rows in, no rows out. Without two classes of
+    labels every score is the share of label 1.
+    """
+    model = learn(docs, labels, most_labelled)
     at = docs.columns.index("text")
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     both = docs.mapInArrow(lambda it: _beside(it, at), f"{own}, __statistics struct<{', '.join(f'{s}: double' for s in STATISTICS)}>")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, new_path, rows_only
+from .common import Scope, lean, rows_only
 
 #: An archive is closed beyond this size.
 ARCHIVE = 1 << 30
@@ -177,13 +177,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     largest; so are rows with a null page_id. Other columns are ignored.
     """
     rows = rows_only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary").alias("html"))
-    known = as_table(rows.select("page_id", "html").mapInArrow(_digests, "page_id long, digest string, size long"), "digests")
+    scope = Scope(pages.sparkSession)
+    known = scope.table(rows.select("page_id", "html").mapInArrow(lean(_digests), "page_id long, digest string, size long"), "digests")
     first = known.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("refers_to"))
     again = known.join(first, "digest").where("page_id < refers_to").select(F.col("page_id").alias("again"), F.col("digest").alias("d"), "refers_to").distinct()
     own = rows.mapInArrow(_with_digest, "page_id long, url string, html binary, digest string")
     both = own.join(again.hint("merge"), (F.col("page_id") == F.col("again")) & (F.col("digest") == F.col("d")), "left")
     ready = both.select("page_id", "url", "html", "digest", "refers_to")
-    return as_table(ready.mapInArrow(lambda it: _write(it, folder), INDEX), "index")
+    return scope.result(ready.mapInArrow(lean(lambda it: _write(it, folder)), INDEX), "index")
 
 
 def _with_digest(batches: Iterator) -> Iterator:
@@ -195,11 +196,19 @@ def _with_digest(batches: Iterator) -> Iterator:
 def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records of the selected ``index`` rows, in ranges of one file at a time."""
     rows = index.select("file", "offset", "length").withColumn("part", F.floor(F.col("offset") / RANGE))
-    rows = rows.repartition("file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    # With the number given, tasks aren't merged by the size of the index rows, which says nothing of the records'.
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return rows.mapInArrow(lambda it: _read(it, folder, with_payload), RECORD)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each page, from archives written and read back."""
-    folder = new_path(pages.sparkSession, "warc")
-    return read_records(write_archives(pages, folder, least), folder, with_payload=False).drop("payload", "url")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each page, from archives written and read back.
+
+    The archives and the index stay until the result is written, and are deleted then. Otherwise as write_archives.
+    """
+    scope = Scope(pages.sparkSession)
+    folder = scope.path("warc")
+    index = write_archives(pages, folder, least)
+    scope.paths += [index.inputFiles()[0].rpartition("/")[0]] if index.head(1) else []
+    return scope.result(read_records(index, folder, with_payload=False).drop("payload", "url"), "records")
