@@ -156,6 +156,152 @@ class Generations:
             self.known, self.old = {}, self.known
 
 
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2 ** 64, as many as were asked for."""
+
+    base = 0x5851F42D4C957F2D
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 1 << 20)
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))), dtype=np.uint64) for x in (self.base, pow(self.base, -1, 2**64)))
+        return self.up, self.down
+
+
+POWERS = Powers()
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, as differences of running sums of byte * power."""
+    up, down = POWERS.upto(len(buf) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)))
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def blanks(buf: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space (Unicode's White_Space)."""
+    out = _BLANK[buf]
+    for first, second, third in ((0xC2, (0x85, 0xA0), None), (0xE1, (0x9A,), (0x80,)), (0xE2, (0x80,), (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, (0x81,), (0x9F,)), (0xE3, (0x80,), (0x80,))):
+        at = np.flatnonzero(buf == first)
+        width = 2 if third is None else 3
+        at = at[at + width <= len(buf)]
+        at = at[np.isin(buf[at + 1], second)]
+        if third is not None:
+            at = at[np.isin(buf[at + 2], third)]
+        for i in range(width):
+            out[at + i] = True
+    return out
+
+
+def chunks(texts: list[bytes], with_space: bool) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts, where their chunks start and end, chunks per text): runs between white space, or each run with the white space before it and what is left at a text's end."""
+    data = b"\n".join(texts) + b"\n"
+    buf = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], blanks(buf))).view(np.int8)))
+    start, end = edge[0::2], edge[1::2]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(size + 1) - size - 1
+    if with_space:
+        end = np.union1d(end, (first + size)[size > 0])
+        before = np.concatenate(([0], end[:-1]))
+        start = np.maximum(before, first[np.searchsorted(first, end - 1, "right") - 1])
+    return data, start, end, np.diff(np.searchsorted(start, np.concatenate((first, [len(data)]))))
+
+
+class ChunkTable:
+    """64-bit hashes -> numbers from 0 in the order in which they came; open addressing in arrays that grow only for what one batch adds."""
+
+    def __init__(self, bits: int):
+        self.least = 1 << bits
+        self.clear()
+
+    @property
+    def full(self) -> bool:
+        return self.n > 0.6 * self.least
+
+    def clear(self) -> None:
+        self.size, self.n = self.least, 0
+        self.keys, self.numbers = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash is, or the free place where it would be."""
+        slot = (h & np.uint64(self.size - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            k = self.keys[slot[left]]
+            left = left[(k != h[left]) & (k != 0)]
+            slot[left] = (slot[left] + 1) & self.size - 1
+        return slot
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers; -1 for hashes that aren't there."""
+        slot = self._slots(h)
+        return np.where(self.keys[slot] == h, self.numbers[slot], -1).astype(np.int64)
+
+    def add(self, h: np.ndarray) -> None:
+        """Numbers for distinct hashes that aren't there; the table grows if it must."""
+        while self.n + len(h) > 0.8 * self.size:
+            keys, numbers = self.keys, self.numbers
+            full = keys != 0
+            self.size *= 2
+            self.keys, self.numbers = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
+            self._put(keys[full], numbers[full])
+        self._put(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
+        self.n += len(h)
+
+    def _put(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        while len(h):
+            slot = self._slots(h)
+            _, first = np.unique(slot, return_index=True)
+            self.keys[slot[first]], self.numbers[slot[first]] = h[first], numbers[first]
+            rest = np.ones(len(h), bool)
+            rest[first] = False
+            h, numbers = h[rest], numbers[rest]
+
+
+class Remembered:
+    """Numbers of chunks; what is worked out for a new chunk is kept by the caller under the next number.
+
+    Chunks of more than LONGEST bytes, and all chunks when the table is full, are forgotten after their batch. Chunks are told
+    apart by 64-bit hashes.
+    """
+
+    LONGEST = 64
+
+    def __init__(self, bits: int):
+        self.table = ChunkTable(bits)
+
+    def numbers(self, texts: list[bytes], with_space: bool, learn: Callable[[list[bytes], int], None], forget: Callable[[int], None]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each chunk, chunks per text). ``learn(chunks, first number)`` works out new ones; ``forget(n)`` keeps only the numbers under n."""
+        forget(self.table.n)
+        if self.table.full:
+            self.table.clear()
+            forget(0)
+        data, start, end, count = chunks(texts, with_space)
+        h = span_hashes(np.frombuffer(data, np.uint8), start, end)
+        h[h == 0] = 1
+        found = self.table.find(h)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            long = end[new] - start[new] > self.LONGEST
+            _, first = np.unique(h[new[~long]], return_index=True)
+            first = new[~long][first]
+            base = self.table.n
+            self.table.add(h[first])
+            at, where = [*zip(start[first].tolist(), end[first].tolist(), strict=True)], new[long]
+            learn([data[a:b] for a, b in at] + [data[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)], base)
+            found[new] = self.table.find(h[new])
+            found[where] = base + len(first) + np.arange(len(where))
+        return found, count
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered for up to WORD_CACHE words."""
 

@@ -1,7 +1,7 @@
 """Best-two-fit packing of tokenized documents into sequences of a fixed length.
 
-Tokenizing: documents are cut at white space; a worker remembers chunks' ids and merges all new
-words of a batch at once in numpy. Only (document, piece, length, checksum) rows leave that pass.
+Tokenizing: documents are cut at white space; a worker remembers chunks' ids in arrays and merges all
+new words of a batch at once in numpy. Only (document, piece, length, checksum) rows leave that pass.
 Packing: pieces are dealt at random into groups of about ``group`` pieces. In a group, each bin takes
 the longest piece left and then, again and again, the longest that fits; then its smallest document
 gives way to two unpacked ones if these fill the widened gap more tightly. A group leaves at most
@@ -20,25 +20,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, Scope, lean, rows_only, slices
+from .common import Generations, Remembered, Scope, lean, rows_only, slices
 from .tokencount import WordCounter
 from .transducer import IdTransducer
 
 NEVER = 1 << 30
 #: Longer words go through the transducer one by one.
 LONG = 48
-#: Chunks and words that each generation of a worker's memory holds.
-CHUNKS, WORDS = 500_000, 250_000
+#: Places (as a power of two) in a worker's table of chunks, and words that each generation of its memory holds.
+CHUNKS, WORDS = 22, 250_000
 #: A chunk of letters that neither lower case nor NFC splits or joins, and marks that make one piece.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+)([.,;:!?]*)").fullmatch
 
 
 class BatchEncoder(WordCounter):
-    """Ids as little-endian 32-bit integers in bytes."""
+    """Ids of texts, some megabytes at a time; a chunk's ids are looked up by its number in arrays."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.chunks_known, self.words_known = Generations(CHUNKS), Generations(WORDS)
+        self.words_known, self.chunks = Generations(WORDS), Remembered(CHUNKS)
+        self.ids, self.used = np.empty(1 << 20, np.uint32), 0
+        self.place, self.many = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
         self.special_bytes = {s: np.uint32(i).tobytes() for s, i in self.special_ids.items()}
         self.first_of = np.full(512, -1, np.int64)
         for s, t in self.first.items():
@@ -107,21 +109,23 @@ class BatchEncoder(WordCounter):
                     rank[each[ok], p[ok]] = self.ranks(ids[each[ok], p[ok]], ids[each[ok], p[ok] + 1])
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Makes every chunk's ids known."""
-        plain, other, need = [], {}, set()
+    def learn(self, chunks: list[bytes], first: int) -> None:
+        """Puts the chunks' ids under the numbers from ``first`` on."""
+        parts, need = [], set()
         for c in chunks:
+            c = c.decode()
             m = PLAIN(c)
             if m:
-                word, mark = m.groups()
-                word = word.lower()
-                plain.append((c, word, mark))
-                need.add(word)
-                need.add(mark)
+                p = m.groups()
+                p = (p[0].lower(), p[1]) if p[1] else (p[0].lower(),)
+                need.update(p)
             else:
-                other[c] = p = list(self.parts(c))
+                p = list(self.parts(c))
                 need.update(x for x in p if x is not None)
-        need.discard("")
+                if None in p:
+                    marks = iter(self.split.findall(c))
+                    p = [next(marks) if x is None else x for x in p]
+            parts.append(p)
         new = self.words_known.missing(need)
         known = self.words_known.known
         short, data = [], []
@@ -133,24 +137,31 @@ class BatchEncoder(WordCounter):
             else:
                 known[w] = np.array(self.long(self.piece_symbols(w)), np.uint32).tobytes()
         known.update(zip(short, self.merge(data), strict=True))
+        known.update(self.special_bytes)  # no word is cut so that it is one of these
         get = known.__getitem__
-        self.chunks_known.known.update([(c, get(w) + get(m) if m else get(w)) for c, w, m in plain])
-        for c, p in other.items():
-            if None in p:
-                marks = iter(self.split.findall(c))
-                self.chunks_known.known[c] = b"".join(self.special_bytes[next(marks)] if x is None else get(x) for x in p)
-            else:
-                self.chunks_known.known[c] = b"".join(map(get, p))
+        ids = [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts]
         self.words_known.rest()
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. All chunks of the batch become known first."""
-        words = [self.words(t) for t in texts]
-        self.learn(self.chunks_known.missing(set().union(*words)))
-        get = self.chunks_known.known.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
-        self.chunks_known.rest()
-        return out
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        while first + len(n) > len(self.place):
+            self.place, self.many = np.concatenate((self.place, np.empty_like(self.place))), np.concatenate((self.many, np.empty_like(self.many)))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.place[first : first + len(n)] = self.used + np.cumsum(n) - n
+        self.many[first : first + len(n)] = n
+        self.used += len(flat)
+
+    def forget(self, n: int) -> None:
+        self.used = int(self.place[n - 1] + self.many[n - 1]) if n else 0
+
+    def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        number, count = self.chunks.numbers(texts, False, self.learn, self.forget)
+        n, place = self.many[number], self.place[number]
+        end = np.cumsum(n)
+        flat = self.ids[np.repeat(place - (end - n), n) + np.arange(n.sum())]
+        return np.split(flat, np.concatenate(([0], end))[np.cumsum(count)[:-1]]) if texts else []
 
 
 @lru_cache(maxsize=1)
@@ -164,11 +175,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _pieces(batches: Iterator, path: str, most: int, end: int) -> Iterator:
     encoder, tail = batch_encoder(path), np.uint32(end).tobytes()
     for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        ids, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()]
         out: list[list] = [[], [], [], [], []]
-        for lo, hi in slices(len(texts), [len(t or "") for t in texts], 2 << 20):
-            for ident, data in zip(ids[lo:hi], encoder.encode_batch([t or "" for t in texts[lo:hi]]), strict=True):
-                data += tail
+        for lo, hi in slices(len(texts), list(map(len, texts)), 2 << 20):
+            for ident, own in zip(ids[lo:hi], encoder.encode_batch(texts[lo:hi]), strict=True):
+                data = own.tobytes() + tail
                 for k, start in enumerate(range(0, len(data) // 4, most)):
                     part = data[4 * start : 4 * (start + most)]
                     for column, value in zip(out, (ident, k, start, len(part) // 4, zlib.crc32(part)), strict=True):
@@ -256,7 +267,7 @@ def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 1, group: int
     ``most``, of which the last may be shorter. A null text counts as empty (just ``end``). Repeated
     rows and rows with null doc_ids are packed each; other columns are ignored. No rows in, none out.
     """
-    rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     scope = Scope(docs.sparkSession)
     pieces = scope.table(rows.mapInArrow(lean(lambda it: _pieces(it, path, most, end)), PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group))
