@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import SPACE
-from .common import Recent, rows_only, slices
+from .common import Recent, Remembered, rows_only, slices
 from .transducer import NODE, CountTransducer, Merges
 
-#: Chunks, and pieces of them, that each generation of a worker's memory holds.
-CHUNKS, PIECES = 500_000, 200_000
+#: Places (as a power of two) in a worker's table of chunks, and pieces that each generation of its memory holds.
+CHUNKS, PIECES = 22, 200_000
 #: Symbols in a block of a long piece, and blocks whose maps are remembered.
 BLOCK, MAPS = 256, 1000
 
@@ -80,20 +80,13 @@ class WordCounter:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.merges = Merges(symbols, self.first, lambda a, b: self.rules.get(a << 20 | b))
         self.pieces_known = Recent(lambda p: self.piece(self.piece_symbols(p)), PIECES, 32)
-        self.chunks_known = Recent(self.chunk, CHUNKS)
+        self.chunks, self.tokens = Remembered(CHUNKS), np.empty(1 << 18, np.int64)
         self.maps: dict[tuple, Map] = {}
 
     @cached_property
     def machine(self) -> CountTransducer:
         return CountTransducer(self.merges)
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """Chunks between white space; U+001C to U+001F, which str.split() takes for white space, are not."""
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return regex.findall(f"[^{SPACE}]+", text)
-        return text.split()
-
     def parts(self, chunk: str) -> Iterator[str | None]:
         """Pieces of a chunk; None for a special token."""
         for i, part in enumerate(self.split.split(chunk) if self.split and "<" in chunk else [chunk]):
@@ -132,12 +125,17 @@ class WordCounter:
         # From the start (an empty entry with no token before it) to the exit at which no entry is growing.
         return next(n for end, n in scan(maps)[-1][0].items() if end < 1 << NODE)
 
-    def counts(self, texts: list[str]) -> np.ndarray:
+    def learn(self, chunks: list[bytes], first: int) -> None:
+        """Puts the chunks' counts under the numbers from ``first`` on."""
+        while first + len(chunks) > len(self.tokens):
+            self.tokens = np.concatenate((self.tokens, np.empty_like(self.tokens)))
+        self.tokens[first : first + len(chunks)] = [self.chunk(c.decode()) for c in chunks]
+
+    def counts(self, texts: list[bytes]) -> np.ndarray:
         """Tokens of each text: differences of the scan over all chunks."""
-        chunks = [self.words(t) for t in texts]
-        n = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        total = np.cumsum(np.fromiter(map(self.chunks_known.__getitem__, chain.from_iterable(chunks)), np.int64, n.sum()))
-        return np.diff(np.concatenate(([0], total))[np.concatenate(([0], np.cumsum(n)))])
+        number, count = self.chunks.numbers(texts, False, self.learn, lambda n: None)
+        total = np.concatenate(([0], np.cumsum(self.tokens[number])))
+        return np.diff(total[np.concatenate(([0], np.cumsum(count)))])
 
 
 @lru_cache(maxsize=2)
@@ -148,8 +146,8 @@ def word_counter(path: str) -> WordCounter:
 def _counts(batches: Iterator, path: str, limit: int) -> Iterator:
     counter = word_counter(path)
     for b in batches:
-        texts = [t or "" for t in b.column(1).to_pylist()]
-        size = [len(t) if t.isascii() else len(t.encode()) for t in texts]
+        texts = [t or b"" for t in b.column(1).to_pylist()]
+        size = list(map(len, texts))
         n = np.concatenate([np.empty(0, np.int64), *(counter.counts(texts[lo:hi]) for lo, hi in slices(len(texts), size, 2 << 20))])
         columns = [b.column(0), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -162,5 +160,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     null text counts as empty (0 bytes, 0 tokens); repeated rows and null doc_ids are kept as they
     are; other columns are ignored. ``path`` must be readable on each executor.
     """
-    rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(lambda it: _counts(it, path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

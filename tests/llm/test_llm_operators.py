@@ -301,17 +301,37 @@ def test_encoder_forgets_and_learns_again(monkeypatch):
     """Vocabularies beyond what a generation holds, within a batch and over batches; ids stay the library's."""
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "CHUNKS", 50)
+    monkeypatch.setattr(packing, "CHUNKS", 6)
     monkeypatch.setattr(packing, "WORDS", 20)
     library, encoder = Tokenizer.from_file(WORDS), packing.BatchEncoder(WORDS)
     rng = random.Random(7)
     old = [f"Word{i}, " for i in range(40)]
-    odd = ["İstanbul", "ŉx", "STRASSE", "Straße.,;", "é́", "It's", "a<|endoftext|>b", "x" * 90, "Σας", "ñandú!", "µm", "a×b", "12ab,"]
+    odd = ["", "a\u2003\xa0b\x85c\u3000", "\x1ca b", "z" * 70 + "\u2028é", "İstanbul", "ŉx", "STRASSE", "Straße.,;", "é́", "It's", "a<|endoftext|>b", "x" * 90, "Σας", "ñandú!", "µm", "a×b", "12ab,"]
     for _ in range(12):
         batch = [" ".join(rng.choice(odd) if rng.random() < 0.3 else f"w{rng.randrange(10**4)}" for _ in range(rng.randrange(60))) + rng.choice(old) for _ in range(5)]
-        for text, ids in zip(batch, encoder.encode_batch(batch), strict=True):
-            assert np.frombuffer(ids, np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
-        assert len(encoder.chunks_known.old) < 400 and not any(len(w) > 64 for w in encoder.chunks_known.known)
+        for text, ids in zip(batch, encoder.encode_batch([t.encode() for t in batch]), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert encoder.chunks.table.n < 400
+
+
+def test_chunks():
+    """As the expression that cuts stretches, and as words between white space, on texts of all kinds of it."""
+    import re
+
+    from strandlake.llm import common
+
+    rng = random.Random(3)
+    for _ in range(200):
+        texts = ["".join(rng.choice(["a", "é", "\u2014", "\x1c", " ", "\n", "\xa0", "\u2003", "\u3000", "\x85", "😀"]) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 5))]
+        for with_space, pattern in ((True, f"[{bytebpe.SPACE}]*[^{bytebpe.SPACE}]+|[{bytebpe.SPACE}]+"), (False, f"[^{bytebpe.SPACE}]+")):
+            data, start, end, count = common.chunks([t.encode() for t in texts], with_space)
+            want = [re.findall(pattern, t) for t in texts]
+            assert [data[a:b].decode() for a, b in zip(start, end)] == sum(want, []) and count.tolist() == list(map(len, want))
+    table = common.ChunkTable(3)
+    keys = np.array([8, 16, 24, 32, 40, 48, 56, 1, 2, 3], np.uint64)
+    table.add(keys[:4])
+    table.add(keys[4:])
+    assert table.find(np.concatenate((keys, [np.uint64(7)]))).tolist() == [*range(10), -1]
 
 
 def test_packing_of_short_texts(spark):
@@ -367,7 +387,7 @@ def test_token_counts(spark, docs, none):
     junk = ["".join(rng.choice(" \n\t  abc's'reÉéñΣİ́　\x1c\x85 <|>endoftext123½٣中文😀​\xa0") for _ in range(rng.randrange(60))) for _ in range(300)] + ["<|startoftext|>x<|endoftext|>", "=" * 700, "aaaa" * 300, "ab" * 500]
     counter = tokencount.WordCounter(WORDS)
     for t in junk:
-        assert counter.counts([t, "", t]).tolist() == [n := len(library.encode(t, add_special_tokens=False).ids), 0, n], t
+        assert counter.counts([t.encode(), b"", t.encode()]).tolist() == [n := len(library.encode(t, add_special_tokens=False).ids), 0, n], t
     got = tokencount.token_counts(docs, WORDS, limit=50).collect()
     assert len(got) == docs.count()
     have = {r["doc_id"]: r["text"] or "" for r in docs.where("doc_id is not null").collect()}
