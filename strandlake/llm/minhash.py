@@ -299,10 +299,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     placed = placed.select("id", "cluster", F.coalesce("component", "id").alias("comp"))
     counts = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
     counts = counts.groupBy("cluster").agg(F.max_by("comp", "n").alias("main"), F.sum("n").alias("m"), F.max("n").alias("most"))
-    counts = counts.where("m > most and m > 2").select("cluster", "main")
+    counts = scope.table(counts.where("m > most and m > 2").select("cluster", "main", "m"), "open-clusters")
     # Sizes that differ by less than the similarity allows are in the same class or in neighbouring ones.
     wide = 1.0001 * float(np.log(max(100 / percent, 1.01)))
-    open_ = placed.join(counts, "cluster").join(small.select("id", "n"), "id").select("id", "cluster", "comp", "n", F.floor(F.log("n") / wide).alias("size"), F.expr("comp <> main").alias("open"))
+    open_ = join_heavy(placed, counts, ["cluster"], "m", clusters.count()).join(small.select("id", "n"), "id").select("id", "cluster", "comp", "n", F.floor(F.log("n") / wide).alias("size"), F.expr("comp <> main").alias("open"))
     open_ = scope.table(open_, "open")
     as_hub = open_.select("id", "comp", "cluster", "size", "n", F.lit(True).alias("hub"), F.lit(False).alias("open"))
     as_row = open_.where("open").select("id", "comp", "cluster", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"), "n", F.lit(False).alias("hub"), F.lit(True).alias("open"))

@@ -111,7 +111,7 @@ def _units(batches: Iterator, k: int) -> Iterator:
         yield done()
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block: int = 4096, query_block: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block: int = 2048, query_block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows with the largest inner product for each query.
 
     Components become floor(scale * x). Queries are the rows whose vec_id is divisible by ``every``;
@@ -126,7 +126,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
     n = rows.count()
     nc, nq = max(1, -(-n // block)), max(1, -(-n // (query_block * every)))
     spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(spread, min(2 * nc * nq, 8 * spread))
+    tasks = max(spread, min(4 * nc * nq, 8 * spread))
     query = F.col("id") % every == 0
     c, q = F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nq)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))

@@ -144,6 +144,23 @@ def test_licences(docs):
     assert licenses.licences(docs).where("n_found > 0").count() == 0 and licenses.licences(docs).count() == docs.count()
 
 
+def test_licences_of_long_texts(spark, none):
+    """Sentences of a megabyte that come near a pattern again and again; repeated rows, an empty table."""
+    import time
+
+    parts = ["released under x ", "x of the gpl y ", "neither the name of a nor the names of b ", "x under the affero general public license q ", "x of the gpl y or any later versio ", "under the new bsd x ", "is in the public domai "]
+    start = time.process_time()
+    for p in parts:
+        licenses.scan("copyright " + p * (1_000_000 // len(p)))
+        assert [f.licence for f in licenses.scan(p * 20_000 + ". Licensed under the MIT License.")][-1] == "MIT"
+    licenses.scan("a licence\n" + " " * 1_000_000 + "x")
+    assert time.process_time() - start < 60
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, None)]
+    got = licenses.licences(spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1)))
+    assert sorted((r["doc_id"] or 0, r["licences"]) for r in got.collect()) == [(0, []), (1, ["MIT"]), (1, ["MIT"])]
+    assert licenses.licences(none).count() == 0
+
+
 def test_licence_hints():
     """Whatever a known sentence's pattern matches passes the prefilter."""
     from re import _parser
@@ -163,6 +180,8 @@ def test_licence_hints():
                 out += sample(rng.choice(x[1]))
             elif op == "SUBPATTERN":
                 out += sample(x[-1])
+            elif op == "ATOMIC_GROUP":
+                out += sample(x)
             elif op in ("MAX_REPEAT", "MIN_REPEAT"):
                 out += "".join(sample(x[2]) for _ in range(rng.randint(x[0], min(x[1], x[0] + 1))))
             else:
@@ -370,6 +389,41 @@ def test_winnowing(spark, docs, none):
     assert winnow.fingerprints(none).count() == 0
 
 
+def plain_winnow(text, k, w):
+    """{place: gram} by the definition: the least hash of each window of w grams, the rightmost of equals."""
+    if not text:
+        return {}
+    grams = [text[i : i + k] for i in range(max(1, len(text) - k + 1))]
+    h = [int(winnow._grams(np.frombuffer((g + "\0" * (k - len(g))).encode("utf-32-le"), np.uint32).astype(np.uint64), k)[0]) for g in grams]
+    out = {}
+    for i in range(max(1, len(h) - w + 1)):
+        at = max(range(i, min(i + w, len(h))), key=lambda j: (-h[j], j))
+        out[at] = h[at]
+    return out
+
+
+def test_winnowing_by_its_definition(spark):
+    """Selected grams and places, edited texts and both likenesses, against a plain version."""
+    rng = random.Random(17)
+    base = words(rng, 60, 50)
+    texts = {1: "", 2: "ab", 4: "aaaaaaaaaaaa" * 9, 5: base, 7: base[:200] + words(rng, 20, 50), 8: None, 9: words(rng, 3, 50), 11: "é中😀" * 30, 20: base}
+    k, w = 5, 7
+    got = {r["doc_id"]: r for r in winnow.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=k, w=w).collect()}
+    order = sorted(texts, reverse=True)
+
+    def like(a, b):
+        a, b = set(a.values()), set(b.values())
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for i, follow in zip(order, [*order[1:], order[0]], strict=True):
+        t, f = texts[i] or "", texts[follow] or ""
+        edited = t[: len(t) - len(t) // 3] + f[: len(t) // 3]
+        own, new, after = (plain_winnow(x, k, w) for x in (t, edited, f))
+        assert got[i]["positions"] == sorted(own) and got[i]["fingerprint"] == "".join(f"{own[p]:08x}" for p in sorted(own))
+        assert got[i]["edited_fingerprint"] == "".join(f"{new[p]:08x}" for p in sorted(new))
+        assert got[i]["near_edited"] == pytest.approx(like(own, new)) and got[i]["near_next"] == pytest.approx(like(own, after))
+
+
 def test_winnowing_finds_each_long_passage():
     rng = random.Random(8)
     for _ in range(50):
