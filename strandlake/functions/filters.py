@@ -356,6 +356,14 @@ def hard_clip(cigar: Column) -> Column:
     return one(F.regexp_extract(cigar, r"^(\d+)H", 1)) + one(F.regexp_extract(cigar, r"(\d+)H$", 1))
 
 
+def raw_qualities(qual: Column) -> Column:
+    """Printed qualities as a string of the qualities themselves, one character each; empty where there are none."""
+    # Quality 0 is printed as '!', which stands for quality 33 afterwards; translate() would drop U+0000.
+    kept = F.replace(F.coalesce(qual, F.lit("")), F.lit("!"), F.lit("\ue000"))
+    lower = F.translate(kept, "".join(map(chr, range(34, 127))), "".join(map(chr, range(1, 94))))
+    return F.replace(lower, F.lit("\ue000"), F.lit("\0"))
+
+
 def read_symbols() -> dict[str, Value | Callable[[], Value]]:
     """Symbols over the columns of an alignments table (see plans.views)."""
     c = F.col
@@ -363,7 +371,7 @@ def read_symbols() -> dict[str, Value | Callable[[], Value]]:
     out: dict[str, Value | Callable[[], Value]] = {
         "qname": lambda: string(c("qname")), "rname": lambda: string(c("rname")), "cigar": lambda: string(c("cigar")), "seq": lambda: string(c("seq")),
         "rnext": lambda: string(F.coalesce(c("rnext"), F.lit("*"))), "mrname": lambda: string(F.coalesce(c("rnext"), F.lit("*"))),
-        "library": lambda: string(F.coalesce(c("library"), F.lit(""))), "qual": lambda: string(c("qual")),
+        "library": lambda: string(F.coalesce(c("library"), F.lit(""))), "qual": lambda: string(raw_qualities(c("qual"))),
         "pos": lambda: number(c("pos")), "endpos": lambda: number(c("pos") + F.greatest(rlen() - 1, F.lit(0))),
         "pnext": lambda: number(F.coalesce(c("pnext"), F.lit(0))), "mpos": lambda: number(F.coalesce(c("pnext"), F.lit(0))),
         "flag": lambda: number(c("flag")), "mapq": lambda: number(c("mapq")), "tlen": lambda: number(c("tlen")),

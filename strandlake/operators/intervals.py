@@ -14,32 +14,90 @@ POSITION_MAX = (2**31 - 1) << 32 | 2**31 - 1
 INDEX_MAX = 2**35
 
 
-def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", width: int = 1 << 14) -> DataFrame:
+#: Bins grow by this factor from level to level; an interval lies on the lowest level where it touches at most so many bins (and one).
+LEVEL = 64
+#: Bounds of a measured bin width.
+LEAST_WIDTH, MOST_WIDTH = 64, 1 << 14
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    return df.where("contig is not null and beg < stop")
+
+
+def measured_width(*sides: DataFrame) -> int:
+    """A power of two near the larger of the sides' median lengths: then few pairs that share a bin don't overlap."""
+    medians = [_whole(s).agg(F.percentile_approx(F.col("stop") - F.col("beg"), 0.5, 1000)).first()[0] or 1 for s in sides]
+    return min(MOST_WIDTH, max(LEAST_WIDTH, 1 << (int(max(medians)) - 1).bit_length()))
+
+
+def _level(width: int) -> Column:
+    """The level that an interval lies on, for lengths up to 2 ** 62."""
+    length, out = F.col("stop") - F.col("beg"), F.lit(0)
+    size, level = width * LEVEL, 1
+    while size < 2**62:
+        out, size, level = F.when(length > size, level).otherwise(out), size * LEVEL, level + 1
+    return out
+
+
+def _binned(df: DataFrame, width: int, levels: list[int], prefix: str) -> DataFrame:
+    """A row per bin that an interval touches on its own level and on each coarser one that is in use."""
+
+    def of(level: int) -> Column:
+        size = width * LEVEL**level
+        bins = F.sequence(F.floor(F.col("beg") / size), F.floor((F.col("stop") - 1) / size))
+        found = F.transform(bins, lambda b: F.struct(F.lit(level).alias("n"), b.alias("b")))
+        return F.when(F.lit(level) >= F.col("__level"), found).otherwise(F.array().cast("array<struct<n:int,b:bigint>>"))
+
+    out = df.withColumn("__level", _level(width)).withColumn("__bin", F.explode(F.concat(*map(of, levels))))
+    return out.select(*[F.col(c).alias(prefix + c) for c in df.columns], F.col("__level").alias(f"{prefix}__level"), F.col("__bin.n").alias(f"{prefix}__n"), F.col("__bin.b").alias(f"{prefix}__b"))
+
+
+def _levels(width: int, *sides: DataFrame) -> list[int]:
+    """The levels in use, of which there are ten at most."""
+    found: set[int] = set()
+    for s in sides:
+        found |= {r[0] for r in _whole(s).select(_level(width)).distinct().collect()}
+    return sorted(found) or [0]
+
+
+def covered_bins(regions: DataFrame, width: int) -> DataFrame:
+    """contig, bin, r: the parts of each bin that regions cover, by begin: at most ``width`` of them, however many regions there are."""
+    bins = F.sequence(F.floor(F.col("beg") / width), F.floor((F.col("stop") - 1) / width))
+    each = _whole(regions).select("contig", "beg", "stop", F.explode(bins).alias("bin"))
+    cut = each.select("contig", "bin", F.greatest("beg", F.col("bin") * width).alias("beg"), F.least("stop", (F.col("bin") + 1) * width).alias("stop"))
+    longest = cut.groupBy("contig", "bin", "beg").agg(F.max("stop").alias("stop"))
+    return longest.groupBy("contig", "bin").agg(F.array_sort(F.collect_list(F.struct("beg", "stop"))).alias("r"))
+
+
+def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", width: int | None = None) -> DataFrame:
     """Rows of ``left`` and ``right`` (contig, beg, stop and other columns) that overlap on one contig.
 
-    how: inner, left_semi or left_anti. Both sides are dealt by (contig, bin), so that no contig is one
-    hot key; a pair counts in the one bin where its overlap begins. Empty intervals, and those with
-    nulls, overlap nothing. In an inner join the columns of ``right`` get the prefix ``r_``.
+    how: inner, left_semi or left_anti. Both sides are dealt by (contig, bin), so that no contig is one hot key; the
+    bins' ``width`` is measured if it isn't given. Empty intervals, and those with nulls, overlap nothing. In an inner
+    join the columns of ``right`` get the prefix ``r_``; long intervals lie in wider bins, a pair meets on the coarser
+    of its two levels and counts in the one bin there where its overlap begins. For semi and anti joins a bin keeps
+    what regions cover of it, and each distinct interval of ``left`` is looked up once.
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"unknown kind of join: {how}")
-    first, last = F.floor(F.col("beg") / width), F.floor((F.col("stop") - 1) / width)
-    bins = F.sequence(first, last)
-    r = right.where("contig is not null and beg < stop").select(*[F.col(c).alias(f"r_{c}") for c in right.columns], F.explode(bins).alias("__rbin"))
-    one = (F.col("contig") == F.col("r_contig")) & (F.col("__bin") == F.col("__rbin")) & (F.col("beg") < F.col("r_stop")) & (F.col("stop") > F.col("r_beg"))
     if how == "inner":
-        l = left.where("contig is not null and beg < stop").withColumn("__bin", F.explode(bins))
-        found = l.join(r, one).where(F.col("__bin") == F.floor(F.greatest("beg", "r_beg") / width))
+        width = width or measured_width(left, right)
+        levels = _levels(width, left, right)
+        l, r = _binned(_whole(left), width, levels, ""), _binned(_whole(right), width, levels, "r_")
+        same = (F.col("contig") == F.col("r_contig")) & (F.col("__n") == F.col("r___n")) & (F.col("__b") == F.col("r___b"))
+        size = F.lit(width).cast("double") * F.pow(F.lit(float(LEVEL)), F.col("__n"))
+        here = (F.col("__n") == F.greatest("__level", "r___level")) & (F.col("__b") == F.floor(F.greatest("beg", "r_beg") / size))
+        found = l.join(r, same & (F.col("beg") < F.col("r_stop")) & (F.col("stop") > F.col("r_beg")) & here)
         return found.select(*left.columns, *[f"r_{c}" for c in right.columns])
-    # A left row may lie in several bins: it is put together again by a number of its own.
-    whole = F.when((F.col("beg") < F.col("stop")) & F.col("contig").isNotNull(), bins).otherwise(F.array(F.lit(-1).cast("long")))
-    l = left.withColumn("__row", F.monotonically_increasing_id()).withColumn("__bin", F.explode(whole))
-    hit = r.select("r_contig", "r_beg", "r_stop", "__rbin").withColumn("__hit", F.lit(True))
-    rows = l.join(hit, one, "left").groupBy("__row").agg(F.first(F.struct(*left.columns)).alias("__l"), F.max(F.coalesce("__hit", F.lit(False))).alias("__hit"))
-    return rows.where(F.col("__hit") if how == "left_semi" else ~F.col("__hit")).select("__l.*")
+    width = width or measured_width(right)
+    spans = _whole(left).select("contig", "beg", "stop").distinct()
+    bins = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("beg") / width), F.floor((F.col("stop") - 1) / width))))
+    met = F.exists("r", lambda x: (x["beg"] < F.col("stop")) & (x["stop"] > F.col("beg")))
+    hits = bins.join(covered_bins(right, width), ["contig", "bin"]).where(met).select("contig", "beg", "stop").distinct()
+    return left.join(hits, ["contig", "beg", "stop"], how).select(*left.columns)
 
 
-def count_per_region(rows: DataFrame, regions: DataFrame, width: int = 1 << 14) -> DataFrame:
+def count_per_region(rows: DataFrame, regions: DataFrame, width: int | None = None) -> DataFrame:
     """contig, beg, stop, region_idx and n: overlapping rows of each region, regions without any included."""
     inner = interval_join(rows, regions, width=width).groupBy("r_region_idx").agg(F.count("*").alias("n"))
     return regions.join(inner, regions["region_idx"] == inner["r_region_idx"], "left").select("contig", "beg", "stop", "region_idx", F.coalesce("n", F.lit(0)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,54 +35,72 @@ def synced(inputs: list[DataFrame], columns: tuple[str, ...] = ("ref", "alt")) -
     return both.groupBy("contig", "pos").agg(*picks)
 
 
-#: Which kinds of alleles may be paired besides equal ones. Fixed values.
+#: What it is worth to pair two kinds of alleles (in alphabetical order), and the pairs that a mode allows. Fixed values.
+WORTH = {("indel", "indel"): 3, ("snp", "snp"): 3, ("indel", "ref"): 2, ("ref", "snp"): 2, ("indel", "snp"): 1}
 MODES = {
-    "snps": {("snp", "snp")}, "indels": {("indel", "indel")}, "both": {("snp", "snp"), ("indel", "indel")},
-    "snps_ref": {("snp", "snp"), ("snp", "ref")}, "indels_ref": {("indel", "indel"), ("indel", "ref")},
-    "both_ref": {("snp", "snp"), ("indel", "indel"), ("snp", "ref"), ("indel", "ref")}, "any": {("*", "*")}, "exact": set(),
+    "snps": ["snp snp"], "indels": ["indel indel"], "both": ["snp snp", "indel indel"], "snps_ref": ["snp snp", "ref snp"], "indels_ref": ["indel indel", "indel ref"],
+    "both_ref": ["snp snp", "indel indel", "ref snp", "indel ref"], "any": ["snp snp", "indel indel", "ref snp", "indel ref", "indel snp"], "exact": [], "some": [],
 }
+#: Worth of two variants that share an allele (exact: have the same alleles). A fixed value.
+ALIKE = 2**32 - 1
 
 
-def kind_of(variant: str) -> str:
-    ref, _, alts = variant.partition(">")
-    alts = alts.split(",")
-    if any(len(a) != len(ref) for a in alts if not a.startswith("<") and a not in (".", ref)):
-        return "indel"
-    return "ref" if all(a in (".", ref) for a in alts) else "snp"
+def kind_of(allele: str) -> str:
+    """ref, snp or indel, of 'REF>ALT'; whatever isn't one base for another counts as an indel."""
+    ref, _, alt = allele.partition(">")
+    return "ref" if alt in (".", ref) else "snp" if len(ref) == len(alt) == 1 else "indel"
+
+
+def _fit(a: list[str], b: list[str], records: int, mode: str) -> int:
+    """How well two sets of variants go together; 0 if they don't. ``records``: how many records they stand for."""
+    allowed = {tuple(x.split()) for x in MODES[mode]}
+    least = ALIKE
+    for x, y in product(a, b):
+        x, y = x.split(","), y.split(",")
+        if set(x) == set(y) or mode != "exact" and set(x) & set(y):
+            return ALIKE
+        if mode == "exact":
+            continue
+        kinds = {tuple(sorted((kind_of(i), kind_of(j)))) for i, j in product(x, y)}
+        least = min(least, max((WORTH[k] for k in kinds & allowed), default=0))
+        if not least:
+            return 0
+    return 0 if mode == "exact" else 2 ** (28 + least) + records
 
 
 def pair_alleles(site: Iterable[tuple[int, str]], mode: str = "exact") -> list[dict[int, str]]:
-    """Groups one site's (input, 'REF>ALT') records so that each group has at most one record of each input.
+    """Groups one site's (input, 'REF>ALT,REF>ALT') records so that each group has at most one variant of each input.
 
-    Equal variants come first, those of most inputs foremost; what a group lacks is taken from other sets of
-    inputs without overlap whose variant the mode allows, the one of most inputs first.
+    Again and again the variants of most records take in, of those without an input in common, the ones that fit them
+    best: variants with a common allele (exact: with the same ones), then by the kinds of their alleles that the mode
+    allows, then those of most records; once none fits they are a group.
     """
-    sets: dict[str, list[int]] = {}
+    found: dict[str, list[int]] = {}
     for i, v in site:
-        sets.setdefault(v, []).append(i)
-    left = [(v, sorted(set(i))) for v, i in sets.items()]
-    out, allowed = [], MODES[mode]
+        found.setdefault(v, []).append(i)
+    left = [([v], dict.fromkeys(i, v), len(i)) for v, i in found.items()]
+    out = []
     while left:
-        best = max(range(len(left)), key=lambda k: (len(left[k][1]), -k))
-        variant, inputs = left.pop(best)
-        group = dict.fromkeys(inputs, variant)
-        while True:
-            may = [k for k, (v, i) in enumerate(left) if not group.keys() & set(i) and (("*", "*") in allowed or any((kind_of(x), kind_of(v)) in allowed or (kind_of(v), kind_of(x)) in allowed for x in group.values()))]
-            if not may:
-                break
-            v, i = left.pop(max(may, key=lambda k: (len(left[k][1]), -k)))
-            group |= dict.fromkeys(i, v)
-        out.append(group)
+        top = max(range(len(left)), key=lambda k: (left[k][2], -k))
+        variants, group, n = left[top]
+        fits = [(_fit(variants, v, n + m, mode), -k) for k, (v, g, m) in enumerate(left) if k != top and not group.keys() & g.keys()]
+        score, place = max(fits, default=(0, 0))
+        if not score:
+            out.append(left.pop(top)[1])
+            continue
+        first, second = sorted((top, -place))
+        v, g, m = left.pop(second)
+        left[first] = left[first][0] + v, left[first][1] | g, left[first][2] + m
     return out
 
 
 def paired(inputs: list[DataFrame], mode: str = "exact") -> DataFrame:
-    """contig, pos, row and one column in_i per input: the records of a site that are taken together."""
+    """contig, pos, row and one column in_i per input: the records (contig, pos, rec_idx, ref, alt) of a site that are taken together."""
     import pyarrow as pa
 
     all_ = None
     for i, records in enumerate(inputs):
-        one = records.select("contig", "pos", F.struct(F.lit(i).alias("i"), F.col("rec_idx").alias("r"), F.concat_ws(">", "ref", "alt").alias("v")).alias("x"))
+        one = records.select("contig", "pos", F.struct(F.lit(i).alias("i"), F.col("rec_idx").alias("r"), F.array_join(F.transform(F.split("alt", ","), lambda a: F.concat_ws(">", "ref", a)), ",").alias("v")).alias("x"))
         all_ = one if all_ is None else all_.unionByName(one)
     names = [f"in_{i}" for i in range(len(inputs))]
     sites = all_.groupBy("contig", "pos").agg(F.array_sort(F.collect_list("x")).alias("x")).select("contig", "pos", F.transform("x", lambda x: x["i"]).alias("i"), F.transform("x", lambda x: x["v"]).alias("v"))

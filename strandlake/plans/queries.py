@@ -41,22 +41,18 @@ def spans(df: DataFrame) -> DataFrame:
     return df.withColumns({"contig": F.col("rname"), "beg": F.col("pos") - 1, "stop": F.col("pos") - 1 + cigar_sum(F.col("cigar"), "MDN=X")})
 
 
-#: Bins of about the intervals' length (50 to 149), so that few pairs of a bin don't overlap. Results don't depend on it.
-NARROW = 1 << 8
-
-
 def regions(spark: SparkSession, sf: str) -> DataFrame:
-    """All intervals. The SQL of the queries that use them still holds a part only (region_idx % 50, % 10, < 20000)."""
+    """All intervals."""
     return view(spark, sf, "intervals")
 
 
 HIT = f"i.contig = a.rname and a.pos - 1 < i.stop and a.pos - 1 + {SPAN} > i.beg"
 
 
-@query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select rname, count(*) as n from a where (flag & 4) = 0 and mapq >= 30 and exists (select 1 from i where {HIT}) group by rname")
+@query(f"with a as {A}, i as (select * from {I}) select rname, count(*) as n from a where (flag & 4) = 0 and mapq >= 30 and exists (select 1 from i where {HIT}) group by rname")
 def mapped_reads_in_regions(spark, sf):
     good = reads(spark, sf).where(read_filter("mapq >= 30 && !flag.unmap"))
-    hits = intervals.interval_join(spans(good).select("rec_idx", "rname", "contig", "beg", "stop"), regions(spark, sf).select("contig", "beg", "stop"), "left_semi", NARROW)
+    hits = intervals.interval_join(spans(good).select("rec_idx", "rname", "contig", "beg", "stop"), regions(spark, sf).select("contig", "beg", "stop"), "left_semi")
     return hits.groupBy("rname").agg(F.count("*").alias("n"))
 
 
@@ -80,6 +76,17 @@ filter_query("expr_tag_default", "default([NM], 9) >= 4", "(case when nm = 0 the
 filter_query("expr_string_compare", 'rname == "chr2" || rname > "chr3" && qname < "q5"', "(rname = 'chr2' or rname > 'chr3') and qname < 'q5'")
 
 
+@query(
+    f"select rname, count(case when least(q, mapq) >= 20 then 1 end) as a, count(case when greatest(q, mapq) <= 20 then 1 end) as b, count(case when (9 * q + mapq) / cast(10 as double) >= 20 and (9 * q + mapq) / cast(10 as double) <= 30 then 1 end) as c, count(*) as n "
+    f"from (select *, rec_idx % 60 as q from {A}) group by rname"
+)
+def expr_qualities(spark, sf):
+    """Filters on raw qualities: nine of one kind and one that equals the mapping quality, as a SAM line prints them."""
+    rows = reads(spark, sf).withColumn("qual", F.concat(F.repeat(F.char(33 + F.col("rec_idx") % 60), 9), F.char(33 + F.col("mapq"))))
+    count = lambda text: F.count(F.when(read_filter(text), 1))
+    return rows.groupBy("rname").agg(count("min(qual) >= 20").alias("a"), count("max(qual) <= 20").alias("b"), count("avg(qual) >= 20 && avg(qual) <= 30").alias("c"), F.count("*").alias("n"))
+
+
 @query(f"select rname, cast(sum(flag & 20) as bigint) as a, cast(sum((flag | 3) & 255) as bigint) as b, cast(sum(xor(flag, 85)) as bigint) as c, cast(sum(mapq % 7) as bigint) as d, cast(sum(-1 - mapq) as bigint) as e from {A} group by rname")
 def expr_bitwise(spark, sf):
     value = Compiler(read_symbols(), read_tags)
@@ -97,37 +104,37 @@ def expr_functions(spark, sf):
     )
 
 
-@query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select i.region_idx, count(*) as n, cast(sum(a.rec_idx) as bigint) as ids from a join i on {HIT} group by i.region_idx")
+@query(f"with a as {A}, i as (select * from {I}) select i.region_idx, count(*) as n, cast(sum(a.rec_idx) as bigint) as ids from a join i on {HIT} group by i.region_idx")
 def interval_overlap_inner(spark, sf):
-    both = intervals.interval_join(spans(view(spark, sf, "alignments")).select("contig", "beg", "stop", "rec_idx"), regions(spark, sf), width=NARROW)
+    both = intervals.interval_join(spans(view(spark, sf, "alignments")).select("contig", "beg", "stop", "rec_idx"), regions(spark, sf))
     return both.groupBy(F.col("r_region_idx").alias("region_idx")).agg(F.count("*").alias("n"), F.sum("rec_idx").alias("ids"))
 
 
-@query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select a.rec_idx, a.rname, a.pos from a where exists (select 1 from i where {HIT})")
+@query(f"with a as {A}, i as (select * from {I}) select a.rec_idx, a.rname, a.pos from a where exists (select 1 from i where {HIT})")
 def interval_overlap_semi(spark, sf):
     rows = spans(view(spark, sf, "alignments")).select("contig", "beg", "stop", "rec_idx", "rname", "pos")
-    return intervals.interval_join(rows, regions(spark, sf), "left_semi", NARROW).select("rec_idx", "rname", "pos")
+    return intervals.interval_join(rows, regions(spark, sf), "left_semi").select("rec_idx", "rname", "pos")
 
 
-@query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select a.rec_idx, a.rname, a.pos from a where not exists (select 1 from i where {HIT})")
+@query(f"with a as {A}, i as (select * from {I}) select a.rec_idx, a.rname, a.pos from a where not exists (select 1 from i where {HIT})")
 def interval_targets_anti(spark, sf):
     rows = spans(view(spark, sf, "alignments")).select("contig", "beg", "stop", "rec_idx", "rname", "pos")
-    return intervals.interval_join(rows, regions(spark, sf), "left_anti", NARROW).select("rec_idx", "rname", "pos")
+    return intervals.interval_join(rows, regions(spark, sf), "left_anti").select("rec_idx", "rname", "pos")
 
 
-@query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select i.region_idx, i.contig, cast(count(a.rec_idx) as bigint) as n from i left join a on {HIT} group by i.region_idx, i.contig")
+@query(f"with a as {A}, i as (select * from {I}) select i.region_idx, i.contig, cast(count(a.rec_idx) as bigint) as n from i left join a on {HIT} group by i.region_idx, i.contig")
 def separate_regions(spark, sf):
     rows = spans(view(spark, sf, "alignments")).select("contig", "beg", "stop")
-    return intervals.count_per_region(rows, regions(spark, sf), NARROW).select("region_idx", "contig", F.col("n").cast("long"))
+    return intervals.count_per_region(rows, regions(spark, sf)).select("region_idx", "contig", F.col("n").cast("long"))
 
 
-@query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select i.region_idx, a.rec_idx from a join i on {HIT} where i.region_idx < 20000")
+@query(f"with a as {A}, i as (select * from {I}) select i.region_idx, a.rec_idx from a join i on {HIT}")
 def multi_region_dup(spark, sf):
     rows = spans(view(spark, sf, "alignments")).select("contig", "beg", "stop", "rec_idx")
-    return intervals.interval_join(rows, regions(spark, sf), width=NARROW).select(F.col("r_region_idx").alias("region_idx"), "rec_idx")
+    return intervals.interval_join(rows, regions(spark, sf)).select(F.col("r_region_idx").alias("region_idx"), "rec_idx")
 
 
-@query(f"with a as {A}, i as (select * from {I} where region_idx % 50 = 0) select a.rec_idx, min(i.region_idx) as region_idx from a join i on {HIT} where i.region_idx < 20000 group by a.rec_idx")
+@query(f"with a as {A}, i as (select * from {I}) select a.rec_idx, min(i.region_idx) as region_idx from a join i on {HIT} group by a.rec_idx")
 def multi_region_dedup(spark, sf):
     return multi_region_dup(spark, sf).groupBy("rec_idx").agg(F.min("region_idx").alias("region_idx"))
 
@@ -143,12 +150,12 @@ def overlap_query(mode: str) -> None:
     def run(spark, sf):
         v = view(spark, sf, "variants").withColumn("beg", F.col("pos") - 1)
         v = v.withColumn("stop", F.greatest(F.coalesce("info_end", F.lit(0)), F.col("pos") + F.length("ref"), F.col("pos") + F.length("alt")) + 1)
-        both = intervals.interval_join(v, regions(spark, sf).select("contig", "beg", "stop", "region_idx"), width=NARROW)
+        both = intervals.interval_join(v, regions(spark, sf).select("contig", "beg", "stop", "region_idx"))
         alts, end = F.array("alt"), F.col("info_end")
         return both.where(intervals.variant_overlaps(mode, F.col("pos"), F.col("ref"), alts, end, F.col("r_beg"), F.col("r_stop"))).select("rec_idx", F.col("r_region_idx").alias("region_idx"))
 
     QUERIES[f"overlap_mode_{mode}"] = run
-    ORACLE_SQL[f"overlap_mode_{mode}"] = f"with v as {VV}, i as (select * from {I} where region_idx % 10 = 0) select v.rec_idx, i.region_idx from v join i on v.contig = i.contig and {OVERLAP[mode]}"
+    ORACLE_SQL[f"overlap_mode_{mode}"] = f"with v as {VV}, i as (select * from {I}) select v.rec_idx, i.region_idx from v join i on v.contig = i.contig and {OVERLAP[mode]}"
 
 
 for _mode in OVERLAP:
@@ -184,11 +191,10 @@ BLOCKS = "case cigar when '5S30M5S' then [{'r': 0, 'q': 5, 'n': 30, 'o': 'M'}] w
 
 
 @query(
-    f"with b as (select rname, pos, flag, seq, unnest({BLOCKS}) as b from {A} where {PASS} and pos < 3000), c as (select rname, flag, seq, b, pos, unnest(range(0, b.n)) as k from b) "
+    f"with b as (select rname, pos, flag, seq, unnest({BLOCKS}) as b from {A} where {PASS}), c as (select rname, flag, seq, b, pos, unnest(range(0, b.n)) as k from b) "
     "select rname, pos + b.r + k as position, case b.o when 'D' then '*' when 'N' then case when (flag & 16) <> 0 then '<' else '>' end else case when (flag & 16) <> 0 then lower(substr(seq, cast(b.q + k + 1 as bigint), 1)) else upper(substr(seq, cast(b.q + k + 1 as bigint), 1)) end end as base, count(*) as n from c group by 1, 2, 3"
 )
 def pileup_bases(spark, sf):
-    """At all positions; the SQL holds those of reads that start before 3,000."""
     return pileup.base_counts(pileup.selected(view(spark, sf, "alignments"), min_mapq=10))
 
 
@@ -265,6 +271,14 @@ def synced_last_wins(spark, sf):
     return vo.last_of_position(synced_inputs(spark, sf)[0]).select("contig", "pos", "rec_idx", "ref", "alt")
 
 
+_PAIR = f"select contig, pos, concat(ref, '>', alt) as v, rec_idx from {VV}"
+
+
+@query(f"select contig, pos, {', '.join(f'max(case when rec_idx % {m} = 0 then v end) as in_{i}' for i, m in enumerate((2, 3, 5)))} from ({_PAIR}) where rec_idx % 2 = 0 or rec_idx % 3 = 0 or rec_idx % 5 = 0 group by contig, pos, v")
+def allele_pairing_exact(spark, sf):
+    return vo.paired(synced_inputs(spark, sf), "exact").drop("row")
+
+
 @query()
 def allele_pairing(spark, sf):
     return vo.paired(synced_inputs(spark, sf), "both_ref")
@@ -303,23 +317,22 @@ def fastx_split(spark, sf):
     return view(spark, sf, "alignments").groupBy(fastx.mate_of(F.col("flag")).alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("seq")).cast("long").alias("bases"))
 
 
-@query("select concat('chr', cast(o_orderkey % 5 + 1 as varchar)) as name, o_orderkey % 900 as beg, least(o_orderkey % 900 + 120, 1000) as stop, substr(repeat(substr('ACGTTGCAAC', cast(o_orderkey % 5 + 1 as int), 5), 200), cast(o_orderkey % 900 + 1 as int), 120) as seq from orders where o_orderkey % 10 = 0")
+@query("select concat('chr', cast(o_orderkey % 5 + 1 as varchar)) as name, o_orderkey % 900 as beg, least(o_orderkey % 900 + 120, 1000) as stop, substr(repeat(substr('ACGTTGCAAC', cast(o_orderkey % 5 + 1 as int), 5), 200), cast(o_orderkey % 900 + 1 as int), 120) as seq from orders")
 def faidx_fetch(spark, sf):
     ref = spark.range(5).select(F.concat(F.lit("chr"), (F.col("id") + 1).cast("string")).alias("name"), F.repeat(F.expr("substr('ACGTTGCAAC', cast(id + 1 as int), 5)"), 200).alias("seq"))
-    # All orders; the SQL holds those of o_orderkey % 10 = 0.
     r = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("concat('chr', o_orderkey % 5 + 1) as contig", "o_orderkey % 900 as beg", "o_orderkey % 900 + 120 as stop")
     return fastx.subsequence(ref, r)
 
 
-@query("select concat('>', concat('s', cast(p_partkey as varchar)), ' length: ', cast(40 + p_size as varchar), chr(10), substr(repeat('ACGTTGCA', 20), 1, cast(least(50, 40 + p_size) as int)), case when 40 + p_size > 50 then concat(chr(10), substr(repeat('ACGTTGCA', 20), 51, cast(p_size - 10 as int))) else '' end) as fa from part where p_size <= 50")
+@query("select concat('>', concat('s', cast(p_partkey as varchar)), ' length: ', cast(40 + p_size as varchar), chr(10), substr(repeat('ACGTTGCA', 20), 1, cast(least(50, 40 + p_size) as int)), case when 40 + p_size > 50 then concat(chr(10), substr(repeat('ACGTTGCA', 20), 51, cast(p_size - 10 as int))) else '' end) as fa from part")
 def fasta_wrap(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet").where("p_size <= 50").selectExpr("concat('s', p_partkey) as name", "substr(repeat('ACGTTGCA', 20), 1, 40 + p_size) as seq")
+    p = spark.read.parquet(f"{sf}/part.parquet").selectExpr("concat('s', p_partkey) as name", "substr(repeat('ACGTTGCA', 20), 1, 40 + p_size) as seq")
     return p.select(T.fasta_text().alias("fa"))
 
 
-@query(f"select concat_ws(chr(9), qname, cast(flag as varchar), rname, cast(pos as varchar), cast(mapq as varchar), cigar, '*', '0', '0', seq, '*', concat('NM:i:', cast(nm as varchar))) as line from {A} where nm > 0")
+@query(f"select concat_ws(chr(9), qname, cast(flag as varchar), rname, cast(pos as varchar), cast(mapq as varchar), cigar, '*', '0', '0', seq, '*', case when nm > 0 then concat('NM:i:', cast(nm as varchar)) end) as line from {A}")
 def sam_text(spark, sf):
-    return reads(spark, sf).where("nm > 0").withColumn("aux_order", F.map_keys("aux")).select(T.sam_line().alias("line"))
+    return reads(spark, sf).withColumn("aux_order", F.map_keys("aux")).select(T.sam_line().alias("line"))
 
 
 @query("select l_orderkey as id, coalesce(list_sort(list(l_partkey))[2], -1) as second from lineitem group by l_orderkey")

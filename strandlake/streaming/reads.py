@@ -20,20 +20,32 @@ def filtered(reads: DataFrame, text: str) -> DataFrame:
 def in_regions(reads: DataFrame, regions: DataFrame, width: int = 1 << 14) -> DataFrame:
     """The rows of a stream that overlap a static table of regions (contig, beg, stop), once each.
 
-    Regions that touch are merged first, so that in each bin a position is covered by one region at most; a read
-    is looked up by the bins it touches and counted in the first where it meets a region.
+    A read is looked up in each bin that it touches, however far it reaches. Regions are merged first; of those that a
+    read meets, it passes with the one whose predecessor ends before the read, in the first bin where the two meet.
     """
-    span = F.struct((F.col("pos") - 1).alias("beg"), (F.col("pos") - 1 + cigar_sum(F.col("cigar"), ON_REFERENCE)).alias("stop"))
-    by_bin = regions.select("contig", "beg", "stop", F.explode(F.sequence(F.floor(F.col("beg") / width), F.floor((F.col("stop") - 1) / width))).alias("bin"))
-    lists = by_bin.groupBy("contig", "bin").agg(F.collect_set(F.struct("beg", "stop")).alias("r"))
-    one = reads.withColumn("__s", span)
-    met = F.exists("r", lambda x: (x["beg"] < F.col("__s.stop")) & (x["stop"] > F.col("__s.beg")))
-    # A read that reaches over a bin's end is looked up in both; reads are far shorter than two bins.
-    first, last = F.floor(F.col("__s.beg") / width), F.floor((F.col("__s.stop") - 1) / width)
-    a, b = lists.select(F.col("contig").alias("__c"), F.col("bin").alias("__b"), "r"), lists.select(F.col("contig").alias("__c2"), F.col("bin").alias("__b2"), F.col("r").alias("r2"))
-    both = one.join(a, (F.col("rname") == F.col("__c")) & (first == F.col("__b")), "left").join(b, (F.col("rname") == F.col("__c2")) & (last == F.col("__b2")), "left")
-    met2 = F.exists("r2", lambda x: (x["beg"] < F.col("__s.stop")) & (x["stop"] > F.col("__s.beg")))
-    return both.where(F.coalesce(met, F.lit(False)) | F.coalesce(met2, F.lit(False))).select(*reads.columns)
+    stop = F.col("pos") - 1 + cigar_sum(F.col("cigar"), ON_REFERENCE)
+    one = reads.withColumns({"__beg": F.col("pos") - 1, "__stop": stop})
+    bins = F.sequence(F.floor(F.col("__beg") / width), F.floor((F.col("__stop") - 1) / width))
+    each = one.where("__beg < __stop").withColumn("__bin", F.explode(bins))
+    lists = first_bins(regions, width).select(F.col("contig").alias("__contig"), F.col("bin").alias("__b"), "__r")
+    both = each.join(lists, (F.col("rname") == F.col("__contig")) & (F.col("__bin") == F.col("__b")))
+    begins = F.floor(F.col("__beg") / width)
+    first = F.exists("__r", lambda x: (x["beg"] < F.col("__stop")) & (x["stop"] > F.col("__beg")) & (x["before"] <= F.col("__beg")) & (F.greatest(x["bin"], begins) == F.col("__bin")))
+    return both.where(first).select(*reads.columns)
+
+
+def first_bins(regions: DataFrame, width: int) -> DataFrame:
+    """contig, bin, __r: the disjoint covered stretches that touch a bin, with the end of the one before each (or -1) and its first bin."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("contig").orderBy("beg", "stop")
+    whole = regions.where("contig is not null and beg < stop").select("contig", "beg", "stop").distinct()
+    far = whole.withColumn("__far", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    island = far.withColumn("__i", F.sum(F.when(F.col("beg") <= F.col("__far"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = island.groupBy("contig", "__i").agg(F.min("beg").alias("beg"), F.max("stop").alias("stop"))
+    merged = merged.withColumn("before", F.coalesce(F.lag("stop").over(Window.partitionBy("contig").orderBy("beg")), F.lit(-1).cast("long")))
+    each = merged.select("contig", "beg", "stop", "before", F.explode(F.sequence(F.floor(F.col("beg") / width), F.floor((F.col("stop") - 1) / width))).alias("bin"))
+    return each.groupBy("contig", "bin").agg(F.collect_list(F.struct("beg", "stop", "before", F.floor(F.col("beg") / width).alias("bin"))).alias("__r"))
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.functions.filters import Compiler, FilterError, Parser, flag_filter, number, read_filter, string
+from strandlake.functions.filters import Compiler, FilterError, Parser, flag_filter, number, read_filter, read_symbols, read_tags, string
 
 SYMBOLS = {"foo": lambda: number(F.lit(15551)), "a": lambda: number(F.lit(1)), "b": lambda: number(F.lit(2)), "c": lambda: number(F.lit(3)), "magic": lambda: string(F.lit("plugh")), "empty": lambda: string(F.lit("")), "null": lambda: number(F.lit(None)), "nostr": lambda: string(F.lit(None))}
 
@@ -45,3 +45,12 @@ def test_flags_and_tags(spark):
     n = df.where(read_filter("flag.unmap && [NM] > 1")).count()
     assert n == df.where("(flag & 4) <> 0 and nm > 1").count() > 0
     assert df.where(flag_filter(F.col("flag"), 0, 0, 0)).count() == df.count()
+
+
+def test_raw_qualities(spark):
+    """As printed in a SAM line: '!' is 0, '5' 20, 'I' 40; no qualities are an empty string."""
+    rows = [("!!!",), ("5I",), ("56~",), ("#I",), (None,)]
+    df = spark.createDataFrame(rows, "qual string")
+    value = Compiler(read_symbols(), read_tags)
+    got = df.select(*[value(t).number.alias(n) for n, t in (("a", "min(qual)"), ("b", "max(qual)"), ("c", "avg(qual)"), ("d", "length(qual)"))]).collect()
+    assert [tuple(r) for r in got] == [(0, 0, 0, 3), (20, 40, 30, 2), (20, 93, (20 + 21 + 93) / 3, 3), (2, 40, 21, 2), (None, None, 0, 0)]

@@ -12,14 +12,18 @@ from strandlake.sources import bgzf
 from strandlake.sources import text as T
 
 
+@pytest.mark.parametrize("width", [None, 16])
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
-def test_interval_join_against_brute_force(spark, how):
+def test_interval_join_against_brute_force(spark, how, width):
+    """Short intervals and ones that lie on coarser levels (width 16: longer than 1,024 and than 65,536)."""
     rng = random.Random(1)
     make = lambda n: [(f"c{rng.randrange(2)}", b := rng.randrange(500), b + rng.randrange(0, 120), i) for i in range(n)]
     left, right = [*make(80), (None, 1, 5, 900), ("c0", None, 5, 901)], make(60)
     left += left[:3]  # repeated rows stay
     columns = "contig string, beg long, stop long, i long"
-    got = intervals.interval_join(spark.createDataFrame(left, columns), spark.createDataFrame(right, columns), how, width=64)
+    left += [("c0", 0, 3000, 910), ("c1", 100, 20_000, 911), ("c1", 450, 460, 912)]
+    right += [("c1", 0, 300_000, 910), ("c0", 40, 4000, 911)]
+    got = intervals.interval_join(spark.createDataFrame(left, columns), spark.createDataFrame(right, columns), how, width=width)
     meets = lambda a, b: None not in a[:3] and a[0] == b[0] and a[1] < a[2] and b[1] < b[2] and a[1] < b[2] and a[2] > b[1]
     if how == "inner":
         assert sorted((r["i"], r["r_i"]) for r in got.collect()) == sorted((a[3], b[3]) for a in left for b in right if meets(a, b))
@@ -77,13 +81,29 @@ def test_alleles(spark):
 
 def test_pairing_takes_each_record_once():
     site = [(0, "A>T"), (1, "A>T"), (2, "A>C"), (0, "A>AC"), (2, "A>AC")]
-    for mode in ("exact", "snps", "indels", "both", "any"):
+    for mode in ("exact", "snps", "indels", "both", "any", "some"):
         groups = pair_alleles(site, mode)
         assert sorted((i, v) for g in groups for i, v in g.items()) == sorted(site)
     assert pair_alleles(site, "exact")[0] == {0: "A>T", 1: "A>T"}
     assert pair_alleles(site, "snps")[0] == {0: "A>T", 1: "A>T", 2: "A>C"}
 
 
+def test_pairing_by_sets_and_kinds():
+    """A site's (input, variant) records, the mode, and who goes together."""
+    multi = [(0, "A>C,A>G"), (1, "A>C"), (2, "A>AT")]
+    assert pair_alleles([(0, "A>C,A>G"), (1, "A>G,A>C"), (2, "A>C")], "exact") == [{0: "A>C,A>G", 1: "A>G,A>C"}, {2: "A>C"}]
+    assert pair_alleles(multi, "some") == [{0: "A>C,A>G", 1: "A>C"}, {2: "A>AT"}]
+    assert pair_alleles(multi, "any") == [{0: "A>C,A>G", 1: "A>C", 2: "A>AT"}]
+    assert {0: "A>C", 1: "A>AT,A>C"} in pair_alleles([(0, "A>C"), (1, "A>AT,A>C")], "snps")
+    assert pair_alleles([(0, "AC>GT"), (1, "A>G")], "both") == [{0: "AC>GT"}, {1: "A>G"}]  # two bases for two are no SNP
+    kinds = [(0, "A>C"), (1, "A>."), (2, "A>AT")]
+    assert sorted(map(sorted, pair_alleles(kinds, "snps_ref"))) == [[0, 1], [2]]
+    assert sorted(map(sorted, pair_alleles(kinds, "indels_ref"))) == [[0], [1, 2]]
+    assert sorted(map(sorted, pair_alleles(kinds, "both_ref"))) == [[0, 1], [2]]
+    # Kinds that fit better go first: the other SNP before the reference.
+    assert pair_alleles([(0, "A>C"), (1, "A>."), (1, "A>G")], "both_ref")[0] == {0: "A>C", 1: "A>G"}
+
+
 def test_synced(spark):
     a = spark.createDataFrame([("c", 1, 1, "x"), ("c", 1, 2, "y"), ("c", 5, 3, "z")], "contig string, pos long, rec_idx long, alt string")
     b = spark.createDataFrame([("c", 5, 1, "q")], a.schema)
