@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.references import with_bases
+from .filters import ON_REFERENCE, cigar_sum
+
 #: Emission of an inserted base, share of an error per other base, and natural log to Phred. Fixed values.
 INSERTED, MISMATCH, PHRED = 0.25, 0.33333333333, -4.343
 
@@ -128,110 +131,188 @@ def operations(cigar: str | None) -> list[tuple[int, str]]:
 NT16 = {c: i for i, c in enumerate("=ACMGRSVTWYHKDBN")}
 
 
-def cap_of(pos: int | None, cigar: str, seq: str, quality: list[int] | None, reference: str, threshold: int = 40) -> int:
-    """The highest mapping quality that a read's mismatches and clips leave it; -1 if it should be dropped.
+_CODE = np.full(256, 15, np.uint8)
+_CODE[[ord(c) for c in NT16]] = list(NT16.values())
+_CODE[[ord(c.lower()) for c in NT16]] = list(NT16.values())
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[ord("a") : ord("z") + 1] -= 32
+
+
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(all characters, where each text starts)."""
+    parts = [t.encode("latin-1", "replace") for t in texts]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size
+
+
+class Blocks:
+    """The CIGAR operations of many reads as arrays, and where each lies on its reference (0-based) and in its read."""
+
+    def __init__(self, pos: list[int], cigars: list[str]):
+        known = {c: operations(c) for c in set(cigars)}
+        count = np.array([len(known[c]) for c in cigars], np.int64)
+        flat = [o for c in cigars for o in known[c]]
+        self.row = np.repeat(np.arange(len(cigars)), count)
+        self.n = np.array([n for n, _ in flat], np.int64)
+        self.op = np.array([o for _, o in flat], "U1")
+        self.aligned = np.isin(self.op, list("M=X"))
+        first = np.cumsum(count) - count
+
+        def before(used: np.ndarray) -> np.ndarray:
+            total = np.concatenate(([0], np.cumsum(np.where(used, self.n, 0))))
+            return total[:-1] - total[first[self.row]]
+
+        self.at = before(self.aligned | np.isin(self.op, list("DN"))) + np.array(pos, np.int64)[self.row] - 1
+        self.i = before(self.aligned | np.isin(self.op, list("IS")))
+
+    def bases(self, which: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(operation, offset in it) of the first n bases of each of the operations ``which``."""
+        op = np.repeat(which, n)
+        return op, np.arange(len(op)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _sum(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    return np.bincount(row, values, rows)
 
-    Only bases of quality 13 and more count, mismatches with at most 33 each; hard clips count 13 a base.
+
+def caps_of(pos: list[int], cigars: list[str], seqs: list[str], quals: list[list[int] | None], bases: list[str], froms: list[int], sizes: list[int], threshold: int = 40) -> np.ndarray:
+    """The highest mapping quality that each read's mismatches and clips leave it; -1 if it should be dropped.
+
+    ``bases``: of the reference from ``froms`` on, whose length is ``sizes``. A read is judged up to the operation that
+    leaves its reference. Its evidence against it: mismatches' qualities (at most 33 each) less the Phred value of the
+    ways to choose as many of its bases, and a fifth of what its clips are worth; hard clips are worth 13 a base. Only
+    known bases of quality 13 and more are looked at, but all matched ones count as chances for a mismatch once more.
     """
-    threshold = 40 if threshold < 0 else threshold
-    if pos is None:
-        return -1
-    quality = quality or [255] * len(seq)
-    code = lambda c: NT16.get(c.upper(), 15)
-    at, i, wrong, wrong_sum, total, clipped = pos - 1, 0, 0, 0, 0, 0
-    for n, o in operations(cigar):
-        if o in "M=X":
-            inside = min(n, max(0, len(reference) - at))
-            for k in range(inside):
-                a, b, q = code(seq[i + k]), code(reference[at + k]), quality[i + k]
-                if a != 15 and b != 15 and q >= 13:
-                    total += 1
-                    if a not in (0, b):
-                        wrong += 1
-                        wrong_sum += min(q, 33)
-            if inside < n:
-                break
-            at, i, total = at + n, i + n, total + n
-        elif o == "D":
-            if at + n > len(reference):
-                break
-            at += n
-        elif o == "S":
-            clipped += sum(quality[i : i + n])
-            i += n
-        elif o == "H":
-            clipped += 13 * n
-        elif o == "I":
-            i += n
-        elif o == "N":
-            at += n
-    t = 1.0
-    for k in range(wrong):
-        t *= total / (k + 1)
-    t = wrong_sum + PHRED * math.log(t) + clipped / 5
-    if t > threshold:
-        return -1
-    return int(math.sqrt((threshold - max(t, 0.0)) / threshold) * threshold + 0.499)
-
-
-def md_nm(pos: int, cigar: str, seq: str, reference: str) -> tuple[str, int]:
-    """MD text and NM: runs of matches, reference bases of mismatches, ^ and the bases of deletions; = and X are taken at their word."""
-    out, run, nm, at, i = [], 0, 0, pos - 1, 0
-    for n, o in operations(cigar):
-        if o in "M=X":
-            for k in range(n):
-                r = reference[at + k].upper() if at + k < len(reference) else "N"
-                s = seq[i + k].upper()
-                if o == "=" or (o == "M" and (s == r and s != "N" or s == "=")):
-                    run += 1
-                else:
-                    out += [str(run), r]
-                    run, nm = 0, nm + 1
-            at, i = at + n, i + n
-        elif o == "D":
-            out += [str(run), "^" + reference[at : at + n].upper()]
-            run, nm, at = 0, nm + n, at + n
-        elif o == "I":
-            nm, i = nm + n, i + n
-        elif o == "S":
-            i += n
-        elif o == "N":
-            at += n
-    return "".join([*out, str(run)]), nm
-
-
-def _per_read(reads: DataFrame, references: DataFrame, f: Callable[[dict, str], tuple], names: list[tuple[str, pa.DataType, str]]) -> DataFrame:
-    """``f`` of each read and its reference (name, seq), which is joined by name; a read without one is an error.
-
-    A reference goes once to each batch's rows as a column, so a contig's reads may be dealt to any number of tasks.
+    threshold, rows = 40 if threshold < 0 else threshold, len(pos)
+    b = Blocks(pos, cigars)
+    seq, seq_at = _joined(seqs)
+    ref, ref_at = _joined(bases)
+    quality = np.concatenate([np.empty(0, np.int64), *(np.asarray(q if q is not None else [255] * len(s), np.int64) for q, s in zip(quals, seqs, strict=True))])
+    room = np.array(sizes, np.int64)[b.row] - b.at if rows else np.empty(0, np.int64)
+    leaves = (b.aligned | (b.op == "D")) & (b.n > room)
+    # Operations after the first that leaves the reference don't count.
+    total = np.cumsum(leaves) - leaves
+    first = np.searchsorted(b.row, np.arange(rows))
+    counts = total == total[first[b.row]] if len(total) else np.empty(0, bool)
+    own = np.flatnonzero(b.aligned & counts)
+    op, j = b.bases(own, np.clip(np.minimum(b.n, room)[own], 0, None))
+    row = b.row[op]
+    place = seq_at[row] + b.i[op] + j
+    x, y, q = _CODE[seq[place]], _CODE[ref[ref_at[row] + b.at[op] + j - np.array(froms, np.int64)[row]]], quality[place]
+    seen = (x != 15) & (y != 15) & (q >= 13)
+    other = seen & (x != 0) & (x != y)
+    wrong = np.bincount(row[other], minlength=rows)
+    against = _sum(row[other], np.minimum(q[other], 33), rows)
+    whole = own[~leaves[own]]
+    chances = np.bincount(row[seen], minlength=rows) + _sum(b.row[whole], b.n[whole], rows)
+    summed = np.concatenate(([0], np.cumsum(quality)))
+    soft, hard = np.flatnonzero((b.op == "S") & counts), np.flatnonzero((b.op == "H") & counts)
+    start = seq_at[b.row[soft]] + b.i[soft]
+    end = np.minimum(start + b.n[soft], np.append(seq_at, len(seq))[b.row[soft] + 1])
+    clipped = _sum(b.row[soft], summed[end] - summed[start], rows) + _sum(b.row[hard], 13 * b.n[hard], rows)
+    log_factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int(wrong.max(initial=0)) + 1)))))
+    ways = np.where(wrong > 0, wrong * np.log(np.maximum(chances, 1)) - log_factorial[wrong], 0.0)
+    t = against + PHRED * ways + clipped / 5
+    return np.where(t > threshold, -1, (np.sqrt(np.clip(threshold - np.maximum(t, 0), 0, None) / threshold) * threshold + 0.499).astype(np.int64))
+
+
+def md_nm_of(pos: list[int], cigars: list[str], seqs: list[str], bases: list[str], froms: list[int]) -> tuple[list[str], np.ndarray]:
+    """MD texts and NM: runs of matches, reference bases of mismatches, ^ and the bases of deletions; = and X are taken at their word.
+
+    Beyond ``bases`` (of the reference from ``froms`` on) the reference is N.
     """
-    joined = reads.join(references.select(F.col("name").alias("__name"), F.col("seq").alias("__ref")), F.col("rname") == F.col("__name"), "left").drop("__name")
+    rows, b = len(pos), Blocks(pos, cigars)
+    seq, seq_at = _joined(seqs)
+    ref, ref_at = _joined(bases)
+    seq, ref = _UPPER[seq], np.append(_UPPER[ref], np.uint8(ord("N")))
+    ref_end = np.append(ref_at, len(ref) - 1)[1:]
+    own = np.flatnonzero(b.aligned)
+    op, j = b.bases(own, b.n[own])
+    row = b.row[op]
+    s = seq[seq_at[row] + b.i[op] + j]
+    there = ref_at[row] + b.at[op] + j - np.array(froms, np.int64)[row]
+    r = ref[np.where(there < ref_end[row], there, len(ref) - 1)]
+    same = (b.op[op] == "=") | (b.op[op] == "M") & ((s == r) & (s != ord("N")) | (s == ord("=")))
+    matched = np.concatenate(([0], np.cumsum(same)))
+    begin = np.searchsorted(row, np.arange(rows))  # a read's first matched base
+    miss, gone = np.flatnonzero(~same), np.flatnonzero(b.op == "D")
+    # Events in order: mismatches at their base, deletions before the base that follows them.
+    place = np.concatenate((miss, np.searchsorted(op, gone)))
+    owner = np.concatenate((row[miss], b.row[gone]))
+    kind = np.concatenate((op[miss], gone))
+    order = np.lexsort((place, kind, owner))
+    out: list[list[str]] = [[] for _ in range(rows)]
+    last = matched[begin].tolist() if rows else []
+    text = [chr(c) for c in r[miss].tolist()]
+    for e in gone.tolist():
+        k = int(b.row[e])
+        at = int(b.at[e]) - froms[k]
+        text.append("^" + bases[k][at : at + int(b.n[e])].upper())
+    for e in order.tolist():
+        k, m = int(owner[e]), int(matched[place[e]])
+        out[k] += [str(m - last[k]), text[e]]
+        last[k] = m
+    end = matched[np.append(begin, len(row))[1:]].tolist() if rows else []
+    md = ["".join([*x, str(e - m)]) for x, e, m in zip(out, end, last, strict=True)]
+    ins = b.op == "I"
+    nm = np.bincount(row[miss], minlength=rows) + _sum(b.row[gone], b.n[gone], rows) + _sum(b.row[ins], b.n[ins], rows)
+    return md, nm.astype(np.int64)
+
+
+def _beside_reference(reads: DataFrame, references: DataFrame, pad: Column, f: Callable[[list[dict]], list], names: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """``f`` of each batch's reads, which have the bases under them (and ``pad`` more on both sides) beside them: __from, __bases, __size. An unknown contig is an error."""
+    span = cigar_sum(F.col("cigar"), ON_REFERENCE)
+    joined = with_bases(reads, references, "rname", F.col("pos") - 1 - pad, F.col("pos") - 1 + F.greatest(span, F.lit(1)) + pad)
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in reads.schema)
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            rows = b.drop_columns(["__ref"]).to_pylist()
-            found = []
-            for r, ref in zip(rows, b.column("__ref"), strict=True):
-                if not ref.is_valid and r["rname"] is not None:
+            rows = b.to_pylist()
+            for r in rows:
+                if r["rname"] is not None and r["__size"] is None:
                     raise ValueError(f"no reference named {r['rname']}")
-                found.append(f(r, ref.as_py() or ""))
-            columns = list(zip(*found, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([*b.drop_columns(["__ref"]).columns, *[pa.array(c, k) for c, (_, k, _) in zip(columns, names, strict=True)]], names=[*b.schema.names[:-1], *[n for n, _, _ in names]])
+            found = f(rows)
+            yield pa.RecordBatch.from_arrays([*b.drop_columns(["__from", "__bases", "__size"]).columns, *[pa.array(c, k) for c, (_, k, _) in zip(found, names, strict=True)]], names=[*b.schema.names[:-3], *[n for n, _, _ in names]])
 
     return joined.mapInArrow(run, fields + "".join(f", {n} {t}" for n, _, t in names))
 
 
+def _column(rows: list[dict], name: str, missing=None) -> list:
+    return [missing if r[name] is None else r[name] for r in rows]
+
+
 def with_md_nm(reads: DataFrame, references: DataFrame) -> DataFrame:
     """``reads`` with md_new and nm_new; NULL for unmapped reads."""
-    f = lambda r, ref: md_nm(r["pos"], r["cigar"], r["seq"], ref) if r["pos"] is not None and r["cigar"] not in (None, "*") else (None, None)
-    return _per_read(reads, references, f, [("md_new", pa.string(), "string"), ("nm_new", pa.int32(), "int")])
+
+    def run(rows: list[dict]) -> list:
+        mapped = [i for i, r in enumerate(rows) if r["pos"] is not None and r["cigar"] not in (None, "*")]
+        own = [rows[i] for i in mapped]
+        md, nm = md_nm_of(*(_column(own, c, "") for c in ("pos", "cigar", "seq", "__bases")), _column(own, "__from", 0))
+        out: list[list] = [[None] * len(rows), [None] * len(rows)]
+        for i, m, n in zip(mapped, md, nm.tolist(), strict=True):
+            out[0][i], out[1][i] = m, n
+        return out
+
+    return _beside_reference(reads, references, F.lit(0), run, [("md_new", pa.string(), "string"), ("nm_new", pa.int32(), "int")])
 
 
 def with_mapq_cap(reads: DataFrame, references: DataFrame, threshold: int = 40) -> DataFrame:
-    """``reads`` with cap."""
-    f = lambda r, ref: (cap_of(r["pos"], r["cigar"], r["seq"], [ord(c) - 33 for c in r["qual"]] if r.get("qual") else None, ref, threshold),)
-    return _per_read(reads, references, f, [("cap", pa.int32(), "int")])
+    """``reads`` with cap; -1 for reads without a position."""
+
+    def run(rows: list[dict]) -> list:
+        mapped = [i for i, r in enumerate(rows) if r["pos"] is not None]
+        own = [rows[i] for i in mapped]
+        quals = [[ord(c) - 33 for c in r["qual"]] if r.get("qual") else None for r in own]
+        found = caps_of(*(_column(own, c, "") for c in ("pos", "cigar", "seq")), quals, _column(own, "__bases", ""), _column(own, "__from", 0), _column(own, "__size", 0), threshold)
+        out = np.full(len(rows), -1)
+        out[mapped] = found
+        return [out.tolist()]
+
+    return _beside_reference(reads, references, F.lit(0), run, [("cap", pa.int32(), "int")])
+
+
+def _width(span: int, used: int, band: int) -> int:
+    return max(band, abs(span - used) + 3)
 
 
 def with_alignment_quality(reads: DataFrame, references: DataFrame, band: int = 7) -> DataFrame:
@@ -242,31 +323,33 @@ def with_alignment_quality(reads: DataFrame, references: DataFrame, band: int =
     qualities or unmapped.
     """
 
-    def one(r: dict, ref: str) -> tuple:
+    def one(r: dict) -> list[int] | None:
         ops = operations(r["cigar"])
         if r["pos"] is None or not ops or not r.get("qual") or any(o == "N" for _, o in ops):
-            return (None,)
+            return None
         quality = [ord(c) - 33 for c in r["qual"]]
         span = sum(n for n, o in ops if o in "MDN=X")
         clip = ops[0][0] if ops[0][1] == "S" else ops[1][0] if len(ops) > 1 and ops[1][1] == "S" and ops[0][1] == "H" else 0
         used = sum(n for n, o in ops if o in "MI=X")
-        width = max(band, abs(span - used) + 3)
-        lo, hi = max(0, r["pos"] - 1 - width // 2), min(len(ref), r["pos"] - 1 + span + width // 2)
-        _, state, post = align(codes(ref[lo:hi]), codes(r["seq"][clip : clip + used]), np.array(quality[clip : clip + used]), Gaps(1e-3 if used <= 1000 else 1e-7, 0.1, width))
+        width = _width(span, used, band)
+        lo, hi = max(0, r["pos"] - 1 - width // 2), min(r["__size"], r["pos"] - 1 + span + width // 2)
+        window = (r["__bases"] or "")[lo - r["__from"] : hi - r["__from"]]
+        _, state, post = align(codes(window), codes(r["seq"][clip : clip + used]), np.array(quality[clip : clip + used]), Gaps(1e-3 if used <= 1000 else 1e-7, 0.1, width))
         out, at, i = list(quality), r["pos"] - 1 - lo, 0
         for n, o in ops:
             if o in "M=X":
-                for k in range(n):
-                    place, inserted = state[i + k] >> 2, state[i + k] & 1
-                    out[clip + i + k] = 0 if inserted or place != at + k else min(quality[clip + i + k], int(post[i + k]))
+                k = np.arange(i, i + n)
+                moved = (state[k] & 1 == 1) | (state[k] >> 2 != at + k - i)
+                out[clip + i : clip + i + n] = np.where(moved, 0, np.minimum(quality[clip + i : clip + i + n], post[k])).tolist()
                 at, i = at + n, i + n
             elif o == "D":
                 at += n
             elif o == "I":
                 i += n
-        return (out,)
+        return out
 
-    return _per_read(reads, references, one, [("baq", pa.list_(pa.int32()), "array<int>")])
+    more = F.greatest(F.lit(band), F.abs(cigar_sum(F.col("cigar"), ON_REFERENCE) - cigar_sum(F.col("cigar"), "MI=X")) + 3)
+    return _beside_reference(reads, references, more, lambda rows: [[one(r) for r in rows]], [("baq", pa.list_(pa.int32()), "array<int>")])
 
 
 #: Complements for base modifications. Fixed values.
@@ -305,15 +388,17 @@ def base_modifications(seq: str, reverse: bool, mm: str | None, ml: list[int] |
     return sorted(out, key=lambda x: x[0])
 
 
-def modifications(reads: DataFrame) -> DataFrame:
-    """A row per call: rec_idx, offset, strand, code, probability; reads need flag, seq, mm (text) and ml (array)."""
-    schema = "rec_idx long, offset int, strand string, code string, probability int"
+def modifications(reads: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """A row per call: rec_idx, ``keep``, offset, strand, code, probability; reads need flag, seq, mm (text) and ml (array)."""
+    own = ["rec_idx", *keep]
+    schema = ", ".join(f"`{c}` {reads.schema[c].dataType.simpleString()}" for c in own) + ", offset int, strand string, code string, probability int"
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            out = [(r["rec_idx"], *c) for r in b.to_pylist() for c in base_modifications(r["seq"], bool(r["flag"] & 16), r["mm"], r["ml"])]
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32())
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["rec_idx", "offset", "strand", "code", "probability"])
+            calls = [base_modifications(seq, bool(flag & 16), mm, ml) for flag, seq, mm, ml in zip(*(b.column(c).to_pylist() for c in ("flag", "seq", "mm", "ml")), strict=True)]
+            row = pa.array(np.repeat(np.arange(len(calls)), list(map(len, calls))))
+            found = list(zip(*(c for x in calls for c in x), strict=True)) or [()] * 4
+            columns = [pa.array(c, k) for c, k in zip(found, (pa.int32(), pa.string(), pa.string(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(row) for c in own], *columns], names=[*own, "offset", "strand", "code", "probability"])
 
-    return reads.select("rec_idx", "flag", "seq", "mm", "ml").mapInArrow(run, schema)
+    return reads.select(*own, "flag", "seq", "mm", "ml").mapInArrow(run, schema)

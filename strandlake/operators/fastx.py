@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .references import with_bases
+
 #: Flags of unmapped reads: first, second, single; failed filter. Fixed values.
 FIRST, SECOND, SINGLE, FAILED = 77, 141, 4, 512
 
@@ -49,7 +51,6 @@ def fastq_text(suffix: bool = True) -> Column:
 
 def subsequence(sequences: DataFrame, regions: DataFrame) -> DataFrame:
     """name, beg, stop, seq for regions (contig, beg, stop; 0-based) of sequences (name, seq); the end is clamped, a start beyond it is an error."""
-    both = regions.join(sequences, regions["contig"] == sequences["name"])
-    ok = F.when(F.col("beg") >= F.length("seq"), F.raise_error(F.concat(F.lit("beyond the end of "), "name")).cast("long")).otherwise(F.col("beg"))
-    stop = F.least("stop", F.length("seq").cast("long"))
-    return both.select("name", ok.alias("beg"), stop.alias("stop"), F.col("seq").substr((F.col("beg") + 1).cast("int"), (stop - F.col("beg")).cast("int")).alias("seq"))
+    both = with_bases(regions.select("contig", "beg", "stop"), sequences, "contig", F.col("beg"), F.col("stop")).where("__size is not null")
+    ok = F.when(F.col("beg") >= F.col("__size"), F.raise_error(F.concat(F.lit("beyond the end of "), "contig")).cast("long")).otherwise(F.col("beg"))
+    return both.select(F.col("contig").alias("name"), ok.alias("beg"), F.least("stop", "__size").alias("stop"), F.col("__bases").alias("seq"))

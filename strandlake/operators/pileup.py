@@ -30,6 +30,12 @@ def operations(cigar: Column) -> Column:
     return F.aggregate(cigar_parts(cigar), empty, add, lambda s: s["done"])
 
 
+def position_of(pos: Column, cigar: Column, offset: Column) -> Column:
+    """The reference position under a read's base; NULL for inserted and clipped ones."""
+    own = F.filter(operations(cigar), lambda o: o["op"].isin("M", "=", "X") & (o["read"] <= offset) & (offset < o["read"] + o["len"]))
+    return F.try_element_at(F.transform(own, lambda o: pos + o["ref"] + offset - o["read"]), F.lit(1))
+
+
 def cells(reads: DataFrame) -> DataFrame:
     """A row per read and reference position: rname, position, base ('*' deleted, '>' or '<' skipped), read offset, head, tail and the read's columns."""
     ops = reads.select("*", F.explode(operations(F.col("cigar"))).alias("o")).where(F.col("o.op").isin(*ON_REFERENCE))

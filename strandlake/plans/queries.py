@@ -405,13 +405,31 @@ def contigs(df: DataFrame) -> DataFrame:
     return df.select("rname").distinct().select(F.col("rname").alias("name"), F.repeat(bases, (size / 8).cast("int")).alias("seq"))
 
 
-@query()
+#: Selected reads without skips, their reference's 8 bases and their matched blocks and deletions, in SQL; the position says which of the 8 comes first.
+MATCHED = f"(select *, substr('ACGTTGCAACGGTTAC', cast(substr(rname, 4) as int), 8) as motif, {BLOCKS} as blocks, rec_idx % 8 * 5 as q from {A} where (flag & 1796) = 0 and cigar <> '3H15M100N20M5S')"
+_BASE = "substr(motif, cast((pos - 1 + b.r + k) % 8 + 1 as bigint), 1)"
+#: '=' for each match, the reference's base for a mismatch, ^ and small letters for a deletion.
+_MARKS = (
+    f"array_to_string(list_transform(blocks, lambda b: case when b.o = 'D' then concat('^', lower(array_to_string(list_transform(range(b.n), lambda k: {_BASE}), ''))) "
+    f"else array_to_string(list_transform(range(b.n), lambda k: case when substr(seq, cast(b.q + k + 1 as bigint), 1) = {_BASE} then '=' else {_BASE} end), '') end), '')"
+)
+_MISSES = "cast(length(regexp_replace(marks, '[^ACGT]', '', 'g')) as int)"
+
+
+@query(
+    f"select rec_idx, concat(array_to_string(list_transform(regexp_extract_all(marks, '=*([ACGT]|\\^[acgt]+)'), lambda x: concat(cast(length(regexp_extract(x, '^=*')) as varchar), upper(ltrim(x, '=')))), ''), cast(length(regexp_extract(marks, '=*$')) as varchar)) as md_new, "
+    f"cast({_MISSES} + case cigar when '10M3I27M' then 3 when '20M10D20M' then 10 else 0 end as int) as nm_new from (select *, {_MARKS} as marks from {MATCHED})"
+)
 def md_nm(spark, sf):
     df = matched(spark, sf)
     return kernels.with_md_nm(df, contigs(df)).select("rec_idx", "md_new", "nm_new")
 
 
-@query()
+@query(
+    f"select rec_idx, cast(case when t > 40 then -1 else floor(sqrt((40 - greatest(t, 0)) / cast(40 as double)) * 40 + cast(0.499 as double)) end as int) as cap from "
+    "(select rec_idx, case when wrong > 0 then wrong * least(q, 33) - cast(4.343 as double) * (wrong * ln(bases * 2) - lgamma(wrong + 1)) else 0 end + clipped / cast(5 as double) as t from "
+    f"(select *, case when q >= 13 then {_MISSES} else 0 end as wrong, case cigar when '5S30M5S' then 30 when '10M3I27M' then 37 else 40 end as bases, case cigar when '5S30M5S' then 10 * q else 0 end as clipped from (select *, {_MARKS} as marks from {MATCHED})))"
+)
 def mapq_cap(spark, sf):
     df = matched(spark, sf)
     return kernels.with_mapq_cap(df, contigs(df)).select("rec_idx", "cap")
@@ -423,7 +441,15 @@ def baq(spark, sf):
     return kernels.with_alignment_quality(df, contigs(df)).select("rec_idx", F.concat_ws(",", F.transform("baq", lambda x: x.cast("string"))).alias("baq"))
 
 
-@query()
+_CALLS = (
+    f"select rec_idx, rname, pos, cigar, cast(case when (flag & 16) <> 0 then 40 - c.p else c.p - 1 end as int) as \"offset\", '+' as strand, c.code as code, c.pr as probability from "
+    "(select *, unnest([{'p': cs[2], 'code': 'm', 'pr': 200}, {'p': cs[5], 'code': 'm', 'pr': 100}, {'p': az[1], 'code': 'a', 'pr': 7}]) as c from "
+    "(select *, list_filter(range(1, 41), lambda i: substr(original, i, 1) = 'C') as cs, list_filter(range(1, 41), lambda i: substr(original, i, 1) = 'A') as az from "
+    f"(select *, case when (flag & 16) <> 0 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as original from {A})))"
+)
+
+
+@query("select rec_idx, \"offset\", strand, code, cast(probability as int) as probability from (" + _CALLS.replace("'+' as strand", "case when c.code = 'a' then '-' else '+' end as strand") + ")")
 def base_mods(spark, sf):
     df = view(spark, sf, "alignments").select("rec_idx", "flag", "seq", F.lit("C+m,1,2;A-a,0").alias("mm"), F.array(F.lit(200), F.lit(100), F.lit(7)).alias("ml"))
     return kernels.modifications(df)
@@ -438,10 +464,26 @@ def mate_pairs(spark, sf):
     return pileup.mates(view(spark, sf, "alignments")).select("qname", "rname", F.col("a.rec_idx").alias("first"), F.col("b.rec_idx").alias("second"))
 
 
-@query()
+_X31 = "list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split(qname, ''), lambda c: cast(ascii(c) as bigint))), lambda h, c: (h * 31 + c) & 4294967295)"
+#: The steps of the integer hash that says which mate keeps a base.
+_WANG = [f"select *, {_X31} as h from pair", "select * replace ((h + xor((h << 15) & 4294967295, 4294967295)) & 4294967295 as h) from w0", "select * replace (xor(h, h >> 10) as h) from w1", "select * replace ((h + ((h << 3) & 4294967295)) & 4294967295 as h) from w2", "select * replace (xor(h, h >> 6) as h) from w3", "select * replace ((h + xor((h << 11) & 4294967295, 4294967295)) & 4294967295 as h) from w4", "select *, (xor(h, h >> 16) & 1) = 0 as keep from w5"]
+
+
+@query(
+    f"with a as (select *, 10 + rec_idx % 20 as q from {A} where (flag & 1) = 1 and (flag & 12) = 0), g as (select qname, rname from a group by qname, rname having count(*) = 2), "
+    "o as (select a.*, row_number() over (partition by qname, rname order by pos, rec_idx, flag, cigar, seq) as k from a join g using (qname, rname)), pair as (select qname, rname from g), "
+    + ", ".join(f"w{i} as ({x})" for i, x in enumerate(_WANG))
+    + f", c as (select qname, rname, k, seq, q, cast(unnest(range(40)) as bigint) as i, pos, {BLOCKS} as blocks from o), "
+    "m as (select *, list_transform(list_filter(blocks, lambda b: b.o = 'M' and b.q <= i and i < b.q + b.n), lambda b: pos + b.r + i - b.q)[1] as p, substr(seq, i + 1, 1) as base from c), "
+    "x as (select m.*, n.q as other, n.base as shown from m left join m as n on m.qname = n.qname and m.rname = n.rname and m.k <> n.k and m.p = n.p), "
+    "y as (select x.*, w6.keep from x join w6 using (qname, rname)), "
+    "z as (select qname, rname, k, list(cast(case when other is null then q when base = shown then case when keep = (k = 1) then least(q + other, 200) else 0 end "
+    "when case when q <> other then q > other else keep = (k = 1) end then floor(cast(0.8 as double) * greatest(q, other)) else 0 end as int) order by i) as qual_new from y group by qname, rname, k) "
+    "select o.rec_idx, array_to_string(z.qual_new, ',') as qual_new from o join z using (qname, rname, k)"
+)
 def overlap_quality(spark, sf):
     df = reads(spark, sf).withColumn("qual", F.repeat(F.char(F.lit(43) + F.col("rec_idx") % 20), 40))
-    return pileup.overlap_qualities(df).select("rec_idx", "qual_new")
+    return pileup.overlap_qualities(df).select("rec_idx", F.concat_ws(",", F.transform("qual_new", lambda x: x.cast("string"))).alias("qual_new"))
 
 
 @query("select p_partkey as id, p_size as dp, case when p_size % 3 = 0 then -1 else p_size % 7 end as second, p_size % 2 = 0 as flag from part")
@@ -527,10 +569,13 @@ def first_records(spark, sf):
     return reads(spark, sf).where(read_filter("mapq >= 45")).orderBy("rec_idx").limit(100).select("rec_idx", "qname")
 
 
-@query()
+_PLACE = f"list_transform(list_filter({BLOCKS}, lambda b: b.o = 'M' and b.q <= \"offset\" and \"offset\" < b.q + b.n), lambda b: pos + b.r + \"offset\" - b.q)[1]"
+
+
+@query(f"select rname, position, code, count(*) as n, cast(sum(probability) as bigint) as p from (select rname, code, probability, {_PLACE} as position from ({_CALLS.replace('from ' + A, 'from ' + A + ' where (flag & 1796) = 0')})) where position is not null group by rname, position, code")
 def base_mod_pileup(spark, sf):
     """Modified bases per reference position: rname, position, code, n and the sum of probabilities."""
     df = pileup.selected(view(spark, sf, "alignments")).withColumns({"mm": F.lit("C+m,1,2;A-a,0"), "ml": F.array(F.lit(200), F.lit(100), F.lit(7))})
-    calls = kernels.modifications(df)
-    at = pileup.cells(df.select("rec_idx", "rname", "pos", "flag", "cigar", "seq")).where("offset is not null").select("rec_idx", "rname", "position", "offset")
-    return calls.join(at, ["rec_idx", "offset"]).groupBy("rname", "position", "code").agg(F.count("*").alias("n"), F.sum("probability").alias("p"))
+    calls = kernels.modifications(df, keep=["rname", "pos", "cigar"])
+    at = calls.select("rname", pileup.position_of(F.col("pos"), F.col("cigar"), F.col("offset")).alias("position"), "code", "probability").where("position is not null")
+    return at.groupBy("rname", "position", "code").agg(F.count("*").alias("n"), F.sum("probability").alias("p"))

@@ -48,12 +48,65 @@ def test_exact_match_and_insertion():
         K.align(r, r, np.array([1]))
 
 
+def md(pos, cigar, seq, reference):
+    text, n = K.md_nm_of([pos], [cigar], [seq], [reference], [0])
+    return text[0], int(n[0])
+
+
+def cap(pos, cigar, seq, qual, reference):
+    return int(K.caps_of([pos], [cigar], [seq], [qual], [reference], [0], [len(reference)])[0])
+
+
 def test_md_and_caps():
-    assert K.md_nm(1, "4M", "ACGT", "ACGTAC") == ("4", 0)
-    assert K.md_nm(1, "2M2D2M", "ACTT", "ACGGTA") == ("2^GG1A0", 3)
-    assert K.md_nm(2, "1S2M1I1M", "ACGAA", "TCGT") == ("2T0", 2)
-    assert K.cap_of(1, "4M", "ACGT", [30] * 4, "ACGT") == 40 and K.cap_of(None, "*", "", None, "") == -1
-    assert 0 < K.cap_of(1, "8M", "ACGTACGA", [30] * 8, "ACGTACGT") < 40 and K.cap_of(1, "4M60S", "A" * 64, [40] * 64, "CCCC") == -1
+    assert md(1, "4M", "ACGT", "ACGTAC") == ("4", 0)
+    assert md(1, "2M2D2M", "ACTT", "ACGGTA") == ("2^GG1A0", 3)
+    assert md(2, "1S2M1I1M", "ACGAA", "TCGT") == ("2T0", 2)
+    assert md(1, "1=1X1M2D1M", "aCNg", "ATNGCG") == ("1T0N0^GC1", 4)
+    assert md(3, "4M", "GTAC", "ACGT") == ("2N0N0", 2)
+    assert cap(1, "4M", "ACGT", [30] * 4, "ACGT") == 40
+    assert 0 < cap(1, "8M", "ACGTACGA", [30] * 8, "ACGTACGT") < 40 and cap(1, "4M60S", "A" * 64, [40] * 64, "CCCC") == -1
+    assert cap(1, "", "", None, "") == 40 and cap(3, "4M10S", "GTAC" + "A" * 10, [40] * 14, "ACGT") == 40  # what leaves the reference, and after it
+
+
+def plain_md(pos, cigar, seq, reference):
+    """Base by base."""
+    out, run, n, at, i = "", 0, 0, pos - 1, 0
+    for k, o in K.operations(cigar):
+        for _ in range(k):
+            ref = reference[at].upper() if at < len(reference) else "N"
+            if o in "M=X":
+                same = o == "=" or o == "M" and (seq[i].upper() == ref != "N" or seq[i] == "=")
+                out, run, n = (out, run + 1, n) if same else (f"{out}{run}{ref}", 0, n + 1)
+            at, i, n = at + (o in "M=XDN"), i + (o in "M=XIS"), n + (o in "ID")
+        if o == "D":
+            out, run = f"{out}{run}^{reference[at - k : at].upper()}", 0
+    return out + str(run), n
+
+
+def test_batches_and_pieces_of_references(spark, monkeypatch):
+    """Many reads at once, beside pieces of references much shorter than these; against base by base."""
+    from strandlake.operators import references
+
+    monkeypatch.setattr(references, "PIECES", (64, 256, 1 << 31))
+    rng = random.Random(8)
+    names = {f"c{k}": "".join(rng.choice("ACGTacgtN") for _ in range(700 + k)) for k in range(2)}
+    rows = []
+    for i in range(150):
+        ops = [(rng.randrange(1, 40 if rng.random() < 0.95 else 200), rng.choice("MMMIDN=X")) for _ in range(rng.randrange(1, 6))]
+        cigar = "3S" + "".join(f"{n}{o}" for n, o in ops) + "2S1H"
+        size = 5 + sum(n for n, o in ops if o in "MI=X")
+        rows.append((i, f"c{i % 2}", rng.randrange(1, 690), cigar, "".join(rng.choice("ACGTN") for _ in range(size)), "".join(chr(33 + rng.randrange(60)) for _ in range(size))))
+    rows.append((999, None, None, "*", "", None))
+    df = spark.createDataFrame(rows, "rec_idx long, rname string, pos long, cigar string, seq string, qual string").repartition(3)
+    refs = spark.createDataFrame(list(names.items()), "name string, seq string")
+    got = {r["rec_idx"]: r for r in K.with_md_nm(df, refs).collect()}
+    caps = {r["rec_idx"]: r["cap"] for r in K.with_mapq_cap(df, refs).collect()}
+    for i, name, pos, cigar, seq, qual in rows[:-1]:
+        assert (got[i]["md_new"], got[i]["nm_new"]) == plain_md(pos, cigar, seq, names[name])
+        assert caps[i] == cap(pos, cigar, seq, [ord(c) - 33 for c in qual], names[name])
+    assert got[999]["md_new"] is None and caps[999] == -1
+    with pytest.raises(Exception, match="no reference named"):
+        K.with_md_nm(df, refs.where("name = 'c0'")).collect()
 
 
 def test_base_modifications():
