@@ -42,9 +42,8 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows that Scope lets an Arrow batch have: texts and sets are long, and both sides hold a batch whole.
-BATCH = 2000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: What Scope lets an Arrow batch have: texts and sets are long, and both sides hold a batch whole.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -63,13 +62,14 @@ def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 class Scope:
     """An operator's intermediate tables. ``result`` writes what it returns and deletes the others, so that they don't pile up in the shared folder.
 
-    Until then Arrow batches hold at most BATCH rows.
+    Until then Arrow batches are small (BATCH).
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
-        self.rows = spark.conf.get(_ROWS)
-        spark.conf.set(_ROWS, min(int(self.rows), BATCH) if int(self.rows) > 0 else BATCH)
+        self.before = {k: spark.conf.get(k) for k in BATCH}
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
 
     def path(self, name: str) -> str:
         self.paths.append(path := new_path(self.spark, name))
@@ -86,7 +86,8 @@ class Scope:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
         self.paths = []
-        self.spark.conf.set(_ROWS, self.rows)
+        for k, v in self.before.items():
+            self.spark.conf.set(k, v)
         return out
 
 

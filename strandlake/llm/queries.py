@@ -58,7 +58,9 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(table(spark, sf_dir, "documents"), num=4, den=5)
+    """-1 stands for no line."""
+    found = line_classes(table(spark, sf_dir, "documents"), num=4, den=5)
+    return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("like_doc_id", "like_line")})
 
 
 QUERIES = {
@@ -74,4 +76,40 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words as the operators have them, in SQL: A-Z lower-cased, between ASCII white space.
+_WORDS = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_SHINGLES = "case when len(w) < 4 then case when len(w) = 0 then [] else [array_to_string(w, ' ')] end else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end"
+_BASE32 = "array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((cast(concat('0x', substr(h, cast(i * 5 + 1 as bigint), 5)) as int) >> b) & 31) + 1 as bigint), 1)), '')), '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": (
+        f"with recursive d as materialized (select doc_id, {_SHINGLES} as s from (select doc_id, {_WORDS.format('text')} as w from documents)), "
+        "x as materialized (select doc_id, len(s) as n, unnest(s) as t from d), "
+        "e as materialized (select a.doc_id as a, b.doc_id as b from x a join x b using (t) where a.doc_id <> b.doc_id group by 1, 2 having 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))), "
+        "r(a, b) as (select a, a from e union select r.a, e.b from r join e on r.b = e.a), c as (select a, min(b) as c from r group by a) "
+        "select doc_id, cast(len(s) as bigint) as n_shingles, coalesce(c, doc_id) as component_id, coalesce(c, doc_id) = doc_id as kept from d left join c on doc_id = a"
+    ),
+    "op5_warc": (
+        "with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h, max(page_id) over (partition by coalesce(html, '')) as r from pages) "
+        f"select page_id, cast(n as bigint) as payload_bytes, {_BASE32} as payload_digest, case when page_id = r then 'response' else 'revisit' end as record_type, case when page_id < r then r end as refers_to from p"
+    ),
+    "op9_exact_topk": (
+        "with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as x from embeddings where vec_id is not null and embedding is not null "
+        "and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), "
+        "s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x)) "
+        "select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s qualify rank <= 20"
+    ),
+    "op10_line_dedup": (
+        "with l as materialized (select doc_id, cast(i - 1 as int) as line, list_sort(list_distinct(w)) as s from "
+        f"(select doc_id, i, {_WORDS.format('x')} as w from (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)) where len(w) > 0), "
+        "c as materialized (select s, min(struct_pack(d := doc_id, l := line)) as f, len(s) as n, row_number() over () as id from l group by s), "
+        "p as (select id, n, unnest(s) as t from c), f as (select t, count(*) as df from p group by t), "
+        # The rarest n - ceil(4 n / 5) + 1 words of a set of n: sets alike share one of them.
+        "k as (select id, n, t from p join f using (t) qualify row_number() over (partition by id order by df, t) <= n - (4 * n + 4) // 5 + 1), "
+        "q as (select distinct a.id as a, b.id as b from k a join k b using (t) where a.id <> b.id and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)), "
+        "m as (select q.a, x.f as mine, y.f as other, len(list_intersect(x.s, y.s)) as shared, x.n + y.n as total from q join c x on x.id = q.a join c y on y.id = q.b), "
+        "g as (select a as id, count(*) as n_links, min(other) as o from m where 5 * shared >= 4 * (total - shared) group by a) "
+        "select l.doc_id, l.line, c.f.d as class_doc_id, c.f.l as class_line, coalesce(n_links, 0) as n_links, coalesce(g.o.d, -1) as like_doc_id, coalesce(g.o.l, -1) as like_line, "
+        "l.doc_id <> c.f.d or l.line <> c.f.l or coalesce(g.o < c.f, false) as removed from l join c using (s) left join g on g.id = c.id"
+    ),
+}
