@@ -1,7 +1,8 @@
 """BAM: a codec, a source and a sink.
 
-Records straddle blocks, so a file is split only where a list of record starts (virtual offsets) lies
-beside it; ``split_points`` makes one. Without it a file is one task's work; files are read in parallel.
+Records straddle blocks. A file is read in byte ranges: a task looks for the first place in its range from
+which records can follow one another. A list of record starts (virtual offsets) beside the file, as
+``split_points`` makes it, is used instead where there is one.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .bgzf import BLOCK, END, block_size, compress_block
+from .files import ByteRange, FolderWriter, byte_ranges, listed, open_path
 
 #: 4-bit bases and CIGAR operators by code. Fixed values.
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
@@ -210,11 +212,55 @@ def write_bam(header: str, rows: Iterable[dict], level: int = 6) -> bytes:
     return b"".join([*out, END])
 
 
-def open_path(path: str):
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
-    return system, inner
+def plausible(data: bytes, at: int, n_references: int) -> int | None:
+    """Where the next record would begin if one began at ``at``; None if none can begin there, -1 if the data end before that shows."""
+    if at + 36 > len(data):
+        return -1
+    size, rid, pos, ln, _, _, n_ops, _, n, nid, npos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    if not (32 <= size < 1 << 28 and -1 <= rid < n_references and -1 <= nid < n_references and pos >= -1 and npos >= -1 and ln and 0 <= n and 32 + ln + 4 * n_ops + (n + 1) // 2 + n <= size):
+        return None
+    name = data[at + 36 : at + 36 + ln]
+    if len(name) == ln and (name[-1] or not all(33 <= c <= 126 for c in name[:-1])):
+        return None
+    return at + 4 + size
+
+
+def first_record(file, start: int, follows, chain: int = 4, most: int = 1 << 26) -> int | None:
+    """The virtual offset of the first record that begins in a block from byte ``start`` on.
+
+    ``follows(data, at)``: as plausible. A place counts if records can follow one another from there, ``chain`` of them
+    or up to the end.
+    """
+    from .bgzf import BgzfReader
+
+    file.seek(0, 2)
+    n = file.tell()
+    at = BgzfReader._first(file, start, n)
+    data, places = b"", []  # (where a block's data begin, the block)
+    scanned = 0
+    while at < n and len(data) < most:
+        want = len(data) + (1 << 18)
+        while at < n and len(data) < want:
+            file.seek(at)
+            size = block_size(file.read(64))
+            if size is None:
+                raise ValueError(f"no block at {at}")
+            file.seek(at)
+            places.append((len(data), at))
+            data += zlib.decompress(file.read(size), 31)
+            at += size
+        while scanned < len(data):
+            here, steps = scanned, 0
+            while here is not None and 0 <= here < len(data) and steps < chain:
+                here, steps = follows(data, here), steps + 1
+            if here is None or here < 0 and at < n and steps < 2:
+                if here is not None:
+                    break  # more data are needed to tell
+                scanned += 1
+                continue
+            inside, block = next((p, b) for p, b in reversed(places) if p <= scanned)
+            return block << 16 | scanned - inside
+    return None
 
 
 class Part(InputPartition):
@@ -223,19 +269,18 @@ class Part(InputPartition):
 
 
 class BamReader(DataSourceReader):
-    """Option ``region`` (contig:from-to): only the chunks that a file's index names are read, one task each."""
+    """Option ``region`` (contig:from-to): only the chunks that a file's index names are read, one task each. ``splitBytes``: the size of byte ranges."""
 
     def __init__(self, options: dict):
         self.path, self.region = options["path"], options.get("region")
+        self.size = int(options.get("splitbytes", 32 << 20))
 
     def partitions(self):
         from pyarrow import fs
 
-        system, inner = open_path(self.path)
-        info = system.get_file_info(inner)
-        paths = [inner] if info.type == fs.FileType.File else sorted(x.path for x in system.get_file_info(fs.FileSelector(inner)) if x.path.endswith(".bam"))
+        system, _ = open_path(self.path)
         out = []
-        for p in paths:
+        for p in listed(self.path, (".bam",)):
             if self.region:
                 out += self._chunks(system, p)
             elif system.get_file_info(f"{p}.splits").type == fs.FileType.File:
@@ -243,7 +288,7 @@ class BamReader(DataSourceReader):
                     points = json.loads(f.read())
                 out += [Part(p, a, b) for a, b in zip(points, [*points[1:], None], strict=True)]
             else:
-                out.append(Part(p, None, None))
+                out += [x for x in byte_ranges(self.path, (".bam",), self.size) if x.path == p]
         return out
 
     def _chunks(self, system, path: str) -> list[Part]:
@@ -281,12 +326,18 @@ class BamReader(DataSourceReader):
         with system.open_input_file(partition.path) as f:
             blocks = Blocks(f)
             _, references = read_header(blocks)
-            if partition.start is not None:
-                blocks = Blocks(f, partition.start)
-            i = partition.start or 0
+            start, stop = partition.start, partition.stop
+            if isinstance(partition, ByteRange):
+                stop <<= 16
+                start = first_record(f, start, lambda data, at: plausible(data, at, len(references))) if start else blocks.tell()
+                if start is None:
+                    return
+            if start is not None:
+                blocks = Blocks(f, start)
+            i = start or 0
             while True:
                 at = blocks.tell()
-                if partition.stop is not None and at >= partition.stop:
+                if stop is not None and at >= stop:
                     return
                 n = blocks.int()
                 if n is None:
@@ -296,49 +347,6 @@ class BamReader(DataSourceReader):
                     yield (*row, max(at, i))
 
 
-class Written(WriterCommitMessage):
-    def __init__(self, name: str, final: str):
-        self.name, self.final = name, final
-
-
-class BamWriter(DataSourceWriter):
-    """One BAM file per partition; files get their names when all tasks are done."""
-
-    def __init__(self, options: dict, names: list[str]):
-        self.path, self.header, self.names = options["path"], options["header"], names
-
-    def write(self, iterator):
-        import uuid
-
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        rows = (self._plain(r) for r in iterator)
-        system, inner = open_path(self.path)
-        system.create_dir(inner, recursive=True)
-        name = f"{inner}/.{uuid.uuid4().hex}"
-        with system.open_output_stream(name) as f:
-            f.write(write_bam(self.header, rows))
-        return Written(name, f"{inner}/part-{part:05d}.bam")
-
-    def _plain(self, row) -> dict:
-        r = dict(zip(self.names, row, strict=True))
-        r["aux"] = {k: {"type": v[0], "value": v[1]} for k, v in (r.get("aux") or {}).items()}
-        return r
-
-    def commit(self, messages):
-        system, _ = open_path(self.path)
-        for m in messages:
-            if m is not None:
-                system.move(m.name, m.final)
-
-    def abort(self, messages):
-        system, _ = open_path(self.path)
-        for m in messages:
-            if m is not None:
-                system.delete_file(m.name)
-
-
 class BamSource(DataSource):
     """spark.dataSource.register(BamSource); read.format("bam").load(path); write.format("bam").option("header", text).mode("append").save(folder)"""
 
@@ -350,7 +358,14 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return BamReader(dict(self.options))
+        return BamReader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite):
-        return BamWriter(dict(self.options), schema.fieldNames())
+        names, header = schema.fieldNames(), self.options["header"]
+
+        def plain(row) -> dict:
+            r = dict(zip(names, row, strict=True))
+            r["aux"] = {k: {"type": v[0], "value": v[1]} for k, v in (r.get("aux") or {}).items()}
+            return r
+
+        return FolderWriter(self.options["path"], "bam", lambda rows: iter([write_bam(header, map(plain, rows))]))

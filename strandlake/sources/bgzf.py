@@ -83,12 +83,21 @@ class Split(InputPartition):
         self.path, self.start, self.stop = path, start, stop
 
 
+class Chunk(Split):
+    """Lines that begin between two virtual offsets."""
+
+
 class BgzfReader(DataSourceReader):
-    """Lines of a block-gzip file; each task takes the blocks that start in its byte range, and the lines that start in them."""
+    """Lines of a block-gzip file; each task takes the blocks that start in its byte range, and the lines that start in them.
+
+    Options ``region`` (contig:from-to) and ``preset`` (sam, vcf, bed, gff): only lines that meet the region, from the chunks
+    that the file's index names, or from all of the file where there is no index.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.size = int(options.get("splitBytes", 16 << 20))
+        self.size = int(options.get("splitbytes", 16 << 20))
+        self.region, self.preset = options.get("region"), options.get("preset", "vcf")
 
     def _file(self):
         from pyarrow import fs
@@ -97,6 +106,14 @@ class BgzfReader(DataSourceReader):
         return system.open_input_file(path)
 
     def partitions(self):
+        if self.region:
+            from .files import open_path
+            from .index import region_chunks
+
+            system, inner = open_path(self.path)
+            chunks = region_chunks(system, inner, self.region)
+            if chunks is not None:
+                return [Chunk(self.path, lo, hi) for lo, hi in chunks]
         with self._file() as f:
             n = f.size()
         return [Split(self.path, i, min(i + self.size, n)) for i in range(0, n, self.size)]
@@ -113,6 +130,26 @@ class BgzfReader(DataSourceReader):
         return n
 
     def read(self, partition):
+        if not self.region:
+            yield from self._lines(partition)
+            return
+        from .index import PRESETS, line_meets
+
+        for (line,) in self._chunk(partition) if isinstance(partition, Chunk) else self._lines(partition):
+            if line and not line.startswith(PRESETS[self.preset][4]) and line_meets(line, self.preset, self.region):
+                yield (line,)
+
+    def _chunk(self, partition):
+        from .bam import Blocks
+        from .index import lines_of
+
+        with self._file() as f:
+            for line, start, _ in lines_of(Blocks(f, partition.start)):
+                if start >= partition.stop:
+                    return
+                yield (line,)
+
+    def _lines(self, partition):
         with self._file() as f:
             n = f.size()
             at = 0 if partition.start == 0 else self._first(f, partition.start, n)
@@ -175,7 +212,7 @@ class BgzfSource(DataSource):
         return "line string"
 
     def reader(self, schema):
-        return BgzfReader(dict(self.options))
+        return BgzfReader({k.lower(): v for k, v in self.options.items()})
 
 
 def detect(head: bytes) -> tuple[str, str]:

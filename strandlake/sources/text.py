@@ -74,6 +74,19 @@ def parse_bed(lines: DataFrame) -> DataFrame:
     return rows.select("r.*", "region_idx")
 
 
+def parse_gff(lines: DataFrame) -> DataFrame:
+    """contig, source, type, beg, stop, score, strand, phase, attributes (map), rec_idx; 0-based, half-open. Comments, directives and sequences go."""
+    f = F.split("line", "\t")
+    at = lambda i: F.nullif(F.try_element_at(f, F.lit(i)), F.lit("."))
+    rows = lines.where(~F.col("line").startswith("#") & (F.size(f) >= 8))
+    pairs = F.filter(F.transform(F.split(F.coalesce(at(9), F.lit("")), ";"), lambda x: F.split(F.trim(x), "=", 2)), lambda p: F.size(p) == 2)
+    attributes = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p[0], p[1])))
+    return rows.select(
+        at(1).alias("contig"), at(2).alias("source"), at(3).alias("type"), (at(4).cast("long") - 1).alias("beg"), at(5).cast("long").alias("stop"), at(6).cast("double").alias("score"),
+        at(7).alias("strand"), at(8).cast("int").alias("phase"), attributes.alias("attributes"), "rec_idx",
+    )
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """name, definition, seq, rec_idx: a record begins at each '>' that starts a line; sequences may have several lines."""
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("v"), F.monotonically_increasing_id().alias("rec_idx"))
