@@ -15,6 +15,11 @@ from ..functions.filters import Compiler, cigar_sum, flag_filter, hard_clip, rea
 from ..operators import fastx, intervals, pileup
 from ..operators import variants as vo
 from ..sources import text as T
+from ..sources.bam import SCHEMA as BAM_SCHEMA
+from ..sources.bam import BamSource
+from ..sources.bcf import BcfSource
+from ..sources.bgzf import BgzfSource
+from ..sources.files import FastqSource, LineSource, listed, removed, shared_folder
 from .views import reads, select_sql, view
 
 A, I, VV = (f"({select_sql(v)})" for v in ("alignments", "intervals", "variants"))
@@ -579,3 +584,101 @@ def base_mod_pileup(spark, sf):
     calls = kernels.modifications(df, keep=["rname", "pos", "cigar"])
     at = calls.select("rname", pileup.position_of(F.col("pos"), F.col("cigar"), F.col("offset")).alias("position"), "code", "probability").where("position is not null")
     return at.groupBy("rname", "position", "code").agg(F.count("*").alias("n"), F.sum("probability").alias("p"))
+
+
+#: Headers of the files that the round trips write.
+SAM_HEADER = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:chr{i}\tLN:2000000000\n" for i in range(1, 6))
+VCF_HEADER = (
+    "##fileformat=VCFv4.3\n" + "".join(f"##contig=<ID=chr{i}>\n" for i in range(1, 6)) + '##FILTER=<ID=PASS,Description="All passed">\n##INFO=<ID=END,Number=1,Type=Integer,Description="End">\n'
+    '##INFO=<ID=SVLEN,Number=A,Type=Integer,Description="Length">\n##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\n'
+)
+
+
+def through_files(rows: DataFrame, kind: str, options: dict[str, str], read: Callable[[SparkSession, str], DataFrame], result: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Writes ``rows``, reads the files again and keeps ``result`` of them; the files go."""
+    spark = rows.sparkSession
+    for source in (BamSource, BcfSource, BgzfSource, FastqSource, LineSource):
+        spark.dataSource.register(source)
+    folder, out = shared_folder(spark, kind), shared_folder(spark, f"{kind}-result")
+    if kind == "text":
+        rows.write.text(folder)
+    else:
+        rows.write.format(kind).options(**options).mode("append").save(folder)
+    result(read(spark, folder)).write.parquet(out)
+    removed(spark, folder)
+    return spark.read.parquet(out)
+
+
+def read_sums(df: DataFrame) -> DataFrame:
+    value = F.col("aux")["NM"]["value"].cast("long")
+    return df.groupBy("rname", "cigar").agg(F.count("*").alias("n"), F.sum("pos").alias("pos"), F.sum("flag").alias("flag"), F.sum("mapq").alias("mapq"), F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("nm"), F.min("seq").alias("low"), F.max("qname").alias("high"))
+
+
+READ_SUMS = f"select rname, cigar, count(*) as n, cast(sum(pos) as bigint) as pos, cast(sum(flag) as bigint) as flag, cast(sum(mapq) as bigint) as mapq, cast(sum(nm) as bigint) as nm, min(seq) as low, max(qname) as high from {A} group by rname, cigar"
+
+
+def ordered_reads(spark: SparkSession, sf: str) -> DataFrame:
+    return reads(spark, sf).withColumn("aux_order", F.map_keys("aux"))
+
+
+@query(READ_SUMS)
+def bam_round_trip(spark, sf):
+    """All reads written as BAM files and read back in byte ranges."""
+    names = [x.split()[0] for x in BAM_SCHEMA.replace("map<string,struct<type:string,value:string>>", "map").split(", ")]
+    rows = ordered_reads(spark, sf).select(*names)
+    return through_files(rows, "bam", {"header": SAM_HEADER}, lambda s, p: s.read.format("bam").option("splitBytes", 1 << 20).load(p), read_sums)
+
+
+@query(READ_SUMS)
+def sam_round_trip(spark, sf):
+    """All reads written as SAM files with a header and read back."""
+    lines = ordered_reads(spark, sf).select(T.sam_line().alias("line"))
+    return through_files(lines, "lines", {"header": SAM_HEADER, "extension": "sam"}, lambda s, p: T.parse_sam(T.numbered_lines(s, p)), read_sums)
+
+
+def vcf_lines(spark: SparkSession, sf: str) -> DataFrame:
+    info = F.concat_ws(";", F.when(F.col("info_end").isNotNull(), F.concat(F.lit("END="), F.col("info_end").cast("string"))), F.when(F.col("svlen").isNotNull(), F.concat(F.lit("SVLEN="), F.col("svlen").cast("string"))))
+    none = F.lit(None).cast("string")
+    rows = view(spark, sf, "variants").select("contig", "pos", none.alias("id"), "ref", F.array("alt").alias("alts"), none.cast("float").alias("qual"), F.array(F.lit("PASS")).alias("filters"), info.alias("info"), F.array(F.lit("GT")).alias("format"), F.array(F.array("gt")).alias("samples"))
+    return rows.select(T.vcf_line().alias("line"))
+
+
+def variant_sums(lines: DataFrame) -> DataFrame:
+    v = T.parse_vcf(lines)
+    number = lambda key: F.sum(V.values_of(V.info_of(F.col("info"), key), "long")[0]).alias(key.lower())
+    return v.groupBy("contig", "ref", F.col("alts")[0].alias("alt"), F.col("samples")[0][0].alias("gt")).agg(F.count("*").alias("n"), F.sum("pos").alias("pos"), F.coalesce(number("END"), F.lit(0)).alias("end_"), F.coalesce(number("SVLEN"), F.lit(0)).alias("svlen"))
+
+
+VARIANT_SUMS = f"select contig, ref, alt, gt, count(*) as n, cast(sum(pos) as bigint) as pos, cast(coalesce(sum(info_end), 0) as bigint) as end_, cast(coalesce(sum(svlen), 0) as bigint) as svlen from {VV} group by contig, ref, alt, gt"
+
+
+@query(VARIANT_SUMS)
+def vcf_round_trip(spark, sf):
+    """All variants written as block-compressed VCF files and read back by blocks."""
+    read = lambda s, p: bgzf_lines(s, p)
+    return through_files(vcf_lines(spark, sf), "lines", {"header": VCF_HEADER, "extension": "vcf.gz"}, read, variant_sums)
+
+
+def bgzf_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of all block-gzip files of a folder."""
+    out = None
+    for path in listed(folder, (".gz",)):
+        each = spark.read.format("bgzf").load(path)
+        out = each if out is None else out.unionByName(each)
+    empty = spark.createDataFrame([], "line string")
+    return (out if out is not None else empty).withColumn("rec_idx", F.lit(0))
+
+
+@query(VARIANT_SUMS)
+def bcf_round_trip(spark, sf):
+    """All variants written as BCF files and read back in byte ranges."""
+    return through_files(vcf_lines(spark, sf), "bcf", {"header": VCF_HEADER}, lambda s, p: s.read.format("bcf").option("splitBytes", 1 << 18).load(p), variant_sums)
+
+
+@query(f"select seq, qual, substr(definition, 1, 3) as d, count(*) as n, min(name) as low, max(name) as high from ({FASTQ}) group by seq, qual, d")
+def fastq_round_trip(spark, sf):
+    """Sequences written as FASTQ files and read back in byte ranges."""
+    text = F.concat(F.lit("@"), "name", F.lit(" "), "definition", F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
+    sums = lambda df: df.groupBy("seq", "qual", F.substring("definition", 1, 3).alias("d")).agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"))
+    rows = fastq(spark, sf).select(text.alias("line"))
+    return through_files(rows, "lines", {"extension": "fastq"}, lambda s, p: s.read.format("fastq").option("splitBytes", 1 << 16).load(p), sums)

@@ -26,6 +26,24 @@ def listed(path: str, endings: tuple[str, ...]) -> list[str]:
     return sorted(x.path for x in system.get_file_info(fs.FileSelector(inner)) if x.path.endswith(endings) and not x.base_name.startswith((".", "_")))
 
 
+def shared_folder(spark, name: str) -> str:
+    """A fresh folder under spark.checkpoint.dir, which all executors share; a local one where that is unset and all runs in one process."""
+    import tempfile
+    import uuid
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.gettempdir()}"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class ByteRange(InputPartition):
     """Records that begin in [start, stop) of a file."""
 
