@@ -200,10 +200,9 @@ def _text(v: Value, what: str, at: int) -> Column:
 
 
 def _bytes(s: Column) -> Column:
-    """The bytes of a string as an array of numbers."""
-    h = F.hex(s.cast("binary"))
-    n = F.octet_length(s)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    """The bytes of a string as an array of numbers: as Latin-1 each byte is a character."""
+    characters = F.split(F.decode(s.cast("binary"), "ISO-8859-1"), "")
+    return F.transform(F.filter(characters, lambda c: F.length(c) > 0), F.ascii)
 
 
 class Compiler:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,11 +27,23 @@ def classify(ref: Column, alt: Column) -> Column:
     bases; the last base of either stays. One base left on both sides is a SNP, equally many an MNP; a
     side that is used up makes an insertion or a deletion; anything else is OTHER.
     """
-    r, a = F.upper(ref), F.upper(alt)
-    n, m = F.length(ref), F.length(alt)
-    p = common_prefix(r, a)
-    # What may be cut from the end: all but one base of what is left on each side.
-    s = F.least(common_prefix(F.reverse(F.substring(r, p + 1, n)), F.reverse(F.substring(a, p + 1, m))), n - p - 1, m - p - 1)
+    first = F.struct(F.upper(ref).alias("r"), F.upper(alt).alias("a"), F.length(ref).alias("n"), F.length(alt).alias("m"))
+    return _once(first, lambda v: _once(common_prefix(v["r"], v["a"]), lambda p: _once(_common_end(v, p), lambda s: _kind(ref, alt, v, p, s))))
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, for which the value is worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _common_end(v: Column, p: Column) -> Column:
+    """What may be cut from the end: all but one base of what is left on each side."""
+    r, a = (F.reverse(F.substring(v[x], p + 1, v[n])) for x, n in (("r", "n"), ("a", "m")))
+    return F.least(common_prefix(r, a), v["n"] - p - 1, v["m"] - p - 1)
+
+
+def _kind(ref: Column, alt: Column, v: Column, p: Column, s: Column) -> Column:
+    r, a, n, m = (v[c] for c in "ranm")
     x, y = n - p - s, m - p - s
     equal_left = F.substring(r, p + x, F.lit(1)) == F.substring(a, p + y, F.lit(1))
     bracket = alt.rlike(r"[\[\]]$")
