@@ -40,6 +40,14 @@ def codes(seq: str) -> np.ndarray:
     return table[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
 
 
+def _decay(x: np.ndarray, rate: float) -> np.ndarray:
+    """Sums of x up to each place, those further back weighted by powers of ``rate``."""
+    n = len(x)
+    if rate > 0:
+        n = min(n, 1 + int(-45 / math.log(rate))) if rate < 1 else n  # beyond that the weights are less than rounding
+    return np.convolve(x, rate ** np.arange(max(n, 1)))[: len(x)]
+
+
 def align(reference: np.ndarray, query: np.ndarray, quality: np.ndarray | None = None, gaps: Gaps = Gaps()) -> tuple[int, np.ndarray, np.ndarray]:
     """(Phred likelihood, state per base, Phred quality of the state) of a query within a reference window.
 
@@ -78,10 +86,7 @@ def align(reference: np.ndarray, query: np.ndarray, quality: np.ndarray | None =
             p = 1 / scale[i - 1]
             fm[i, k] = same[i - 1, lo - 1 : hi] * p * (mm * fm[i - 1, before] + im * fi[i - 1, before] + dm * fd[i - 1, before])
             fi[i, k] = INSERTED * p * (mi * fm[i - 1, k] + ii * fi[i - 1, k])
-            run = 0.0
-            for c in range(lo, hi + 1):
-                run = md * fm[i, c - 1] + dd * run
-                fd[i, c] = run
+            fd[i, k] = _decay(md * fm[i, before], dd)
         scale[i] = fm[i].sum() + fi[i].sum() + fd[i].sum()
     last = slice(*(lambda lo, hi: (lo, hi + 1))(*span(n)))
     scale[n + 1] = (fm[n, last].sum() + fi[n, last].sum()) * leave / scale[n]
@@ -92,20 +97,17 @@ def align(reference: np.ndarray, query: np.ndarray, quality: np.ndarray | None =
             phred += PHRED * math.log(product)
             product = 1.0
     phred += PHRED * math.log(product * m * n)
-    bm, bi, bd = (np.zeros((n + 2, m + 3)) for _ in range(3))
+    bm, bi = (np.zeros((n + 2, m + 3)) for _ in range(2))
     bm[n, last] = bi[n, last] = leave / scale[n] / scale[n + 1]
     for i in range(n - 1, 0, -1):
         lo, hi = span(i)
-        run = 0.0
-        first = 1.0 if i > 1 else 0.0
-        for c in range(hi, lo - 1, -1):
-            hit = 0.0 if c >= m else same[i, c] * bm[i + 1, c + 1]
-            bm[i, c] = hit * mm + INSERTED * mi * bi[i + 1, c] + md * run
-            bi[i, c] = hit * im + INSERTED * ii * bi[i + 1, c]
-            run = (hit * dm + dd * run) * first
-            bd[i, c] = run
-        for b in (bm, bi, bd):
-            b[i, lo : hi + 1] /= scale[i]
+        k, stop = slice(lo, hi + 1), min(hi, m - 1)
+        hit = np.zeros(hi - lo + 1)
+        hit[: stop - lo + 1] = same[i, lo : stop + 1] * bm[i + 1, lo + 1 : stop + 2]
+        # A deletion that goes on from each column, and what it is worth from the next one on.
+        gone = _decay(hit[::-1] * dm, dd)[::-1] * (i > 1)
+        bm[i, k] = (hit * mm + INSERTED * mi * bi[i + 1, k] + md * np.append(gone[1:], 0.0)) / scale[i]
+        bi[i, k] = (hit * im + INSERTED * ii * bi[i + 1, k]) / scale[i]
     state, post = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     for i in range(1, n + 1):
         lo, hi = span(i)

@@ -96,14 +96,28 @@ def columns(reads: DataFrame) -> DataFrame:
     return rows.groupBy("rname", "position").agg(F.count("*").alias("depth"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "").alias("bases"))
 
 
-def islands(reads: DataFrame) -> DataFrame:
+def islands(reads: DataFrame, width: int = 1 << 20) -> DataFrame:
     """Consecutive reads of one name get one number: island, by order of rec_idx within each contig.
 
-    A read starts an island if the one before it has another name.
+    A read starts an island if the one before it has another name. Rows are ordered within blocks of ``width`` numbers
+    of rec_idx; only a row per block is ordered within a contig, to say how the block before it ends.
     """
-    w = Window.partitionBy("rname").orderBy("rec_idx")
-    new = F.when(F.col("qname").eqNullSafe(F.lag("qname").over(w)), 0).otherwise(1)
-    return reads.withColumn("__new", new).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    blocks = reads.withColumn("__block", F.floor(F.col("rec_idx") / width))
+    w = Window.partitionBy("rname", "__block").orderBy("rec_idx")
+    own = F.when(F.row_number().over(w) == 1, F.lit(0)).when(F.col("qname").eqNullSafe(F.lag("qname").over(w)), 0).otherwise(1)
+    rows = blocks.withColumn("__new", own).withColumn("__n", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = blocks.groupBy("rname", "__block").agg(F.min_by(F.struct("qname"), "rec_idx").alias("a"), F.max_by(F.struct("qname"), "rec_idx").alias("z"))
+    inner = rows.groupBy("rname", "__block").agg(F.sum("__new").alias("k"))
+    before = ends.join(inner, _same("rname", ends, inner) & (ends["__block"] == inner["__block"])).select(ends["rname"].alias("__r"), ends["__block"].alias("__b"), "a", "z", "k")
+    order = Window.partitionBy("__r").orderBy("__b")
+    starts = F.when(F.col("a.qname").eqNullSafe(F.lag("z.qname").over(order)) & F.lag("z").over(order).isNotNull(), 0).otherwise(1)
+    before = before.withColumn("__starts", starts).withColumn("__base", F.sum(F.col("__starts") + F.col("k")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"))
+    both = rows.join(before.select("__r", "__b", "__base"), F.col("rname").eqNullSafe(F.col("__r")) & (F.col("__block") == F.col("__b")))
+    return both.withColumn("island", F.col("__base") + F.col("__n")).select(*reads.columns, "island")
+
+
+def _same(name: str, a: DataFrame, b: DataFrame) -> Column:
+    return a[name].eqNullSafe(b[name])
 
 
 def template_lengths(reads: DataFrame) -> DataFrame:

@@ -15,10 +15,17 @@ def last_of_position(records: DataFrame) -> DataFrame:
     return records.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def unsorted(records: DataFrame) -> DataFrame:
-    """Records that come before their predecessor's position on the contig; none in a sorted input."""
-    w = Window.partitionBy("contig").orderBy("rec_idx")
-    return records.withColumn("__before", F.lag("pos").over(w)).where("pos < __before").drop("__before")
+def unsorted(records: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Records that come before their predecessor's position on the contig; none in a sorted input.
+
+    Rows are ordered within blocks of ``width`` numbers of rec_idx, and only a row per block within a contig.
+    """
+    blocks = records.withColumn("__block", F.floor(F.col("rec_idx") / width))
+    ends = blocks.groupBy("contig", "__block").agg(F.max_by("pos", "rec_idx").alias("__last"))
+    ends = ends.withColumn("__last", F.lag("__last").over(Window.partitionBy("contig").orderBy("__block"))).select(F.col("contig").alias("__c"), F.col("__block").alias("__b"), "__last")
+    rows = blocks.join(ends, F.col("contig").eqNullSafe(F.col("__c")) & (F.col("__block") == F.col("__b")))
+    before = F.coalesce(F.lag("pos").over(Window.partitionBy("contig", "__block").orderBy("rec_idx")), "__last")
+    return rows.withColumn("__before", before).where("pos < __before").select(*records.columns)
 
 
 def synced(inputs: list[DataFrame], columns: tuple[str, ...] = ("ref", "alt")) -> DataFrame:

@@ -158,3 +158,27 @@ def test_text_formats(spark, tmp_path):
     assert [tuple(r)[:3] for r in T.read_fasta(spark, str(tmp_path / "a.fa")).orderBy("rec_idx").collect()] == [("s1", "about it", "ACGTAC"), ("s2", None, "GG")]
     (tmp_path / "a.fq").write_text("@q1 d\nAC\nGT\n+\n@@\nII\n@q2\nA\n+\nI\n")
     assert [tuple(r)[:4] for r in T.read_fastq(spark, str(tmp_path / "a.fq")).orderBy("rec_idx").collect()] == [("q1", "d", "ACGT", "@@II"), ("q2", None, "A", "I")]
+
+
+def test_order_over_blocks(spark):
+    """Islands of names and unsorted records, with blocks of a few rows."""
+    from strandlake.operators.variants import unsorted
+
+    rng = random.Random(4)
+    rows, n = [], 0
+    for i in range(400):
+        n += rng.randrange(1, 4)
+        rows.append((rng.choice(["c1", "c2", None]), n, rng.choice("abc") if rng.random() < 0.9 else None, rng.randrange(100)))
+    df = spark.createDataFrame(rows, "rname string, rec_idx long, qname string, pos long").repartition(3)
+    want, last, at = {}, {}, {}
+    bad = []
+    for c, i, q, p in rows:
+        if c not in last or last[c][0] != q:
+            at[c] = at.get(c, 0) + 1
+        if c in last and p < last[c][1]:
+            bad.append(i)
+        last[c] = q, p
+        want[i] = at[c]
+    for width in (3, 50, 1 << 20):
+        assert {r["rec_idx"]: r["island"] for r in pileup.islands(df, width).collect()} == want
+        assert sorted(r["rec_idx"] for r in unsorted(df.withColumnRenamed("rname", "contig"), width).collect()) == bad
