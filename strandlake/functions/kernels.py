@@ -317,9 +317,18 @@ def _width(span: int, used: int, band: int) -> int:
     return max(band, abs(span - used) + 3)
 
 
-def with_alignment_quality(reads: DataFrame, references: DataFrame, band: int = 7) -> DataFrame:
+def baq_tag(qual: Column, baq: Column) -> Column:
+    """The BQ tag: per base the character 64 + quality - baq, which scalars.shifted_qualities applies and reverts."""
+    own = F.transform(F.split(qual, ""), lambda c: F.ascii(c) - 33)
+    return F.array_join(F.zip_with(own, baq, lambda q, b: F.char(q - b + 64)), "")
+
+
+def with_alignment_quality(reads: DataFrame, references: DataFrame, band: int = 7, extended: bool = False) -> DataFrame:
     """``reads`` with baq: per base the smaller of its quality and the quality of its alignment.
 
+    ``extended``: a base's alignment counts as good as the better ones on both sides of it in its block: the smaller of
+    the best up to it and the best from it on.
+
     Each read is aligned anew to its own stretch of the reference and ``band`` bases on both sides. A matched base whose
     most likely place is another one gets 0; clipped and inserted bases keep their quality. NULL for reads with skips, without
     qualities or unmapped.
@@ -342,7 +351,10 @@ def with_alignment_quality(reads: DataFrame, references: DataFrame, band: int =
             if o in "M=X":
                 k = np.arange(i, i + n)
                 moved = (state[k] & 1 == 1) | (state[k] >> 2 != at + k - i)
-                out[clip + i : clip + i + n] = np.where(moved, 0, np.minimum(quality[clip + i : clip + i + n], post[k])).tolist()
+                sure = np.where(moved, 0, post[k])
+                if extended:
+                    sure = np.minimum(np.maximum.accumulate(sure), np.maximum.accumulate(sure[::-1])[::-1])
+                out[clip + i : clip + i + n] = np.minimum(quality[clip + i : clip + i + n], sure).tolist()
                 at, i = at + n, i + n
             elif o == "D":
                 at += n

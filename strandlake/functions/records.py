@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -179,3 +179,22 @@ STYLES = {"newline": r"\n$", "full_stop": r"\.\s*$", "lower_case": r"^[a-z]"}
 def log_style(message: Column) -> Column:
     """The names of the styles that a message breaks."""
     return F.filter(F.array(*[F.when(message.rlike(p), F.lit(n)) for n, p in STYLES.items()]), lambda x: x.isNotNull())
+
+
+def read_group_libraries(header: str) -> dict[str, str]:
+    """Read group -> library of a SAM header's @RG lines; those without LB have none."""
+    found = {}
+    for line in header.splitlines():
+        if line.startswith("@RG\t"):
+            f = dict(x.split(":", 1) for x in line.split("\t")[1:] if ":" in x)
+            if "ID" in f and "LB" in f:
+                found.setdefault(f["ID"], f["LB"])
+    return found
+
+
+def with_library(reads: DataFrame, header: str) -> DataFrame:
+    """``reads`` with library: that of the read group which the RG tag names, else NULL. A header's read groups become a literal map."""
+    groups = read_group_libraries(header)
+    entries = [x for k, v in groups.items() for x in (F.lit(k), F.lit(v))]
+    known = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
+    return reads.withColumn("library", F.try_element_at(known, F.col("aux")["RG"]["value"]))

@@ -128,3 +128,10 @@ def info_of(info: Column, key: str) -> Column:
     """A key's text in INFO; '' for a flag, NULL where it is missing."""
     hit = F.filter(F.split(info, ";"), lambda x: (x == key) | x.startswith(key + "="))
     return F.substring(F.try_element_at(hit, F.lit(1)), F.lit(len(key) + 2), F.lit(2**31 - 1))
+
+
+def genotypes_of(format: Column, samples: Column) -> Column:
+    """Each sample's GT as a text; NULL for records without GT, an error for a sample that ends before it."""
+    at = F.array_position(format, "GT")
+    one = lambda s: F.when(F.size(s) < at, F.raise_error(F.lit("a sample without its genotype")).cast("string")).otherwise(F.try_element_at(s, at.cast("int")))
+    return F.when(at > 0, F.transform(samples, one))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import alleles, kernels
 from ..functions import records as R
 from ..functions import scalars as S
 from ..functions import variants as V
@@ -440,6 +440,13 @@ def mapq_cap(spark, sf):
     return kernels.with_mapq_cap(df, contigs(df)).select("rec_idx", "cap")
 
 
+@query()
+def baq_extended(spark, sf):
+    df = matched(spark, sf)
+    found = kernels.with_alignment_quality(df, contigs(df), extended=True)
+    return found.select("rec_idx", kernels.baq_tag(F.col("qual"), F.col("baq")).alias("bq"))
+
+
 @query()
 def baq(spark, sf):
     df = matched(spark, sf)
@@ -682,3 +689,47 @@ def fastq_round_trip(spark, sf):
     sums = lambda df: df.groupBy("seq", "qual", F.substring("definition", 1, 3).alias("d")).agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"))
     rows = fastq(spark, sf).select(text.alias("line"))
     return through_files(rows, "lines", {"extension": "fastq"}, lambda s, p: s.read.format("fastq").option("splitBytes", 1 << 16).load(p), sums)
+
+
+@query(f"select contig, case when rec_idx % 6 = 0 then null else gt end as gt, count(*) as n from {VV} group by 1, 2")
+def genotype_extract(spark, sf):
+    """The first sample's genotype; records without GT have none."""
+    v = view(spark, sf, "variants")
+    bare = F.col("rec_idx") % 6 == 0
+    keys = F.when(bare, F.array(F.lit("DP"))).otherwise(F.array(F.lit("DP"), F.lit("GT")))
+    samples = F.array(F.when(bare, F.array(F.lit("9"))).otherwise(F.array(F.lit("9"), F.col("gt"))))
+    return v.select("contig", V.genotypes_of(keys, samples)[0].alias("gt")).groupBy("contig", "gt").agg(F.count("*").alias("n"))
+
+
+@query(f"select rname, case nm when 0 then null when 1 then 'first' when 2 then 'second' end as library, count(*) as n from {A} where nm < 3 group by 1, 2")
+def library_of_read_group(spark, sf):
+    """Reads by the library of their read group: of three, one has a library each and one has none."""
+    header = "@HD\tVN:1.6\n@RG\tID:g0\tSM:x\n@RG\tID:g1\tLB:first\tSM:x\n@RG\tID:g2\tSM:y\tLB:second\n"
+    tag = F.create_map(F.lit("RG"), F.struct(F.lit("Z").alias("type"), F.concat(F.lit("g"), F.col("nm").cast("string")).alias("value")))
+    found = R.with_library(reads(spark, sf).withColumn("aux", tag), header)
+    kept = found.where(read_filter('library == "first" || library == "second" || [RG] == "g0"'))
+    return kept.groupBy("rname", "library").agg(F.count("*").alias("n"))
+
+
+@query(
+    "select concat('r', cast(rec_idx as varchar)) as qname, cast(77 + 64 * k as int) as flag, case when k = 0 then seq else reverse(seq) end as seq, concat('ACG-', substr(seq, 1, 4)) as bc, 'III JJJJ' as qt "
+    f"from ({FASTQ}) cross join (select unnest([0, 1]) as k)"
+)
+def fastq_pairs(spark, sf):
+    """Two files of reads and two of index reads, whose records belong together by their place."""
+    one = fastq(spark, sf).select(F.concat(F.lit("r"), F.col("rec_idx").cast("string")).alias("name"), F.lit(None).cast("string").alias("definition"), "seq", "qual", (F.col("rec_idx") * 7).alias("rec_idx"))
+    two = one.withColumns({"seq": F.reverse("seq"), "rec_idx": F.col("rec_idx") * 3})
+    i1, i2 = one.withColumns({"seq": F.lit("ACG"), "qual": F.lit("III")}), one.withColumns({"seq": F.substring("seq", 1, 4), "qual": F.lit("JJJJ")})
+    r = fastx.paired_reads(one, two, i1, i2)
+    return r.select("qname", "flag", "seq", F.col("aux")["BC"]["value"].alias("bc"), F.col("aux")["QT"]["value"].alias("qt"))
+
+
+@query(
+    "select rec_idx, concat_ws(chr(9), contig, cast(pos as varchar), '.', 'T', case when rec_idx % 2 = 0 then 'A' else 'C' end, '.', 'PASS', concat('AC=', cast(case when rec_idx % 2 = 0 then 2 else 1 end as varchar), ';DB;CIPOS=', case when rec_idx % 2 = 0 then '3,4' else '1,2' end), 'GT:AD:PL', "
+    f"concat(case when rec_idx % 2 = 0 then './1' else '1/.' end, ':', case when rec_idx % 2 = 0 then '9,5' else '9,7' end, ':', case when rec_idx % 2 = 0 then '0,30,50' else '0,10,20' end)) as line from {VV}"
+)
+def allele_removal(spark, sf):
+    """Lines with two ALTs, of which the first or the second goes with all that belongs to it."""
+    line = F.concat_ws("\t", "contig", F.col("pos").cast("string"), F.lit("."), F.lit("T"), F.lit("C,A"), F.lit("."), F.lit("PASS"), F.lit("AC=1,2;DB;CIPOS=1,2,3,4"), F.lit("GT:AD:PL"), F.lit("1/2:9,7,5:0,10,20,30,40,50"))
+    v = view(spark, sf, "variants").select("rec_idx", line.alias("line"), F.array(F.when(F.col("rec_idx") % 2 == 0, 1).otherwise(2)).alias("gone"))
+    return alleles.remove_alleles(v).select("rec_idx", "line")

@@ -182,3 +182,61 @@ def test_order_over_blocks(spark):
     for width in (3, 50, 1 << 20):
         assert {r["rec_idx"]: r["island"] for r in pileup.islands(df, width).collect()} == want
         assert sorted(r["rec_idx"] for r in unsorted(df.withColumnRenamed("rname", "contig"), width).collect()) == bad
+
+
+def test_allele_removal():
+    from strandlake.functions.alleles import without_alleles
+
+    head = "c\t7\t.\tG\tA,T,C\t.\t.\t"
+    info = "AC=1,2,3;FLAG;AD=9,1,2,3;CIPOS=-1,1,-2,2,-3,3;MEINFO=a,1,2,+,b,3,4,-,c,5,6,+;RN=1,2,1;RUC=2,1,3,1;RUB=5,6,7,8,9,10,11;XX=7,8,9"
+    got = without_alleles(head + info, [2]).split("\t")
+    assert got[4] == "A,C" and got[7] == "AC=1,3;FLAG;AD=9,1,3;CIPOS=-1,1,-3,3;MEINFO=a,1,2,+,c,5,6,+;RN=1,1;RUC=2,1;RUB=5,6,11;XX=7,8,9"
+    keys = "GT:AD:PL:EC:LAA:LAD:LPL:LEC"
+    pl = ",".join(f"p{j}{i}" for i in range(4) for j in range(i + 1))
+    full = f"{head}.\t{keys}\t0|2:9,1,2,3:{pl}:x,y,z:2,3:5,6,7:a,b,c,d,e,f:u,v\t3:.:1,2,3,4:.:.:5:a:."
+    one, two = without_alleles(full, [2]).split("\t")[9:]
+    assert one == "0|.:9,1,3:p00,p01,p11,p03,p13,p33:x,z:2:5,7:a,d,f:v" and two == "2:.:1,2,4:.:.:5:a:."
+    assert without_alleles(full, [1, 2, 3]).split("\t")[4:8] == [".", ".", ".", "."] and without_alleles(head + "XX=1,2,3", [1], info={"XX": "A"}).endswith("XX=2,3")
+    with pytest.raises(ValueError):
+        without_alleles(full, [4])
+
+
+def test_genotypes_and_libraries(spark):
+    from strandlake.functions.records import with_library
+
+    df = spark.createDataFrame([(["DP", "GT"], [["1", "0/1"], ["2", "."]]), (["DP"], [["1"]])], "f array<string>, s array<array<string>>")
+    assert [r["g"] for r in df.select(V.genotypes_of(F.col("f"), F.col("s")).alias("g")).collect()] == [["0/1", "."], None]
+    with pytest.raises(Exception, match="without its genotype"):
+        spark.createDataFrame([(["DP", "GT"], [["1"]])], df.schema).select(V.genotypes_of(F.col("f"), F.col("s"))).collect()
+    reads = spark.createDataFrame([({"RG": ("Z", "a")},), ({"RG": ("Z", "b")},), ({},)], "aux map<string,struct<type:string,value:string>>")
+    assert [r["library"] for r in with_library(reads, "@RG\tID:a\tLB:lib one\n@RG\tID:b\n").collect()] == ["lib one", None, None]
+    assert [r["library"] for r in with_library(reads, "@HD\tVN:1.6\n").collect()] == [None] * 3
+
+
+def test_fastq_files_that_belong_together(spark):
+    from strandlake.operators import fastx
+
+    make = lambda n, step, s: spark.createDataFrame([(f"r{i}/{s}", "XA:i:5 1:Y:0:AC x", "ACGT"[: 1 + i % 4], "IIII"[: 1 + i % 4], i * step) for i in range(n)], "name string, definition string, seq string, qual string, rec_idx long").repartition(3)
+    got = fastx.paired_reads(make(50, 1 << 19, 1), make(50, 3, 2), casava=True).orderBy("rec_idx").collect()
+    assert [(r["qname"], r["flag"]) for r in got] == [(f"r{i // 2}", (77, 141)[i % 2]) for i in range(100)]
+    single = fastx.paired_reads(make(5, 1, ""), None, make(5, 2, ""), tags=True, second_name=False).orderBy("rec_idx").collect()
+    assert [r["aux"]["BC"]["value"] for r in single] == ["A", "AC", "ACG", "ACGT", "A"] and all(r["aux"]["XA"]["value"] == "5" and r["aux"]["QT"]["value"] for r in single)
+    both = fastx.interleaved_reads(make(6, 9, "")).orderBy("rec_idx").collect()
+    assert [(r["qname"], r["flag"]) for r in both] == [(f"r{i}/", (77, 141)[i % 2]) for i in range(6)]
+    for bad in (lambda: fastx.paired_reads(make(5, 1, 1), make(4, 1, 2)), lambda: fastx.interleaved_reads(make(5, 1, ""))):
+        with pytest.raises(Exception, match="different lengths"):
+            bad().collect()
+
+
+def test_extended_alignment_quality(spark):
+    from strandlake.functions import kernels
+
+    rng = random.Random(3)
+    ref = "".join(rng.choice("ACGT") for _ in range(300))
+    rows = [(i, "c", 20 + i * 5, "30M2D28M", ref[19 + i * 5 : 49 + i * 5] + ref[51 + i * 5 : 79 + i * 5], "I" * 58) for i in range(30)]
+    df = spark.createDataFrame(rows, "rec_idx long, rname string, pos long, cigar string, seq string, qual string")
+    refs = spark.createDataFrame([("c", ref)], "name string, seq string")
+    plain = {r["rec_idx"]: r["baq"] for r in kernels.with_alignment_quality(df, refs).collect()}
+    more = kernels.with_alignment_quality(df, refs, extended=True)
+    for r in more.withColumn("bq", kernels.baq_tag(F.col("qual"), F.col("baq"))).collect():
+        assert all(a <= b <= 40 for a, b in zip(plain[r["rec_idx"]], r["baq"])) and r["bq"] == "".join(chr(64 + 40 - b) for b in r["baq"])
