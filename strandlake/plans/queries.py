@@ -19,6 +19,7 @@ from ..sources.bam import SCHEMA as BAM_SCHEMA
 from ..sources.bam import BamSource
 from ..sources.bcf import BcfSource
 from ..sources.bgzf import BgzfSource
+from ..sources.cram import CramSource
 from ..sources.files import FastqSource, LineSource, listed, removed, shared_folder
 from .views import reads, select_sql, view
 
@@ -604,7 +605,7 @@ VCF_HEADER = (
 def through_files(rows: DataFrame, kind: str, options: dict[str, str], read: Callable[[SparkSession, str], DataFrame], result: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Writes ``rows``, reads the files again and keeps ``result`` of them; the files go."""
     spark = rows.sparkSession
-    for source in (BamSource, BcfSource, BgzfSource, FastqSource, LineSource):
+    for source in (BamSource, BcfSource, BgzfSource, CramSource, FastqSource, LineSource):
         spark.dataSource.register(source)
     folder, out = shared_folder(spark, kind), shared_folder(spark, f"{kind}-result")
     if kind == "text":
@@ -636,6 +637,14 @@ def bam_round_trip(spark, sf):
     return through_files(rows, "bam", {"header": SAM_HEADER}, lambda s, p: s.read.format("bam").option("splitBytes", 1 << 20).load(p), read_sums)
 
 
+@query(READ_SUMS)
+def cram_round_trip(spark, sf):
+    """All reads written as CRAM files and read back by containers."""
+    names = [x.split()[0] for x in BAM_SCHEMA.replace("map<string,struct<type:string,value:string>>", "map").split(", ")]
+    rows = ordered_reads(spark, sf).select(*names)
+    return through_files(rows, "cram", {"header": SAM_HEADER}, lambda s, p: s.read.format("cram").option("splitBytes", 1 << 20).load(p), read_sums)
+
+
 @query(READ_SUMS)
 def sam_round_trip(spark, sf):
     """All reads written as SAM files with a header and read back."""

@@ -181,6 +181,38 @@ def read_header(blocks: Blocks) -> tuple[str, list[tuple[str, int]]]:
     return text, references
 
 
+def concatenate(files: list) -> Iterator[bytes]:
+    """One BAM file of several with the same references, in parts: blocks are copied as they are; only one that a header shares with records is packed anew."""
+    first = None
+    for file in files:
+        blocks = Blocks(file)
+        text, references = read_header(blocks)
+        if first is None:
+            first = references
+            head = header_bytes(text, references)
+            for i in range(0, len(head), BLOCK):
+                yield compress_block(head[i : i + BLOCK])
+        elif references != first:
+            raise ValueError("files with other references can't be put together")
+        rest = blocks.data[blocks.at :]
+        if rest:
+            yield compress_block(rest)
+        at = blocks.next
+        file.seek(0, 2)
+        size = file.tell()
+        while at < size:
+            file.seek(at)
+            n = block_size(file.read(64))
+            if n is None:
+                raise ValueError(f"no block at {at}")
+            file.seek(at)
+            data = file.read(n)
+            if data != END:
+                yield data
+            at += n
+    yield END
+
+
 def split_points(file, every: int = 10_000) -> list[int]:
     """Virtual offsets of each ``every``-th record."""
     blocks = Blocks(file)

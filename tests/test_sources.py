@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandlake.sources import bam, faidx
@@ -188,3 +189,150 @@ def test_gff(spark):
     got = [tuple(r)[:-1] for r in parse_gff(df).collect()]
     assert got == [("c1", "x", "gene", 10, 20, None, "+", None, {"ID": "g1", "Name": "a=b"}), ("c1", "x", "CDS", 10, 20, 0.5, "-", 2, {})]
     assert line_span("c1\tx\tgene\t11\t20", "gff") == ("c1", 10, 20) and line_span("q\t0\tc\t5\t9\t3M10N2M", "sam") == ("c", 4, 19)
+
+
+def test_cram_round_trip(spark, tmp_path):
+    """Written by three tasks and read again: all fields; = and X come back as M, and reads without a place have quality 0."""
+    from strandlake.sources import cram
+
+    spark.dataSource.register(cram.CramSource)
+    reads = rows(spark, 300).repartition(3)
+    reads.write.format("cram").option("header", HEADER).mode("append").save(str(tmp_path / "out"))
+    back = spark.read.format("cram").load(str(tmp_path / "out"))
+    want = [x.replace("\t255\t", "\t0\t") if x.startswith("u") else x for x in lines(300)]
+    assert sorted(r["l"] for r in back.select(sam_line().alias("l")).collect()) == sorted(want)
+
+
+def test_cram_regions_and_containers(spark, tmp_path, monkeypatch):
+    from strandlake.sources import cram
+
+    monkeypatch.setattr(cram, "RECORDS", 100)
+    spark.dataSource.register(cram.CramSource)
+    rng = random.Random(2)
+    header = "@SQ\tSN:a\tLN:900000\n@SQ\tSN:b\tLN:900000\n@RG\tID:x\tLB:y\n"
+    made = sorted((rng.randrange(2), rng.randrange(1, 800000), rng.choice(["50M", "20M9000N30M", "10S40M", "5H20M2I28M", "25M3D2P25M"])) for _ in range(2000))
+    rows_ = [{"qname": f"q{i}", "flag": 0, "rname": "ab"[c], "pos": p, "mapq": 9, "cigar": g, "rnext": None, "pnext": None, "tlen": 0, "seq": "ACGTN" * 10 if i % 7 else "", "qual": "IJ" * 25 if i % 3 and i % 7 else None} for i, (c, p, g) in enumerate(made)]
+    path = tmp_path / "x.cram"
+    path.write_bytes(b"".join(cram.cram_parts(header, rows_)))
+    size = path.stat().st_size
+    with path.open("rb") as f:
+        assert cram.read_header(f) == header and len(list(cram.containers(f, size))) == 20
+        entries = cram.crai(f, size)
+    assert cram.read_crai(cram.crai_bytes(entries)) == entries and len(entries) in (20, 21)
+    back = spark.read.format("cram").option("splitBytes", 3000).load(str(path))
+    assert back.rdd.getNumPartitions() > 5
+    got = back.orderBy("rec_idx").collect()
+    assert [(r["qname"], r["rname"], r["pos"], r["mapq"], r["cigar"], r["seq"], r["qual"]) for r in got] == [tuple(r[k] for k in ("qname", "rname", "pos", "mapq", "cigar", "seq", "qual")) for r in rows_]
+    span = {"50M": 50, "20M9000N30M": 9050, "10S40M": 40, "5H20M2I28M": 48, "25M3D2P25M": 53}
+    for indexed in (False, True):
+        if indexed:
+            (tmp_path / "x.cram.crai").write_bytes(cram.crai_bytes(entries))
+        for region, lo, hi in (("a:1000-20000", 999, 20000), ("b:400,000-460,000", 399999, 460000)):
+            found = spark.read.format("cram").option("region", region).load(str(path))
+            want = sorted(r["qname"] for r in rows_ if r["rname"] == region[0] and r["pos"] - 1 < hi and r["pos"] - 1 + span[r["cigar"]] > lo)
+            assert sorted(r["qname"] for r in found.collect()) == want and found.rdd.getNumPartitions() <= 20
+    path.write_bytes(path.read_bytes()[:-60] + b"x" * 60)
+    with path.open("rb") as f, pytest.raises(ValueError):
+        for c in cram.containers(f, size):
+            f.seek(c.data)
+            list(cram.decode_container(f.read(c.end - c.data), header))
+
+
+def test_cram_parts():
+    """Integers, prefix codes, features against a reference, mates within a slice."""
+    from strandlake.sources import cram
+
+    for n in (0, 1, 127, 128, 16383, 16384, 2**21, 2**28 - 1, 2**28, 2**31 - 1, -1, -5):
+        assert cram.Cursor(cram.itf8(n)).itf8() == n and cram.Cursor(cram.ltf8(n)).ltf8() == n
+    assert cram.Cursor(cram.ltf8(2**60 + 3)).ltf8() == 2**60 + 3 and cram.itf8(128) == b"\x80\x80" and cram.itf8(-1) == b"\xff\xff\xff\xff\x0f"
+    assert cram.codes([7, 8, 9], [2, 1, 2]) == {(1, 0): 8, (2, 2): 7, (2, 3): 9}
+    values = cram.Series(bytes([0b01011101, 0b00100101, 0b10000000]), {})
+    coded = values.reader(cram.HUFFMAN, cram.Cursor(bytes([3, 7, 8, 9, 3, 2, 1, 2])))
+    assert [coded() for _ in range(4)] == [8, 7, 9, 7]  # 0 10 11 10
+    head = cram.Header(b"".join(len(x).to_bytes(1, "big") + x for x in (b"\x01SM" + bytes([0b00011011] * 5), b"\x00", b"\x00")))
+    assert head.substitutes() == {"A": "CGTN", "C": "AGTN", "G": "ACTN", "T": "ACGN", "N": "ACGT"}
+    ref = "ACGTACGTAC"
+    r = {"contig": 0, "pos": 2, "size": 9}
+    features = [(1, "S", b"TT"), (4, "X", 1), (5, "I", b"G"), (6, "D", 2), (8, "b", b"NN")]
+    # From the second base on: C matches, G is replaced by the base of code 1, TA are deleted, CG match, NN are given.
+    assert cram._placed(r, features, ["c"], head.substitutes(), lambda c, a, b: ref[a:b], False) == ("2S2M1I2D4M", "TTCCGCGNN") and r["end"] == 9
+    mates = [{"next": 1, "flag": 67, "contig": 0, "pos": 5, "end": 14, "name": "a", "nc": -1, "np": 0, "tlen": 0}, {"next": None, "flag": 147, "contig": 0, "pos": 20, "end": 29, "name": None, "nc": -1, "np": 0, "tlen": 0}]
+    cram._join_mates(mates)
+    assert [(m["np"], m["tlen"], m["flag"], m["name"]) for m in mates] == [(20, 25, 67 | 32, "a"), (5, -25, 147, "a")]
+
+
+def test_rans():
+    """Packed here by the reverse of each step."""
+    import struct
+    from collections import Counter, defaultdict
+
+    from strandlake.sources.cram import rans
+
+    def spread(counts):
+        total = sum(counts.values())
+        f = {s: max(1, n * 4000 // total) for s, n in sorted(counts.items())}
+        f[max(f, key=f.get)] += 4096 - sum(f.values())
+        return f
+
+    def listed(found, item):
+        out, keys, i = b"", sorted(found), 0
+        out += bytes((keys[0],))
+        run = 0
+        for i, s in enumerate(keys):
+            out += item(found[s])
+            if run:
+                run -= 1
+                continue
+            if i + 1 < len(keys):
+                out += bytes((keys[i + 1],))
+                if keys[i + 1] == s + 1:
+                    while i + 2 + run < len(keys) and keys[i + 2 + run] == s + 2 + run:
+                        run += 1
+                    out += bytes((run,))
+            else:
+                out += b"\0"
+        return out + (b"\0" if run or len(keys) > 1 and not out.endswith(b"\0") else b"")
+
+    def size(f):
+        return bytes((f,)) if f < 128 else bytes((0x80 | f >> 8, f & 255))
+
+    rng = random.Random(1)
+    for order in (0, 1):
+        data = bytes(rng.choice(b"AACCCGTNxy~") for _ in range(1003))
+        quarter = len(data) // 4
+        if order == 0:
+            plan = [(i & 3, None, data[i]) for i in range(len(data))]
+            tables = {None: spread(Counter(data))}
+            head = listed(tables[None], size)
+        else:
+            plan = [(k, data[k * quarter + i - 1] if i else 0, data[k * quarter + i]) for i in range(quarter) for k in range(4)]
+            plan += [(3, data[i - 1], data[i]) for i in range(4 * quarter, len(data))]
+            seen = defaultdict(Counter)
+            for _, before, s in plan:
+                seen[before][s] += 1
+            tables = {b: spread(c) for b, c in seen.items()}
+            head = listed(tables, lambda t: listed(t, size))
+        start = {b: {s: sum(f for t, f in table.items() if t < s) for s in table} for b, table in tables.items()}
+        state, tail = [1 << 23] * 4, bytearray()
+        for k, before, s in reversed(plan):
+            f, x = tables[before][s], state[k]
+            while x >= (1 << 19) * f:
+                tail.append(x & 255)
+                x >>= 8
+            state[k] = x // f << 12 | x % f + start[before][s]
+        body = head + struct.pack("<4I", *state) + bytes(reversed(tail))
+        assert rans(bytes((order,)) + struct.pack("<II", len(body), len(data)) + body) == data
+
+
+def test_bam_files_put_together(spark, tmp_path):
+    spark.dataSource.register(bam.BamSource)
+    made = [r.asDict(recursive=True) for r in rows(spark, 3000).orderBy("rec_idx").collect()]
+    for i, part in enumerate((made[:5], made[5:2000], made[2000:])):
+        (tmp_path / f"{i}.bam").write_bytes(bam.write_bam(HEADER, part))
+    files = [(tmp_path / f"{i}.bam").open("rb") for i in range(3)]
+    (tmp_path / "all.bam").write_bytes(b"".join(bam.concatenate(files)))
+    back = spark.read.format("bam").option("splitBytes", 20_000).load(str(tmp_path / "all.bam"))
+    assert [r["l"] for r in back.orderBy("rec_idx").select(sam_line().alias("l")).collect()] == lines(3000)
+    (tmp_path / "x.bam").write_bytes(bam.write_bam("@SQ\tSN:z\tLN:5\n", []))
+    with pytest.raises(ValueError):
+        list(bam.concatenate([files[0], (tmp_path / "x.bam").open("rb")]))
