@@ -291,8 +291,8 @@ class Series:
 
             return subexp
         if kind == ARRAY_LEN:
-            size, item = self.encoding(p), self.encoding(p, True)
-            return lambda: bytes(item() for _ in range(size()))
+            size, run = self.encoding(p), self.run(p.itf8(), Cursor(p.take(p.itf8())))
+            return lambda: run(size())
         if kind == ARRAY_STOP:
             stop = p.byte()
             c = self.external.get(p.itf8(), Cursor(b""))
@@ -310,6 +310,13 @@ class Series:
         kind = p.itf8()
         return self.reader(kind, Cursor(p.take(p.itf8())), as_byte)
 
+    def run(self, kind: int, p: Cursor) -> Callable[[int], bytes]:
+        """Reads so many single bytes."""
+        if kind == EXTERNAL:
+            return self.external.get(p.itf8(), Cursor(b"")).take
+        item = self.reader(kind, p, True)
+        return lambda n: bytes(item() for _ in range(n))
+
 
 class Header:
     """A compression header: what is preserved, the substitution matrix, lists of tags, encodings by series and by tag."""
@@ -479,6 +486,7 @@ def _slice(head: Header, values: Series, contig: int, position: int, n: int, ref
 
     single = {"FC", "BS", "BA", "QS"}
     get = defaultdict(lambda: missing, {k: values.reader(kind, Cursor(p), k in single) for k, (kind, p) in head.series.items()})
+    runs = defaultdict(lambda: lambda n: missing(), {k: values.run(*head.series[k][:1], Cursor(head.series[k][1])) for k in ("BA", "QS") if k in head.series})
     tag = {k: values.reader(kind, Cursor(p)) for k, (kind, p) in head.tag_series.items()}
     swaps = head.substitutes()
     rows: list[dict] = []
@@ -503,7 +511,7 @@ def _slice(head: Header, values: Series, contig: int, position: int, n: int, ref
             r["tags"].append(("RG", "Z", groups[group]))
         if flag & 4:
             r["cigar"], r["mapq"] = "*", 0
-            r["seq"] = "" if own & NO_BASES else bytes(get["BA"]() for _ in range(r["size"])).decode()
+            r["seq"] = "" if own & NO_BASES else runs["BA"](r["size"]).decode()
             quality = bytearray(b"\xff" * r["size"])
         else:
             quality = bytearray(b"\xff" * r["size"])
@@ -528,7 +536,7 @@ def _slice(head: Header, values: Series, contig: int, position: int, n: int, ref
             r["mapq"] = get["MQ"]()
             r["cigar"], r["seq"] = _placed(r, features, references, swaps, bases_of, bool(own & NO_BASES))
         if own & QUALITIES:
-            quality = bytes(get["QS"]() for _ in range(r["size"]))
+            quality = runs["QS"](r["size"])
         r["qual"] = None if not r["seq"] or not quality or quality[0] == 255 else "".join(chr(q + 33) for q in quality)
         rows.append(r)
     _join_mates(rows)
