@@ -48,9 +48,61 @@ def cells(reads: DataFrame) -> DataFrame:
     return at.select(
         *[c for c in reads.columns], (F.col("pos") + place).alias("position"), base.alias("base"),
         F.when(F.col("o.op").isin("D", "N"), None).otherwise(F.col("o.read") + F.col("i")).alias("offset"), (place == 0).alias("head"), (place == span - 1).alias("tail"),
+        (F.col("o.read") + F.when(F.col("o.op").isin("D", "N"), 0).otherwise(F.col("i"))).alias("next_base"),
     )
 
 
+def quality_cells(reads: DataFrame) -> DataFrame:
+    """cells with quality: that of the read's base, or of the next one where it has none; 255 without qualities.
+
+    Reads of one name on both strands are set against each other in each column that both show, in order of rec_idx. Of
+    equal bases (or two deletions, or two skips) one gets the sum, 200 at most, of equal qualities of different bases 0.8 of
+    it, and the other 0; a hash of the name says which. Of different qualities the better one keeps 0.8 and the other gets
+    0. A deletion beside a base gets the sum, the base 0.8 of its own, and again one of the two becomes 0.
+    """
+    own = F.ascii(F.col("qual").substr(F.col("next_base") + 1, F.lit(1))) - 33
+    c = cells(reads).withColumn("quality", F.when(F.col("qual").isNull() | (F.col("next_base") >= F.length("qual")), 255).otherwise(own))
+    strand = F.col("flag").bitwiseAND(16) != 0
+    both = reads.groupBy("rname", "qname").agg(F.min(strand).alias("low"), F.max(strand).alias("high")).where("low <> high").select("rname", "qname")
+    alone = c.join(both, ["rname", "qname"], "left_anti").select(*c.columns)
+    shared = c.join(both, ["rname", "qname"], "left_semi")
+    one = F.struct("rec_idx", strand.alias("reverse"), F.upper("base").alias("shown"), "quality", F.struct(*c.columns).alias("row"))
+    groups = shared.groupBy("rname", "position", "qname").agg(F.array_sort(F.collect_list(one)).alias("m"))
+    settled = groups.select(F.explode(_settled(F.col("m"), F.col("qname"))).alias("x"))
+    again = [F.col(f"x.row.{n}") if n != "quality" else F.col("x.quality") for n in c.columns]
+    return alone.unionByName(settled.select(*[a.alias(n) for a, n in zip(again, c.columns, strict=True)]))
+
+
+def _settled(m: Column, name: Column) -> Column:
+    """The rows of one name in a column after each pair of them on different strands, in order, was set against one another."""
+    from ..functions.scalars import wang, x31
+
+    first = wang(x31(name)).bitwiseAND(1) == 1
+    part = lambda q: F.floor(q * F.lit(0.8)).cast("int")
+    mark = lambda r, q: F.struct(r["rec_idx"].alias("rec_idx"), r["reverse"].alias("reverse"), r["shown"].alias("shown"), q.cast("int").alias("quality"), r["row"].alias("row"))
+
+    def meet(a: Column, b: Column) -> Column:
+        """struct(a, b): the two qualities that are left."""
+        x, y = a["quality"], b["quality"]
+        total = F.least(x + y, F.lit(200))
+        gone_a, gone_b = a["shown"] == "*", b["shown"] == "*"
+        kind = lambda s: F.when(s.isin("<", ">"), ">").otherwise(s)
+        p = F.when(gone_a != gone_b, F.when(gone_a, total).otherwise(part(x))).when(kind(a["shown"]) == kind(b["shown"]), total).when(x == y, part(x))
+        q = F.when(gone_a != gone_b, F.when(gone_b, total).otherwise(part(y))).when(kind(a["shown"]) == kind(b["shown"]), total).when(x == y, part(y))
+        better = F.struct(F.when(x > y, part(x)).otherwise(0).alias("a"), F.when(y > x, part(y)).otherwise(0).alias("b"))
+        by_name = F.struct(F.when(first, p).otherwise(0).alias("a"), F.when(first, 0).otherwise(q).alias("b"))
+        return F.when(p.isNull(), better).otherwise(by_name)
+
+    def against(rows: Column, i: Column, j: Column) -> Column:
+        a, b = F.element_at(rows, i), F.element_at(rows, j)
+        left = meet(a, b)
+        return F.when(a["reverse"] == b["reverse"], rows).otherwise(F.transform(rows, lambda r, k: F.when(k == i - 1, mark(r, left["a"])).when(k == j - 1, mark(r, left["b"])).otherwise(mark(r, r["quality"]))))
+
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(m)), lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.size(m)), lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    start = F.transform(m, lambda r: mark(r, r["quality"]))
+    return F.aggregate(pairs, start, lambda rows, p: against(rows, p["i"], p["j"]))
+
+
 def depth(reads: DataFrame, by: tuple[str, ...] = ("rname",)) -> DataFrame:
     """by, position, depth wherever it is over 0, deletions and skips included.
 
@@ -77,12 +129,13 @@ def base_counts(reads: DataFrame) -> DataFrame:
 
 
 def columns(reads: DataFrame) -> DataFrame:
-    """rname, position, depth, bases: the text of each column, reads in order of rec_idx.
+    """rname, position, depth, bases and, if reads have qual, quals: the texts of each column, reads in order of rec_idx.
 
     ^ and the mapping quality's character before a read's first base, $ after its last, insertions as +n(bases)
-    and deletions as -n() after the base before them.
+    and deletions as -n() after the base before them. quals: a character for each read's quality (see quality_cells).
     """
-    c = cells(reads)
+    with_quality = "qual" in reads.columns
+    c = quality_cells(reads) if with_quality else cells(reads).withColumn("quality", F.lit(0))
     ops = operations(F.col("cigar"))
     nxt = F.filter(ops, lambda o: (o["ref"] == F.col("position") - F.col("pos") + 1) & ((o["op"] == "I") | (o["op"] == "D")))
     first = F.try_element_at(nxt, F.lit(1))
@@ -92,8 +145,12 @@ def columns(reads: DataFrame) -> DataFrame:
     more = F.when(F.col("base").isin("*", ">", "<"), "").otherwise(more)
     start = F.when(F.col("head"), F.concat(F.lit("^"), F.char(F.least(F.coalesce("mapq", F.lit(255)), F.lit(93)) + 33))).otherwise("")
     text = F.concat(start, "base", more, F.when(F.col("tail"), "$").otherwise(""))
-    rows = c.select("rname", "position", F.struct("rec_idx", text.alias("t")).alias("x"))
-    return rows.groupBy("rname", "position").agg(F.count("*").alias("depth"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "").alias("bases"))
+    quality = F.char(F.least(F.col("quality") + 33, F.lit(126)))
+    rows = c.select("rname", "position", F.struct("rec_idx", text.alias("t"), quality.alias("q")).alias("x"))
+    texts = rows.groupBy("rname", "position").agg(F.count("*").alias("depth"), F.array_sort(F.collect_list("x")).alias("x"))
+    joined = lambda n: F.array_join(F.transform("x", lambda x: x[n]), "")
+    out = texts.select("rname", "position", "depth", joined("t").alias("bases"), joined("q").alias("quals"))
+    return out if with_quality else out.drop("quals")
 
 
 def islands(reads: DataFrame, width: int = 1 << 20) -> DataFrame:

@@ -122,6 +122,45 @@ def test_pileup_text(spark):
     assert depth == {p: d for p, (d, _) in got.items()}
 
 
+def test_pileup_qualities(spark):
+    """Mates set against each other in each column, by a plain version; others keep their qualities."""
+    from strandlake.functions.scalars import wang, x31
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        for flag, shift in ((99, 0), (147, rng.randrange(0, 6))) if i % 4 else ((0, 0),):
+            rows.append((f"n{i}", flag, "c", 10 * i + 1 + shift, 60, rng.choice(["10M", "4M2D6M", "3M2N7M"]), "".join(rng.choice("AC") for _ in range(10)), "".join(chr(33 + rng.choice([10, 20, 90])) for _ in range(10)) if i != 7 else None, len(rows)))
+    df = spark.createDataFrame(rows, "qname string, flag int, rname string, pos long, mapq int, cigar string, seq string, qual string, rec_idx long")
+    odd = {r["qname"]: r["k"] for r in df.select("qname", (wang(x31(F.col("qname"))).bitwiseAND(1) == 1).alias("k")).distinct().collect()}
+    shown: dict = {}
+    for n, flag, _, pos, _, cigar, seq, qual, i in rows:
+        at, k = pos, 0
+        for size, op in ((int(a), b) for a, b in __import__("re").findall(r"(\d+)(.)", cigar)):
+            for j in range(size):
+                read = k + (j if op == "M" else 0)
+                shown.setdefault(at + j, []).append([n, flag & 16, seq[read] if op == "M" else "*" if op == "D" else ">", 255 if qual is None else ord(qual[read]) - 33])
+            at, k = at + size, k + (size if op == "M" else 0)
+    for column in shown.values():
+        for i, a in enumerate(column):
+            for b in column[i + 1 :]:
+                if a[0] != b[0] or a[1] == b[1]:
+                    continue
+                x, y, keep = a[3], b[3], odd[a[0]]
+                if (a[2] == "*") != (b[2] == "*"):
+                    a[3], b[3] = (min(x + y, 200), int(0.8 * y)) if a[2] == "*" else (int(0.8 * x), min(x + y, 200))
+                elif a[2] == b[2]:
+                    a[3] = b[3] = min(x + y, 200)
+                elif x == y:
+                    a[3] = b[3] = int(0.8 * x)
+                else:
+                    a[3], b[3] = (int(0.8 * x), 0) if x > y else (0, int(0.8 * y))
+                    continue
+                a[3], b[3] = (a[3], 0) if keep else (0, b[3])
+    want = {p: "".join(chr(min(126, 33 + x[3])) for x in column) for p, column in shown.items()}
+    assert {r["position"]: r["quals"] for r in pileup.columns(df).collect()} == want
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         S.round_up_power(F.lit(5)).alias("up"), S.unpack_offset(S.pack_offset(F.lit(7), F.lit(9))).alias("o"), S.x31(F.lit("ab")).alias("x"), S.clamped_integer(F.lit("300x"), 8).alias("c"),
