@@ -35,6 +35,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def as_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it, so that a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
@@ -51,14 +56,25 @@ def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
     def run(batches: Iterator) -> Iterator:
         yield from f(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Unused memory goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For results that are worked out after an operator has returned: Arrow batches stay small (BATCH) in this session."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+
+
 class Scope:
     """An operator's intermediate tables. ``result`` writes what it returns and deletes the others, so that they don't pile up in the shared folder.
 
@@ -83,8 +99,7 @@ class Scope:
     def result(self, df: DataFrame, name: str) -> DataFrame:
         out = as_table(df, name)
         for path in self.paths:
-            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            delete(self.spark, path)
         self.paths = []
         for k, v in self.before.items():
             self.spark.conf.set(k, v)
@@ -178,7 +193,12 @@ POWERS = Powers()
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of spans of bytes, as differences of running sums of byte * power."""
     up, down = POWERS.upto(len(buf) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    sums = total[1:]
+    sums[:] = buf
+    sums += np.uint64(1)
+    sums *= up[: len(buf)]
+    np.cumsum(sums, out=sums)
     return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 

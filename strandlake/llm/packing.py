@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, Remembered, Scope, lean, rows_only, slices
+from .common import Generations, Remembered, Scope, give_back, lean, rows_only, slices
 from .tokencount import WordCounter
 from .transducer import IdTransducer
 
@@ -28,7 +28,7 @@ NEVER = 1 << 30
 #: Longer words go through the transducer one by one.
 LONG = 48
 #: Places (as a power of two) in a worker's table of chunks, and words that each generation of its memory holds.
-CHUNKS, WORDS = 22, 250_000
+CHUNKS, WORDS = 20, 100_000
 #: A chunk of letters that neither lower case nor NFC splits or joins, and marks that make one piece.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+)([.,;:!?]*)").fullmatch
 
@@ -40,7 +40,7 @@ class BatchEncoder(WordCounter):
         super().__init__(path)
         self.words_known, self.chunks = Generations(WORDS), Remembered(CHUNKS)
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
-        self.place, self.many = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+        self.place, self.many = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
         self.special_bytes = {s: np.uint32(i).tobytes() for s, i in self.special_ids.items()}
         self.first_of = np.full(512, -1, np.int64)
         for s, t in self.first.items():
@@ -78,7 +78,7 @@ class BatchEncoder(WordCounter):
         """Ids of words of up to LONG bytes: in each round every word applies its lowest rule once, at its leftmost place."""
         out: list[bytes] = [b""] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for lo, hi in slices(len(order), [len(words[i]) for i in order], 200_000):
+        for lo, hi in slices(len(order), [len(words[i]) for i in order], 100_000):
             rows = np.array(order[lo:hi])
             size = np.array([len(words[i]) for i in rows])
             width = int(size.max())
@@ -158,7 +158,7 @@ class BatchEncoder(WordCounter):
     def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
         number, count = self.chunks.numbers(texts, False, self.learn, self.forget)
-        n, place = self.many[number], self.place[number]
+        n, place = self.many[number].astype(np.int64), self.place[number]
         end = np.cumsum(n)
         flat = self.ids[np.repeat(place - (end - n), n) + np.arange(n.sum())]
         return np.split(flat, np.concatenate(([0], end))[np.cumsum(count)[:-1]]) if texts else []
@@ -166,7 +166,9 @@ class BatchEncoder(WordCounter):
 
 @lru_cache(maxsize=1)
 def batch_encoder(path: str) -> BatchEncoder:
-    return BatchEncoder(path)
+    made = BatchEncoder(path)
+    give_back()  # what reading the file took
+    return made
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -177,7 +179,7 @@ def _pieces(batches: Iterator, path: str, most: int, end: int) -> Iterator:
     for b in batches:
         ids, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()]
         out: list[list] = [[], [], [], [], []]
-        for lo, hi in slices(len(texts), list(map(len, texts)), 2 << 20):
+        for lo, hi in slices(len(texts), list(map(len, texts)), 1 << 20):
             for ident, own in zip(ids[lo:hi], encoder.encode_batch(texts[lo:hi]), strict=True):
                 data = own.tobytes() + tail
                 for k, start in enumerate(range(0, len(data) // 4, most)):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_only
+from .common import lean, rows_only
 
 STATISTICS = [
     "chars", "words", "word_length", "upper", "digit", "space", "punct", "symbol", "other",
@@ -61,7 +61,7 @@ def _statistics(batches: Iterator) -> Iterator:
 
 def statistics(docs: DataFrame) -> DataFrame:
     rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_statistics, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return rows.mapInArrow(lean(_statistics), "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 Condition = tuple[int, bool, float]  # statistic, at most or above, threshold
@@ -221,5 +221,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, most_labe
     model = learn(docs, labels, most_labelled)
     at = docs.columns.index("text")
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    both = docs.mapInArrow(lambda it: _beside(it, at), f"{own}, __statistics struct<{', '.join(f'{s}: double' for s in STATISTICS)}>")
+    both = docs.mapInArrow(lean(lambda it: _beside(it, at)), f"{own}, __statistics struct<{', '.join(f'{s}: double' for s in STATISTICS)}>")
     return both.where(model.column("__statistics.") >= cut).select(*[F.col(f"`{c}`") for c in docs.columns])
