@@ -93,6 +93,26 @@ def expr_qualities(spark, sf):
     return rows.groupBy("rname").agg(count("min(qual) >= 20").alias("a"), count("max(qual) <= 20").alias("b"), count("avg(qual) >= 20 && avg(qual) <= 30").alias("c"), F.count("*").alias("n"))
 
 
+_MATE = f"(select *, case when rec_idx % 3 = 0 then '*' else concat('chr', cast(rec_idx % 5 + 1 as varchar)) end as mate, case when rec_idx % 4 = 0 then 0 else pos + 100 end as place, 40 as qlen from {A})"
+
+
+@query(
+    "select rname, count(case when mate = 'chr2' or mate = '*' then 1 end) as a, count(case when place > 5000 or place = 0 then 1 end) as b, count(case when ref_id >= 2 and rec_idx % 5 <> 1 then 1 end) as c, "
+    f"count(case when qlen = 40 and length(seq) * (case when rec_idx % 6 = 0 then 0 else 1 end) < 40 then 1 end) as d, cast(sum(case when rec_idx % 2 = 0 then 250 else -250 end) as bigint) as e from {_MATE} group by rname"
+)
+def expr_mates(spark, sf):
+    """Symbols of the mate and of the read's length; reads without bases take theirs from the CIGAR."""
+    r = F.col("rec_idx")
+    mate = F.when(r % 3 != 0, F.concat(F.lit("chr"), (r % 5 + 1).cast("string")))
+    rows = reads(spark, sf).withColumns({"rnext": mate, "pnext": F.when(r % 4 != 0, F.col("pos") + 100), "next_ref_id": (r % 5).cast("int"), "tlen": F.when(r % 2 == 0, 250).otherwise(-250), "seq": F.when(r % 6 == 0, "").otherwise(F.col("seq"))})
+    count = lambda text: F.count(F.when(read_filter(text), 1))
+    value = Compiler(read_symbols(), read_tags)
+    return rows.groupBy("rname").agg(
+        count('rnext == "chr2" || mrname == "*"').alias("a"), count("pnext > 5000 || mpos == 0").alias("b"), count("refid >= 2 && mrefid != 1").alias("c"),
+        count("qlen == 40 && length(seq) < 40").alias("d"), F.sum(value("tlen").number).cast("long").alias("e"),
+    )
+
+
 @query(f"select rname, cast(sum(flag & 20) as bigint) as a, cast(sum((flag | 3) & 255) as bigint) as b, cast(sum(xor(flag, 85)) as bigint) as c, cast(sum(mapq % 7) as bigint) as d, cast(sum(-1 - mapq) as bigint) as e from {A} group by rname")
 def expr_bitwise(spark, sf):
     value = Compiler(read_symbols(), read_tags)
@@ -100,13 +120,14 @@ def expr_bitwise(spark, sf):
     return reads(spark, sf).groupBy("rname").agg(*[F.sum(value(t).number).cast("long").alias(k) for k, t in texts.items()])
 
 
-@query(f"select rname, round(sum(sqrt(mapq)), 6) as a, round(sum(ln(pos)), 6) as b, cast(sum(octet_length(encode(seq))) as bigint) as c, cast(sum(case when mapq % 10 = 0 then 0 else cast(1 as double) end) as bigint) as d, round(sum(power(mapq, 2)), 6) as e from {A} group by rname")
+@query(f"select rname, round(sum(sqrt(mapq)), 6) as a, round(sum(ln(pos)), 6) as b, cast(sum(octet_length(encode(seq))) as bigint) as c, cast(sum(case when mapq % 10 = 0 then 0 else cast(1 as double) end) as bigint) as d, round(sum(power(mapq, 2)), 6) as e, round(sum(exp(-mapq / cast(10 as double))), 6) as f from {A} group by rname")
 def expr_functions(spark, sf):
     value = Compiler(read_symbols(), read_tags)
     df = reads(spark, sf)
     return df.groupBy("rname").agg(
         F.round(F.sum(value("sqrt(mapq)").number), 6).alias("a"), F.round(F.sum(value("log(pos)").number), 6).alias("b"), F.sum(value("length(seq)").number).cast("long").alias("c"),
         F.sum(F.when(value("exists(1 / (mapq % 10) ) && mapq % 10").truth, 1).otherwise(0)).cast("long").alias("d"), F.round(F.sum(value("pow(mapq, 2)").number), 6).alias("e"),
+        F.round(F.sum(value("exp(-mapq / 10)").number), 6).alias("f"),
     )
 
 
@@ -204,11 +225,23 @@ def pileup_bases(spark, sf):
     return pileup.base_counts(pileup.selected(view(spark, sf, "alignments"), min_mapq=10))
 
 
-@query()
+@query(
+    f"with b as (select rec_idx, rname, pos, flag, mapq, cigar, seq, {SPAN} as span, unnest({BLOCKS}) as b from {A} where {PASS}), c as (select *, unnest(range(0, b.n)) as k from b), "
+    "t as (select rec_idx, rname, pos + b.r + k as position, concat(case when b.r + k = 0 then concat('^', chr(cast(33 + least(mapq, 93) as int))) else '' end, "
+    "case b.o when 'D' then '*' when 'N' then case when (flag & 16) <> 0 then '<' else '>' end else case when (flag & 16) <> 0 then lower(substr(seq, cast(b.q + k + 1 as bigint), 1)) else upper(substr(seq, cast(b.q + k + 1 as bigint), 1)) end end, "
+    "case when cigar = '10M3I27M' and b.r + k = 9 then concat('+3', case when (flag & 16) <> 0 then lower(substr(seq, 11, 3)) else upper(substr(seq, 11, 3)) end) when cigar = '20M10D20M' and b.r + k = 19 then concat('-10', repeat(case when (flag & 16) <> 0 then 'n' else 'N' end, 10)) else '' end, "
+    "case when b.r + k = span - 1 then '$' else '' end) as t from c) select rname, position, count(*) as depth, string_agg(t, '' order by rec_idx, t) as bases from t group by rname, position"
+)
 def pileup_columns(spark, sf):
-    """The text of all columns, with qualities that mates have settled between them."""
+    """The text of all columns."""
+    return pileup.columns(pileup.selected(view(spark, sf, "alignments"), min_mapq=10))
+
+
+@query()
+def pileup_qualities(spark, sf):
+    """The qualities of all columns, after mates have settled them between them."""
     df = view(spark, sf, "alignments").withColumn("qual", F.repeat(F.char(43 + F.col("rec_idx") % 20), 40))
-    return pileup.columns(pileup.selected(df, min_mapq=10))
+    return pileup.columns(pileup.selected(df, min_mapq=10)).select("rname", "position", "depth", "quals")
 
 
 @query(
@@ -368,10 +401,19 @@ def name_hash(spark, sf):
     return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), S.x31(F.col("p_brand")).alias("h"))
 
 
-@query("select l_returnflag, l_linestatus, round(exp(lgamma(a+b+1)+lgamma(c+d+1)+lgamma(a+c+1)+lgamma(b+d+1)-lgamma(a+1)-lgamma(b+1)-lgamma(c+1)-lgamma(d+1)-lgamma(a+b+c+d+1)), 9) as p from (select l_returnflag, l_linestatus, count(*) % 40 + 1 as a, count(distinct l_suppkey) % 30 + 2 as b, count(distinct l_partkey) % 20 + 3 as c, 17 as d from lineitem group by l_returnflag, l_linestatus)")
+_CHOOSE = "case when {k} = 0 or {k} = {n} then 0 else lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) end"
+_CHANCE = "exp({} + {} - {})".format(_CHOOSE.format(n="(a + b)", k="k"), _CHOOSE.format(n="(c + d)", k="(a + c - k)"), _CHOOSE.format(n="(a + b + c + d)", k="(a + c)"))
+
+
+@query(
+    "with g as (select l_returnflag, l_linestatus, count(*) % 40 + 1 as a, count(distinct l_suppkey) % 30 + 2 as b, count(distinct l_partkey) % 20 + 3 as c, 17 as d from lineitem group by l_returnflag, l_linestatus), "
+    f"t as (select *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) as k from g), p as (select *, {_CHANCE} as p from t), q as (select *, max(case when k = a then p end) over (partition by l_returnflag, l_linestatus) as own from p) "
+    "select l_returnflag, l_linestatus, round(max(own), 9) as p, round(least(sum(case when k <= a then p end), 1), 9) as low, round(least(sum(case when k >= a then p end), 1), 9) as high, round(least(sum(case when p <= own * (1 + 1e-7) then p end), 1), 9) as two from q group by l_returnflag, l_linestatus"
+)
 def fisher_exact(spark, sf):
     g = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").agg((F.count("*") % 40 + 1).alias("a"), (F.countDistinct("l_suppkey") % 30 + 2).alias("b"), (F.countDistinct("l_partkey") % 20 + 3).alias("c"))
-    return g.select("l_returnflag", "l_linestatus", F.round(S.fisher_exact(F.col("a"), F.col("b"), F.col("c"), F.lit(17))["p"], 9).alias("p"))
+    found = g.select("l_returnflag", "l_linestatus", S.fisher_exact(F.col("a"), F.col("b"), F.col("c"), F.lit(17)).alias("f"))
+    return found.select("l_returnflag", "l_linestatus", *[F.round(F.col(f"f.{k}"), 9).alias(n) for k, n in (("p", "p"), ("left", "low"), ("right", "high"), ("two", "two"))])
 
 
 @query("select event_id, case when event_id % 6 = 0 then 'VCF' when event_id % 6 = 1 then 'SAM' when event_id % 6 = 2 then 'FASTA' when event_id % 6 = 3 then 'FASTQ' when event_id % 6 = 4 then 'BED' else 'unknown' end as format from events")
