@@ -85,6 +85,18 @@ def test_near_duplicates(docs, texts, k):
     assert len(set(want.values())) < len(want) - 20
 
 
+def test_near_duplicates_keep_other_columns(spark, docs, none):
+    """Columns whose names the operator uses itself; nothing in, nothing out."""
+    clash = docs.withColumns({"rep": F.lit(1), "c": F.lit("x"), "hub": F.lit(True), "kept": F.lit(False), "h1": F.lit(2), "__gone": F.col("doc_id")})
+    gone = {r["doc_id"] for r in minhash.near_duplicates(docs, k=5).where("not kept").collect()}
+    left = minhash.drop_near_duplicates(clash)
+    assert left.columns == clash.columns and len(gone) > 20
+    want = clash.where(~F.coalesce(F.col("doc_id").isin(gone), F.lit(False)))
+    assert sorted(map(str, left.collect())) == sorted(map(str, want.collect()))
+    for k in (4, 5):
+        assert minhash.near_duplicates(none, k=k).count() == 0
+
+
 def test_near_duplicates_in_blocks(spark):
     """A large group of which the stars leave many components open."""
     rng = random.Random(2)
@@ -217,6 +229,14 @@ def test_quality(spark, none):
     held = [r for r in got if r["held_out"] and r["doc_id"] < 900]
     assert sum(r["predicted"] == (1 if r["doc_id"] % 3 else 0) for r in held) / len(held) > 0.97
     assert quality.quality_scores(none, labels).count() == 0
+    clash = docs.withColumns({"score": F.lit("x"), "words": F.lit(1), "quality": F.lit(5), "held_out": F.lit(2), "__statistics": F.lit(3)})
+    assert sorted(map(str, quality.quality_scores(clash, labels.withColumn("text", F.lit("y")), most_labelled=400).collect())) == sorted(map(str, got))
+    kept = quality.keep_quality(clash.drop("__statistics"), labels, most_labelled=400)
+    assert kept.columns == clash.columns[:-1] and kept.count() == sum(r["score"] >= 0.3 for r in got)
+    # Labels of documents that aren't there don't crowd out those of the ones that are.
+    many = labels.unionByName(spark.range(10**6, 10**6 + 20_000).selectExpr("id as doc_id", "1 as quality"))
+    again = [r for r in quality.quality_scores(docs, many, most_labelled=400).collect() if r["held_out"] and r["doc_id"] < 900]
+    assert sum(r["predicted"] == (1 if r["doc_id"] % 3 else 0) for r in again) / len(again) > 0.97
     assert {r["score"] for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
@@ -263,7 +283,7 @@ def test_utf8_stream_is_the_incremental_decoder():
 
 def test_warc(spark, none):
     rng = random.Random(6)
-    html = [None, "", "<p>same</p>", "<p>same</p>", "é" * 5000, *("<p>" + words(rng, 30) + "</p>" for _ in range(40)), *["hot"] * 30]
+    html = [None, "", "<p>same</p>", "<p>same</p>", "é" * 1_500_000, *("<p>" + words(rng, 30) + "</p>" for _ in range(40)), *["hot"] * 30]
     rows = [(i, f"http://x/{i} ü\r\n", h, "digest", "file") for i, h in enumerate(html)] + [(500, None, "only", "d", "f"), (None, "u", "only", "d", "f"), (7, "http://x/7", html[7], "d", "f")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, file string").repartition(3)
     got = warc.round_trip(pages).collect()

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandlake.llm import linedup, minhash
@@ -38,6 +39,19 @@ def test_stages(spark, folder):
     assert {r["doc_id"] for r in out.collect()} == {i for i in rows if i < 200 or i >= 500}
 
 
+def test_stages_keep_other_columns(spark, folder):
+    """Columns whose names the operators use themselves, and repeated rows."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clash = docs.unionByName(docs.where("doc_id = 5")).withColumns({"line": F.lit(1), "n": F.lit(2.5), "component_id": F.lit("c"), "score": F.lit(True), "g": F.lit(3), "label": F.lit(4), "h1": F.lit(5), "piece": F.lit(6)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left, plain = stage(spark, clash, folder), stage(spark, docs, folder)
+        assert left.columns == clash.columns
+        assert sorted(map(str, left.dropDuplicates(["doc_id"]).select(docs.columns).collect())) == sorted(map(str, plain.select(docs.columns).collect()))
+        assert left.where("doc_id = 5").count() == 2
+    pieces = corpus_pipeline.packing(spark, clash, folder)
+    assert pieces.where("doc_id = 5").count() == 2 and pieces.select("doc_id").distinct().count() == docs.count()
+
+
 def test_stages_on_nothing(spark, folder):
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
