@@ -3,7 +3,7 @@
 Texts are cut by the vocabulary's pattern; each piece runs through the transducer, unless it is a
 vocabulary entry itself, which then is its encoding. A pattern match never goes on past a
 non-blank run into the white space that follows, so a text is first cut into such stretches, whose
-ids are remembered in a bounded cache. Decoding goes through an incremental UTF-8 state machine over
+ids, and what these are decoded to, are remembered in a bounded table. Decoding goes through an incremental UTF-8 state machine over
 the entries' bytes, which holds back at most three bytes of a character that isn't whole yet.
 """
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -21,13 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, rows_only, slices
+from .common import Generations, Remembered, rows_only, slices
 from .transducer import IdTransducer, Lockstep, Merges
 
 #: White space as the pattern's \s has it (Unicode's White_Space). Fixed values.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Stretches, and pieces of them, that each generation of a worker's memory holds.
-STRETCHES, PIECES = 600_000, 200_000
+#: Places (as a power of two) in a worker's table of stretches, and pieces that each generation of its memory holds.
+STRETCHES, PIECES = 21, 200_000
 #: Longer pieces go through the transducer one by one.
 LONG = 64
 #: States with bytes held back that the decoder remembers.
@@ -93,11 +92,12 @@ class ByteBpe:
         self.bytes = {b: a for a, b in self.ranks.items()}
         self.by_text = {str(b): a for a, b in self.ranks.items()}
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
-        self.stretches = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.machine = IdTransducer(Merges(self.bytes, {i: self.ranks[bytes((i,))] for i in range(256)}, self._rule))
         self.batch = Lockstep(self.machine)
         self.names = {t: str(t) for t in self.bytes}
-        self.stretches_known, self.pieces_known = Generations(STRETCHES), Generations(PIECES)
+        self.pieces_known, self.stretches = Generations(PIECES), Remembered(STRETCHES)
+        self.ids_of: list[bytes] = []
+        self.bytes_of: list[bytes] = []
         self.stream = Utf8Stream(self.bytes)
         # By ids as they are written: the text of tokens that begin and end between characters, and all transitions.
         self.whole = {str(t): text for t in self.bytes for text, state in [self.stream.step(b"", t)] if not state and "\ufffd" not in text}
@@ -107,10 +107,10 @@ class ByteBpe:
         to = self.ranks.get(self.bytes[a] + self.bytes[b])
         return None if to is None else (to, to)
 
-    def _learn(self, stretches: set[str]) -> None:
-        """Makes the ids of all these stretches known, as they are written."""
-        cut = {x: self.pieces.findall(x) for x in stretches}
-        pieces = self.pieces_known.missing(set().union(*cut.values()))
+    def _learn(self, stretches: list[bytes], first: int) -> None:
+        """Puts the stretches' ids, as they are written, and what these are decoded to under the numbers from ``first`` on."""
+        cut = [self.pieces.findall(x.decode()) for x in stretches]
+        pieces = self.pieces_known.missing(set().union(*cut))
         known, short, data = self.pieces_known.known, [], []
         for p in pieces:
             d = p.encode()
@@ -130,20 +130,28 @@ class ByteBpe:
                 known[p] = ",".join(names[at : at + n])
                 at += n
         get = known.__getitem__
-        self.stretches_known.known.update((x, ",".join(map(get, p)) if len(p) > 1 else get(p[0])) for x, p in cut.items())
+        ids = [",".join(map(get, p)) if len(p) > 1 else get(p[0]) for p in cut]
         self.pieces_known.rest()
-
-    def encode_batch(self, texts: list[str]) -> list[str]:
-        """Decimal ids joined by commas, of each text."""
-        cut = [self.stretches.findall(t) for t in texts]
-        self._learn(self.stretches_known.missing(set().union(*cut)))
-        get = self.stretches_known.known.__getitem__
-        out = [",".join(map(get, x)) for x in cut]
-        self.stretches_known.rest()
+        self._forget(first)
+        self.ids_of += [x.encode() for x in ids]
+        self.bytes_of += [self.decode(x).encode() for x in ids]
+
+    def _forget(self, n: int) -> None:
+        del self.ids_of[n:]
+        del self.bytes_of[n:]
+
+    def encode_batch(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(decimal ids joined by commas, the bytes that they are decoded to) of each text."""
+        number, count = self.stretches.numbers(texts, True, self._learn, self._forget)
+        numbers, out, at = number.tolist(), [], 0
+        for n in count.tolist():
+            part = numbers[at : at + n]
+            out.append((b",".join(map(self.ids_of.__getitem__, part)), b"".join(map(self.bytes_of.__getitem__, part))))
+            at += n
         return out
 
     def encode(self, text: str) -> str:
-        return self.encode_batch([text])[0]
+        return self.encode_batch([text.encode()])[0][0].decode()
 
     def decode(self, ids: str) -> str:
         """The text of ids as encode gives them. While tokens end between characters the state machine stays in its first state."""
@@ -166,14 +174,14 @@ def _digests(batches: Iterator, path: str, pattern: str, with_ids: bool) -> Iter
     bpe = byte_bpe(path, pattern)
     for b in batches:
         n, coded, decoded, kept = [], [], [], []
-        texts = [t or "" for t in b.column(1).to_pylist()]
+        texts = [t or b"" for t in b.column(1).to_pylist()]
         for lo, hi in slices(len(texts), list(map(len, texts)), 2 << 20):
-            for ids in bpe.encode_batch(texts[lo:hi]):
-                n.append(ids.count(",") + 1 if ids else 0)
-                coded.append(hashlib.sha256(ids.encode()).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            for ids, data in bpe.encode_batch(texts[lo:hi]):
+                n.append(ids.count(b",") + 1 if ids else 0)
+                coded.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(data).hexdigest())
                 if with_ids:
-                    kept.append([int(x) for x in ids.split(",")] if ids else [])
+                    kept.append([int(x) for x in ids.split(b",")] if ids else [])
         columns = [b.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
@@ -188,7 +196,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
     No special tokens. A null text counts as empty (no ids); repeated rows and null doc_ids are kept
     as they are; other columns are ignored. ``path`` must be readable on each executor.
     """
-    rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return rows.mapInArrow(lambda it: _digests(it, path, pattern, with_ids), schema)
 

@@ -15,7 +15,6 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
