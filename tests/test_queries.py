@@ -78,8 +78,12 @@ def test_reads_at_all_positions(spark, sf):
     assert any((x["pos"] - 1) % 1024 < 4 or (x["pos"] - 1) % 1024 > 984 for x in good)
     whole = {f"chr{k + 1}": "ACGTTGCAACGGTTAC"[k : k + 8] * 20_000 for k in range(5)}
     qual = {x["rec_idx"]: [x["rec_idx"] % 8 * 5] * 40 for x in good}
-    assert got(spark, sf, "md_nm") == Counter((x["rec_idx"], *K.md_nm(x["pos"], x["cigar"], x["seq"], whole[x["rname"]])) for x in good)
-    assert got(spark, sf, "mapq_cap") == Counter((x["rec_idx"], K.cap_of(x["pos"], x["cigar"], x["seq"], qual[x["rec_idx"]], whole[x["rname"]])) for x in good)
+    pos, cigars, seqs, bases = ([x[c] for x in good] for c in ("pos", "cigar", "seq", "rname"))
+    bases, start, ids = [whole[n] for n in bases], [0] * len(good), [x["rec_idx"] for x in good]
+    md, nm = K.md_nm_of(pos, cigars, seqs, bases, start)
+    assert got(spark, sf, "md_nm") == Counter(zip(ids, md, nm.tolist(), strict=True))
+    caps = K.caps_of(pos, cigars, seqs, [qual[i] for i in ids], bases, start, [160_000] * len(good))
+    assert got(spark, sf, "mapq_cap") == Counter(zip(ids, caps.tolist(), strict=True))
     rows = [(x["rec_idx"], x["rname"], x["pos"], x["cigar"], x["seq"], x["flag"], chr(33 + x["rec_idx"] % 8 * 5) * 40) for x in good]
     df = spark.createDataFrame(rows, "rec_idx long, rname string, pos long, cigar string, seq string, flag int, qual string")
     want = K.with_alignment_quality(df, spark.createDataFrame(list(whole.items()), "name string, seq string")).collect()
