@@ -34,9 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, packed into sequences of at most 4096 tokens. As pack: repeated rows and null doc_ids are packed each."""
+    """Pieces of the documents that are left, packed into sequences of at most 4096 tokens. As pack: repeated rows and null doc_ids are packed each.
+
+    Workers that other stages have used remember less of the vocabulary.
+    """
     small_batches(spark)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), most=4096, end=1)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), most=4096, end=1, places=20)
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", packing)]

@@ -27,8 +27,8 @@ from .transducer import IdTransducer
 NEVER = 1 << 30
 #: Longer words go through the transducer one by one.
 LONG = 48
-#: Places (as a power of two) in a worker's table of chunks, and words that each generation of its memory holds.
-CHUNKS, WORDS = 20, 100_000
+#: Places (as a power of two) in a worker's table of chunks: 22 take about 130 MB, each less half of that but more time.
+PLACES = 22
 #: A chunk of letters that neither lower case nor NFC splits or joins, and marks that make one piece.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+)([.,;:!?]*)").fullmatch
 
@@ -36,9 +36,9 @@ PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148
 class BatchEncoder(WordCounter):
     """Ids of texts, some megabytes at a time; a chunk's ids are looked up by its number in arrays."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, places: int = PLACES):
         super().__init__(path)
-        self.words_known, self.chunks = Generations(WORDS), Remembered(CHUNKS)
+        self.words_known, self.chunks = Generations(1 << max(0, places - 4)), Remembered(places)
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
         self.place, self.many = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
         self.special_bytes = {s: np.uint32(i).tobytes() for s, i in self.special_ids.items()}
@@ -165,8 +165,8 @@ class BatchEncoder(WordCounter):
 
 
 @lru_cache(maxsize=1)
-def batch_encoder(path: str) -> BatchEncoder:
-    made = BatchEncoder(path)
+def batch_encoder(path: str, places: int) -> BatchEncoder:
+    made = BatchEncoder(path, places)
     give_back()  # what reading the file took
     return made
 
@@ -174,8 +174,8 @@ def batch_encoder(path: str) -> BatchEncoder:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(batches: Iterator, path: str, most: int, end: int) -> Iterator:
-    encoder, tail = batch_encoder(path), np.uint32(end).tobytes()
+def _pieces(batches: Iterator, path: str, most: int, end: int, places: int) -> Iterator:
+    encoder, tail = batch_encoder(path, places), np.uint32(end).tobytes()
     for b in batches:
         ids, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()]
         out: list[list] = [[], [], [], [], []]
@@ -259,11 +259,11 @@ def best_two_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
-def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 1, group: int = 32768) -> DataFrame:
+def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 1, group: int = 32768, places: int = PLACES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``.
 
     Pieces are dealt at random into groups of about ``group``, which bounds what a task holds; the sequences that groups
-    leave open are packed anew, in groups of the same size.
+    leave open are packed anew, in groups of the same size. ``places``: how much a worker remembers of the vocabulary.
 
     A document is its text's ids and ``end``; one longer than ``most`` tokens is cut into pieces of
     ``most``, of which the last may be shorter. A null text counts as empty (just ``end``). Repeated
@@ -271,7 +271,7 @@ def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 1, group: int
     """
     rows = rows_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     scope = Scope(docs.sparkSession)
-    pieces = scope.table(rows.mapInArrow(lean(lambda it: _pieces(it, path, most, end)), PIECES), "pieces")
+    pieces = scope.table(rows.mapInArrow(lean(lambda it: _pieces(it, path, most, end, places)), PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group))
     schema = PIECES + ", sequence_id long, offset long"
 

@@ -336,13 +336,11 @@ def test_packing(docs, none):
     assert packing.pack(none, WORDS).count() == 0
 
 
-def test_encoder_forgets_and_learns_again(monkeypatch):
+def test_encoder_forgets_and_learns_again():
     """Vocabularies beyond what a generation holds, within a batch and over batches; ids stay the library's."""
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "CHUNKS", 6)
-    monkeypatch.setattr(packing, "WORDS", 20)
-    library, encoder = Tokenizer.from_file(WORDS), packing.BatchEncoder(WORDS)
+    library, encoder = Tokenizer.from_file(WORDS), packing.BatchEncoder(WORDS, places=6)
     rng = random.Random(7)
     old = [f"Word{i}, " for i in range(40)]
     odd = ["", "a\u2003\xa0b\x85c\u3000", "\x1ca b", "z" * 70 + "\u2028é", "İstanbul", "ŉx", "STRASSE", "Straße.,;", "é́", "It's", "a<|endoftext|>b", "x" * 90, "Σας", "ñandú!", "µm", "a×b", "12ab,"]
