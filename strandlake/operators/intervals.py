@@ -24,10 +24,19 @@ def _whole(df: DataFrame) -> DataFrame:
     return df.where("contig is not null and beg < stop")
 
 
-def measured_width(*sides: DataFrame) -> int:
-    """A power of two near the larger of the sides' median lengths: then few pairs that share a bin don't overlap."""
-    medians = [_whole(s).agg(F.percentile_approx(F.col("stop") - F.col("beg"), 0.5, 1000)).first()[0] or 1 for s in sides]
-    return min(MOST_WIDTH, max(LEAST_WIDTH, 1 << (int(max(medians)) - 1).bit_length()))
+def _lengths(*sides: DataFrame) -> tuple[int, set[int]]:
+    """(the larger of the sides' median lengths, how many bits lengths less one have); one pass over each side's bounds."""
+    length, medians, bits = F.col("stop") - F.col("beg"), [1], set()
+    for s in sides:
+        median, found = _whole(s).agg(F.percentile_approx(length, 0.5, 1000), F.collect_set(F.length(F.bin(length - 1)))).first()
+        medians.append(median or 1)
+        bits |= set(found)
+    return int(max(medians)), bits
+
+
+def _near(median: int) -> int:
+    """A power of two near the median: then few pairs that share a bin don't overlap."""
+    return min(MOST_WIDTH, max(LEAST_WIDTH, 1 << (median - 1).bit_length()))
 
 
 def _level(width: int) -> Column:
@@ -52,12 +61,10 @@ def _binned(df: DataFrame, width: int, levels: list[int], prefix: str) -> DataFr
     return out.select(*[F.col(c).alias(prefix + c) for c in df.columns], F.col("__level").alias(f"{prefix}__level"), F.col("__bin.n").alias(f"{prefix}__n"), F.col("__bin.b").alias(f"{prefix}__b"))
 
 
-def _levels(width: int, *sides: DataFrame) -> list[int]:
-    """The levels in use, of which there are ten at most."""
-    found: set[int] = set()
-    for s in sides:
-        found |= {r[0] for r in _whole(s).select(_level(width)).distinct().collect()}
-    return sorted(found) or [0]
+def _levels(width: int, bits: set[int]) -> list[int]:
+    """The levels that intervals of such lengths lie on, of which there are ten at most. Widths are powers of two, and a length of at most 2 ** n has n bits less one."""
+    one, step = width.bit_length() - 1, LEVEL.bit_length() - 1
+    return sorted({max(0, -(-(b - one) // step)) for b in bits}) or [0]
 
 
 def covered_bins(regions: DataFrame, width: int) -> DataFrame:
@@ -73,7 +80,7 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", width:
     """Rows of ``left`` and ``right`` (contig, beg, stop and other columns) that overlap on one contig.
 
     how: inner, left_semi or left_anti. Both sides are dealt by (contig, bin), so that no contig is one hot key; the
-    bins' ``width`` is measured if it isn't given. Empty intervals, and those with nulls, overlap nothing. In an inner
+    bins' ``width`` (a power of two) is measured if it isn't given. Empty intervals, and those with nulls, overlap nothing. In an inner
     join the columns of ``right`` get the prefix ``r_``; long intervals lie in wider bins, a pair meets on the coarser
     of its two levels and counts in the one bin there where its overlap begins. For semi and anti joins a bin keeps
     what regions cover of it, and each distinct interval of ``left`` is looked up once.
@@ -81,15 +88,16 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", width:
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"unknown kind of join: {how}")
     if how == "inner":
-        width = width or measured_width(left, right)
-        levels = _levels(width, left, right)
+        median, bits = _lengths(left, right)
+        width = width or _near(median)
+        levels = _levels(width, bits)
         l, r = _binned(_whole(left), width, levels, ""), _binned(_whole(right), width, levels, "r_")
         same = (F.col("contig") == F.col("r_contig")) & (F.col("__n") == F.col("r___n")) & (F.col("__b") == F.col("r___b"))
         size = F.lit(width).cast("double") * F.pow(F.lit(float(LEVEL)), F.col("__n"))
         here = (F.col("__n") == F.greatest("__level", "r___level")) & (F.col("__b") == F.floor(F.greatest("beg", "r_beg") / size))
         found = l.join(r, same & (F.col("beg") < F.col("r_stop")) & (F.col("stop") > F.col("r_beg")) & here)
         return found.select(*left.columns, *[f"r_{c}" for c in right.columns])
-    width = width or measured_width(right)
+    width = width or _near(_lengths(right)[0])
     spans = _whole(left).select("contig", "beg", "stop").distinct()
     bins = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("beg") / width), F.floor((F.col("stop") - 1) / width))))
     met = F.exists("r", lambda x: (x["beg"] < F.col("stop")) & (x["stop"] > F.col("beg")))

@@ -336,3 +336,25 @@ def test_bam_files_put_together(spark, tmp_path):
     (tmp_path / "x.bam").write_bytes(bam.write_bam("@SQ\tSN:z\tLN:5\n", []))
     with pytest.raises(ValueError):
         list(bam.concatenate([files[0], (tmp_path / "x.bam").open("rb")]))
+
+
+def test_reads_over_many_bins_pass_once(spark):
+    """Spliced reads that reach over several bins, regions that touch, nest and repeat, rows without a place."""
+    rng = random.Random(12)
+    reads, regions = [], []
+    for i in range(200):
+        skip = rng.choice([0, 0, 30, 200])
+        reads.append((i, rng.choice(["c1", "c2"]), rng.randrange(1, 900), f"5M{skip}N5M" if skip else "10M"))
+    reads += [(900, None, None, "*"), (901, "c1", None, "*"), (902, "c1", 5, "*"), reads[0], reads[0]]
+    for _ in range(25):
+        b = rng.randrange(900)
+        regions.append((rng.choice(["c1", "c2", "c3"]), b, b + rng.choice([0, 1, 8, 60])))
+    regions += [regions[0], (None, 0, 900)]
+    df = spark.createDataFrame(reads, "rec_idx long, rname string, pos long, cigar string").repartition(3)
+    span = lambda c: sum(int(x) for x in c.replace("N", " ").replace("M", " ").split()) if c != "*" else 0
+    meets = lambda r, g: r[1] == g[0] and g[1] < g[2] and span(r[3]) and r[2] - 1 < g[2] and r[2] - 1 + span(r[3]) > g[1]
+    want = sorted(r[0] for r in reads if r[1] and r[2] and any(meets(r, g) for g in regions))
+    for width in (16, 64, 1 << 14):
+        got = in_regions(df, spark.createDataFrame(regions, "contig string, beg long, stop long"), width)
+        assert sorted(r["rec_idx"] for r in got.collect()) == want
+    assert 60 < len(want) < 190
