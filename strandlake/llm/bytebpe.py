@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, Remembered, rows_only, slices
+from .common import Generations, Remembered, rows_only, segments
 from .transducer import IdTransducer, Lockstep, Merges
 
 #: White space as the pattern's \s has it (Unicode's White_Space). Fixed values.
@@ -175,13 +175,17 @@ def _digests(batches: Iterator, path: str, pattern: str, with_ids: bool) -> Iter
     for b in batches:
         n, coded, decoded, kept = [], [], [], []
         texts = [t or b"" for t in b.column(1).to_pylist()]
-        for lo, hi in slices(len(texts), list(map(len, texts)), 2 << 20):
-            for ids, data in bpe.encode_batch(texts[lo:hi]):
-                n.append(ids.count(b",") + 1 if ids else 0)
-                coded.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(data).hexdigest())
-                if with_ids:
-                    kept.append([int(x) for x in ids.split(b",")] if ids else [])
+        found: list[list[tuple[bytes, bytes]]] = [[] for _ in texts]
+        for which, parts in segments(texts):
+            for i, own in zip(which, bpe.encode_batch(parts), strict=True):
+                found[i].append(own)
+        for own in found:
+            ids, data = own[0] if len(own) == 1 else (b",".join(x for x, _ in own), b"".join(x for _, x in own))
+            n.append(ids.count(b",") + 1 if ids else 0)
+            coded.append(hashlib.sha256(ids).hexdigest())
+            decoded.append(hashlib.sha256(data).hexdigest())
+            if with_ids:
+                kept.append([int(x) for x in ids.split(b",")] if ids else [])
         columns = [b.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -234,6 +235,37 @@ def chunks(texts: list[bytes], with_space: bool) -> tuple[bytes, np.ndarray, np.
     return data, start, end, np.diff(np.searchsorted(start, np.concatenate((first, [len(data)]))))
 
 
+#: Bytes of text that are cut into chunks at a time.
+SEGMENT = 2 << 20
+_RUN = re.compile(rb"[\t-\r ]+")
+
+
+def segments(texts: list[bytes], most: int = SEGMENT) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(numbers of the texts, their segments) of about ``most`` bytes at a time. Longer texts are parted before white space; a part without any stays whole."""
+    which: list[int] = []
+    parts: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        at = 0
+        while len(t) - at > most:
+            run = next((m for m in _RUN.finditer(t, at + most) if not blanks(np.frombuffer(t[m.start() - 3 : m.start()], np.uint8))[-1]), None)
+            end = run.start() if run else len(t)
+            if parts:
+                yield which, parts
+                which, parts, size = [], [], 0
+            yield [i], [t[at:end]]
+            at = end
+        if at < len(t) or not at:
+            which.append(i)
+            parts.append(t[at:])
+            size += len(t) - at
+        if size >= most:
+            yield which, parts
+            which, parts, size = [], [], 0
+    if parts:
+        yield which, parts
+
+
 class ChunkTable:
     """64-bit hashes -> numbers from 0 in the order in which they came; open addressing in arrays that grow only for what one batch adds."""
 
@@ -303,6 +335,9 @@ class Remembered:
         if self.table.full:
             self.table.clear()
             forget(0)
+        if len(texts) == 1 and len(texts[0]) > 2 * SEGMENT:  # hardly any white space: one chunk
+            learn(texts, self.table.n)
+            return np.array([self.table.n]), np.array([1])
         data, start, end, count = chunks(texts, with_space)
         h = span_hashes(np.frombuffer(data, np.uint8), start, end)
         h[h == 0] = 1

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, Remembered, Scope, give_back, lean, rows_only, slices
+from .common import Generations, Remembered, Scope, give_back, lean, rows_only, segments, slices
 from .tokencount import WordCounter
 from .transducer import IdTransducer
 
@@ -179,13 +179,16 @@ def _pieces(batches: Iterator, path: str, most: int, end: int, places: int) -> I
     for b in batches:
         ids, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()]
         out: list[list] = [[], [], [], [], []]
-        for lo, hi in slices(len(texts), list(map(len, texts)), 1 << 20):
-            for ident, own in zip(ids[lo:hi], encoder.encode_batch(texts[lo:hi]), strict=True):
-                data = own.tobytes() + tail
-                for k, start in enumerate(range(0, len(data) // 4, most)):
-                    part = data[4 * start : 4 * (start + most)]
-                    for column, value in zip(out, (ident, k, start, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
+        found: list[list[bytes]] = [[] for _ in texts]
+        for which, parts in segments(texts, 1 << 20):
+            for i, own in zip(which, encoder.encode_batch(parts), strict=True):
+                found[i].append(own.tobytes())
+        for ident, own in zip(ids, found, strict=True):
+            data = b"".join(own) + tail
+            for k, start in enumerate(range(0, len(data) // 4, most)):
+                part = data[4 * start : 4 * (start + most)]
+                for column, value in zip(out, (ident, k, start, len(part) // 4, zlib.crc32(part)), strict=True):
+                    column.append(value)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

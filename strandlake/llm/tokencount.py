@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import SPACE
-from .common import Recent, Remembered, rows_only, slices
+from .common import Recent, Remembered, rows_only, segments
 from .transducer import NODE, CountTransducer, Merges
 
 #: Places (as a power of two) in a worker's table of chunks, and pieces that each generation of its memory holds.
@@ -147,7 +147,9 @@ def _counts(batches: Iterator, path: str, limit: int) -> Iterator:
     for b in batches:
         texts = [t or b"" for t in b.column(1).to_pylist()]
         size = list(map(len, texts))
-        n = np.concatenate([np.empty(0, np.int64), *(counter.counts(texts[lo:hi]) for lo, hi in slices(len(texts), size, 2 << 20))])
+        n = np.zeros(len(texts), np.int64)
+        for which, parts in segments(texts):
+            np.add.at(n, which, counter.counts(parts))
         columns = [b.column(0), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -371,6 +371,38 @@ def test_chunks():
     assert table.find(np.concatenate((keys, [np.uint64(7)]))).tolist() == [*range(10), -1]
 
 
+def test_texts_in_segments(monkeypatch):
+    """Texts of many segments, and of one without white space, give what the libraries give for the whole."""
+    import pyarrow as pa
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from strandlake.llm import common
+
+    rng = random.Random(9)
+    texts = [words(rng, 900) + "  \n\u2003 x ", "", "ab" * 900, "a\xa0b\xa0" * 300 + " end", "é" * 700 + "\n\n  z", "short", "Ж\u2003 ж\xa0\n" * 200, "жЖ " * 200]
+    for most in (50, 300):
+        got = list(common.segments([t.encode() for t in texts], most))
+        whole = [b""] * len(texts)
+        for which, parts in got:
+            for i, p in zip(which, parts, strict=True):
+                whole[i] += p
+        assert whole == [t.encode() for t in texts] and len(got) > 5
+    monkeypatch.setattr(common, "SEGMENT", 100)
+    monkeypatch.setattr(common.segments, "__defaults__", (100,))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.encode() for t in texts])], names=["doc_id", "text"])
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(BYTES, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = next(bytebpe._digests(iter([batch]), BYTES, public_tokenizers.PATTERN, True))
+    assert out.column("ids").to_pylist() == [library.encode_ordinary(t) for t in texts]
+    assert out.column("decoded_sha256").to_pylist() == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    word = Tokenizer.from_file(WORDS)
+    ids = [word.encode(t, add_special_tokens=False).ids for t in texts]
+    assert next(tokencount._counts(iter([batch]), WORDS, 9)).column("n_tokens").to_pylist() == list(map(len, ids))
+    pieces = next(packing._pieces(iter([batch]), WORDS, 10**6, 1, 20))
+    assert pieces.column("ids_crc32").to_pylist() == [zlib.crc32(np.array([*x, 1], np.uint32).tobytes()) for x in ids]
+
+
 def test_packing_of_short_texts(spark):
     """Groups' open sequences are packed together: pieces of one length need no more sequences than in one group."""
     df = spark.range(20_000).selectExpr("id as doc_id", "'a b c d e f g h i j k l m n o p q r s' as text")
