@@ -92,9 +92,19 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", width:
         width = width or _near(median)
         levels = _levels(width, bits)
         l, r = _binned(_whole(left), width, levels, ""), _binned(_whole(right), width, levels, "r_")
+        # Dealt by number: the sides' sizes, by which tasks would be merged, say little of how many pairs they make.
+        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        l, r = l.repartition(tasks, "contig", "__n", "__b"), r.repartition(tasks, "r_contig", "r___n", "r___b")
         same = (F.col("contig") == F.col("r_contig")) & (F.col("__n") == F.col("r___n")) & (F.col("__b") == F.col("r___b"))
-        size = F.lit(width).cast("double") * F.pow(F.lit(float(LEVEL)), F.col("__n"))
-        here = (F.col("__n") == F.greatest("__level", "r___level")) & (F.col("__b") == F.floor(F.greatest("beg", "r_beg") / size))
+        # The bin where the overlap begins: bins' widths are powers of two, so it is a shift by the level's number of bits.
+        begin = F.greatest("beg", "r_beg")
+        own = None
+        for n in levels:
+            bin_ = F.shiftright(begin, width.bit_length() - 1 + n * (LEVEL.bit_length() - 1))
+            own = bin_ if own is None else F.when(F.col("__n") == n, bin_).otherwise(own)
+        here = F.col("__b") == own
+        if len(levels) > 1:
+            here = here & (F.col("__n") == F.greatest("__level", "r___level"))
         found = l.join(r, same & (F.col("beg") < F.col("r_stop")) & (F.col("stop") > F.col("r_beg")) & here)
         return found.select(*left.columns, *[f"r_{c}" for c in right.columns])
     width = width or _near(_lengths(right)[0])
