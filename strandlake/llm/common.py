@@ -77,7 +77,7 @@ def small_batches(spark: SparkSession) -> None:
 class Scope:
     """An operator's intermediate tables. ``result`` writes what it returns and deletes the others, so that they don't pile up in the shared folder.
 
-    Until then Arrow batches are small (BATCH).
+    Until then Arrow batches are small (BATCH). Used in a ``with`` block, tables and settings are put right after a failure too.
     """
 
     def __init__(self, spark: SparkSession):
@@ -86,6 +86,12 @@ class Scope:
         for k, v in BATCH.items():
             spark.conf.set(k, v)
 
+    def __enter__(self) -> Scope:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
     def path(self, name: str) -> str:
         self.paths.append(path := new_path(self.spark, name))
         return path
@@ -97,12 +103,15 @@ class Scope:
 
     def result(self, df: DataFrame, name: str) -> DataFrame:
         out = as_table(df, name)
+        self.close()
+        return out
+
+    def close(self) -> None:
         for path in self.paths:
             delete(self.spark, path)
         self.paths = []
         for k, v in self.before.items():
             self.spark.conf.set(k, v)
-        return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,6 +15,7 @@ from .packing import pack
 from .quality import quality_scores
 from .tokencount import token_counts
 from .topk import top_k
+from .trie import prefix_trie
 from .warc import round_trip
 from .winnow import fingerprints
 
@@ -63,6 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("like_doc_id", "like_line")})
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), branch=(5, 9))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -74,12 +79,16 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_topk": op9_exact_topk,
     "op10_line_dedup": op10_line_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Words as the operators have them, in SQL: A-Z lower-cased, between ASCII white space.
 _WORDS = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 _SHINGLES = "case when len(w) < 4 then case when len(w) = 0 then [] else [array_to_string(w, ' ')] end else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end"
 _BASE32 = "array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((cast(concat('0x', substr(h, cast(i * 5 + 1 as bigint), 5)) as int) >> b) & 31) + 1 as bigint), 1)), '')), '')"
+#: A common table for _CRC: what CRC-32 does with each byte.
+_CRC_TABLE = "crc_table as materialized (select list(c order by b) as crc_list from (select b, list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) as c from range(256) r(b)))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({})), '..'), lambda p: cast('0x' || p as bigint))), lambda c, b: xor(c >> 8, crc_list[(xor(c, b) & 255) + 1])), 4294967295)"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": (
@@ -112,4 +121,16 @@ ORACLE_SQL: dict[str, str] = {
         "select l.doc_id, l.line, c.f.d as class_doc_id, c.f.l as class_line, coalesce(n_links, 0) as n_links, coalesce(g.o.d, -1) as like_doc_id, coalesce(g.o.l, -1) as like_line, "
         "l.doc_id <> c.f.d or l.line <> c.f.l or coalesce(g.o < c.f, false) as removed from l join c using (s) left join g on g.id = c.id"
     ),
+    "op13_prefix_trie": (
+        f"with {_CRC_TABLE}, t as (select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x, "
+        "row_number() over (partition by conv_id order by turn nulls first, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) - 1 as i from conversations where conv_id is not null), "
+        f"h as (select c, {_CRC.format('cast(c as varchar)')} % 9 as h from (select distinct c from t), crc_table), "
+        "s as (select h.c, 0 as own, i, r, x from h join t on t.c = h.c - h.c % 5 and i < h union all select h.c, 1, i, r, x from h join t on t.c = h.c and i >= h), "
+        "l as (select h.c, coalesce(list(struct_pack(r := r, x := x) order by own, i) filter (i is not null), []) as l from h left join s using (c) group by h.c), "
+        "o as (select c, d, l[1:d] as p, d = len(l) as e, case when d > 0 then octet_length(encode(l[d].x)) else 0 end as b from (select c, l, unnest(range(len(l) + 1)) as d from l)), "
+        "n as materialized (select d, p, min(c) as c, count(*) as n, any_value(b) as b, coalesce(string_agg(cast(c as varchar), ',' order by c) filter (e), '') as ends, count(*) filter (e) = count(*) as leaf from o group by d, p), "
+        "u as (select d.d, d.p, count(*) filter (x.d = d.d + 1) as n_children, count(*) filter (x.leaf) as n_leaves, sum((x.n - 1) * x.b) as saved from n d join n x on x.d >= d.d and x.p[1:d.d] = d.p group by d.d, d.p) "
+        "select n.c as conv_id, n.d as depth, a.c as parent_conv_id, n.n as n_convs, n_children, n_leaves, cast(saved as bigint) as saved_tokens, sha256(n.ends) as ends_sha256 "
+        "from n join u on u.d = n.d and u.p = n.p left join n a on a.d = n.d - 1 and a.p = n.p[1:n.d - 1]"
+    ),
 }
