@@ -13,6 +13,7 @@ from .licenses import licences
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality_scores
+from .secretscan import ALLOWED, CLASSES, KINDS, WEIGHTS, WINDOW, find_secrets, joined, limit
 from .tokencount import token_counts
 from .topk import top_k
 from .trie import prefix_trie
@@ -64,6 +65,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("like_doc_id", "like_line")})
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(KINDS[:3]))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"), branch=(5, 9))
 
@@ -79,6 +87,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_topk": op9_exact_topk,
     "op10_line_dedup": op10_line_dedup,
+    "op12_secret_scan": op12_secret_scan,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -90,6 +99,10 @@ _BASE32 = "array_to_string(list_transform(range(8), lambda i: array_to_string(li
 _CRC_TABLE = "crc_table as materialized (select list(c order by b) as crc_list from (select b, list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) as c from range(256) r(b)))"
 _CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({})), '..'), lambda p: cast('0x' || p as bigint))), lambda c, b: xor(c >> 8, crc_list[(xor(c, b) & 255) + 1])), 4294967295)"
 
+#: Patterns of op12 in SQL, with both cases spelled out.
+_ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_SECRETS = [_ASSIGN, "AKIA[A-Z0-9]+", "[0-9a-f]+", *(f"[{c}]+" for c, _ in CLASSES.values())]
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": (
         f"with recursive d as materialized (select doc_id, {_SHINGLES} as s from (select doc_id, {_WORDS.format('text')} as w from documents)), "
@@ -121,6 +134,23 @@ ORACLE_SQL: dict[str, str] = {
         "select l.doc_id, l.line, c.f.d as class_doc_id, c.f.l as class_line, coalesce(n_links, 0) as n_links, coalesce(g.o.d, -1) as like_doc_id, coalesce(g.o.l, -1) as like_line, "
         "l.doc_id <> c.f.d or l.line <> c.f.l or coalesce(g.o < c.f, false) as removed from l join c using (s) left join g on g.id = c.id"
     ),
+    "op12_secret_scan": (
+        "with d as materialized (select row_number() over () as id, doc_id, coalesce(text, '') as t from documents), "
+        "m as (" + " union all ".join(f"select id, {k} as kind, string_split_regex(t, '{p}') as g, regexp_extract_all(t, '{p}') as f from d where regexp_matches(t, '{p}')" for k, p in enumerate(_SECRETS)) + "), "
+        "p as (select id, kind, g, f, unnest(range(1, len(f) + 1)) as i from m), "
+        "b as materialized (select id, kind, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) as bigint) as a, f[i] as s from p "
+        f"where case kind when 0 then length(regexp_extract(f[i], '{_ASSIGN}', 2)) >= 12 when 1 then length(f[i]) >= 18 when 2 then length(f[i]) >= 16 else length(f[i]) >= {WINDOW} end), "
+        "c as (select id, kind, a, unnest(range(1, length(s) + 1)) as i, s from b where kind >= 3 " + " ".join(f"and not regexp_matches(s, '{p}')" for p in ALLOWED) + "), "
+        # The sum over each window's characters of c * log2(c), from all counts anew.
+        f"w as (select id, kind, a + i - 1 as a, a + i - 1 + {WINDOW} as e, list_sum(list_transform(map_values(histogram(h)), lambda n: {WEIGHTS}[cast(n as int) + 1])) as x from "
+        f"(select id, kind, a, i, unnest(string_split(substr(s, i, {WINDOW}), '')) as h from c where i <= length(s) - {WINDOW} + 1) group by id, kind, a, i), "
+        "h as (select id, kind, a, e, lag(e) over (partition by id, kind order by a) as before from w where x <= case kind " + " ".join(f"when {KINDS.index(k)} then {limit(bits)}" for k, (_, bits) in CLASSES.items()) + " end), "
+        "i as (select id, kind, a, e, count(*) filter (before is null or a > before) over (partition by id, kind order by a) as n from h), "
+        "s as (select id, kind, a, a + length(s) as e from b where kind < 3 union all select id, kind, min(a), max(e) from i group by id, kind, n), "
+        f"j as (select id, kind, a, concat({KINDS}[kind + 1], ':', a, ':', e) as x from s) "
+        "select any_value(doc_id) as doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, "
+        "sha256(coalesce(string_agg(x, ',' order by a, kind) filter (kind < 3), '')) as base_sha256, coalesce(string_agg(x, ',' order by a, kind), '') as spans from d left join j using (id) group by id"
+    ),
     "op13_prefix_trie": (
         f"with {_CRC_TABLE}, t as (select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x, "
         "row_number() over (partition by conv_id order by turn nulls first, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) - 1 as i from conversations where conv_id is not null), "
