@@ -14,6 +14,7 @@ from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality_scores
 from .secretscan import ALLOWED, CLASSES, KINDS, WEIGHTS, WINDOW, find_secrets, joined, limit
+from .spelling import spelling_groups
 from .tokencount import token_counts
 from .topk import top_k
 from .trie import prefix_trie
@@ -65,6 +66,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("like_doc_id", "like_line")})
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"), least=5, times=3, damage=97)
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(KINDS[:3]))
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_topk": op9_exact_topk,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_secret_scan": op12_secret_scan,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -134,6 +140,18 @@ ORACLE_SQL: dict[str, str] = {
         "select l.doc_id, l.line, c.f.d as class_doc_id, c.f.l as class_line, coalesce(n_links, 0) as n_links, coalesce(g.o.d, -1) as like_doc_id, coalesce(g.o.l, -1) as like_line, "
         "l.doc_id <> c.f.d or l.line <> c.f.l or coalesce(g.o < c.f, false) as removed from l join c using (s) left join g on g.id = c.id"
     ),
+    "op11_spelling_variants": (
+        f"with recursive {_CRC_TABLE}, r as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as w from documents), "
+        f"c as (select w, n, length(w) as l, {_CRC.format('concat(doc_id, chr(58), w)')} as h from (select doc_id, w, count(*) as n from r group by doc_id, w), crc_table), "
+        "x as materialized (select w, cast(sum(n) as bigint) as n from (select case when h % 97 = 0 then concat(left(w, cast(h % l as bigint)), substr(w, cast(h % l + 2 as bigint))) else w end as w, n from c) where length(w) >= 5 group by w having sum(n) >= 3), "
+        "i as materialized (select w, n, unnest(range(length(w))) as i from x), d as materialized (select w, n, i, left(w, i) as a, substr(w, i + 2) as b from i), "
+        "p as (select d.w, e.w as o, e.n as m from d join d e using (i, a, b) where d.w <> e.w union select d.w, x.w, x.n from d join x on x.w = concat(a, b) union select x.w, d.w, d.n from d join x on x.w = concat(a, b)), "
+        "g as (select w, count(*) as n_near from p group by w), "
+        "b as (select w, o, m from p qualify row_number() over (partition by w order by m desc, o) = 1), "
+        "f as materialized (select x.w, x.n, coalesce(n_near, 0) as n_near, case when b.m >= 2 * x.n then b.o end as form, case when b.m >= 2 * x.n then b.m end as form_n from x left join g using (w) left join b using (w)), "
+        "t as (select w, w as root, form from f union all select t.w, f.w, f.form from t join f on f.w = t.form) "
+        "select f.w as word, f.form, t.root, f.n, f.n_near, f.form_n from f join t on t.w = f.w and t.form is null"
+    ),
     "op12_secret_scan": (
         "with d as materialized (select row_number() over () as id, doc_id, coalesce(text, '') as t from documents), "
         "m as (" + " union all ".join(f"select id, {k} as kind, string_split_regex(t, '{p}') as g, regexp_extract_all(t, '{p}') as f from d where regexp_matches(t, '{p}')" for k, p in enumerate(_SECRETS)) + "), "
