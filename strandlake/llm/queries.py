@@ -122,10 +122,10 @@ ORACLE_SQL: dict[str, str] = {
         f"select page_id, cast(n as bigint) as payload_bytes, {_BASE32} as payload_digest, case when page_id = r then 'response' else 'revisit' end as record_type, case when page_id < r then r end as refers_to from p"
     ),
     "op9_exact_topk": (
-        "with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as x from embeddings where vec_id is not null and embedding is not null "
+        "with v as materialized (select vec_id, row_number() over () as r, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as x from embeddings where vec_id is not null and embedding is not null "
         "and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), "
-        "s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x)) "
-        "select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s qualify rank <= 20"
+        "s as (select q.r, q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score from v q join v c on q.vec_id % 20 = 0 and q.r <> c.r and len(q.x) = len(c.x)) "
+        "select query_id, cast(row_number() over (partition by r order by score desc, vec_id) as int) as rank, vec_id, score from s qualify rank <= 20"
     ),
     "op10_line_dedup": (
         "with l as materialized (select doc_id, cast(i - 1 as int) as line, list_sort(list_distinct(w)) as s from "

@@ -26,9 +26,10 @@ HELD = 0.99
 
 
 class SortedLists:
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None):
         order = np.argsort(ids, kind="stable")  # so that a smaller row number is a smaller id
         self.ids, self.x = ids[order], x[order]
+        self.numbers = self.ids if rows is None else rows[order]
         # Sums of products stay exact in doubles up to 2 ** 53.
         big = float(np.abs(self.x).max(initial=0))
         self.exact = x.shape[1] * big * big < 2**53
@@ -47,7 +48,7 @@ class SortedLists:
         self.scored = 0
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows but those with id ``own``, ties to smaller ids; ``scored`` counts the rows scored."""
+        """(ids, scores) of the k best rows but row ``own``, ties to smaller ids; ``scored`` counts the rows scored."""
         n = len(self.ids)
         if self.exact and float(np.abs(q).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * len(q) < 2**53:
             x, weight = self.f, q.astype(np.float64)
@@ -58,7 +59,7 @@ class SortedLists:
         slack = self.slack * (1 + float(np.abs(q).max(initial=0)))
         lists = np.flatnonzero(np.abs(turned) > 0)
         turned = turned[lists]
-        unseen = self.ids != own
+        unseen = self.numbers != own
         at, score = np.empty(0, np.int64), np.empty(0, weight.dtype)
         down = turned > 0
         depth, step = 0, max(2 * k, n // 128)
@@ -90,23 +91,22 @@ def _units(batches: Iterator, k: int) -> Iterator:
     unit, rows, queries = None, [], []
 
     def done():
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if rows and queries:
-            lists = SortedLists(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).reshape(len(rows), -1))
-            for ident, q in queries:
-                ids, scores = lists.search(np.array(q, np.int64), ident, k)
-                out[0].append(np.full(len(ids), ident, np.int64))
-                out[1].append(ids)
-                out[2].append(scores)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+            lists = SortedLists(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).reshape(len(rows), -1), np.array([r[2] for r in rows], np.int64))
+            for ident, q, row in queries:
+                ids, scores = lists.search(np.array(q, np.int64), row, k)
+                for column, x in zip(out, (np.full(len(ids), row, np.int64), np.full(len(ids), ident, np.int64), ids, scores), strict=True):
+                    column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["row", "query_id", "vec_id", "score"])
 
     for b in batches:
-        for dim, c, q, query, ident, x in zip(*(b.column(n).to_pylist() for n in ("dim", "c", "q", "query", "id", "x")), strict=True):
+        for dim, c, q, query, ident, x, row in zip(*(b.column(n).to_pylist() for n in ("dim", "c", "q", "query", "id", "x", "row")), strict=True):
             if (dim, c, q) != unit:
                 if unit is not None:
                     yield done()
                 unit, rows, queries = (dim, c, q), [], []
-            (queries if query else rows).append((ident, x))
+            (queries if query else rows).append((ident, x, row))
     if unit is not None:
         yield done()
 
@@ -115,24 +115,24 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
     """query_id, rank, vec_id, score: the ``k`` rows with the largest inner product for each query.
 
     Components become floor(scale * x). Queries are the rows whose vec_id is divisible by ``every``;
-    candidates are all rows with another vec_id and as many components. Ties go to the smaller vec_id.
-    Rows with a null vec_id or vector, or null or non-finite components, take no part; rows that share a
-    vec_id count as one, with the smallest vector. Other columns are ignored.
+    candidates are all other rows with as many components. Ties go to the smaller vec_id. Rows that share a
+    vec_id, and repeated rows, are candidates and queries each: such a query_id has ranks from 1 more than once. Rows
+    with a null vec_id or vector, or null or non-finite components, take no part. Other columns are ignored.
     """
     rows = rows_only(vectors, "vec_id", "embedding").where("vec_id is not null and embedding is not null")
     rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
     rows = rows.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    rows = rows.groupBy("id").agg(F.min("e").alias("e")).select("id", F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("x"), F.size("e").alias("dim"))
+    rows = rows.select("id", F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("x"), F.size("e").alias("dim"), F.monotonically_increasing_id().alias("row"))
     n = rows.count()
     nc, nq = max(1, -(-n // block)), max(1, -(-n // (query_block * every)))
     spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(spread, min(4 * nc * nq, 8 * spread))
     query = F.col("id") % every == 0
-    c, q = F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nq)).cast("int")
+    c, q = F.pmod(F.xxhash64("row"), F.lit(nc)).cast("int"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(nq)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    as_row = rows.select("dim", c.alias("c"), each(nq).alias("q"), F.lit(False).alias("query"), "id", "x")
-    as_query = rows.where(query).select("dim", each(nc).alias("c"), q.alias("q"), F.lit(True).alias("query"), "id", "x")
+    as_row = rows.select("dim", c.alias("c"), each(nq).alias("q"), F.lit(False).alias("query"), "id", "x", "row")
+    as_query = rows.where(query).select("dim", each(nc).alias("c"), q.alias("q"), F.lit(True).alias("query"), "id", "x", "row")
     units = as_row.unionByName(as_query).repartition(tasks, "dim", "c", "q").sortWithinPartitions("dim", "c", "q", "query")
-    found = units.mapInArrow(lambda it: _units(it, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = units.mapInArrow(lambda it: _units(it, k), "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -403,6 +403,16 @@ def test_texts_in_segments(monkeypatch):
     assert pieces.column("ids_crc32").to_pylist() == [zlib.crc32(np.array([*x, 1], np.uint32).tobytes()) for x in ids]
 
 
+def test_packing_of_equal_rows(spark, monkeypatch):
+    """Equal rows, null ones among them, spread over the groups."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = spark.range(12000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 > 0, "one two three").alias("text")).repartition(3)
+    got = packing.pack(rows, path, most=64, group=1000).withColumn("g", F.shiftright("sequence_id", 32))
+    groups = [r["count"] for r in got.groupBy("g").count().collect()]
+    assert sum(groups) == 12000 and max(groups) < 2000 and len(groups) >= 12
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 64").count() == 0
+
+
 def test_packing_of_short_texts(spark):
     """Groups' open sequences are packed together: pieces of one length need no more sequences than in one group."""
     df = spark.range(20_000).selectExpr("id as doc_id", "'a b c d e f g h i j k l m n o p q r s' as text")
@@ -532,14 +542,18 @@ def test_top_k(spark):
     rows += [(200 + i, rows[0][1], 0.5, 1) for i in range(40)]  # ties
     bad = [(400, None, 0.5, 1), (420, [1.0, None] + [0.0] * 6, 0.5, 1), (440, [float("nan")] * 8, 0.5, 1), (460, [float("inf")] + [0.0] * 7, 0.5, 1), (None, [1.0] * 8, 0.5, 1)]
     odd = [(500, [0.0] * 8, 0.5, 1), (520, [1.0] * 3, 0.5, 1), (521, [2.0] * 3, 0.5, 1)]
-    df = spark.createDataFrame([*rows, *bad, *odd, rows[3]], "vec_id long, embedding array<double>, score double, rank int")
+    again = [(40, [3.0] * 8, 0.5, 1), rows[60], (1, [0.1] * 8, 0.5, 1)]  # vec_ids that are there already
+    df = spark.createDataFrame([*rows, *bad, *odd, rows[3], *again], "vec_id long, embedding array<double>, score double, rank int")
     for block in (8192, 32):
         got = [tuple(r) for r in topk.top_k(df, k=20, block=block, query_block=4 if block == 32 else 8192).orderBy("query_id", "rank").collect()]
-        good = {i: np.floor(64 * np.array(e)).astype(int) for i, e, *_ in [*rows, *odd]}
+        good = [(i, np.floor(64 * np.array(e)).astype(int)) for i, e, *_ in [*rows, *odd, rows[3], *again]]
         want = []
-        for q in sorted(i for i in good if i % 20 == 0):
-            other = sorted((-int(good[q] @ good[i]), i) for i in good if i != q and len(good[i]) == len(good[q]))[:20]
-            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(other)]
+        for n, (q, x) in enumerate(good):
+            if q % 20 == 0:
+                other = sorted((-int(x @ y), i) for m, (i, y) in enumerate(good) if m != n and len(x) == len(y))[:20]
+                want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(other)]
+        want.sort(key=lambda r: r[:2])
+        got, want = (sorted(x) for x in (got, want))
         assert got == want
     assert topk.top_k(df.limit(0)).count() == 0
 
