@@ -287,7 +287,8 @@ def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 1, group: int
             g = t.column("g")[0].as_py()
             return t.drop_columns(["g"]).append_column("sequence_id", pa.array(bins + (g << 32))).append_column("offset", pa.array(offsets)).append_column("last", pa.array(bins == bins.max()))
 
-        dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(first)), F.lit(groups)) + first)
+        # By the row, so that equal pieces spread too.
+        dealt = rows.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(first)), F.lit(groups)) + first)
         return dealt.repartition(groups, "g").groupBy("g").applyInArrow(one, schema + ", last boolean")
 
     out = packed(pieces, groups, 0)
