@@ -28,6 +28,8 @@ from .common import Scope, WordHashes, connected_components, join_heavy, lean, m
 
 #: Hashes of the sets on one side of a block, about.
 BLOCK_HASHES = 500_000
+#: Parts of a hub's members to which one task copies the hub's set.
+HUB_PARTS = 256
 
 
 @dataclass(frozen=True)
@@ -266,9 +268,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     reps = members.where("doc_id = rep").select("doc_id", "n", "k").dropDuplicates(["doc_id", "n", "k"])
 
     # Buckets of two or more; each member is set against the bucket's smallest id.
-    bands = reps.mapInArrow(lean(lambda it: _bands(it, sketch)), "key long, id long, n long")
+    bands = scope.table(reps.mapInArrow(lean(lambda it: _bands(it, sketch)), "key long, id long, n long"), "bands")
     hubs = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    stars = bands.join(hubs, "key").where("id <> hub.id")
+    stars = join_heavy(bands, scope.table(hubs, "hubs"), ["key"], "c", bands.count()).where("id <> hub.id")
     stars = stars.select(F.col("hub.id").alias("a"), F.col("hub.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
     stars = scope.table(stars, "stars")
     # All that buckets hold together, whether linked or not: each candidate pair is within one cluster.
@@ -281,15 +283,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     j = percent / 100
     least = max(0.0, j - 6 * (j * (1 - j) / sketch.size) ** 0.5)
     pairs = stars.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = pairs.join(small.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a")
+    hubs = pairs.groupBy("a").agg(F.count("*").alias("c")).join(small.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a")
+    pairs = join_heavy(pairs, hubs, ["a"], "c", stars.count()).drop("c")
     pairs = pairs.join(small.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
     likely = scope.table(pairs.mapInArrow(lean(lambda it: _likely(it, sketch, least)), "a long, b long"), "likely")
-    degree = likely.groupBy("a").agg(F.count("*").alias("d"))
-    dealt = likely.join(degree, "a").select(
-        F.col("a").alias("hub"), F.expr(f"cast(pmod(xxhash64(b), ceil(d / {part})) as int)").alias("part"), F.col("b").alias("id")
-    )
-    own = dealt.select("hub", "part").distinct().withColumn("id", F.col("hub"))
-    units = dealt.unionByName(own).join(sets, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
+    degree = scope.table(likely.groupBy("a").agg(F.count("*").alias("d")).withColumn("parts", F.expr(f"cast(ceil(d / {part}) as int)")), "degrees")
+    dealt = join_heavy(likely, degree, ["a"], "d", stars.count()).select(F.col("a").alias("hub"), F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"), F.col("b").alias("id"))
+    # A hub's set goes to each of its parts, in copies that HUB_PARTS of them share.
+    hub_sets = degree.select(F.col("a").alias("id"), "parts").join(sets, "id").select("id", "parts", "s", F.explode(F.expr(f"sequence(0, cast((parts - 1) / {HUB_PARTS} as int))")).alias("copy")).repartition("id", "copy")
+    own = hub_sets.select(F.col("id").alias("hub"), F.explode(F.expr(f"sequence(copy * {HUB_PARTS}, least(parts, (copy + 1) * {HUB_PARTS}) - 1)")).alias("part"), "id", "s")
+    units = dealt.join(sets, "id").select("hub", "part", "id", "s").unionByName(own).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
     found = scope.table(units.select("hub", "part", "id", "s").mapInArrow(lean(lambda it: _verified(it, percent)), "a long, b long"), "links")
     parts = scope.table(connected_components(found, write=scope.table), "parts")
 
@@ -308,8 +311,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     as_row = open_.where("open").select("id", "comp", "cluster", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"), "n", F.lit(False).alias("hub"), F.lit(True).alias("open"))
     both = as_hub.unionByName(as_row)
     many = lambda hub: F.greatest(F.ceil(F.count(F.when(hub, 1)) / block), F.ceil(F.sum(F.when(hub, F.col("n"))) / BLOCK_HASHES)).cast("int")
-    units = both.groupBy("cluster", "size").agg(many(F.col("hub")).alias("ni"), many(F.col("open")).alias("nj")).where("ni > 0 and nj > 0")
-    both = both.drop("n").join(units, ["cluster", "size"])
+    units = both.groupBy("cluster", "size").agg(many(F.col("hub")).alias("ni"), many(F.col("open")).alias("nj"), F.count("*").alias("m")).where("ni > 0 and nj > 0")
+    both = join_heavy(both.drop("n"), scope.table(units, "units"), ["cluster", "size"], "m", clusters.count())
     i, j_ = F.expr("cast(pmod(xxhash64(id), ni) as int)"), F.expr("cast(pmod(xxhash64(id, 1), nj) as int)")
     as_hub = both.where("hub").select("id", "comp", "cluster", "size", i.alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), "hub", "open")
     as_row = both.where("open").select("id", "comp", "cluster", "size", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), j_.alias("j"), "hub", "open")
