@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The largest position that a region text, and that an index, can hold. Fixed values.
@@ -18,6 +18,10 @@ INDEX_MAX = 2**35
 LEVEL = 64
 #: Bounds of a measured bin width.
 LEAST_WIDTH, MOST_WIDTH = 64, 1 << 14
+#: Comparisons that one bin may take before it is split, and how many bins are split: those that take the most.
+PAIRS, SPLITS = 1 << 24, 10_000
+#: Positions whose running counts one window holds.
+BLOCK = 1 << 14
 
 
 def _whole(df: DataFrame) -> DataFrame:
@@ -48,77 +52,120 @@ def _level(width: int) -> Column:
     return out
 
 
-def _binned(df: DataFrame, width: int, levels: list[int], prefix: str) -> DataFrame:
-    """A row per bin that an interval touches on its own level and on each coarser one that is in use."""
+def _levels(width: int, bits: set[int]) -> list[int]:
+    """The levels that intervals of such lengths lie on, of which there are ten at most. Widths are powers of two; a length less one of n bits is at most 2 ** n."""
+    one, step = width.bit_length() - 1, LEVEL.bit_length() - 1
+    return sorted({max(0, -(-(b - one) // step) - 1) for b in bits}) or [0]
+
+
+def _binned(df: DataFrame, width: int, levels: list[int], right: bool) -> DataFrame:
+    """A row per bin that an interval touches: columns __n (level), __long (which side is the one on its own level) and __b.
+
+    On a level, the left side's own intervals meet all that the right side has there and below (__long false), and what
+    the left side has below meets the right side's own (__long true): shorter ones meet on finer levels.
+    """
 
     def of(level: int) -> Column:
-        size = width * LEVEL**level
-        bins = F.sequence(F.floor(F.col("beg") / size), F.floor((F.col("stop") - 1) / size))
-        found = F.transform(bins, lambda b: F.struct(F.lit(level).alias("n"), b.alias("b")))
-        return F.when(F.lit(level) >= F.col("__level"), found).otherwise(F.array().cast("array<struct<n:int,b:bigint>>"))
+        bits = width.bit_length() - 1 + level * (LEVEL.bit_length() - 1)
+        bins = F.sequence(F.shiftright("beg", bits), F.shiftright(F.col("stop") - 1, bits))
+        below, own = F.col("__level") < level, F.col("__level") == level
+        if right:
+            roles = F.when(own & F.lit(level > levels[0]), F.array(F.lit(False), F.lit(True))).when(own | below, F.array(F.lit(False)))
+        else:
+            roles = F.when(own, F.array(F.lit(False))).when(below, F.array(F.lit(True)))
+        each = F.flatten(F.transform(roles, lambda long: F.transform(bins, lambda b: F.struct(F.lit(level).alias("__n"), long.alias("__long"), b.alias("__b")))))
+        return F.coalesce(each, F.array().cast("array<struct<__n:int,__long:boolean,__b:bigint>>"))
 
-    out = df.withColumn("__level", _level(width)).withColumn("__bin", F.explode(F.concat(*map(of, levels))))
-    return out.select(*[F.col(c).alias(prefix + c) for c in df.columns], F.col("__level").alias(f"{prefix}__level"), F.col("__bin.n").alias(f"{prefix}__n"), F.col("__bin.b").alias(f"{prefix}__b"))
+    out = df.withColumn("__level", _level(width)) if len(levels) > 1 else df.withColumn("__level", F.lit(levels[0]))
+    return out.withColumn("__bin", F.explode(F.concat(*map(of, levels)))).select(*df.columns, "__bin.*")
 
 
-def _levels(width: int, bits: set[int]) -> list[int]:
-    """The levels that intervals of such lengths lie on, of which there are ten at most. Widths are powers of two, and a length of at most 2 ** n has n bits less one."""
-    one, step = width.bit_length() - 1, LEVEL.bit_length() - 1
-    return sorted({max(0, -(-(b - one) // step)) for b in bits}) or [0]
+BIN = ["contig", "__n", "__long", "__b"]
+
+
+def _split(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The SPLITS bins that take the most comparisons, if more than PAIRS, and in how many blocks (__ni, __nj) their sides go.
+
+    What other bins take is at most a part in SPLITS of all comparisons, or PAIRS; so this is all that must be split, and can be broadcast.
+    """
+    counts = left.groupBy(*BIN).agg(F.count("*").alias("l")).join(right.groupBy(*BIN).agg(F.count("*").alias("r")), BIN)
+    cost, side = F.col("l").cast("double") * F.col("r"), int(PAIRS**0.5)
+    most = counts.where(cost > PAIRS).orderBy(cost.desc()).limit(SPLITS)
+    return most.select(*BIN, F.ceil(F.col("l") / side).cast("int").alias("__ni"), F.ceil(F.col("r") / side).cast("int").alias("__nj"))
 
 
-def covered_bins(regions: DataFrame, width: int) -> DataFrame:
-    """contig, bin, r: the parts of each bin that regions cover, by begin: at most ``width`` of them, however many regions there are."""
-    bins = F.sequence(F.floor(F.col("beg") / width), F.floor((F.col("stop") - 1) / width))
-    each = _whole(regions).select("contig", "beg", "stop", F.explode(bins).alias("bin"))
-    cut = each.select("contig", "bin", F.greatest("beg", F.col("bin") * width).alias("beg"), F.least("stop", (F.col("bin") + 1) * width).alias("stop"))
-    longest = cut.groupBy("contig", "bin", "beg").agg(F.max("stop").alias("stop"))
-    return longest.groupBy("contig", "bin").agg(F.array_sort(F.collect_list(F.struct("beg", "stop"))).alias("r"))
+def _in_blocks(rows: DataFrame, split: DataFrame, mine: str, other: str) -> DataFrame:
+    """``rows`` with __i and __j: a row of a split bin goes to one block of its own side, once for each of the other's."""
+    plain = [f"`{c}`" for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
+    # A row's input partition spreads copies, and is the same when a task runs again.
+    own = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.coalesce(f"__n{mine}", F.lit(1))).cast("int")
+    rows = rows.join(F.broadcast(split), BIN, "left")
+    return rows.withColumn(f"__{mine}", own).withColumn(f"__{other}", F.explode(F.sequence(F.lit(0), F.coalesce(f"__n{other}", F.lit(1)) - 1))).drop("__ni", "__nj")
 
 
 def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", width: int | None = None) -> DataFrame:
     """Rows of ``left`` and ``right`` (contig, beg, stop and other columns) that overlap on one contig.
 
-    how: inner, left_semi or left_anti. Both sides are dealt by (contig, bin), so that no contig is one hot key; the
-    bins' ``width`` (a power of two) is measured if it isn't given. Empty intervals, and those with nulls, overlap nothing. In an inner
-    join the columns of ``right`` get the prefix ``r_``; long intervals lie in wider bins, a pair meets on the coarser
-    of its two levels and counts in the one bin there where its overlap begins. For semi and anti joins a bin keeps
-    what regions cover of it, and each distinct interval of ``left`` is looked up once.
+    how: inner, left_semi or left_anti. Empty intervals, and those with nulls, overlap nothing. In an inner join the
+    columns of ``right`` get the prefix ``r_``. Both sides are dealt by (contig, bin), so that no contig is one hot key;
+    the bins' ``width`` (a power of two) is measured if it isn't given. Long intervals lie in wider bins, a pair meets on
+    the coarser of its two levels and counts in the one bin there where its overlap begins; bins in which both sides are dense
+    are split by blocks of both. Semi and anti joins make no pairs: they look up overlap_counts of each distinct interval of ``left``.
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"unknown kind of join: {how}")
-    if how == "inner":
-        median, bits = _lengths(left, right)
-        width = width or _near(median)
-        levels = _levels(width, bits)
-        l, r = _binned(_whole(left), width, levels, ""), _binned(_whole(right), width, levels, "r_")
-        # Dealt by number: the sides' sizes, by which tasks would be merged, say little of how many pairs they make.
-        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        l, r = l.repartition(tasks, "contig", "__n", "__b"), r.repartition(tasks, "r_contig", "r___n", "r___b")
-        same = (F.col("contig") == F.col("r_contig")) & (F.col("__n") == F.col("r___n")) & (F.col("__b") == F.col("r___b"))
-        # The bin where the overlap begins: bins' widths are powers of two, so it is a shift by the level's number of bits.
-        begin = F.greatest("beg", "r_beg")
-        own = None
-        for n in levels:
-            bin_ = F.shiftright(begin, width.bit_length() - 1 + n * (LEVEL.bit_length() - 1))
-            own = bin_ if own is None else F.when(F.col("__n") == n, bin_).otherwise(own)
-        here = F.col("__b") == own
-        if len(levels) > 1:
-            here = here & (F.col("__n") == F.greatest("__level", "r___level"))
-        found = l.join(r, same & (F.col("beg") < F.col("r_stop")) & (F.col("stop") > F.col("r_beg")) & here)
-        return found.select(*left.columns, *[f"r_{c}" for c in right.columns])
-    width = width or _near(_lengths(right)[0])
-    spans = _whole(left).select("contig", "beg", "stop").distinct()
-    bins = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("beg") / width), F.floor((F.col("stop") - 1) / width))))
-    met = F.exists("r", lambda x: (x["beg"] < F.col("stop")) & (x["stop"] > F.col("beg")))
-    hits = bins.join(covered_bins(right, width), ["contig", "bin"]).where(met).select("contig", "beg", "stop").distinct()
-    return left.join(hits, ["contig", "beg", "stop"], how).select(*left.columns)
-
-
-def count_per_region(rows: DataFrame, regions: DataFrame, width: int | None = None) -> DataFrame:
+    if how != "inner":
+        asked = left.select("contig", "beg", "stop").distinct()
+        hits = overlap_counts(asked, right).where("n > 0").drop("n")
+        return left.join(hits, ["contig", "beg", "stop"], how).select(*left.columns)
+    median, bits = _lengths(left, right)
+    width = width or _near(median)
+    levels = _levels(width, bits)
+    l, r = _binned(_whole(left), width, levels, False), _binned(_whole(right), width, levels, True)
+    split = _split(l, r)
+    key = [*BIN, "__i", "__j"]
+    l, r = _in_blocks(l, split, "i", "j"), _in_blocks(r, split, "j", "i")
+    # Dealt by number: the sides' sizes, by which tasks would be merged, say little of how many pairs they make.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l = l.repartition(tasks, *key)
+    r = r.select(*[F.col(f"`{c}`").alias(f"r_{c}") for c in r.columns]).repartition(tasks, *[f"r_{c}" for c in key])
+    same = F.lit(True)
+    for c in key:
+        same = same & (F.col(c) == F.col(f"r_{c}"))
+    # The bin where the overlap begins: bins' widths are powers of two, so it is a shift by the level's number of bits.
+    bits_ = width.bit_length() - 1 + (F.col("__n") * (LEVEL.bit_length() - 1) if len(levels) > 1 else F.lit(levels[0] * (LEVEL.bit_length() - 1)))
+    here = F.col("__b") == F.call_function("shiftright", F.greatest("beg", "r_beg"), bits_)
+    found = l.join(r, same & (F.col("beg") < F.col("r_stop")) & (F.col("stop") > F.col("r_beg")) & here)
+    return found.select(*left.columns, *[f"r_{c}" for c in right.columns])
+
+
+def overlap_counts(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """contig, beg, stop and n for distinct intervals ``asked``: how many of ``rows`` overlap each. Empty intervals and those with nulls are left out.
+
+    That many begin before the interval's end, less those that end at or before its begin. Both are running counts over
+    positions: begins and ends are summed per position first, so what a block of positions holds is bounded by its width, and blocks'
+    totals are carried along each contig. No pairs are made, and neither long intervals nor dense places cost more.
+    """
+    asked = _whole(asked).select("contig", "beg", "stop")
+    none = F.lit(0).cast("long")
+    ends = lambda d, begins, stops: d.select("contig", F.explode(F.array(F.struct(F.col("beg").alias("at"), begins.alias("b"), none.alias("s")), F.struct(F.col("stop").alias("at"), none.alias("b"), stops.alias("s")))).alias("x")).select("contig", "x.*")
+    one = F.lit(1).cast("long")
+    points = ends(_whole(rows), one, one).unionByName(ends(asked, none, none))
+    points = points.groupBy("contig", "at").agg(F.sum("b").alias("b"), F.sum("s").alias("s")).withColumn("block", F.shiftright("at", BLOCK.bit_length() - 1))
+    before = Window.partitionBy("contig").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = points.groupBy("contig", "block").agg(F.sum("b").alias("b"), F.sum("s").alias("s"))
+    carried = carried.select("contig", "block", F.coalesce(F.sum("b").over(before), none).alias("cb"), F.coalesce(F.sum("s").over(before), none).alias("cs"))
+    here = Window.partitionBy("contig", "block").orderBy("at")
+    sums = points.select("contig", "block", "at", (F.sum("b").over(here) - F.col("b")).alias("b"), F.sum("s").over(here).alias("s")).join(carried, ["contig", "block"])
+    sums = sums.select("contig", "at", (F.col("b") + F.col("cb")).alias("begun"), (F.col("s") + F.col("cs")).alias("ended"))
+    found = asked.join(sums.select("contig", F.col("at").alias("stop"), "begun"), ["contig", "stop"]).join(sums.select("contig", F.col("at").alias("beg"), "ended"), ["contig", "beg"])
+    return found.select("contig", "beg", "stop", (F.col("begun") - F.col("ended")).alias("n"))
+
+
+def count_per_region(rows: DataFrame, regions: DataFrame) -> DataFrame:
     """contig, beg, stop, region_idx and n: overlapping rows of each region, regions without any included."""
-    inner = interval_join(rows, regions, width=width).groupBy("r_region_idx").agg(F.count("*").alias("n"))
-    return regions.join(inner, regions["region_idx"] == inner["r_region_idx"], "left").select("contig", "beg", "stop", "region_idx", F.coalesce("n", F.lit(0)).alias("n"))
+    n = overlap_counts(regions.select("contig", "beg", "stop").distinct(), rows)
+    return regions.join(n, ["contig", "beg", "stop"], "left").select("contig", "beg", "stop", "region_idx", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @dataclass(frozen=True)

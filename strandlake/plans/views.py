@@ -27,8 +27,9 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         {
             "region_idx": "o_orderkey",
             "contig": "concat('chr', cast(o_custkey % 5 + 1 as varchar(20)))",
-            "beg": "o_orderkey % 15000",
-            "stop": "o_orderkey % 15000 + 50 + o_custkey % 100",
+            # The last 80 of each 200 positions are in no interval.
+            "beg": "o_orderkey % 75 * 200 + o_custkey % 40",
+            "stop": "o_orderkey % 75 * 200 + o_custkey % 40 + 20 + o_custkey % 60",
         },
     ),
     "variants": (

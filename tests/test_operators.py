@@ -14,8 +14,10 @@ from strandlake.sources import text as T
 
 @pytest.mark.parametrize("width", [None, 16])
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
-def test_interval_join_against_brute_force(spark, how, width):
-    """Short intervals and ones that lie on coarser levels (width 16: longer than 1,024 and than 65,536)."""
+@pytest.mark.parametrize("pairs", [1 << 24, 9])
+def test_interval_join_against_brute_force(spark, how, width, pairs, monkeypatch):
+    """Short intervals and ones that lie on coarser levels (width 16: longer than 1,024 and than 65,536), with bins whole and split."""
+    monkeypatch.setattr(intervals, "PAIRS", pairs)
     rng = random.Random(1)
     make = lambda n: [(f"c{rng.randrange(2)}", b := rng.randrange(500), b + rng.randrange(0, 120), i) for i in range(n)]
     left, right = [*make(80), (None, 1, 5, 900), ("c0", None, 5, 901)], make(60)
@@ -31,6 +33,42 @@ def test_interval_join_against_brute_force(spark, how, width):
         assert sorted(r["i"] for r in got.collect()) == sorted(a[3] for a in left if any(meets(a, b) for b in right) == (how == "left_semi"))
 
 
+def test_levels_are_those_of_the_intervals(spark):
+    """_levels, from lengths' bits, holds exactly what _level deals."""
+    lengths = [*range(1, 40), *(2**k + d for k in range(2, 40) for d in (-1, 0, 1))]
+    rows = spark.createDataFrame([(0, n) for n in lengths], "beg long, stop long")
+    for width in (1, 16, 64, 1 << 14):
+        level = {r["stop"]: r["n"] for r in rows.select("stop", intervals._level(width).alias("n")).collect()}
+        for n in lengths:
+            assert intervals._levels(width, {(n - 1).bit_length()}) == [level[n]]
+
+
+def test_dense_bins_are_split(spark, monkeypatch):
+    """A hundredth of all positions holds half of both sides: no task makes twice the pairs of the median one."""
+    monkeypatch.setattr(intervals, "PAIRS", 1 << 10)
+    rng = random.Random(5)
+    place = lambda: rng.randrange(4000, 4400) if rng.random() < 0.5 else rng.randrange(40_000)
+    make = lambda n: [("c", b := place(), b + 60, i) for i in range(n)]
+    left, right = (spark.createDataFrame(make(n), "contig string, beg long, stop long, i long") for n in (6000, 3000))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = intervals.interval_join(left, right).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    pairs = sorted(r["count"] for r in got)
+    want = left.alias("a").join(right.alias("b"), F.expr("a.beg < b.stop and a.stop > b.beg")).count()
+    assert sum(pairs) == want and len(pairs) == 8 and pairs[-1] < 2 * pairs[4]
+
+
+def test_overlap_counts(spark):
+    rng = random.Random(6)
+    make = lambda n: [(f"c{rng.randrange(3)}", b := rng.randrange(60_000), b + rng.choice([0, 1, 50, 20_000, 10**9])) for _ in range(n)]
+    asked, rows = [*{*make(150)}, ("c9", 1, 2)], [*make(400), (None, 1, 2), ("c0", None, 4), ("c0", 5, None)]
+    got = intervals.overlap_counts(*(spark.createDataFrame(x, "contig string, beg long, stop long") for x in (asked, rows)))
+    want = {(*a, sum(None not in b and b[1] < b[2] and a[0] == b[0] and a[1] < b[2] and a[2] > b[1] for b in rows)) for a in asked if a[1] < a[2]}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_regions():
     r = intervals.parse_region
     assert r("chr1") == intervals.Region("chr1")
