@@ -5,8 +5,9 @@ work. A block's vectors are rotated onto their principal components, of which as
 all of their length become dimensions; the length of what is left is one more. For each dimension the
 block keeps its rows sorted by it. For a query the lists are read from the better end in steps; rows
 met are scored in full, on the unrotated integers. Once the k-th best score is above what any row
-further down all lists could reach (the sum of the lists' edges by the query's components), or all rows
-have been met, the search stops. Blocks' best k are merged.
+further down all lists could reach (the sum of the lists' edges by the query's components), the search
+stops; if most rows have been met before that, the others are scored too, and lists aren't read on.
+Blocks' best k are merged.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ class SortedLists:
         self.ids, self.x = ids[order], x[order]
         self.numbers = self.ids if rows is None else rows[order]
         # Sums of products stay exact in doubles up to 2 ** 53.
-        big = float(np.abs(self.x).max(initial=0))
+        self.big = big = float(np.abs(self.x).max(initial=0))
         self.exact = x.shape[1] * big * big < 2**53
         self.f = self.x.astype(np.float64)
         power, turn = np.linalg.eigh(self.f.T @ self.f)
@@ -50,7 +51,7 @@ class SortedLists:
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows but row ``own``, ties to smaller ids; ``scored`` counts the rows scored."""
         n = len(self.ids)
-        if self.exact and float(np.abs(q).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * len(q) < 2**53:
+        if self.exact and float(np.abs(q).max(initial=0)) * self.big * len(q) < 2**53:
             x, weight = self.f, q.astype(np.float64)
         else:
             x, weight = self.x, q
@@ -70,20 +71,33 @@ class SortedLists:
             mark[self.rows[lists[down], n - end : n - depth]] = True
             if not len(lists):
                 mark[depth:end] = True
-            fresh = np.flatnonzero(mark & unseen)
+            fresh = mark & unseen
             unseen &= ~mark
+            if 2 * np.count_nonzero(unseen) < n:  # once most rows have been met, the rest is scored without further reading of lists
+                at = np.flatnonzero(self.numbers != own)
+                self.scored += np.count_nonzero(unseen | fresh)
+                score = (x @ weight)[at]
+                break
+            fresh = np.flatnonzero(fresh)
             self.scored += len(fresh)
             at = np.concatenate([at, fresh])
             score = np.concatenate([score, x[fresh] @ weight])
-            if len(at) > k:
-                best = np.lexsort((at, -score))[:k]
-                at, score = at[best], score[best]
+            at, score = _best(at, score, k)
             edge = np.where(down, self.sorted[lists, n - end], self.sorted[lists, end - 1])
             if len(lists) and len(at) >= k and score.min() > (edge * turned).sum() + slack:
                 break
             depth, step = end, step + step // 2
-        best = np.lexsort((at, -score))[:k]
-        return self.ids[at[best]], score[best].astype(np.int64)
+        at, score = _best(at, score, k)
+        return self.ids[at], score.astype(np.int64)
+
+
+def _best(at: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores in order, ties to smaller row numbers."""
+    if len(at) > 4 * k:
+        high = score >= np.partition(score, len(score) - k)[len(score) - k]
+        at, score = at[high], score[high]
+    order = np.lexsort((at, -score))[:k]
+    return at[order], score[order]
 
 
 def _units(batches: Iterator, k: int) -> Iterator:
