@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.references import with_bases
 from .filters import ON_REFERENCE, cigar_sum
+from .scalars import shifted_qualities
 
 #: Emission of an inserted base, share of an error per other base, and natural log to Phred. Fixed values.
 INSERTED, MISMATCH, PHRED = 0.25, 0.33333333333, -4.343
@@ -40,86 +41,122 @@ def codes(seq: str) -> np.ndarray:
     return table[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
 
 
-def _decay(x: np.ndarray, rate: float) -> np.ndarray:
-    """Sums of x up to each place, those further back weighted by powers of ``rate``."""
-    n = len(x)
-    if rate > 0:
-        n = min(n, 1 + int(-45 / math.log(rate))) if rate < 1 else n  # beyond that the weights are less than rounding
-    return np.convolve(x, rate ** np.arange(max(n, 1)))[: len(x)]
+#: Cells of the dynamic programme (reads x bases x band) that are kept at a time.
+CELLS = 2_000_000
 
 
 def align(reference: np.ndarray, query: np.ndarray, quality: np.ndarray | None = None, gaps: Gaps = Gaps()) -> tuple[int, np.ndarray, np.ndarray]:
-    """(Phred likelihood, state per base, Phred quality of the state) of a query within a reference window.
+    """(Phred likelihood, state per base, Phred quality of the state) of a query within a reference window; see align_many."""
+    return align_many([reference], [query], [quality], [gaps])[0]
 
-    A state is 4 * reference offset, plus 1 for an inserted base. Rows of the dynamic programme are arrays
-    over the window, zero outside the band; each row is scaled by its sum.
+
+def align_many(references: Sequence[np.ndarray], queries: Sequence[np.ndarray], qualities: Sequence[np.ndarray | None], gaps: Sequence[Gaps], states: bool = True) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(Phred likelihood, state per base, Phred quality of the state) of each query within its reference window.
+
+    A state is 4 * reference offset, plus 1 for an inserted base. Queries with the same band and chances go through the
+    dynamic programme together, base by base, longer ones first, so that those that are done fall away at the end. Without
+    ``states`` only likelihoods are worked out, and nothing is kept but the last row. Empty queries or windows have likelihood 0.
     """
-    n, m = len(query), len(reference)
-    if not n or not m:
-        return 0, np.empty(0, np.int64), np.empty(0, np.int64)
-    q = np.full(n, 30) if quality is None else np.asarray(quality)
-    if len(q) != n:
-        raise ValueError("as many qualities as bases are needed")
-    wrong = 10.0 ** (-q.astype(np.float64) / 10)
-    band = max(min(max(m, n), gaps.band), abs(m - n))
-    d, e = gaps.open, gaps.more
-    leave = 1 / (2.0 * n + 2)
-    stay = 1 - leave
-    mm, mi, md, im, ii = (1 - 2 * d) * stay, d * stay, d * stay, (1 - e) * stay, e * stay
-    dm, dd = 1 - e, e
-    start_m, start_i = (1 - d) / m, d / m
-    same = np.where((reference[None, :] > 3) | (query[:, None] > 3), 1.0, np.where(reference[None, :] == query[:, None], 1 - wrong[:, None], wrong[:, None] * MISMATCH))
-    # Columns 0 and m + 1 stay zero.
-    fm, fi, fd = (np.zeros((n + 1, m + 2)) for _ in range(3))
-    scale = np.zeros(n + 2)
-    scale[0] = 1.0
-    span = lambda i: (max(1, i - band), min(m, i + band))
-    for i in range(1, n + 1):
-        lo, hi = span(i)
-        k = slice(lo, hi + 1)
-        if i == 1:
-            hi = min(m, band + 1)
-            k = slice(1, hi + 1)
-            fm[1, k], fi[1, k] = same[0, :hi] * start_m, INSERTED * start_i
-        else:
-            before = slice(lo - 1, hi)
-            p = 1 / scale[i - 1]
-            fm[i, k] = same[i - 1, lo - 1 : hi] * p * (mm * fm[i - 1, before] + im * fi[i - 1, before] + dm * fd[i - 1, before])
-            fi[i, k] = INSERTED * p * (mi * fm[i - 1, k] + ii * fi[i - 1, k])
-            fd[i, k] = _decay(md * fm[i, before], dd)
-        scale[i] = fm[i].sum() + fi[i].sum() + fd[i].sum()
-    last = slice(*(lambda lo, hi: (lo, hi + 1))(*span(n)))
-    scale[n + 1] = (fm[n, last].sum() + fi[n, last].sum()) * leave / scale[n]
-    product, phred = 1.0, 0.0
-    for s in scale:
-        product *= s
-        if product < 1e-100:
-            phred += PHRED * math.log(product)
-            product = 1.0
-    phred += PHRED * math.log(product * m * n)
-    bm, bi = (np.zeros((n + 2, m + 3)) for _ in range(2))
-    bm[n, last] = bi[n, last] = leave / scale[n] / scale[n + 1]
-    for i in range(n - 1, 0, -1):
-        lo, hi = span(i)
-        k, stop = slice(lo, hi + 1), min(hi, m - 1)
-        hit = np.zeros(hi - lo + 1)
-        hit[: stop - lo + 1] = same[i, lo : stop + 1] * bm[i + 1, lo + 1 : stop + 2]
-        # A deletion that goes on from each column, and what it is worth from the next one on.
-        gone = _decay(hit[::-1] * dm, dd)[::-1] * (i > 1)
-        bm[i, k] = (hit * mm + INSERTED * mi * bi[i + 1, k] + md * np.append(gone[1:], 0.0)) / scale[i]
-        bi[i, k] = (hit * im + INSERTED * ii * bi[i + 1, k]) / scale[i]
-    state, post = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    for i in range(1, n + 1):
-        lo, hi = span(i)
-        both = np.empty(2 * (hi - lo + 1))
-        both[0::2] = fm[i, lo : hi + 1] * bm[i, lo : hi + 1] / scale[i]
-        both[1::2] = fi[i, lo : hi + 1] * bi[i, lo : hi + 1] / scale[i]
-        at = int(both.argmax())
-        if both[at] > 0:
-            state[i - 1] = (lo - 1 + at // 2) << 2 | at % 2
-        rest = 1 - both[at] / both.sum() if both.sum() else 1.0
-        post[i - 1] = min(99, int(PHRED * math.log(rest) + 0.499)) if rest > 0 else 99
-    return int(phred + 0.499), state, post
+    none = np.empty(0, np.int64)
+    out = [(0, none, none)] * len(queries)
+    groups: dict[tuple[float, float, int], list[int]] = {}
+    for i, (r, q, w, g) in enumerate(zip(references, queries, qualities, gaps, strict=True)):
+        if w is not None and len(w) != len(q):
+            raise ValueError("as many qualities as bases are needed")
+        if len(q) and len(r):
+            groups.setdefault((g.open, g.more, max(min(max(len(r), len(q)), g.band), abs(len(r) - len(q)))), []).append(i)
+    for (open_, more, band), which in groups.items():
+        which.sort(key=lambda i: -len(queries[i]))
+        at = 0
+        while at < len(which):
+            each = (2 * band + 1) * (len(queries[which[at]]) if states else 1)
+            part = which[at : at + max(1, CELLS // each)]
+            at += len(part)
+            found = _Lockstep([references[i] for i in part], [queries[i] for i in part], [qualities[i] for i in part], Gaps(open_, more, band)).run(states)
+            for i, x in zip(part, found, strict=True):
+                out[i] = x
+    return out
+
+
+class _Lockstep:
+    """The forward and backward rows of many queries, longest first, in columns that move with the band: offset o of row i is reference base i - band + o."""
+
+    def __init__(self, references: list[np.ndarray], queries: list[np.ndarray], qualities: list[np.ndarray | None], gaps: Gaps):
+        self.gaps, self.wide = gaps, 2 * gaps.band + 1
+        self.n, self.m = (np.array([len(x) for x in xs], np.int64) for xs in (queries, references))
+        self.rows = int(self.n[0])
+        # How many queries have a base i, for i from 0 to one more than the longest.
+        self.active = np.searchsorted(-self.n, -np.arange(self.rows + 2), "right")
+        self.reference = np.full((len(queries), self.rows + 2 * gaps.band + 2), -1, np.int8)
+        self.query = np.zeros((len(queries), self.rows), np.int8)
+        self.wrong = np.zeros((len(queries), self.rows))
+        for i, (r, q, w) in enumerate(zip(references, queries, qualities, strict=True)):
+            r = r[: self.reference.shape[1] - gaps.band]
+            self.reference[i, gaps.band : gaps.band + len(r)] = r
+            self.query[i, : len(q)] = q
+            self.wrong[i, : len(q)] = 10.0 ** (-(np.full(len(q), 30) if w is None else np.asarray(w)).astype(np.float64) / 10)
+        step = np.arange(self.wide)[None, :] - np.arange(self.wide)[:, None] - 1
+        self.gone = np.where(step >= 0, gaps.more ** np.maximum(step, 0), 0.0)  # what a deletion from one column is worth in another
+
+    def hits(self, i: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(chance that base i, from 1, is read from each column, which columns there are) for the first n queries."""
+        r, q, w = self.reference[:n, i - 1 : i - 1 + self.wide], self.query[:n, i - 1 : i], self.wrong[:n, i - 1 : i]
+        there = r >= 0
+        return np.where((r > 3) | (q > 3), 1.0, np.where(r == q, 1 - w, w * MISMATCH)) * there, there
+
+    def run(self, states: bool) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        d, e, size = self.gaps.open, self.gaps.more, len(self.n)
+        leave = 1 / (2.0 * self.n + 2)
+        stay = (1 - leave)[:, None]
+        mm, mi, im, ii, dm = (1 - 2 * d) * stay, d * stay, (1 - e) * stay, e * stay, 1 - e
+        scale, kept = np.ones((self.rows + 2, size)), []
+        fm = fi = fd = np.zeros((size, self.wide))
+        ends = np.zeros(size)
+        for i in range(1, self.rows + 1):
+            n = self.active[i]
+            hit, there = self.hits(i, n)
+            if i == 1:
+                fm, fi, fd = hit * ((1 - d) / self.m)[:, None], INSERTED * there * (d / self.m)[:, None], np.zeros((size, self.wide))
+            else:
+                last = 1 / scale[i - 1, :n, None]
+                up = np.zeros((2, n, self.wide))
+                up[0, :, :-1], up[1, :, :-1] = fm[:n, 1:], fi[:n, 1:]
+                fm, fi = hit * last * (mm[:n] * fm[:n] + im[:n] * fi[:n] + dm * fd[:n]), INSERTED * there * last * (mi[:n] * up[0] + ii[:n] * up[1])
+                fd = (mi[:n] * fm) @ self.gone * there
+            scale[i, :n] = fm.sum(1) + fi.sum(1) + fd.sum(1)
+            done = self.active[i + 1]
+            ends[done:n] = fm[done:].sum(1) + fi[done:].sum(1)
+            if states:
+                kept.append((fm, fi))
+        last = ends * leave / scale[self.n, np.arange(size)]
+        phred = PHRED * (np.log(scale[1:-1]).sum(0) + np.log(last) + np.log(self.m * self.n))
+        phred = (phred + 0.499).astype(np.int64).tolist()
+        if not states:
+            return [(x, np.empty(0, np.int64), np.empty(0, np.int64)) for x in phred]
+        state, post = np.full((size, self.rows), -1, np.int64), np.zeros((size, self.rows), np.int64)
+        bm = bi = hit = np.zeros((0, self.wide))
+        for i in range(self.rows, 0, -1):
+            n, old = self.active[i], len(bm)
+            there = self.reference[:n, i - 1 : i - 1 + self.wide] >= 0
+            s = scale[i, :n, None]
+            back = np.zeros((2, n, self.wide))
+            if old:
+                hit = hit * bm
+                down = np.zeros((old, self.wide))
+                down[:, 1:] = INSERTED * bi[:, :-1]
+                gone = hit @ self.gone.T * (dm * mi[:old]) if i > 1 else 0.0
+                back[0, :old] = (hit * mm[:old] + mi[:old] * down + gone) / s[:old]
+                back[1, :old] = (hit * im[:old] + ii[:old] * down) / s[:old]
+            back[:, old:] = (leave[old:n] / scale[i, old:n] / last[old:n])[:, None]
+            bm, bi = back * there
+            hit = self.hits(i, n)[0]
+            both = np.stack((kept[i - 1][0] * bm, kept[i - 1][1] * bi), 2).reshape(n, -1) / s
+            at = both.argmax(1)
+            best, total = both[np.arange(n), at], both.sum(1)
+            state[:n, i - 1] = np.where(best > 0, (i - 1 - self.gaps.band + at // 2) << 2 | at % 2, -1)
+            rest = 1 - np.divide(best, total, out=np.zeros(n), where=total > 0)
+            post[:n, i - 1] = np.where(rest > 0, np.minimum(99, (PHRED * np.log(np.where(rest > 0, rest, 1.0)) + 0.499).astype(np.int64)), 99)
+        return [(x, state[k, : self.n[k]], post[k, : self.n[k]]) for k, x in enumerate(phred)]
 
 
 _CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
@@ -261,15 +298,19 @@ def md_nm_of(pos: list[int], cigars: list[str], seqs: list[str], bases: list[str
     return md, nm.astype(np.int64)
 
 
+#: What the kernels look at.
+NEEDED = ["rname", "pos", "cigar", "seq", "qual", "__from", "__bases", "__size"]
+
+
 def _beside_reference(reads: DataFrame, references: DataFrame, pad: Column, f: Callable[[list[dict]], list], names: list[tuple[str, pa.DataType, str]]) -> DataFrame:
-    """``f`` of each batch's reads, which have the bases under them (and ``pad`` more on both sides) beside them: __from, __bases, __size. An unknown contig is an error."""
+    """``f`` of each batch's reads (NEEDED columns), which have the bases under them (and ``pad`` more on both sides) beside them: __from, __bases, __size. An unknown contig is an error."""
     span = cigar_sum(F.col("cigar"), ON_REFERENCE)
     joined = with_bases(reads, references, "rname", F.col("pos") - 1 - pad, F.col("pos") - 1 + F.greatest(span, F.lit(1)) + pad)
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in reads.schema)
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            rows = b.to_pylist()
+            rows = b.select([c for c in NEEDED if c in b.schema.names]).to_pylist()
             for r in rows:
                 if r["rname"] is not None and r["__size"] is None:
                     raise ValueError(f"no reference named {r['rname']}")
@@ -334,19 +375,22 @@ def with_alignment_quality(reads: DataFrame, references: DataFrame, band: int =
     qualities or unmapped.
     """
 
-    def one(r: dict) -> list[int] | None:
+    def window(r: dict) -> tuple | None:
+        """(operations, qualities, where the window begins, first base that is used, window, bases, their qualities, chances)."""
         ops = operations(r["cigar"])
         if r["pos"] is None or not ops or not r.get("qual") or any(o == "N" for _, o in ops):
             return None
-        quality = [ord(c) - 33 for c in r["qual"]]
+        quality = np.frombuffer(r["qual"].encode("latin-1"), np.uint8).astype(np.int64) - 33
         span = sum(n for n, o in ops if o in "MDN=X")
         clip = ops[0][0] if ops[0][1] == "S" else ops[1][0] if len(ops) > 1 and ops[1][1] == "S" and ops[0][1] == "H" else 0
         used = sum(n for n, o in ops if o in "MI=X")
         width = _width(span, used, band)
         lo, hi = max(0, r["pos"] - 1 - width // 2), min(r["__size"], r["pos"] - 1 + span + width // 2)
-        window = (r["__bases"] or "")[lo - r["__from"] : hi - r["__from"]]
-        _, state, post = align(codes(window), codes(r["seq"][clip : clip + used]), np.array(quality[clip : clip + used]), Gaps(1e-3 if used <= 1000 else 1e-7, 0.1, width))
-        out, at, i = list(quality), r["pos"] - 1 - lo, 0
+        own = slice(clip, clip + used)
+        return ops, quality, lo, clip, codes((r["__bases"] or "")[lo - r["__from"] : hi - r["__from"]]), codes(r["seq"][own]), quality[own], Gaps(1e-3 if used <= 1000 else 1e-7, 0.1, width)
+
+    def settled(r: dict, ops: list[tuple[int, str]], quality: np.ndarray, lo: int, clip: int, state: np.ndarray, post: np.ndarray) -> list[int]:
+        out, at, i = quality.copy(), r["pos"] - 1 - lo, 0
         for n, o in ops:
             if o in "M=X":
                 k = np.arange(i, i + n)
@@ -354,16 +398,126 @@ def with_alignment_quality(reads: DataFrame, references: DataFrame, band: int =
                 sure = np.where(moved, 0, post[k])
                 if extended:
                     sure = np.minimum(np.maximum.accumulate(sure), np.maximum.accumulate(sure[::-1])[::-1])
-                out[clip + i : clip + i + n] = np.minimum(quality[clip + i : clip + i + n], sure).tolist()
+                out[clip + i : clip + i + n] = np.minimum(quality[clip + i : clip + i + n], sure)
                 at, i = at + n, i + n
             elif o == "D":
                 at += n
             elif o == "I":
                 i += n
-        return out
+        return out.tolist()
+
+    def run(rows: list[dict]) -> list:
+        windows = [window(r) for r in rows]
+        which = [i for i, w in enumerate(windows) if w]
+        aligned = align_many(*([windows[i][k] for i in which] for k in (4, 5, 6, 7)))
+        out: list[list[int] | None] = [None] * len(rows)
+        for i, (_, state, post) in zip(which, aligned, strict=True):
+            out[i] = settled(rows[i], *windows[i][:4], state, post)
+        return [out]
 
     more = F.greatest(F.lit(band), F.abs(cigar_sum(F.col("cigar"), ON_REFERENCE) - cigar_sum(F.col("cigar"), "MI=X")) + 3)
-    return _beside_reference(reads, references, more, lambda rows: [[one(r) for r in rows]], [("baq", pa.list_(pa.int32()), "array<int>")])
+    return _beside_reference(reads, references, more, run, [("baq", pa.list_(pa.int32()), "array<int>")])
+
+
+def with_recalculated_quality(reads: DataFrame, references: DataFrame, apply: bool = False, force: bool = False, extended: bool = False) -> DataFrame:
+    """``reads`` with the tags bq and zq (NULL: not there) and qual as a recalculation leaves them.
+
+    A read with zq stays, one with bq too unless ``force``d, which drops bq. Other reads get a new bq, or with ``apply`` a zq and
+    qualities lowered by it. Reads that can't be aligned anew (unmapped, without bases or qualities, with skips) stay as they are.
+    """
+    mapped = (F.col("flag").bitwiseAND(4) == 0) & (F.col("seq") != "*") & (F.col("qual") != "*")
+    open_ = mapped & F.col("zq").isNull() & (F.lit(force) | F.col("bq").isNull())
+    # Only what is to be aligned keeps its place; the others come back without a baq.
+    found = with_alignment_quality(reads.withColumns({"__pos": F.col("pos"), "pos": F.when(open_, F.col("pos"))}), references, extended=extended)
+    tag = baq_tag(F.col("qual"), F.col("baq"))
+    new = F.col("baq").isNotNull()
+    kept = F.when(F.lit(force) & F.col("zq").isNotNull(), None).otherwise(F.col("bq"))
+    columns = {
+        "bq": F.when(new, F.lit(None).cast("string") if apply else tag).otherwise(kept),
+        "zq": F.when(new & F.lit(apply), tag).otherwise(F.col("zq")),
+        "qual": F.when(new & F.lit(apply), shifted_qualities(F.col("qual"), tag)).otherwise(F.col("qual")),
+        "pos": F.col("__pos"),
+    }
+    return found.withColumns(columns).select(*reads.columns)
+
+
+_MD = re.compile(r"(\d+)|\^[^0-9]*|([^0-9^])")
+_CLIPPED = re.compile(r"^(?:\d+H)?\d+S"), re.compile(r"\d+S(?:\d+H)?$")
+#: Bases at a read's start whose qualities are taken as they are.
+_CALM = 8
+
+
+def _mismatches(md: str | None) -> list[int]:
+    """Matched bases before each mismatch of an MD text."""
+    out, at = [], 0
+    for n, base in _MD.findall(md or ""):
+        if n:
+            at += int(n)
+        elif base:
+            out.append(at)
+    return out
+
+
+def local_nm_of(seqs: list[str], quals: list[str | None], cigars: list[str], mds: list[str | None], halo: int = 50, clip: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score per base, length of the base's run of equal bases less one, where each read begins), reads one after the other.
+
+    A score adds up what speaks against a base: how far a quality is above a third of itself and the quality before it (from the
+    ninth base on; the last eight are held against the one before them); ``clip`` for bases within ``halo`` of a clipped end, and
+    half of it as far again; 10 within ``halo`` of a mismatch of MD, and 5 as far again. Mismatches lie where MD's matches
+    before them end, without mismatches and insertions in between. Runs count 100 at most.
+    """
+    seq, start = _joined(seqs)
+    size = np.diff(np.append(start, len(seq)))
+    row = np.repeat(np.arange(len(seqs)), size)
+    i = np.arange(len(seq)) - start[row]
+    quality = np.concatenate([np.empty(0, np.int64), *(np.frombuffer((q or "").ljust(len(s), "!")[: len(s)].encode("latin-1"), np.uint8).astype(np.int64) - 33 for q, s in zip(quals, seqs, strict=True))])
+    fresh = i == 0
+    fresh[1:] |= seq[1:] != seq[:-1]
+    run = np.cumsum(fresh) - 1
+    length = np.bincount(run)[run] if len(run) else run
+    lead = np.full(len(seqs), 255)
+    first = (i < _CALM) & (run == run[start[row]]) if len(run) else fresh
+    np.minimum.at(lead, row[first], quality[first])
+    before = np.concatenate(([0], quality[:-1])) if len(quality) else quality
+    tail = i >= size[row] - _CALM
+    held = np.where(size >= 2 * _CALM + 1, quality[np.clip(start + size - _CALM - 1, 0, max(len(quality) - 1, 0))] if len(quality) else 0, lead)
+    before = np.where(tail, held[row], np.where(i == _CALM, lead[row], before))
+    score = np.where(i >= _CALM, np.maximum(0, quality - quality // 3 - before), 0)
+    for end, at in zip(_CLIPPED, (i, size[row] - 1 - i), strict=True):
+        clipped = np.array([bool(end.search(c or "")) for c in cigars], bool)[row]
+        score += np.where(clipped & (at < halo), clip, np.where(clipped & (at < 2 * halo), clip // 2, 0))
+    known = {md: _mismatches(md) for md in set(mds)}
+    places = [known[md] for md in mds]
+    owner = np.repeat(np.arange(len(seqs)), [len(p) for p in places])
+    at = np.array([x for p in places for x in p], np.int64)
+    steps = np.zeros(len(seq) + 1, np.int64)
+    for shift, cost in ((-2 * halo, 5), (-halo, 5), (halo, -5), (2 * halo, -5)):
+        np.add.at(steps, start[owner] + np.clip(at + shift, 0, size[owner]), cost)
+    return score + np.cumsum(steps)[:-1], np.minimum(length - 1, 100), start
+
+
+def with_local_nm(reads: DataFrame, halo: int = 50, clip: int = 60) -> DataFrame:
+    """``reads`` (seq, qual, cigar and md, texts) with local_nm and homopolymer, arrays over the read's bases (see local_nm_of); empty for reads without bases."""
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in reads.schema)
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            seqs, quals, cigars, mds = (b.column(c).to_pylist() for c in ("seq", "qual", "cigar", "md"))
+            seqs = ["" if s in (None, "*") else s for s in seqs]
+            score, run, start = local_nm_of(seqs, quals, cigars, mds, halo, clip)
+            offsets = pa.array(np.append(start, len(score)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (score, run)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *lists], names=[*b.schema.names, "local_nm", "homopolymer"])
+
+    return reads.mapInArrow(run, fields + ", local_nm array<int>, homopolymer array<int>")
+
+
+def local_nm_at(offset: Column) -> tuple[Column, Column]:
+    """(score, run) of the base after a read's ``offset``, as a pileup column shows them: a tenth of the score, and beyond the read's end the last base's whole score and no run."""
+    i, size = offset + 1, F.size("local_nm")
+    inside = (i >= 0) & (i < size)
+    edge = F.get("local_nm", F.when(i < 0, 0).otherwise(size - 1)).cast("double")
+    return F.coalesce(F.when(inside, F.get("local_nm", i) / 10).otherwise(edge), F.lit(0.0)), F.coalesce(F.when(inside, F.get("homopolymer", i)), F.lit(0))
 
 
 #: Complements for base modifications. Fixed values.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import ON_READ, ON_REFERENCE, cigar_parts, flag_filter
+from ..functions.kernels import local_nm_at, with_local_nm
 
 #: Unmapped, secondary, failed and duplicate reads aren't counted. A fixed value.
 EXCLUDED = 0x704
@@ -36,20 +37,50 @@ def position_of(pos: Column, cigar: Column, offset: Column) -> Column:
     return F.try_element_at(F.transform(own, lambda o: pos + o["ref"] + offset - o["read"]), F.lit(1))
 
 
-def cells(reads: DataFrame) -> DataFrame:
-    """A row per read and reference position: rname, position, base ('*' deleted, '>' or '<' skipped), read offset, head, tail and the read's columns."""
-    ops = reads.select("*", F.explode(operations(F.col("cigar"))).alias("o")).where(F.col("o.op").isin(*ON_REFERENCE))
-    at = ops.select("*", F.explode(F.sequence(F.lit(0), F.col("o.len") - 1)).alias("i")).where("o.len > 0")
+def _followed(ops: Column, seq: Column, reverse: Column) -> Column:
+    """Operations with ``after``: the text of an insertion or deletion that follows a matched one, +n(bases) or -n(N); the reverse strand in small letters."""
+
+    def text(o: Column) -> Column:
+        n = F.try_element_at(F.filter(ops, lambda x: (x["ref"] == o["ref"] + o["len"]) & x["op"].isin("I", "D")), F.lit(1))
+        inserted = F.substr(seq, n["read"] + 1, n["len"])
+        inserted = F.concat(F.lit("+"), n["len"].cast("string"), F.when(reverse, F.lower(inserted)).otherwise(F.upper(inserted)))
+        deleted = F.concat(F.lit("-"), n["len"].cast("string"), F.repeat(F.when(reverse, "n").otherwise("N"), n["len"]))
+        return F.coalesce(F.when(o["op"].isin("M", "=", "X"), F.when(n["op"] == "I", inserted).when(n["op"] == "D", deleted)), F.lit(""))
+
+    return F.transform(ops, lambda o: F.struct(*[o[c].alias(c) for c in ("op", "len", "ref", "read")], text(o).alias("after")))
+
+
+def cells(reads: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """A row per read and reference position: the read's columns ``keep`` (all), rname, position, base ('*' deleted, '>' or '<' skipped), offset in the read, head, tail, next_base (the offset, or that of the next base), the character of that base's quality (shown, if reads have qual) and after (the text of an indel that follows).
+
+    A read's operations, and what follows each, are worked out once; what is exploded are single cells, so neither bases nor
+    qualities are copied to them whole.
+    """
+    keep = reads.columns if keep is None else keep
     strand = F.col("flag").bitwiseAND(16) != 0
-    base = F.col("seq").substr(F.col("o.read") + F.col("i") + 1, F.lit(1))
-    base = F.when(F.col("o.op") == "D", "*").when(F.col("o.op") == "N", F.when(strand, "<").otherwise(">")).otherwise(F.when(strand, F.lower(base)).otherwise(F.upper(base)))
-    span = F.aggregate(F.filter(cigar_parts(F.col("cigar")), lambda p: F.instr(F.lit(ON_REFERENCE), p["op"]) > 0), F.lit(0), lambda s, p: s + p["len"])
-    place = F.col("o.ref") + F.col("i")
-    return at.select(
-        *[c for c in reads.columns], (F.col("pos") + place).alias("position"), base.alias("base"),
-        F.when(F.col("o.op").isin("D", "N"), None).otherwise(F.col("o.read") + F.col("i")).alias("offset"), (place == 0).alias("head"), (place == span - 1).alias("tail"),
-        (F.col("o.read") + F.when(F.col("o.op").isin("D", "N"), 0).otherwise(F.col("i"))).alias("next_base"),
-    )
+    rows = reads.withColumn("__ops", operations(F.col("cigar"))).withColumn("__ops", F.filter(_followed(F.col("__ops"), F.col("seq"), strand), lambda o: o["op"].isin(*ON_REFERENCE) & (o["len"] > 0)))
+    texts = [c for c in ("seq", "qual") if c in reads.columns]
+
+    def each(o: Column) -> Column:
+        real = o["op"].isin("M", "=", "X")
+        chars = lambda t: F.when(real, F.split(F.substr(t, o["read"] + 1, o["len"]), "")).otherwise(F.array_repeat(F.substr(t, o["read"] + 1, F.lit(1)), o["len"]))
+        zipped = F.arrays_zip(F.sequence(F.lit(0), o["len"] - 1), *[chars(F.coalesce(F.col(t), F.lit(""))) for t in texts])
+
+        def cell(z: Column) -> Column:
+            i, c = z["0"], F.coalesce(z["1"], F.lit(""))
+            skipped = F.when(o["op"] == "D", "*").when(o["op"] == "N", F.when(strand, "<").otherwise(">"))
+            return F.struct(
+                (o["ref"] + i).alias("place"), F.coalesce(skipped, F.when(strand, F.lower(c)).otherwise(F.upper(c))).alias("base"), F.when(real, o["read"] + i).alias("offset"),
+                (o["read"] + F.when(real, i).otherwise(0)).alias("next_base"), F.when(i == o["len"] - 1, o["after"]).otherwise("").alias("after"), *([z["2"].alias("shown")] if len(texts) > 1 else []),
+            )
+
+        return F.transform(F.filter(zipped, lambda z: z["0"].isNotNull()), cell)
+
+    span = F.aggregate("__ops", F.lit(0), lambda s, o: s + o["len"])
+    at = rows.select(*keep, F.col("rname").alias("__rname"), F.col("pos").alias("__pos"), span.alias("__span"), F.explode(F.flatten(F.transform("__ops", each))).alias("__c"))
+    place = F.col("__c.place")
+    own = [F.col("__c." + c) for c in ("base", "offset", "next_base", "after", *(["shown"] if len(texts) > 1 else []))]
+    return at.select(*keep, *([] if "rname" in keep else [F.col("__rname").alias("rname")]), (F.col("__pos") + place).alias("position"), (place == 0).alias("head"), (place == F.col("__span") - 1).alias("tail"), *own)
 
 
 def quality_cells(reads: DataFrame) -> DataFrame:
@@ -60,8 +91,8 @@ def quality_cells(reads: DataFrame) -> DataFrame:
     it, and the other 0; a hash of the name says which. Of different qualities the better one keeps 0.8 and the other gets
     0. A deletion beside a base gets the sum, the base 0.8 of its own, and again one of the two becomes 0.
     """
-    own = F.ascii(F.col("qual").substr(F.col("next_base") + 1, F.lit(1))) - 33
-    c = cells(reads).withColumn("quality", F.when(F.col("qual").isNull() | (F.col("next_base") >= F.length("qual")), 255).otherwise(own))
+    c = cells(reads, ["rec_idx", "rname", "qname", "flag", "mapq"])
+    c = c.withColumn("quality", F.when(F.coalesce("shown", F.lit("")) == "", 255).otherwise(F.ascii("shown") - 33)).drop("shown")
     strand = F.col("flag").bitwiseAND(16) != 0
     both = reads.groupBy("rname", "qname").agg(F.min(strand).alias("low"), F.max(strand).alias("high")).where("low <> high").select("rname", "qname")
     alone = c.join(both, ["rname", "qname"], "left_anti").select(*c.columns)
@@ -125,7 +156,7 @@ def depth(reads: DataFrame, by: tuple[str, ...] = ("rname",)) -> DataFrame:
 
 def base_counts(reads: DataFrame) -> DataFrame:
     """rname, position, base, n."""
-    return cells(reads).groupBy("rname", "position", "base").agg(F.count("*").alias("n"))
+    return cells(reads, ["rname"]).groupBy("rname", "position", "base").agg(F.count("*").alias("n"))
 
 
 def columns(reads: DataFrame) -> DataFrame:
@@ -135,16 +166,9 @@ def columns(reads: DataFrame) -> DataFrame:
     and deletions as -n() after the base before them. quals: a character for each read's quality (see quality_cells).
     """
     with_quality = "qual" in reads.columns
-    c = quality_cells(reads) if with_quality else cells(reads).withColumn("quality", F.lit(0))
-    ops = operations(F.col("cigar"))
-    nxt = F.filter(ops, lambda o: (o["ref"] == F.col("position") - F.col("pos") + 1) & ((o["op"] == "I") | (o["op"] == "D")))
-    first = F.try_element_at(nxt, F.lit(1))
-    inserted = F.col("seq").substr(first["read"] + 1, first["len"])
-    inserted = F.when(F.col("flag").bitwiseAND(16) != 0, F.lower(inserted)).otherwise(F.upper(inserted))
-    more = F.when(first["op"] == "I", F.concat(F.lit("+"), first["len"].cast("string"), inserted)).when(first["op"] == "D", F.concat(F.lit("-"), first["len"].cast("string"), F.repeat(F.when(F.col("flag").bitwiseAND(16) != 0, "n").otherwise("N"), first["len"]))).otherwise("")
-    more = F.when(F.col("base").isin("*", ">", "<"), "").otherwise(more)
+    c = quality_cells(reads) if with_quality else cells(reads, ["rec_idx", "rname", "mapq"]).withColumn("quality", F.lit(0))
     start = F.when(F.col("head"), F.concat(F.lit("^"), F.char(F.least(F.coalesce("mapq", F.lit(255)), F.lit(93)) + 33))).otherwise("")
-    text = F.concat(start, "base", more, F.when(F.col("tail"), "$").otherwise(""))
+    text = F.concat(start, "base", "after", F.when(F.col("tail"), "$").otherwise(""))
     quality = F.char(F.least(F.col("quality") + 33, F.lit(126)))
     rows = c.select("rname", "position", F.struct("rec_idx", text.alias("t"), quality.alias("q")).alias("x"))
     texts = rows.groupBy("rname", "position").agg(F.count("*").alias("depth"), F.array_sort(F.collect_list("x")).alias("x"))
@@ -153,6 +177,26 @@ def columns(reads: DataFrame) -> DataFrame:
     return out if with_quality else out.drop("quals")
 
 
+def local_nm_cells(reads: DataFrame, keep: list[str], halo: int = 50, clip: int = 60) -> DataFrame:
+    """``keep``, rname, position, next_base, nm_local and homopolymer: per read and reference position what speaks against the read there (see kernels.local_nm_of).
+
+    reads: seq, qual, cigar, pos, md. A cell shows the score and the run of the base after its own; cells take single values along, not the arrays.
+    """
+    rows = with_local_nm(reads, halo, clip).withColumn("__ops", operations(F.col("cigar")))
+
+    def each(o: Column) -> Column:
+        def cell(i: Column) -> Column:
+            base = o["read"] + F.when(o["op"].isin("D", "N"), 0).otherwise(i)
+            score, run = local_nm_at(base)
+            return F.struct((o["ref"] + i).alias("place"), base.alias("next_base"), score.alias("nm_local"), run.alias("homopolymer"))
+
+        return F.transform(F.sequence(F.lit(0), o["len"] - 1), cell)
+
+    ops = F.filter("__ops", lambda o: o["op"].isin(*ON_REFERENCE) & (o["len"] > 0))
+    at = rows.select(*keep, F.col("rname").alias("__rname"), F.col("pos").alias("__pos"), F.explode(F.flatten(F.transform(ops, each))).alias("__c"))
+    return at.select(*keep, F.col("__rname").alias("rname"), (F.col("__pos") + F.col("__c.place")).alias("position"), "__c.next_base", "__c.nm_local", "__c.homopolymer")
+
+
 def islands(reads: DataFrame, width: int = 1 << 20) -> DataFrame:
     """Consecutive reads of one name get one number: island, by order of rec_idx within each contig.
 

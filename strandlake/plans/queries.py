@@ -12,7 +12,7 @@ from ..functions import records as R
 from ..functions import scalars as S
 from ..functions import variants as V
 from ..functions.filters import Compiler, cigar_sum, flag_filter, hard_clip, read_filter, read_symbols, read_tags, soft_clip
-from ..operators import fastx, intervals, pileup
+from ..operators import fastx, indels, intervals, pileup
 from ..operators import variants as vo
 from ..sources import text as T
 from ..sources.bam import SCHEMA as BAM_SCHEMA
@@ -498,6 +498,52 @@ def baq(spark, sf):
     return kernels.with_alignment_quality(df, contigs(df)).select("rec_idx", F.concat_ws(",", F.transform("baq", lambda x: x.cast("string"))).alias("baq"))
 
 
+_LOCAL = (
+    "e as (select id, marks, unnest(range(1, length(marks) + 1)) as k from (select id, regexp_replace(marks, '\\^[acgt]+', '', 'g') as marks from m)), "
+    # Mismatches lie where the matches before them end; the ones before them don't count.
+    "x as (select id, length(regexp_replace(left(marks, k - 1), '[ACGT]', '', 'g')) as place from e where substr(marks, k, 1) <> '='), "
+    "d as (select id, rec_idx, unnest(range(40)) as i from m), q as (select id, i, 2 + (rec_idx + i * 7) % 40 as ql from d), "
+    "y as (select m.*, d.i, a.ql - a.ql // 3 - case when d.i = 8 then 0 when d.i >= 32 then z.ql else b.ql end as above, f.lowest from m join d using (id) join q a using (id, i) left join q b on b.id = d.id and b.i = d.i - 1 join q z on z.id = d.id and z.i = 31 "
+    "join (select id, min(ql) as lowest from q join m using (id) where i < length(regexp_extract(seq, '^A+|^C+|^G+|^T+')) and i < 8 group by id) f on f.id = d.id), "
+    "p as (select id, i, sum(case when i >= place - 100 and i < place - 50 then 5 when i >= place - 50 and i < place + 50 then 10 when i >= place + 50 and i < place + 100 then 5 else 0 end) as n from d join x using (id) group by id, i), "
+    "s as (select y.*, case when i < 8 then 0 else greatest(0, above - case when i = 8 then lowest else 0 end) end + case cigar when '5S30M5S' then 120 else 0 end + coalesce(n, 0) as score from y left join p using (id, i)), "
+    f"c as (select id, rname, pos + b.r + k as position, b.q + case b.o when 'M' then k else 0 end + 1 as i from (select id, rname, pos, b, unnest(range(b.n)) as k from (select id, rname, pos, unnest({BLOCKS}) as b from m))), "
+    "h as (select s.id, s.i, s.score, length(regexp_extract(substr(seq, i + 1), '^A+|^C+|^G+|^T+')) + length(regexp_extract(reverse(left(seq, i)), concat('^', substr(seq, i + 1, 1), '*'))) - 1 as run from s) "
+)
+
+
+@query(
+    f"with m as materialized (select *, {_MARKS} as marks, row_number() over () as id from {MATCHED}), {_LOCAL}"
+    "select c.rname, c.position, count(*) as n, round(sum(case when c.i < 40 then h.score / cast(10 as double) else h.score end), 3) as nm_local, cast(sum(case when c.i < 40 then h.run else 0 end) as bigint) as homopolymer "
+    "from c join h on h.id = c.id and h.i = least(c.i, 39) group by c.rname, c.position"
+)
+def pileup_local_nm(spark, sf):
+    """Per position: what speaks against the reads there, from their qualities, mismatches (MD) and clips nearby, and the runs of equal bases that they show."""
+    df = matched(spark, sf).withColumn("qual", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.char(35 + (F.col("rec_idx") + i * 7) % 40)), ""))
+    df = kernels.with_md_nm(df, contigs(df)).withColumnRenamed("md_new", "md")
+    # Back from stretches to contigs.
+    first = F.greatest(F.substring_index("rname", ":", -1).cast("long") * STRETCH - BESIDE, F.lit(0))
+    df = df.withColumns({"pos": F.col("pos") + first, "rname": F.substring_index("rname", ":", 1)})
+    c = pileup.local_nm_cells(df, [])
+    return c.groupBy("rname", "position").agg(F.count("*").alias("n"), F.round(F.sum("nm_local"), 3).alias("nm_local"), F.sum("homopolymer").alias("homopolymer"))
+
+
+@query()
+def indel_scores(spark, sf):
+    """Each candidate indel of the variants, in the bases of the made-up references, against each selected read that spans it."""
+    df = matched(spark, sf).drop("flag")
+    v = view(spark, sf, "variants").where("length(ref) <> length(alt) and alt rlike '^[A-Za-z]+$'")
+    # The same stretches as the reads; a read may reach into the next one.
+    n = F.floor((F.col("pos") - 1) / STRETCH)
+    v = v.select("rec_idx", "contig", "pos", "ref", "alt", F.explode(F.array(n - 1, n)).alias("n")).where("n >= 0")
+    first = F.greatest(F.col("n") * STRETCH - BESIDE, F.lit(0))
+    motif = F.expr("repeat(substr('ACGTTGCAACGGTTAC', cast(substr(contig, 4) as int), 8), 3)")
+    # Their alleles' lengths, on the reference's bases there.
+    own = F.substr(motif, ((F.col("pos") - 1) % 8 + 1).cast("int"), F.greatest(F.length("ref"), F.length("alt")))
+    v = v.select("rec_idx", F.concat_ws(":", "contig", F.col("n").cast("string")).alias("contig"), (F.col("pos") - first).alias("pos"), F.substr(own, F.lit(1), F.length("ref")).alias("ref"), F.substr(own, F.lit(1), F.length("alt")).alias("alt"))
+    return indels.indel_scores(df, v, contigs(df)).withColumnsRenamed({"read": "rec_idx", "variant": "variant_idx"})
+
+
 _CALLS = (
     f"select rec_idx, rname, pos, cigar, cast(case when (flag & 16) <> 0 then 40 - c.p else c.p - 1 end as int) as \"offset\", '+' as strand, c.code as code, c.pr as probability from "
     "(select *, unnest([{'p': cs[2], 'code': 'm', 'pr': 200}, {'p': cs[5], 'code': 'm', 'pr': 100}, {'p': az[1], 'code': 'a', 'pr': 7}]) as c from "
