@@ -14,6 +14,7 @@ from ..functions import variants as V
 from ..functions.filters import Compiler, cigar_sum, flag_filter, hard_clip, read_filter, read_symbols, read_tags, soft_clip
 from ..operators import fastx, indels, intervals, pileup
 from ..operators import variants as vo
+from ..sources import indexed
 from ..sources import text as T
 from ..sources.bam import SCHEMA as BAM_SCHEMA
 from ..sources.bam import BamSource
@@ -765,6 +766,36 @@ def vcf_round_trip(spark, sf):
     return through_files(vcf_lines(spark, sf), "lines", {"header": VCF_HEADER, "extension": "vcf.gz"}, read, variant_sums)
 
 
+@query(READ_SUMS.replace(f"from {A}", f"from {A} a where exists (select 1 from {I} i where {HIT})"))
+def sorted_bam_regions(spark, sf):
+    """All reads written as one sorted BAM file with an index, of which those that any interval meets are read back by the index."""
+    names = [x.split()[0] for x in BAM_SCHEMA.replace("map<string,struct<type:string,value:string>>", "map").split(", ")]
+    folder, out = shared_folder(spark, "sorted"), shared_folder(spark, "sorted-result")
+    path = f"{folder}/reads.bam"
+    indexed.write_sorted(ordered_reads(spark, sf).select(*names), path, SAM_HEADER, "bam")
+    read_sums(indexed.read_regions(spark, path, "bam", regions(spark, sf), size=1 << 20)).write.parquet(out)
+    removed(spark, folder)
+    return spark.read.parquet(out)
+
+
+@query(VARIANT_SUMS.replace(f"from {VV}", f"from {VV} where contig in ('chr2', 'chr4') and pos >= 200 and pos < 450"))
+def bcf_pushed_filter(spark, sf):
+    """All variants written as one sorted BCF file with an index; a filter on contig and position is looked up in it."""
+    spark.dataSource.register(BcfSource)
+    folder, out = shared_folder(spark, "sorted"), shared_folder(spark, "sorted-result")
+    path, pushing = f"{folder}/variants.bcf", "spark.sql.python.filterPushdown.enabled"
+    indexed.write_sorted(vcf_lines(spark, sf), path, VCF_HEADER, "bcf")
+    before = spark.conf.get(pushing)
+    spark.conf.set(pushing, "true")
+    try:
+        lines = spark.read.format("bcf").options(positions="true", pushdown="true").load(path).where("contig in ('chr2', 'chr4') and pos >= 200 and pos < 450")
+        variant_sums(lines.select("line", "rec_idx")).write.parquet(out)
+    finally:
+        spark.conf.set(pushing, before)
+    removed(spark, folder)
+    return spark.read.parquet(out)
+
+
 def bgzf_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of all block-gzip files of a folder."""
     out = None

@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .bgzf import BLOCK, END, block_size, compress_block
-from .files import ByteRange, FolderWriter, byte_ranges, listed, open_path
+from .files import ByteRange, FolderWriter, Indexed, Pushing, byte_ranges, flag, listed, open_path
 
 #: 4-bit bases and CIGAR operators by code. Fixed values.
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
@@ -300,8 +300,10 @@ class Part(InputPartition):
         self.path, self.start, self.stop = path, start, stop
 
 
-class BamReader(DataSourceReader):
-    """Option ``region`` (contig:from-to): only the chunks that a file's index names are read, one task each. ``splitBytes``: the size of byte ranges."""
+class BamReader(Indexed, DataSourceReader):
+    """Option ``region`` (contig:from-to): only the chunks that a file's index names are read, one task each; likewise for filters on rname and pos with ``pushdown`` (see Pushing). ``splitBytes``: the size of byte ranges."""
+
+    place = ("rname", "pos")
 
     def __init__(self, options: dict):
         self.path, self.region = options["path"], options.get("region")
@@ -315,6 +317,8 @@ class BamReader(DataSourceReader):
         for p in listed(self.path, (".bam",)):
             if self.region:
                 out += self._chunks(system, p)
+            elif self.pushed and (chunks := self._pushed(system, p)) is not None:
+                out += [Part(p, lo, hi) for lo, hi in chunks]
             elif system.get_file_info(f"{p}.splits").type == fs.FileType.File:
                 with system.open_input_file(f"{p}.splits") as f:
                     points = json.loads(f.read())
@@ -323,6 +327,11 @@ class BamReader(DataSourceReader):
                 out += [x for x in byte_ranges(self.path, (".bam",), self.size) if x.path == p]
         return out
 
+    def _pushed(self, system, path: str) -> list[tuple[int, int]] | None:
+        with system.open_input_file(path) as f:
+            names = [n for n, _ in read_header(Blocks(f))[1]]
+        return self.chunks(system, path, names, self.size)
+
     def _chunks(self, system, path: str) -> list[Part]:
         from pyarrow import fs
 
@@ -354,6 +363,8 @@ class BamReader(DataSourceReader):
         return row[3] - 1 < self._region.stop and row[3] - 1 + max(span, 1) > self._region.beg
 
     def read(self, partition) -> Iterator[tuple]:
+        if partition is None:  # nothing to read
+            return
         system, _ = open_path(self.path)
         with system.open_input_file(partition.path) as f:
             blocks = Blocks(f)
@@ -379,6 +390,10 @@ class BamReader(DataSourceReader):
                     yield (*row, max(at, i))
 
 
+class PushedBamReader(Pushing, BamReader):
+    pass
+
+
 class BamSource(DataSource):
     """spark.dataSource.register(BamSource); read.format("bam").load(path); write.format("bam").option("header", text).mode("append").save(folder)"""
 
@@ -390,7 +405,8 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return BamReader({k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (PushedBamReader if flag(options, "pushdown") else BamReader)(options)
 
     def writer(self, schema, overwrite):
         names, header = schema.fieldNames(), self.options["header"]

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import Indexed, Pushing, flag
+
 #: Data in one block, and the empty block that ends a file. Fixed values.
 BLOCK = 0xFF00
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -87,14 +89,16 @@ class Chunk(Split):
     """Lines that begin between two virtual offsets."""
 
 
-class BgzfReader(DataSourceReader):
+class BgzfReader(Indexed, DataSourceReader):
     """Lines of a block-gzip file; each task takes the blocks that start in its byte range, and the lines that start in them.
 
     Options ``region`` (contig:from-to) and ``preset`` (sam, vcf, bed, gff): only lines that meet the region, from the chunks
-    that the file's index names, or from all of the file where there is no index.
+    that the file's index names, or from all of the file where there is no index. With ``positions`` lines have contig and pos (NULL in
+    comments) beside them, and filters on these are looked up in the index with ``pushdown`` (see Pushing).
     """
 
     def __init__(self, options: dict):
+        self.positions = flag(options, "positions")
         self.path = options["path"]
         self.size = int(options.get("splitbytes", 16 << 20))
         self.region, self.preset = options.get("region"), options.get("preset", "vcf")
@@ -114,6 +118,12 @@ class BgzfReader(DataSourceReader):
             chunks = region_chunks(system, inner, self.region)
             if chunks is not None:
                 return [Chunk(self.path, lo, hi) for lo, hi in chunks]
+        elif self.pushed:
+            from .files import open_path
+
+            system, inner = open_path(self.path)
+            if (chunks := self.chunks(system, inner, [], self.size)) is not None:
+                return [Chunk(self.path, lo, hi) for lo, hi in chunks]
         with self._file() as f:
             n = f.size()
         return [Split(self.path, i, min(i + self.size, n)) for i in range(0, n, self.size)]
@@ -130,10 +140,14 @@ class BgzfReader(DataSourceReader):
         return n
 
     def read(self, partition):
+        if partition is None:  # nothing to read
+            return
+        from .index import PRESETS, line_meets, placed
+
         if not self.region:
-            yield from self._lines(partition)
+            for (line,) in self._chunk(partition) if isinstance(partition, Chunk) else self._lines(partition):
+                yield (line, *placed(line, self.preset)) if self.positions else (line,)
             return
-        from .index import PRESETS, line_meets
 
         for (line,) in self._chunk(partition) if isinstance(partition, Chunk) else self._lines(partition):
             if line and not line.startswith(PRESETS[self.preset][4]) and line_meets(line, self.preset, self.region):
@@ -201,6 +215,10 @@ class BgzfReader(DataSourceReader):
         return True
 
 
+class PushedBgzfReader(Pushing, BgzfReader):
+    pass
+
+
 class BgzfSource(DataSource):
     """spark.dataSource.register(BgzfSource); spark.read.format("bgzf").load(path)"""
 
@@ -209,10 +227,11 @@ class BgzfSource(DataSource):
         return "bgzf"
 
     def schema(self):
-        return "line string"
+        return "line string" + (", contig string, pos long" if flag(self.options, "positions") else "")
 
     def reader(self, schema):
-        return BgzfReader({k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (PushedBgzfReader if flag(options, "pushdown") else BgzfReader)(options)
 
 
 def detect(head: bytes) -> tuple[str, str]:

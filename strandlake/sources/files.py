@@ -6,8 +6,6 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from .bgzf import compress
-
 
 def open_path(path: str):
     """(file system, path in it) of a path or URI."""
@@ -60,6 +58,56 @@ def byte_ranges(path: str, endings: tuple[str, ...], size: int) -> list[ByteRang
     return out
 
 
+class Indexed:
+    """For readers of files that may have indexes: what was asked for becomes the chunks that the index names."""
+
+    #: The columns of contig and position (from 1), and what was asked for of them: contigs and [beg, stop), or None.
+    place = ("contig", "pos")
+    pushed: tuple[list[str], int, int] | None = None
+
+    def chunks(self, system, path: str, names: list[str], size: int) -> list[tuple[int, int]] | None:
+        """What must be read of a file for the filters, in ranges of virtual offsets; None if there is nothing to go by. ``names``: its contigs, unless the index has them."""
+        from .index import candidates, planned, read_index
+
+        if self.pushed is None:
+            return None
+        found = next((c for c in candidates(path) if system.get_file_info(c).is_file), None)
+        if found is None:
+            return None
+        with system.open_input_file(found) as f:
+            index = read_index(f.read())
+        numbers = {n: i for i, n in enumerate(index.names or names)}
+        asked, beg, stop = self.pushed
+        return planned([x for n in asked if n in numbers and beg < stop for x in index.hits(numbers[n], beg, stop)], size)
+
+
+class Pushing:
+    """Filters on contig and position are taken from the plan. Spark refuses such readers unless spark.sql.python.filterPushdown.enabled is true, so sources make them only with option ``pushdown``.
+
+    Filters stay with Spark too, as chunks may hold more than was asked for.
+    """
+
+    def pushFilters(self, filters):
+        names, beg, stop = None, 0, 1 << 40
+        bounds = {"EqualTo": (-1, 0), "GreaterThan": (0, None), "GreaterThanOrEqual": (-1, None), "LessThan": (None, -1), "LessThanOrEqual": (None, 0)}
+        for f in filters:
+            kind, column = type(f).__name__, getattr(f, "attribute", None)
+            if column == (self.place[0],) and kind in ("EqualTo", "In"):
+                these = {f.value} if kind == "EqualTo" else set(f.value)
+                names = these if names is None else names & these
+            elif column == (self.place[1],) and kind in bounds:
+                low, high = bounds[kind]
+                beg = beg if low is None else max(beg, f.value + low)
+                stop = stop if high is None else min(stop, f.value + high)
+        if names is not None:
+            self.pushed = sorted(x for x in names if x is not None), beg, stop
+        return filters
+
+
+def flag(options: dict, name: str) -> bool:
+    return options.get(name, "").lower() == "true"
+
+
 class Written(WriterCommitMessage):
     def __init__(self, name: str, final: str):
         self.name, self.final = name, final
@@ -115,7 +163,7 @@ class LineSource(DataSource):
         header, extension = self.options.get("header", ""), self.options.get("extension", "txt")
 
         def parts(rows: Iterator) -> Iterator[bytes]:
-            from .bgzf import BLOCK, compress_block
+            from .bgzf import BLOCK, compress, compress_block
 
             packed = extension.endswith("gz")
             held = header.encode()
