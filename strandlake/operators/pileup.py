@@ -83,22 +83,23 @@ def cells(reads: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return at.select(*keep, *([] if "rname" in keep else [F.col("__rname").alias("rname")]), (F.col("__pos") + place).alias("position"), (place == 0).alias("head"), (place == F.col("__span") - 1).alias("tail"), *own)
 
 
-def quality_cells(reads: DataFrame) -> DataFrame:
+def quality_cells(reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """cells with quality: that of the read's base, or of the next one where it has none; 255 without qualities.
 
-    Reads of one name on both strands are set against each other in each column that both show, in order of rec_idx. Of
+    Reads of one name (and of one value of ``by``) on both strands are set against each other in each column that both show, in order of rec_idx. Of
     equal bases (or two deletions, or two skips) one gets the sum, 200 at most, of equal qualities of different bases 0.8 of
     it, and the other 0; a hash of the name says which. Of different qualities the better one keeps 0.8 and the other gets
     0. A deletion beside a base gets the sum, the base 0.8 of its own, and again one of the two becomes 0.
     """
-    c = cells(reads, ["rec_idx", "rname", "qname", "flag", "mapq"])
+    c = cells(reads, ["rec_idx", "rname", "qname", "flag", "mapq", *by])
+    names = ["rname", "qname", *by]
     c = c.withColumn("quality", F.when(F.coalesce("shown", F.lit("")) == "", 255).otherwise(F.ascii("shown") - 33)).drop("shown")
     strand = F.col("flag").bitwiseAND(16) != 0
-    both = reads.groupBy("rname", "qname").agg(F.min(strand).alias("low"), F.max(strand).alias("high")).where("low <> high").select("rname", "qname")
-    alone = c.join(both, ["rname", "qname"], "left_anti").select(*c.columns)
-    shared = c.join(both, ["rname", "qname"], "left_semi")
+    both = reads.groupBy(*names).agg(F.min(strand).alias("low"), F.max(strand).alias("high")).where("low <> high").select(*names)
+    alone = c.join(both, names, "left_anti").select(*c.columns)
+    shared = c.join(both, names, "left_semi")
     one = F.struct("rec_idx", strand.alias("reverse"), F.upper("base").alias("shown"), "quality", F.struct(*c.columns).alias("row"))
-    groups = shared.groupBy("rname", "position", "qname").agg(F.array_sort(F.collect_list(one)).alias("m"))
+    groups = shared.groupBy("position", *names).agg(F.array_sort(F.collect_list(one)).alias("m"))
     settled = groups.select(F.explode(_settled(F.col("m"), F.col("qname"))).alias("x"))
     again = [F.col(f"x.row.{n}") if n != "quality" else F.col("x.quality") for n in c.columns]
     return alone.unionByName(settled.select(*[a.alias(n) for a, n in zip(again, c.columns, strict=True)]))
@@ -159,24 +160,38 @@ def base_counts(reads: DataFrame) -> DataFrame:
     return cells(reads, ["rname"]).groupBy("rname", "position", "base").agg(F.count("*").alias("n"))
 
 
-def columns(reads: DataFrame) -> DataFrame:
-    """rname, position, depth, bases and, if reads have qual, quals: the texts of each column, reads in order of rec_idx.
+def columns(reads: DataFrame, by: tuple[str, ...] = (), block: int = 1 << 20) -> DataFrame:
+    """rname, position, ``by``, depth, bases and, if reads have qual, quals: the texts of each column, reads in order of rec_idx.
 
     ^ and the mapping quality's character before a read's first base, $ after its last, insertions as +n(bases)
     and deletions as -n() after the base before them. quals: a character for each read's quality (see quality_cells).
+    A column is put together from the texts of ``block`` numbers of rec_idx each, so that a deep one isn't a single list of reads.
     """
     with_quality = "qual" in reads.columns
-    c = quality_cells(reads) if with_quality else cells(reads, ["rec_idx", "rname", "mapq"]).withColumn("quality", F.lit(0))
+    c = quality_cells(reads, by) if with_quality else cells(reads, ["rec_idx", "rname", "mapq", *by]).withColumn("quality", F.lit(0))
     start = F.when(F.col("head"), F.concat(F.lit("^"), F.char(F.least(F.coalesce("mapq", F.lit(255)), F.lit(93)) + 33))).otherwise("")
     text = F.concat(start, "base", "after", F.when(F.col("tail"), "$").otherwise(""))
     quality = F.char(F.least(F.col("quality") + 33, F.lit(126)))
-    rows = c.select("rname", "position", F.struct("rec_idx", text.alias("t"), quality.alias("q")).alias("x"))
-    texts = rows.groupBy("rname", "position").agg(F.count("*").alias("depth"), F.array_sort(F.collect_list("x")).alias("x"))
-    joined = lambda n: F.array_join(F.transform("x", lambda x: x[n]), "")
-    out = texts.select("rname", "position", "depth", joined("t").alias("bases"), joined("q").alias("quals"))
+    place = ["rname", "position", *by]
+    # One shuffle by place serves both steps.
+    rows = c.select(*place, F.floor(F.col("rec_idx") / block).alias("part"), F.struct("rec_idx", text.alias("t"), quality.alias("q")).alias("x")).repartition("rname", "position")
+    joined = lambda x, n: F.array_join(F.transform(x, lambda y: y[n]), "")
+    parts = rows.groupBy(*place, "part").agg(F.count("*").alias("depth"), F.array_sort(F.collect_list("x")).alias("x"))
+    parts = parts.select(*place, "depth", F.struct("part", joined("x", "t").alias("t"), joined("x", "q").alias("q")).alias("x"))
+    out = parts.groupBy(*place).agg(F.sum("depth").alias("depth"), F.array_sort(F.collect_list("x")).alias("x"))
+    out = out.select(*place, "depth", joined("x", "t").alias("bases"), joined("x", "q").alias("quals"))
     return out if with_quality else out.drop("quals")
 
 
+def synchronized(reads: DataFrame, inputs: int, by: str = "input") -> DataFrame:
+    """rname, position, depth, and per input (the numbers from 0 of column ``by``) depth_i, bases_i and, if reads have qual, quals_i: the columns of several inputs side by side, 0 and empty where one shows nothing."""
+    c = columns(reads, (by,))
+    texts = [n for n in ("bases", "quals") if n in c.columns]
+    mine = lambda i, n: F.max(F.when(F.col(by) == i, F.col(n)))
+    each = [x for i in range(inputs) for x in (F.coalesce(mine(i, "depth"), F.lit(0)).alias(f"depth_{i}"), *[F.coalesce(mine(i, n), F.lit("")).alias(f"{n}_{i}") for n in texts])]
+    return c.groupBy("rname", "position").agg(F.sum("depth").alias("depth"), *each)
+
+
 def local_nm_cells(reads: DataFrame, keep: list[str], halo: int = 50, clip: int = 60) -> DataFrame:
     """``keep``, rname, position, next_base, nm_local and homopolymer: per read and reference position what speaks against the read there (see kernels.local_nm_of).
 

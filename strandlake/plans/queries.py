@@ -238,6 +238,19 @@ def pileup_columns(spark, sf):
     return pileup.columns(pileup.selected(view(spark, sf, "alignments"), min_mapq=10))
 
 
+@query(
+    f"with b as (select rec_idx, rname, pos, flag, mapq, cigar, seq, {SPAN} as span, unnest({BLOCKS}) as b from {A} where {PASS}), c as (select *, unnest(range(0, b.n)) as k from b), "
+    "t as (select rec_idx, rec_idx % 2 as i, rname, pos + b.r + k as position, concat(case when b.r + k = 0 then concat('^', chr(cast(33 + least(mapq, 93) as int))) else '' end, "
+    "case b.o when 'D' then '*' when 'N' then case when (flag & 16) <> 0 then '<' else '>' end else case when (flag & 16) <> 0 then lower(substr(seq, cast(b.q + k + 1 as bigint), 1)) else upper(substr(seq, cast(b.q + k + 1 as bigint), 1)) end end, "
+    "case when cigar = '10M3I27M' and b.r + k = 9 then concat('+3', case when (flag & 16) <> 0 then lower(substr(seq, 11, 3)) else upper(substr(seq, 11, 3)) end) when cigar = '20M10D20M' and b.r + k = 19 then concat('-10', repeat(case when (flag & 16) <> 0 then 'n' else 'N' end, 10)) else '' end, "
+    "case when b.r + k = span - 1 then '$' else '' end) as t from c) select rname, position, count(*) as depth, count(*) filter (i = 0) as depth_0, count(*) filter (i = 1) as depth_1, coalesce(string_agg(t, '' order by rec_idx, t) filter (i = 0), '') as bases_0, coalesce(string_agg(t, '' order by rec_idx, t) filter (i = 1), '') as bases_1 from t group by rname, position"
+)
+def pileup_synchronized(spark, sf):
+    """Two inputs' columns side by side."""
+    df = view(spark, sf, "alignments").withColumn("input", F.col("rec_idx") % 2)
+    return pileup.synchronized(pileup.selected(df, min_mapq=10), 2)
+
+
 @query()
 def pileup_qualities(spark, sf):
     """The qualities of all columns, after mates have settled them between them."""
@@ -796,6 +809,20 @@ def bcf_pushed_filter(spark, sf):
     return spark.read.parquet(out)
 
 
+_ODD = "concat_ws(chr(9), contig, cast(pos as varchar(20)), '.', ref, alt, concat(cast(rec_idx % 90 as varchar(20)), '.0'), 'PASS', concat('END=', case when rec_idx % 10 = 0 then 'x' else '' end, cast(rec_idx as varchar(20))), 'GT:DP:GT:AD', concat(case rec_idx % 5 when 0 then '/' when 1 then '|' else '' end, gt, ':', cast(rec_idx % 50 as varchar(20)), ':0/0', case when rec_idx % 3 = 0 then ':1,2' else '' end))"
+
+
+@query(
+    f"select rec_idx, case when rec_idx % 10 = 0 then {_ODD} else concat_ws(chr(9), contig, cast(pos as varchar), '.', ref, alt, cast(rec_idx % 90 as varchar), 'PASS', concat('END=', cast(rec_idx as varchar)), 'GT:DP:AD', "
+    "concat(case when rec_idx % 5 = 0 and gt like '%|%' then '/' when rec_idx % 5 = 1 and gt like '%/%' then '|' else '' end, gt, ':', cast(rec_idx % 50 as varchar), case when rec_idx % 3 = 0 then ':1,2' else ':.' end)) end as line, "
+    f"rec_idx % 10 <> 0 as typed from {VV}"
+)
+def vcf_canonical(spark, sf):
+    """Variant lines with keys that are there twice, phasing marks before the first allele and missing values; a tenth has an END that is no number."""
+    header = '##INFO=<ID=END,Number=1,Type=Integer,Description="e">\n##FORMAT=<ID=DP,Number=1,Type=Integer,Description="d">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts'
+    return T.canonical_vcf(view(spark, sf, "variants").select("rec_idx", F.expr(_ODD.replace("chr(9)", "char(9)")).alias("line")), header)
+
+
 def bgzf_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of all block-gzip files of a folder."""
     out = None

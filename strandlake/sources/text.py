@@ -6,6 +6,7 @@ split, by ``sources.bgzf``.
 
 from __future__ import annotations
 
+import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,58 @@ def vcf_line() -> Column:
     return F.when(F.size("samples") > 0, F.concat_ws("\t", core, F.array_join("format", ":"), F.array_join(F.transform("samples", lambda s: F.array_join(s, ":")), "\t"))).otherwise(core)
 
 
+def plain_genotype(gt: Column) -> Column:
+    """A genotype without the phasing mark before its first allele where that says no more than the others: /0/1, |0|1, |1 and /. lose it; |0/1, /0|1, /1 and |. keep it. Empty ones become '.'."""
+    first, rest = F.left(gt, F.lit(1)), F.substr(gt, F.lit(2))
+    second = F.regexp_extract(rest, "[/|]", 0)
+    implied = F.when(second == "", ((first == "|") & (rest != ".")) | ((first == "/") & (rest == "."))).otherwise(second == first)
+    return F.when(gt == "", ".").when(first.isin("/", "|") & implied, rest).otherwise(gt)
+
+
+#: What the text of a number may look like, by the header's type. Fixed values.
+NUMBERS = {"Integer": r"^[+-]?\d+$", "Float": r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"}
+
+
+def canonical_vcf(lines: DataFrame, header: str) -> DataFrame:
+    """``lines`` of VCF records, with ``line`` in canonical form and ``typed``: whether the header's types allow that.
+
+    FORMAT keys that are there twice keep their first place and value, samples get a '.' for values they lack, genotypes go
+    through plain_genotype, QUAL is written as a number; a record without FORMAT under a header with samples gets '.' for it and each
+    sample. A record whose numbers aren't of the type that the header gives their INFO or FORMAT field, or whose POS isn't a number,
+    stays as it is, and no other record is touched by that. Header lines stay too.
+    """
+    kinds = {k: {m[0]: m[1] for m in re.findall(rf"^##{k}=<ID=([^,>]+),.*?Type=(Integer|Float)", header, re.M)} for k in ("INFO", "FORMAT")}
+    samples = max(0, len(next((x for x in header.splitlines() if x.startswith("#CHROM")), "").split("\t")) - 9)
+    f = F.split("line", "\t")
+    at = lambda i: F.coalesce(F.get(f, i), F.lit(""))
+
+    def wrong(key: Column, value: Column, of: dict[str, str]) -> Column:
+        out = F.lit(False)
+        for kind, pattern in NUMBERS.items():
+            names = [k for k, t in of.items() if t == kind]
+            if names:
+                out = out | (key.isin(*names) & F.exists(F.split(value, ","), lambda v: (v != ".") & ~v.rlike(pattern)))
+        return out
+
+    info = F.exists(F.split(at(7), ";"), lambda x: F.contains(x, F.lit("=")) & wrong(F.substring_index(x, "=", 1), F.substr(x, F.instr(x, "=") + 1), kinds["INFO"]))
+    rows = lines.withColumns({"__keys": F.split(at(8), ":"), "__samples": F.transform(F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))), lambda s: F.split(s, ":"))})
+    keys = F.col("__keys")
+    bad = F.exists("__samples", lambda s: F.exists(F.transform(s, lambda v, i: F.coalesce(wrong(F.get(keys, i), v, kinds["FORMAT"]), F.lit(False))), lambda x: x))
+    record = ~F.col("line").startswith("#") & (F.size(f) >= 8)
+    rows = rows.withColumn("typed", record & at(1).rlike(r"^\d+$") & (at(5).rlike(NUMBERS["Float"]) | (at(5) == ".")) & ~info & ~bad)
+    kept = F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    rows = rows.withColumn("__kept", kept)
+    number = at(5).try_cast("double")
+    qual = F.when(at(5) == ".", ".").when(number == F.floor(number), number.cast("long").cast("string")).otherwise(at(5).try_cast("float").cast("string"))
+    core = F.concat_ws("\t", F.slice(f, 1, 5), qual, at(6), at(7))
+    value = lambda s, i: F.coalesce(F.get(s, i), F.lit("."))
+    sample = lambda s: F.array_join(F.transform("__kept", lambda i: F.when(F.get(keys, i) == "GT", plain_genotype(value(s, i))).otherwise(value(s, i))), ":")
+    full = F.concat_ws("\t", core, F.array_join(F.transform("__kept", lambda i: F.get(keys, i)), ":"), F.transform("__samples", sample))
+    short = F.concat(core, F.lit("\t." * (samples + 1 if samples else 0)))
+    line = F.when(~F.col("typed"), F.col("line")).when(F.size(f) >= 10, full).when(F.size(f) == 8, short).otherwise(F.col("line"))
+    return rows.withColumn("line", line).drop("__keys", "__samples", "__kept")
+
+
 def parse_bed(lines: DataFrame) -> DataFrame:
     """contig, beg, stop, payload, region_idx."""
     from ..operators.intervals import parse_region_line

@@ -317,3 +317,22 @@ def test_extended_alignment_quality(spark):
     more = kernels.with_alignment_quality(df, refs, extended=True)
     for r in more.withColumn("bq", kernels.baq_tag(F.col("qual"), F.col("baq"))).collect():
         assert all(a <= b <= 40 for a, b in zip(plain[r["rec_idx"]], r["baq"])) and r["bq"] == "".join(chr(64 + 40 - b) for b in r["baq"])
+
+
+def test_synchronized_pileups(spark):
+    """Each input's columns are those of its reads alone, mates of other inputs aside; blocks of reads make no difference."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        for flag in (99, 147) if i % 3 else (0,):
+            rows.append((f"n{i % 40}", flag, "c", 5 * (i % 20) + rng.randrange(4) + 1, 60, rng.choice(["10M", "4M2D6M", "3M2I5M", "2S3M2N5M"]), "".join(rng.choice("ACGT") for _ in range(10)), "".join(chr(33 + rng.randrange(60)) for _ in range(10)), len(rows), i % 2))
+    df = spark.createDataFrame(rows, "qname string, flag int, rname string, pos long, mapq int, cigar string, seq string, qual string, rec_idx long, input int").repartition(3)
+    for with_quality in (df, df.drop("qual")):
+        names = ["depth", "bases"] + (["quals"] if "qual" in with_quality.columns else [])
+        whole = {r["position"]: [r[n] for n in names] for r in pileup.columns(with_quality).collect()}
+        assert {r["position"]: [r[n] for n in names] for r in pileup.columns(with_quality, block=3).collect()} == whole
+        got = {r["position"]: r for r in pileup.synchronized(with_quality, 3).collect()}
+        assert got.keys() == whole.keys() and all(r["depth"] == whole[p][0] for p, r in got.items())
+        for i in range(3):
+            own = {r["position"]: [r[n] for n in names] for r in pileup.columns(with_quality.where(F.col("input") == i)).collect()}
+            assert {p: [r[f"{n}_{i}"] for n in names] for p, r in got.items() if r[f"depth_{i}"]} == own
