@@ -161,9 +161,8 @@ class Value:
 
 
 def number(c: Column) -> Value:
-    """NaN is undefined."""
-    c = c.cast("double")
-    return Value(F.when(F.isnan(c), None).otherwise(c), F.lit(None).cast("string"))
+    """NaN is undefined. nanvl names the column once, so that nested sums don't double in size at each level."""
+    return Value(F.nanvl(c.cast("double"), F.lit(None).cast("double")), F.lit(None).cast("string"))
 
 
 def string(c: Column) -> Value:
@@ -336,9 +335,9 @@ def cigar_parts(cigar: Column) -> Column:
 
 
 def cigar_sum(cigar: Column, ops: str) -> Column:
-    """Total length of the given operators."""
-    lens = F.filter(cigar_parts(cigar), lambda p: F.instr(F.lit(ops), p["op"]) > 0)
-    return F.aggregate(lens, F.lit(0).cast("long"), lambda s, p: s + p["len"])
+    """Total length of the given operators; 0 for '*' and NULL."""
+    lens = F.regexp_extract_all(cigar, F.lit(rf"(\d+)[{ops}]"), F.lit(1))
+    return F.coalesce(F.aggregate(lens, F.lit(0).cast("long"), lambda s, n: s + n.cast("long")), F.lit(0).cast("long"))
 
 
 def soft_clip(cigar: Column) -> Column:
@@ -363,6 +362,10 @@ def raw_qualities(qual: Column) -> Column:
     return F.replace(lower, F.lit("\ue000"), F.lit("\0"))
 
 
+#: Symbols that are worked out from a CIGAR.
+OF_CIGAR = ("endpos", "qlen", "rlen", "ncigar", "sclen", "hclen")
+
+
 def read_symbols() -> dict[str, Value | Callable[[], Value]]:
     """Symbols over the columns of an alignments table (see plans.views)."""
     c = F.col
@@ -393,8 +396,13 @@ def read_tags(tag: str) -> Value:
 
 
 def read_filter(text: str) -> Column:
-    """A filter over an alignments table as a condition."""
-    return Compiler(read_symbols(), read_tags).condition(text)
+    """A filter over an alignments table as a condition. What a CIGAR must be taken apart for is worked out once a row, however often the filter names it."""
+    symbols = read_symbols()
+    used = [n for n in OF_CIGAR if re.search(rf"\b{n}\b", text)]
+    if not used:
+        return Compiler(symbols, read_tags).condition(text)
+    once = F.array(F.struct(*[symbols[n]().number.alias(n) for n in used]))
+    return F.exists(once, lambda s: Compiler(symbols | {n: number(s[n]) for n in used}, read_tags).condition(text))
 
 
 def flag_filter(flag: Column, require: int = 0, exclude_any: int = 0, exclude_all: int = 0) -> Column:

@@ -520,40 +520,86 @@ def local_nm_at(offset: Column) -> tuple[Column, Column]:
     return F.coalesce(F.when(inside, F.get("local_nm", i) / 10).otherwise(edge), F.lit(0.0)), F.coalesce(F.when(inside, F.get("homopolymer", i)), F.lit(0))
 
 
-#: Complements for base modifications. Fixed values.
-COMPLEMENT = str.maketrans("ACGTUN", "TGCAAN")
+#: Bases that pair with each other, for base modifications; U counts as T. Fixed values.
+COMPLEMENT = {"A": "T", "C": "G", "G": "C", "T": "A", "U": "A", "N": "N"}
 _MOD = re.compile(r"([ACGTUN])([+-])([a-z]+|\d+)([.?]?)((?:,\d+)*)")
 
 
-def base_modifications(seq: str, reverse: bool, mm: str | None, ml: list[int] | None) -> list[tuple[int, str, str, int]]:
-    """(offset in seq, strand, code, probability) of the MM and ML tags, by offset; a probability is 0 to 255, or -1 where there is no ML.
-
-    Counts skip bases of the canonical kind (N: any) in the order in which the read was sequenced. ML must hold exactly
-    one value per call.
-    """
-    original = seq.translate(COMPLEMENT)[::-1] if reverse else seq
-    out, used = [], 0
+def _modification_parts(mm: str | None) -> list[tuple[str, str, list[str], np.ndarray]]:
+    """(canonical base, strand, codes, which of these bases are called) of each part of an MM text."""
+    out = []
     for part in (mm or "").rstrip(";").split(";") if mm else []:
         m = _MOD.fullmatch(part)
         if not m:
             raise ValueError(f"not a modification: {part}")
         base, strand, kinds, _, deltas = m.groups()
-        kinds = [kinds] if kinds.isdigit() else list(kinds)
-        places = [i for i, c in enumerate(original) if base == "N" or c == base or (base == "U" and c == "T")]
-        at = -1
-        for delta in map(int, filter(None, deltas.split(","))):
-            at += delta + 1
-            if at >= len(places):
-                raise ValueError("more modifications than bases")
-            for kind in kinds:
-                if ml is not None and used >= len(ml):
+        skipped = np.array([int(x) for x in deltas.split(",") if x], np.int64)
+        out.append((base, strand, [kinds] if kinds.isdigit() else list(kinds), np.cumsum(skipped + 1) - 1))
+    return out
+
+
+def _called(base: str, reverse: bool) -> np.ndarray:
+    """Which characters of a read, as it is stored, are ``base`` in the order and strand in which it was sequenced."""
+    table = np.zeros(256, bool)
+    for c in map(chr, range(256)):
+        own = COMPLEMENT.get(c, c) if reverse else c
+        table[ord(c)] = base in ("N", own) or base == "U" and own == "T"
+    return table
+
+
+def modifications_of(seqs: list[str], reverse: list[bool], mms: list[str | None], mls: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[str, str]], np.ndarray, np.ndarray]:
+    """(read, offset in it, kinds as (strand, code), number of the kind, probability) of all calls, by read and offset.
+
+    Counts skip bases of the canonical kind (N: any) in the order in which the read was sequenced: for reverse reads from the end. Reads
+    with the same MM are worked out together. A probability is 0 to 255, or -1 where there is no ML, which must hold exactly one value per call.
+    """
+    data, start = _joined(seqs)
+    rows, backward = np.arange(len(seqs)), np.array(reverse, bool)
+    known: dict[str | None, list[int]] = {}
+    for i, mm in enumerate(mms):
+        known.setdefault(mm, []).append(i)
+    given = np.array([-1 if ml is None else len(ml) for ml in mls], np.int64)
+    values = np.array([x for ml in mls if ml is not None for x in ml] + [-1], np.int64)
+    first = np.cumsum(np.maximum(given, 0)) - np.maximum(given, 0)
+    places: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
+    kinds: dict[tuple[str, str], int] = {}
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    for mm, who in known.items():
+        parts, used = _modification_parts(mm), 0
+        for base, strand, codes_, at in parts:
+            numbers = np.array([kinds.setdefault((strand, c), len(kinds)) for c in codes_])
+            for back in (False, True):
+                mine = np.array(who)[backward[who] == back]
+                if not len(mine) or not len(at):
+                    continue
+                if (base, back) not in places:
+                    found = np.flatnonzero(_called(base, back)[data])
+                    places[base, back] = found, np.searchsorted(found, np.append(start, len(data)))
+                found, bound = places[base, back]
+                if (at[-1] >= bound[mine + 1] - bound[mine]).any():
+                    raise ValueError("more modifications than bases")
+                place = found[bound[mine + 1][:, None] - 1 - at if back else bound[mine][:, None] + at] - start[mine][:, None]
+                n = used + np.arange(len(at) * len(codes_))
+                have = given[mine][:, None]
+                if ((have >= 0) & (have <= n[-1])).any():
                     raise ValueError("ML is too short")
-                place = len(seq) - 1 - places[at] if reverse else places[at]
-                out.append((place, strand, kind, ml[used] if ml is not None else -1))
-                used += 1
-    if ml is not None and used != len(ml):
-        raise ValueError("ML is too long")
-    return sorted(out, key=lambda x: x[0])
+                out[0].append(np.repeat(mine, len(n)))
+                out[1].append(np.repeat(place, len(codes_), 1).ravel())
+                out[2].append(np.tile(numbers, len(at) * len(mine)))
+                out[3].append(values[np.where(have >= 0, first[mine][:, None] + n, len(values) - 1)].ravel())
+                out[4].append(np.tile(n, len(mine)))
+            used += len(at) * len(codes_)
+        if (given[who] > used).any():
+            raise ValueError("ML is too long")
+    row, offset, kind, probability, turn = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+    order = np.lexsort((turn, offset, row))
+    return rows[row[order]], offset[order], list(kinds), kind[order], probability[order]
+
+
+def base_modifications(seq: str, reverse: bool, mm: str | None, ml: list[int] | None) -> list[tuple[int, str, str, int]]:
+    """(offset in seq, strand, code, probability) of one read's MM and ML tags, by offset; see modifications_of."""
+    _, offset, kinds, kind, probability = modifications_of([seq], [reverse], [mm], [ml])
+    return [(o, *kinds[k], p) for o, k, p in zip(offset.tolist(), kind.tolist(), probability.tolist(), strict=True)]
 
 
 def modifications(reads: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -563,10 +609,10 @@ def modifications(reads: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            calls = [base_modifications(seq, bool(flag & 16), mm, ml) for flag, seq, mm, ml in zip(*(b.column(c).to_pylist() for c in ("flag", "seq", "mm", "ml")), strict=True)]
-            row = pa.array(np.repeat(np.arange(len(calls)), list(map(len, calls))))
-            found = list(zip(*(c for x in calls for c in x), strict=True)) or [()] * 4
-            columns = [pa.array(c, k) for c, k in zip(found, (pa.int32(), pa.string(), pa.string(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(row) for c in own], *columns], names=[*own, "offset", "strand", "code", "probability"])
+            flag, seq, mm, ml = (b.column(c).to_pylist() for c in ("flag", "seq", "mm", "ml"))
+            row, offset, kinds, kind, probability = modifications_of([s or "" for s in seq], [bool(f & 16) for f in flag], mm, ml)
+            texts = [pa.array([k[i] for k in kinds], pa.string()).take(pa.array(kind)) for i in (0, 1)]
+            columns = [pa.array(offset, pa.int32()), *texts, pa.array(probability, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(row)) for c in own], *columns], names=[*own, "offset", "strand", "code", "probability"])
 
     return reads.select(*own, "flag", "seq", "mm", "ml").mapInArrow(run, schema)

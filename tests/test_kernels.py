@@ -127,3 +127,44 @@ def test_overlap_counts_bases_once(spark):
     got = {r["rec_idx"]: r["qual_new"] for r in overlap_qualities(df).collect()}
     assert set(got) == {1, 2} and got[1][:2] == [40, 40] and got[2][2:] == [20, 20]
     assert sorted((got[1][2], got[2][0])) == [0, 60] and (got[1][3], got[2][1]) == (32, 0)
+
+
+def test_base_modifications_of_many_reads():
+    """Reads with the same and other tags in one batch, against counting base by base."""
+    rng = random.Random(8)
+    reads = []
+    for _ in range(200):
+        seq = "".join(rng.choice("ACGTUN") for _ in range(rng.randrange(0, 40)))
+        reverse, parts, n = rng.random() < 0.5, [], 0
+        original = "".join(K.COMPLEMENT[c] for c in reversed(seq)) if reverse else seq
+        for base in rng.sample("ACGTUN", 2):
+            left = [i for i, c in enumerate(original) if base in ("N", c) or (base == "U" and c == "T")]
+            deltas = []
+            while left and rng.random() < 0.7:
+                deltas.append(rng.randrange(min(3, len(left))))
+                left = left[deltas[-1] + 1 :]
+            kinds = rng.choice(["m", "mh", "76792"])
+            parts.append(f"{base}{rng.choice('+-')}{kinds}{rng.choice(['', '.', '?'])}" + "".join(f",{d}" for d in deltas))
+            n += len(deltas) * (1 if kinds.isdigit() else len(kinds))
+        reads.append((seq, reverse, ";".join(parts) + rng.choice(["", ";"]), rng.choice([None, [rng.randrange(256) for _ in range(n)]])))
+    reads += [("ACGTACGTAC", r, "A+m,0,1;C-h,1", [1, 2, 3]) for r in (False, True)] + [("", False, None, None), ("A", True, "", [])]
+
+    def plain(seq, reverse, mm, ml):
+        original = "".join(K.COMPLEMENT[c] for c in reversed(seq)) if reverse else seq
+        calls = []
+        for part in filter(None, (mm or "").split(";")):
+            head, *deltas = part.split(",")
+            at = -1
+            for d in map(int, deltas):
+                for _ in range(d + 1):
+                    at = next(i for i in range(at + 1, len(original)) if head[0] in ("N", original[i]) or (head[0] == "U" and original[i] == "T"))
+                kinds = head[2:].rstrip(".?")
+                for kind in [kinds] if kinds.isdigit() else kinds:
+                    calls.append((len(seq) - 1 - at if reverse else at, head[1], kind, -1 if ml is None else ml[len(calls)]))
+        return sorted(calls, key=lambda c: c[0])
+
+    row, offset, kinds, kind, probability = K.modifications_of(*map(list, zip(*reads, strict=True)))
+    got = [[] for _ in reads]
+    for r, *call in zip(row.tolist(), offset.tolist(), [kinds[k] for k in kind.tolist()], probability.tolist(), strict=True):
+        got[r].append((call[0], *call[1], call[2]))
+    assert got == [plain(*r) for r in reads] and sum(map(len, got)) > 300
