@@ -147,7 +147,7 @@ def test_base_modifications_of_many_reads():
             parts.append(f"{base}{rng.choice('+-')}{kinds}{rng.choice(['', '.', '?'])}" + "".join(f",{d}" for d in deltas))
             n += len(deltas) * (1 if kinds.isdigit() else len(kinds))
         reads.append((seq, reverse, ";".join(parts) + rng.choice(["", ";"]), rng.choice([None, [rng.randrange(256) for _ in range(n)]])))
-    reads += [("ACGTACGTAC", r, "A+m,0,1;C-h,1", [1, 2, 3]) for r in (False, True)] + [("", False, None, None), ("A", True, "", [])]
+    reads += [("ACGTACGTAC", r, "A+m,0,0;C-h,1", [1, 2, 3]) for r in (False, True)] + [("", False, None, None), ("A", True, "", [])]
 
     def plain(seq, reverse, mm, ml):
         original = "".join(K.COMPLEMENT[c] for c in reversed(seq)) if reverse else seq
