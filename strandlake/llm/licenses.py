@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import rows_only
 
 #: Every text that a pattern of SENTENCES matches held one of these before it was normalised, as that joins no letters. Fixed values.
-HINTS = ("licen", "copyright", "(c)", "©", "\x01", "spdx", "gpl", "bsd", "wtfpl", "cc", "creative", "domain", "reserved", "permission", "redistribut", "warrant", "advertis", "endorse")
+HINTS = ("licen", "copyright", "(c)", "©", "\x01", "spdx", "gpl", "bsd", "wtfpl", "cc", "creative", "domain", "reserved", "permission", "redistribut", "warrant", "advertis", "endorse", "released", "distributed", "available", "provided", "covered", "python")
 
 #: Known sentences after normalisation: (identifier, pattern). The first that matches counts. No pattern has two open
 #: repetitions that can be tried against each other, so that a sentence takes time in proportion to its length. Fixed values.
@@ -51,6 +51,7 @@ SENTENCES = [
     ("CcUnder", r".*(?:under|is|of) (?:a |the )?(?:terms of the )?(?:creative commons|cc) (?P<kind>by(?: (?:nc|nd|sa))*|attribution(?: (?:non ?commercial|no ?deriv(?:ative)?s?|share ?alike))*)(?: (?:international|generic|unported))?(?: license)?(?: version)?(?: (?P<v>\d(?:\.\d)?))?.*|cc (?P<kind2>by(?: (?:nc|nd|sa))*)(?: (?P<v2>\d\.\d))?"),
     ("CcZero", r".*(?:cc0|cc zero|creative commons zero).*"),
     ("PublicDomain", r".*(?:released|dedicated|placed|is) (?:in|in to|into|to) the public domain.*|this is free and unencumbered software released into the public domain"),
+    ("PythonUnder", r"(?:.*(?:under|of) )?(?:the )?(?:terms of the )?python software foundation license(?: agreement)?(?: version)?(?: v)? ?(?P<v>\d(?:\.\d)?)?"),
     ("UnlicenseUnder", r".*under the unlicense.*"),
     ("BoostUnder", r".*under the boost software license(?: version)? ?(?P<v>\d\.\d)?.*"),
     ("ZlibUnder", r".*under the zlib(?: libpng)? license.*"),
@@ -87,6 +88,7 @@ RULES = [
     (("BsdUnder",), "BSD-{v}"),
     (("CcUnder",), "CC-{kind}-{v}"),
     (("CcZero",), "CC0"),
+    (("PythonUnder",), "PSF-{v}"),
     (("UnlicenseUnder",), "Unlicense"),
     (("PublicDomain", "UnlicenseUnder"), "Unlicense"),
     (("PublicDomain",), "Public-domain"),
@@ -98,6 +100,25 @@ RULES = [
     (("Reserved",), "Proprietary"),
 ]
 
+#: What says that a list of licences may follow, after normalisation, and their names and abbreviations there: (identifier, pattern). Fixed values.
+GIVEN = r"\b(?:licensed|released|distributed|available|provided|covered) (?:\w+ ){0,3}?(?:under|by) "
+_VERSION = r"(?: license)?(?: ?v(?:ersion)?)? ?(?P<v{}>\d(?:\.\d)?)?(?P<plus{}>\+)?(?P<later{}> or (?:any )?(?:later|newer)(?: version)?)?"
+NAMES = [
+    ("LesserUnder", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license)" + _VERSION),
+    ("AfferoUnder", r"(?:gnu )?(?:agpl|affero general public license)" + _VERSION),
+    ("GeneralUnder", r"(?:gnu )?(?:gpl|general public license)" + _VERSION),
+    ("MozillaUnder", r"(?:mpl|mozilla public license)" + _VERSION),
+    ("EclipseUnder", r"(?:epl|eclipse public license)" + _VERSION),
+    ("ApacheUnder", r"(?:apache|asl)(?: software)?(?: license)?" + _VERSION),
+    ("PythonUnder", r"(?:psf|python software foundation license)" + _VERSION),
+    ("BoostUnder", r"(?:bsl|boost(?: software)? license)" + _VERSION),
+    ("BsdUnder", r"(?:(?P<v{}>[234]|two|three|four|new|modified|simplified|revised)(?: clause)? )?bsd(?: (?P<v2{}>[234])(?: clause)?)?"),
+    ("CcUnder", r"cc (?P<kind{}>by(?: (?:nc|nd|sa))*)(?: (?P<v{}>\d\.\d))?"),
+    ("CcZero", r"cc0"),
+    ("IscUnder", r"isc"), ("ZlibUnder", r"zlib"), ("WtfplUnder", r"wtfpl"), ("UnlicenseUnder", r"unlicense"),
+    ("MitUnder", r"(?:mit|expat|x11)"),
+]
+
 #: Number words and long names in versions and kinds. Fixed values.
 SAME = {"two": "2", "simplified": "2", "three": "3", "new": "3", "modified": "3", "revised": "3", "four": "4", "attribution": "by", "noncommercial": "nc", "noderivatives": "nd", "noderivs": "nd", "sharealike": "sa"}
 
@@ -105,6 +126,11 @@ _CUT = re.compile(r"\n\s*\n|(?<=[.;!?])\s+(?=[^\s])|(?<=:)[ \t]*\n|\n(?=\s*+[*#/
 _COMMENT = re.compile(r"(?m)^[^\S\n]*+(?:#+|//+|/?\*+/?|--|;+|%+|<!--|rem\b)\s?|-->|\*/")
 _PUNCT = re.compile(r"(?<!\d)\.(?!\d)|\.(?=\s|$)|[,;:!?\"'`“”‘’\[\]{}<>()/\\*_=|-]+")
 _PATTERNS = [(name, re.compile(p)) for name, p in SENTENCES]
+_GIVEN = re.compile(GIVEN)
+#: One alternation, so that names are taken from left to right; group names end in the number of their family.
+_NAMES = re.compile("|".join(rf"(?P<f_{i}>\b{p.replace('{}', f'_{i}')}(?![a-z0-9]))" for i, (_, p) in enumerate(NAMES)))
+_SPDX = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)", re.I)
+_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
 
 
 @dataclass(frozen=True)
@@ -131,17 +157,56 @@ def sentences(text: str) -> Iterator[tuple[int, int, str]]:
         at = len(text) if m is None else m.end()
 
 
-def identify(sentence: str) -> tuple[str, dict] | None:
+def expression(text: str) -> list[str]:
+    """The licences of an SPDX expression; one with an exception keeps it: 'A WITH e'. What isn't an identifier or an operator ends it."""
+    out, after = [], "OR"
+    for m in re.finditer(r"[()]|\S+", text.replace("(", " ( ").replace(")", " ) ")):
+        word = m[0]
+        if word in "()":
+            continue
+        if word.upper() in ("OR", "AND", "WITH"):
+            after = word.upper()
+        elif not after or not _ID.fullmatch(word):
+            break
+        elif after == "WITH" and out:
+            out[-1] += f" WITH {word}"
+            after = ""
+        else:
+            out.append(word)
+            after = ""
+    return out
+
+
+def listed_names(s: str) -> list[tuple[str, dict]]:
+    """The licences that a normalised sentence names after 'licensed under' and the like, each (identifier, groups)."""
+    given = _GIVEN.search(s)
+    out: list[tuple[str, dict]] = []
+    for m in _NAMES.finditer(s, given.end()) if given else ():
+        i = m.lastgroup.rpartition("_")[2]
+        g = {k.rpartition("_")[0].rstrip("23"): v for k, v in m.groupdict().items() if v and k.endswith(f"_{i}") and not k.startswith("f_")}
+        if "plus" in g:
+            g["later"] = g.pop("plus")
+        if (NAMES[int(i)][0], g) not in out:
+            out.append((NAMES[int(i)][0], g))
+    return out
+
+
+def identify(sentence: str) -> list[tuple[str, dict]]:
+    """The known sentences that a sentence stands for: one, or as many as it lists licences."""
     low = sentence.lower()
     if not any(h in low for h in HINTS):
-        return None
+        return []
+    if m := _SPDX.search(sentence):
+        return [("Spdx", {"v": x}) for x in expression(m[1])]
     s = normal(sentence)
+    names = listed_names(s)
+    if len({n for n, _ in names}) > 1:
+        return names
     for name, p in _PATTERNS:
         m = p.fullmatch(s)
-        if m:
-            g = {k.rstrip("23"): v for k, v in m.groupdict().items() if v}
-            return name, g
-    return None
+        if m and not (names and name in ("AnyUnder", "Copyright", "Reserved")):
+            return [(name, {k.rstrip("23"): v for k, v in m.groupdict().items() if v})]
+    return names
 
 
 def scan(text: str | None) -> list[Found]:
@@ -156,13 +221,11 @@ def scan(text: str | None) -> list[Found]:
         # A wrapped sentence is tried whole; if it isn't known, its lines are tried one by one.
         known = identify(s)
         if known:
-            seen.append((*known, start, end))
+            seen += [(*k, start, end) for k in known]
         elif "\n" in s:
             at = start
             for line in s.split("\n"):
-                known = identify(line)
-                if known:
-                    seen.append((*known, at, at + len(line)))
+                seen += [(*k, at, at + len(line)) for k in identify(line)]
                 at += len(line) + 1
     used, out = [False] * len(seen), []
     for names, licence in RULES:
@@ -173,6 +236,8 @@ def scan(text: str | None) -> list[Found]:
             g = seen[i][1]
             words = lambda k: "-".join(SAME.get(w, w) for w in re.sub(r"non commercial|no derivs?|share alike|no derivatives", lambda m: m[0].replace(" ", ""), g.get(k, "")).split())  # noqa: E731, B023
             name = licence.replace("{v}", words("v") or "?").replace("{kind}", words("kind"))
+            if names == ("Spdx",):
+                name = g["v"]
             name = name.upper() if licence.startswith(("CC-", "{v}")) else name
             name = name.replace("-OR-LATER", "-or-later").replace("-ONLY", "-only")
             name = name.removesuffix("-?") + ("-or-later" if "later" in g else "")

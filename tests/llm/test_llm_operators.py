@@ -156,6 +156,23 @@ def test_licences(docs):
     assert licenses.licences(docs).where("n_found > 0").count() == 0 and licenses.licences(docs).count() == docs.count()
 
 
+def test_licence_expressions_and_lists(monkeypatch):
+    cases = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT", "APACHE-2.0"], "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND BSD-3-Clause */": ["GPL-2.0-only WITH LINUX-SYSCALL-NOTE", "BSD-3-CLAUSE"],
+        "# SPDX-License-Identifier: LGPL-2.1-or-later\nx": ["LGPL-2.1-or-later"], "SPDX-License-Identifier:\nMIT": [], "licensed under the terms of the MPL 2.0": ["MPL-2.0"], "It is dual licensed under MIT and Apache 2.0.": ["MIT", "Apache-2.0"],
+        "Python Software Foundation License": ["PSF"], "Distributed under the PSF license version 2.": ["PSF-2"], "Available under either GPLv3+ or BSD-2-Clause, at your option.": ["GPL-3-or-later", "BSD-2"],
+        "Released under LGPL 2.1 or later, EPL 2.0, zlib and CC0.": ["LGPL-2.1-or-later", "EPL-2.0", "Zlib", "CC0"], "Provided by ISC.": ["ISC"], "The mit and the bsd are words.": [], "All rooms are available by noon.": [],
+    }
+    for text, want in cases.items():
+        assert sorted(f.licence for f in licenses.scan(text)) == sorted(want), text
+    # The prefilter loses nothing: every pattern against every sentence gives the same.
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice([*" ".join(cases).split(), "\n", "permission", "(c)", "2020", "bsd", "cc", "by"]) for _ in range(rng.randrange(1, 30))) for _ in range(400)] + [*cases]
+    found = [licenses.scan(t) for t in texts]
+    monkeypatch.setattr(licenses, "HINTS", ("",))
+    assert [licenses.scan(t) for t in texts] == found and sum(map(len, found)) > 100
+
+
 def test_licences_of_long_texts(spark, none):
     """Sentences of a megabyte that come near a pattern again and again; repeated rows, an empty table."""
     import time
