@@ -77,7 +77,8 @@ def small_batches(spark: SparkSession) -> None:
 class Scope:
     """An operator's intermediate tables. ``result`` writes what it returns and deletes the others, so that they don't pile up in the shared folder.
 
-    Until then Arrow batches are small (BATCH). Used in a ``with`` block, tables and settings are put right after a failure too.
+    Until then Arrow batches are small (BATCH). If a table can't be written, or a ``with`` block fails, tables go and settings come back too.
+    The result's own table is the caller's to delete.
     """
 
     def __init__(self, spark: SparkSession):
@@ -98,13 +99,18 @@ class Scope:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        except BaseException:
+            self.close()
+            raise
         return self.spark.read.schema(df.schema).parquet(path)
 
     def result(self, df: DataFrame, name: str) -> DataFrame:
-        out = as_table(df, name)
-        self.close()
-        return out
+        try:
+            return as_table(df, name)
+        finally:
+            self.close()
 
     def close(self) -> None:
         for path in self.paths:
