@@ -156,8 +156,16 @@ def depth(reads: DataFrame, by: tuple[str, ...] = ("rname",)) -> DataFrame:
 
 
 def base_counts(reads: DataFrame) -> DataFrame:
-    """rname, position, base, n."""
-    return cells(reads, ["rname"]).groupBy("rname", "position", "base").agg(F.count("*").alias("n"))
+    """rname, position, base (as in cells), n. An operation's bases are exploded as they are, without the rest of a cell."""
+    strand = F.col("flag").bitwiseAND(16) != 0
+    rows = reads.select("rname", "pos", "seq", strand.alias("__s"), F.explode(operations(F.col("cigar"))).alias("o")).where(F.col("o.op").isin(*ON_REFERENCE) & (F.col("o.len") > 0))
+    piece = F.coalesce(F.substr("seq", F.col("o.read") + 1, F.col("o.len")), F.lit(""))
+    piece = F.when(F.col("__s"), F.lower(piece)).otherwise(F.upper(piece))
+    each = F.when(F.length(piece) == F.col("o.len"), F.split(piece, "")).otherwise(F.transform(F.sequence(F.lit(1), F.col("o.len")), lambda i: F.substr(piece, i, F.lit(1))))
+    gap = F.when(F.col("o.op") == "D", "*").when(F.col("o.op") == "N", F.when(F.col("__s"), "<").otherwise(">"))
+    bases = F.when(gap.isNotNull(), F.array_repeat(gap, F.col("o.len"))).otherwise(each)
+    at = rows.select("rname", (F.col("pos") + F.col("o.ref")).alias("__first"), F.posexplode(bases).alias("__i", "base"))
+    return at.select("rname", (F.col("__first") + F.col("__i")).alias("position"), "base").groupBy("rname", "position", "base").agg(F.count("*").alias("n"))
 
 
 def columns(reads: DataFrame, by: tuple[str, ...] = (), block: int = 1 << 20) -> DataFrame:
