@@ -389,20 +389,24 @@ def read_symbols() -> dict[str, Value | Callable[[], Value]]:
 
 def read_tags(tag: str) -> Value:
     """[XX]: a number for integer and float types, a string for A, Z and H, undefined for arrays and where it is missing."""
-    v = F.col("aux")[tag]
+    return _tag_value(F.col("aux")[tag])
+
+
+def _tag_value(v: Column) -> Value:
     is_number = F.coalesce(v["type"].isin("c", "C", "s", "S", "i", "I", "f"), F.lit(True))
     is_string = F.coalesce(v["type"].isin("A", "Z", "H"), F.lit(False))
     return dynamic(F.when(is_number, v["value"].try_cast("double")), F.when(is_string, v["value"]), is_string)
 
 
 def read_filter(text: str) -> Column:
-    """A filter over an alignments table as a condition. What a CIGAR must be taken apart for is worked out once a row, however often the filter names it."""
+    """A filter over an alignments table as a condition. What a CIGAR must be taken apart for, and each tag, is looked up once a row, however often the filter names it."""
     symbols = read_symbols()
     used = [n for n in OF_CIGAR if re.search(rf"\b{n}\b", text)]
-    if not used:
+    tags = sorted(set(re.findall(r"\[([^\]]{2})\]", text)))
+    if not used and not tags:
         return Compiler(symbols, read_tags).condition(text)
-    once = F.array(F.struct(*[symbols[n]().number.alias(n) for n in used]))
-    return F.exists(once, lambda s: Compiler(symbols | {n: number(s[n]) for n in used}, read_tags).condition(text))
+    once = F.array(F.struct(*[symbols[n]().number.alias(n) for n in used], *[F.col("aux")[t].alias(f"tag{i}") for i, t in enumerate(tags)]))
+    return F.exists(once, lambda s: Compiler(symbols | {n: number(s[n]) for n in used}, lambda t: _tag_value(s[f"tag{tags.index(t)}"])).condition(text))
 
 
 def flag_filter(flag: Column, require: int = 0, exclude_any: int = 0, exclude_all: int = 0) -> Column:
