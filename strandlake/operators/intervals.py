@@ -28,14 +28,26 @@ def _whole(df: DataFrame) -> DataFrame:
     return df.where("contig is not null and beg < stop")
 
 
-def _lengths(*sides: DataFrame) -> tuple[int, set[int]]:
-    """(the larger of the sides' median lengths, how many bits lengths less one have); one pass over each side's bounds."""
-    length, medians, bits = F.col("stop") - F.col("beg"), [1], set()
+def _lengths(*sides: DataFrame) -> tuple[int, set[int], list[tuple]]:
+    """(the larger of the sides' median lengths, how many bits lengths less one have, each side's first begin and last end); one pass over each side's bounds."""
+    length, medians, bits, ranges = F.col("stop") - F.col("beg"), [1], set(), []
     for s in sides:
-        median, found = _whole(s).agg(F.percentile_approx(length, 0.5, 1000), F.collect_set(F.length(F.bin(length - 1)))).first()
+        median, found, *ends = _whole(s).agg(F.percentile_approx(length, 0.5, 1000), F.collect_set(F.length(F.bin(length - 1))), F.min("beg"), F.max("stop")).first()
         medians.append(median or 1)
         bits |= set(found)
-    return int(max(medians)), bits
+        ranges.append(tuple(ends))
+    return int(max(medians)), bits, ranges
+
+
+def _range(df: DataFrame) -> tuple:
+    """The first begin and the last end of all intervals, on whichever contig; None if there are none."""
+    return tuple(_whole(df).agg(F.min("beg"), F.max("stop")).first())
+
+
+def _within(df: DataFrame, ends: tuple) -> DataFrame:
+    """The rows that may overlap anything between ``ends``; the others meet nothing there, so nothing need be made of them."""
+    first, last = ends
+    return df.where(F.lit(False)) if first is None else df.where((F.col("beg") < last) & (F.col("stop") > first))
 
 
 def _near(median: int) -> int:
@@ -115,13 +127,13 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", width:
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"unknown kind of join: {how}")
     if how != "inner":
-        asked = left.select("contig", "beg", "stop").distinct()
+        asked = _within(left.select("contig", "beg", "stop"), _range(right)).distinct()
         hits = overlap_counts(asked, right).where("n > 0").drop("n")
         return left.join(hits, ["contig", "beg", "stop"], how).select(*left.columns)
-    median, bits = _lengths(left, right)
+    median, bits, (of_left, of_right) = _lengths(left, right)
     width = width or _near(median)
     levels = _levels(width, bits)
-    l, r = _binned(_whole(left), width, levels, False), _binned(_whole(right), width, levels, True)
+    l, r = _binned(_within(_whole(left), of_right), width, levels, False), _binned(_within(_whole(right), of_left), width, levels, True)
     split = _split(l, r)
     key = [*BIN, "__i", "__j"]
     l, r = _in_blocks(l, split, "i", "j"), _in_blocks(r, split, "j", "i")
@@ -147,6 +159,7 @@ def overlap_counts(asked: DataFrame, rows: DataFrame) -> DataFrame:
     totals are carried along each contig. No pairs are made, and neither long intervals nor dense places cost more.
     """
     asked = _whole(asked).select("contig", "beg", "stop")
+    rows = _within(rows, _range(asked))  # what ends before all of asked counts as begun and as ended
     none = F.lit(0).cast("long")
     ends = lambda d, begins, stops: d.select("contig", F.explode(F.array(F.struct(F.col("beg").alias("at"), begins.alias("b"), none.alias("s")), F.struct(F.col("stop").alias("at"), none.alias("b"), stops.alias("s")))).alias("x")).select("contig", "x.*")
     one = F.lit(1).cast("long")
