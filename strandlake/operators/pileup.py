@@ -10,6 +10,13 @@ from ..functions.kernels import local_nm_at, with_local_nm
 
 #: Unmapped, secondary, failed and duplicate reads aren't counted. A fixed value.
 EXCLUDED = 0x704
+#: Reads whose cells, and rows of islands, that one task takes, about.
+READS, ROWS = 50_000, 500_000
+
+
+def _tasks(df: DataFrame, each: int) -> int:
+    """As many tasks as give one about ``each`` rows of ``df``, so that what a task holds doesn't grow with the input; the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // each))
 
 
 def selected(reads: DataFrame, require: int = 0, exclude: int = EXCLUDED, min_mapq: int = 0, keep_orphans: bool = True) -> DataFrame:
@@ -91,15 +98,16 @@ def quality_cells(reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     it, and the other 0; a hash of the name says which. Of different qualities the better one keeps 0.8 and the other gets
     0. A deletion beside a base gets the sum, the base 0.8 of its own, and again one of the two becomes 0.
     """
-    c = cells(reads, ["rec_idx", "rname", "qname", "flag", "mapq", *by])
     names = ["rname", "qname", *by]
-    c = c.withColumn("quality", F.when(F.coalesce("shown", F.lit("")) == "", 255).otherwise(F.ascii("shown") - 33)).drop("shown")
+    quality = F.when(F.coalesce("shown", F.lit("")) == "", 255).otherwise(F.ascii("shown") - 33)
+    scored = lambda r: cells(r, ["rec_idx", "rname", "qname", "flag", "mapq", *by]).withColumn("quality", quality).drop("shown")
     strand = F.col("flag").bitwiseAND(16) != 0
     both = reads.groupBy(*names).agg(F.min(strand).alias("low"), F.max(strand).alias("high")).where("low <> high").select(*names)
-    alone = c.join(both, names, "left_anti").select(*c.columns)
-    shared = c.join(both, names, "left_semi")
+    # Reads are told apart before they become cells, so that only cells of shared names are dealt by name.
+    alone, c = (scored(reads.join(both, names, how).select(*reads.columns)) for how in ("left_anti", "left_semi"))
+    shared = c.repartition(_tasks(reads, READS), "position", *names)
     one = F.struct("rec_idx", strand.alias("reverse"), F.upper("base").alias("shown"), "quality", F.struct(*c.columns).alias("row"))
-    groups = shared.groupBy("position", *names).agg(F.array_sort(F.collect_list(one)).alias("m"))
+    groups = shared.groupBy("position", *names).agg(F.sort_array(F.collect_list(one)).alias("m"))
     settled = groups.select(F.explode(_settled(F.col("m"), F.col("qname"))).alias("x"))
     again = [F.col(f"x.row.{n}") if n != "quality" else F.col("x.quality") for n in c.columns]
     return alone.unionByName(settled.select(*[a.alias(n) for a, n in zip(again, c.columns, strict=True)]))
@@ -182,11 +190,11 @@ def columns(reads: DataFrame, by: tuple[str, ...] = (), block: int = 1 << 20) ->
     quality = F.char(F.least(F.col("quality") + 33, F.lit(126)))
     place = ["rname", "position", *by]
     # One shuffle by place serves both steps.
-    rows = c.select(*place, F.floor(F.col("rec_idx") / block).alias("part"), F.struct("rec_idx", text.alias("t"), quality.alias("q")).alias("x")).repartition("rname", "position")
-    joined = lambda x, n: F.array_join(F.transform(x, lambda y: y[n]), "")
-    parts = rows.groupBy(*place, "part").agg(F.count("*").alias("depth"), F.array_sort(F.collect_list("x")).alias("x"))
+    rows = c.select(*place, F.floor(F.col("rec_idx") / block).alias("part"), F.struct("rec_idx", text.alias("t"), quality.alias("q")).alias("x")).repartition(_tasks(reads, READS), "rname", "position")
+    joined = lambda x, n: F.array_join(F.col(x)[n], "")
+    parts = rows.groupBy(*place, "part").agg(F.count("*").alias("depth"), F.sort_array(F.collect_list("x")).alias("x"))
     parts = parts.select(*place, "depth", F.struct("part", joined("x", "t").alias("t"), joined("x", "q").alias("q")).alias("x"))
-    out = parts.groupBy(*place).agg(F.sum("depth").alias("depth"), F.array_sort(F.collect_list("x")).alias("x"))
+    out = parts.groupBy(*place).agg(F.sum("depth").alias("depth"), F.sort_array(F.collect_list("x")).alias("x"))
     out = out.select(*place, "depth", joined("x", "t").alias("bases"), joined("x", "q").alias("quals"))
     return out if with_quality else out.drop("quals")
 
@@ -226,7 +234,8 @@ def islands(reads: DataFrame, width: int = 1 << 20) -> DataFrame:
     A read starts an island if the one before it has another name. Rows are ordered within blocks of ``width`` numbers
     of rec_idx; only a row per block is ordered within a contig, to say how the block before it ends.
     """
-    blocks = reads.withColumn("__block", F.floor(F.col("rec_idx") / width))
+    tasks = _tasks(reads, ROWS)
+    blocks = reads.withColumn("__block", F.floor(F.col("rec_idx") / width)).repartition(tasks, "rname", "__block")
     w = Window.partitionBy("rname", "__block").orderBy("rec_idx")
     own = F.when(F.row_number().over(w) == 1, F.lit(0)).when(F.col("qname").eqNullSafe(F.lag("qname").over(w)), 0).otherwise(1)
     rows = blocks.withColumn("__new", own).withColumn("__n", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -237,7 +246,7 @@ def islands(reads: DataFrame, width: int = 1 << 20) -> DataFrame:
     starts = F.when(F.col("a.qname").eqNullSafe(F.lag("z.qname").over(order)) & F.lag("z").over(order).isNotNull(), 0).otherwise(1)
     before = before.withColumn("__starts", starts).withColumn("__base", F.sum(F.col("__starts") + F.col("k")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"))
     both = rows.join(before.select("__r", "__b", "__base"), F.col("rname").eqNullSafe(F.col("__r")) & (F.col("__block") == F.col("__b")))
-    return both.withColumn("island", F.col("__base") + F.col("__n")).select(*reads.columns, "island")
+    return both.withColumn("island", F.col("__base") + F.col("__n")).select(*reads.columns, "island").repartition(tasks, "rname", "island")
 
 
 def _same(name: str, a: DataFrame, b: DataFrame) -> Column:
