@@ -10,18 +10,20 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .bgzf import BLOCK, END, block_size, compress_block
-from .files import ByteRange, FolderWriter, Indexed, Pushing, byte_ranges, flag, listed, open_path
+from .files import BatchFolderWriter, ByteRange, Indexed, Pushing, byte_ranges, flag, listed, open_path
 
 #: 4-bit bases and CIGAR operators by code. Fixed values.
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 #: Sizes and struct codes of typed tags. Fixed values.
 TAGS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 SCHEMA = "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen int, seq string, qual string, aux map<string,struct<type:string,value:string>>, aux_order array<string>, rec_idx long"
+COLUMNS = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "aux", "aux_order", "rec_idx"]
 
 
 def header_bytes(text: str, references: list[tuple[str, int]]) -> bytes:
@@ -128,6 +130,187 @@ def decode_record(body: bytes, references: list[tuple[str, int]]) -> tuple:
     )
 
 
+#: A record's fixed fields after its size. Fixed values.
+HEAD = np.dtype([("rid", "<i4"), ("pos", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("n", "<i4"), ("nid", "<i4"), ("npos", "<i4"), ("tlen", "<i4")])
+#: Codes of bases by byte, and the two bases of a packed byte.
+_CODES = np.full(256, 15, np.uint8)
+_CODES[[ord(c) for c in BASES]] = _CODES[[ord(c) for c in BASES.lower()]] = range(16)
+_PAIRS = np.array([[ord(BASES[b >> 4]), ord(BASES[b & 15])] for b in range(256)], np.uint8)
+#: Bytes of a batch that are encoded, and of records that are decoded, together.
+TOGETHER = 1 << 22
+
+
+def spread(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all values, where each begins and the last ends) of a column of strings or bytes; nulls are empty."""
+    import pyarrow as pa
+
+    a = column.cast(pa.binary()).fill_null(b"")
+    at = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int32)
+    data = np.frombuffer(a.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data, at.astype(np.int64) - at[0]
+
+
+def packed_column(data, at: np.ndarray, text: bool = False):
+    """The column whose values lie between neighbours of ``at``."""
+    import pyarrow as pa
+
+    column = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    return column.cast(pa.string()) if text else column
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As spread, of the stretches of ``data`` from ``starts`` on."""
+    at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return data[np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])], at
+
+
+def distinct(column, f: Callable, kind):
+    """``f`` of a column's values, each distinct one worked out once."""
+    import pyarrow as pa
+
+    d = column.dictionary_encode()
+    return pa.array([f(x) for x in d.dictionary.to_pylist()], kind).take(d.indices)
+
+
+def numbers(column, none: int = 0) -> np.ndarray:
+    import pyarrow as pa
+
+    return column.cast(pa.int64()).fill_null(none).to_numpy(zero_copy_only=False)
+
+
+def tag_columns(aux, order) -> tuple:
+    """(tags as BAM holds them, where each row's begin and the last's end) of columns aux and aux_order."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    at = np.asarray(aux.offsets).astype(np.int64)
+    sizes = np.where(np.asarray(aux.is_valid()), np.diff(at), 0)
+    entries = np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
+    keys, items = aux.keys.take(pa.array(entries)), aux.items.take(pa.array(entries))
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    ordered = numbers(pc.list_value_length(order))
+    if not ((ordered == sizes) | (ordered == 0)).all() or (sizes[ordered == 0]).any() or not order.flatten().equals(keys):
+        names, picks, sizes = keys.to_pylist(), [], []
+        for lo, hi, tags in zip(begins[:-1].tolist(), begins[1:].tolist(), order.to_pylist(), strict=True):
+            place = {names[i]: i for i in range(lo, hi)}
+            picks += [place[t] for t in tags or names[lo:hi]]
+            sizes.append(len(tags or names[lo:hi]))
+        keys, items, begins = keys.take(pa.array(picks, pa.int64())), items.take(pa.array(picks, pa.int64())), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    text = pc.binary_join_element_wise(keys, *items.flatten(), "\t")
+    if text.null_count:
+        raise ValueError("a tag without a type or value")
+    return distinct(text, lambda x: encode_tag(*x.split("\t", 2)), pa.binary()), begins
+
+
+def column_of(batch, names: list[str], name: str):
+    """A batch's column; nulls where there is none."""
+    import pyarrow as pa
+
+    kinds = {"aux": pa.map_(pa.string(), pa.struct([("type", pa.string()), ("value", pa.string())])), "aux_order": pa.list_(pa.string())}
+    return batch.column(names.index(name)) if name in names else pa.nulls(batch.num_rows, kinds.get(name, pa.string()))
+
+
+def slices(batch) -> Iterator:
+    """A batch in pieces of about TOGETHER bytes."""
+    step = max(1, batch.num_rows * TOGETHER // max(batch.nbytes, 1))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
+def encode_batch(batch, names: list[str], ids: dict[str, int]) -> bytes:
+    """The records of a batch's rows one after another, as encode_record gives them."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from ..functions.kernels import operations
+
+    col = lambda name: column_of(batch, names, name)
+    seq, qual = col("seq"), col("qual")
+    if not (pc.all(pc.string_is_ascii(seq)).as_py() in (True, None) and pc.all(pc.string_is_ascii(qual)).as_py() in (True, None)):
+        rows = [dict(zip(names, x, strict=True)) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        return b"".join(encode_record(r | {"aux": dict(r.get("aux") or ())}, ids) for r in rows)
+    number = lambda name: numbers(col(name))
+    cigars = col("cigar").fill_null("").dictionary_encode()
+    parsed = [operations(c) for c in cigars.dictionary.to_pylist()]
+    codes = np.asarray(cigars.indices)
+    ops = pa.array([b"".join(struct.pack("<I", n << 4 | OPS.index(o)) for n, o in x) for x in parsed], pa.binary()).take(cigars.indices)
+    span = np.array([sum(n for n, o in x if o in "MDN=X") or 1 for x in parsed], np.int64)[codes]
+    name = pc.binary_join_element_wise(pc.if_else(pc.fill_null(pc.equal(col("qname"), ""), True), "*", col("qname")).cast(pa.binary()), b"\0", b"")
+    bases, at = spread(seq)
+    odd = (np.diff(at) & 1).astype(bool)
+    nibbles = np.insert(_CODES[bases], at[1:][odd], 0)
+    halves = packed_column(nibbles[::2] << 4 | nibbles[1::2], np.concatenate([[0], np.cumsum((np.diff(at) + 1) // 2)]))
+    scores, places = spread(qual)
+    if (scores < 33).any():
+        raise ValueError("qualities begin with '!'")
+    none = np.diff(places) == 0
+    plain = packed_column(scores - 33, places)
+    if none.any():
+        unknown = np.concatenate([[0], np.cumsum(np.where(none, np.diff(at), 0))])
+        plain = pc.if_else(pa.array(none), packed_column(np.full(unknown[-1], 255, np.uint8), unknown), plain)
+    tags, begins = tag_columns(col("aux"), col("aux_order"))
+    data, ends = spread(tags)
+    tags = packed_column(data, ends[begins])
+    pos = number("pos") - 1
+    beg = np.maximum(pos, 0)
+    bins = np.select([beg >> k == beg + span - 1 >> k for k in (14, 17, 20, 23, 26)], [first + (beg >> k) for k, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1))], 0)
+    contig = lambda c: numbers(distinct(col(c), lambda x: ids.get(x, -1), pa.int64()), -1)
+    lengths = lambda c: np.diff(spread(c)[1])
+    fields = {
+        "rid": contig("rname"), "pos": pos, "name": lengths(name), "mapq": numbers(col("mapq"), 255), "bin": np.where(pos >= 0, bins, 4680), "ops": lengths(ops) // 4, "flag": number("flag"),
+        "n": np.diff(at), "nid": contig("rnext"), "npos": number("pnext") - 1, "tlen": number("tlen"),
+    }
+    head = np.zeros(batch.num_rows, np.dtype([("size", "<i4"), *HEAD.descr]))
+    fields["size"] = 32 + sum(map(lengths, (name, ops, halves, plain, tags)))
+    for k, v in fields.items():
+        head[k] = v
+        if (head[k] != v).any():
+            raise ValueError(f"{k} of a record is too large for BAM")
+    fixed = packed_column(head.view(np.uint8), np.arange(batch.num_rows + 1) * head.dtype.itemsize)
+    return spread(pc.binary_join_element_wise(fixed, name, ops, halves, plain, tags, b""))[0].tobytes()
+
+
+def decode_batch(data: bytes, starts: np.ndarray, references: list[tuple[str, int]], rec_idx: np.ndarray):
+    """Records that begin at ``starts`` as a batch of SCHEMA's columns, as decode_record gives them."""
+    import pyarrow as pa
+
+    raw = np.frombuffer(data, np.uint8)
+    head = raw[starts[:, None] + np.arange(4, 36)].view(HEAD)[:, 0]
+    ends = starts + 4 + raw[starts[:, None] + np.arange(4)].view("<i4")[:, 0]
+    at = starts + 36
+    wide = lambda c: head[c].astype(np.int64)
+    name, at = gathered(raw, at, wide("name") - 1), at + head["name"]
+    ops, at = gathered(raw, at, 4 * wide("ops")), at + 4 * wide("ops")
+    n = wide("n")
+    half = (n + 1) // 2
+    (pairs, places), at = gathered(raw, at, half), at + half
+    bases = np.delete(_PAIRS[pairs].reshape(-1), 2 * places[1:][n & 1 == 1] - 1)
+    (scores, bounds), tags = gathered(raw, at, n), gathered(raw, at + n, ends - at - n)
+    known = n > 0
+    known[known] = scores[bounds[:-1][known]] != 255
+    scores = scores[np.repeat(known, n)]
+    bounds = np.concatenate([[0], np.cumsum(np.where(known, n, 0))])
+    if (scores > 94).any():
+        qual = pa.array(["".join(chr(q + 33) for q in scores[i:j].tolist()) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+    else:
+        qual = packed_column(scores + 33, bounds, True)
+    masked = lambda v, gone, kind: pa.array(v, kind, mask=gone)
+    contigs = pa.array([x for x, _ in references], pa.string())
+    place = lambda c: contigs.take(masked(wide(c), head[c] < 0, pa.int64()))
+    cigar = lambda x: "".join(f"{o >> 4}{OPS[o & 15]}" for (o,) in struct.iter_unpack("<I", x)) or "*"
+    tags = packed_column(*tags).dictionary_encode()
+    lists = [decode_tags(x) for x in tags.dictionary.to_pylist()]
+    kind = pa.map_(pa.string(), pa.struct([("type", pa.string()), ("value", pa.string())]))
+    aux = pa.array([list({t: {"type": k, "value": v} for t, k, v in x}.items()) for x in lists], kind).take(tags.indices)
+    columns = [
+        packed_column(*name, True), pa.array(head["flag"].astype(np.int32)), place("rid"), masked(wide("pos") + 1, head["pos"] < 0, pa.int64()), masked(head["mapq"].astype(np.int32), head["mapq"] == 255, pa.int32()),
+        distinct(packed_column(*ops), cigar, pa.string()), place("nid"), masked(wide("npos") + 1, head["npos"] < 0, pa.int64()), pa.array(head["tlen"].astype(np.int32)),
+        packed_column(bases, np.concatenate([[0], np.cumsum(n)]), True), qual.take(pa.array(np.arange(len(n)), mask=~known)),
+        aux, pa.array([[t for t, _, _ in x] for x in lists], pa.list_(pa.string())).take(tags.indices), pa.array(rec_idx, pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=COLUMNS)
+
+
 class Blocks:
     """Reads data across blocks from a virtual offset."""
 
@@ -229,6 +412,52 @@ def split_points(file, every: int = 10_000) -> list[int]:
         i += 1
 
 
+def stretches(file, start: int, stop: int | None) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Whole records from virtual offset ``start`` on, those that begin before ``stop``: (data, where records begin in them, records' virtual offsets)."""
+    blocks = Blocks(file, start)
+    held, begins, places, more = bytearray(blocks.data[blocks.at :]), [-blocks.at], [blocks.block], True
+    while more:
+        while more:
+            if more := blocks._load():
+                begins.append(len(held))
+                places.append(blocks.block)
+                held += blocks.data
+            if len(held) >= TOGETHER or stop is not None and blocks.next << 16 >= stop:
+                break
+        at, starts = 0, []
+        while at + 4 <= len(held) and (end := at + 4 + struct.unpack_from("<i", held, at)[0]) <= len(held):
+            starts.append(at)
+            at = end
+        if starts:
+            found = np.array(starts)
+            block = np.searchsorted(begins, found, "right") - 1
+            offsets = np.array(places)[block] << 16 | found - np.array(begins)[block]
+            inside = len(found) if stop is None else int(np.searchsorted(offsets, stop))
+            if inside:
+                yield bytes(held[:at]), found[:inside], offsets[:inside]
+            if inside < len(found):
+                return
+            del held[:at]
+            first = max(i for i, b in enumerate(begins) if b <= at)
+            begins, places = [b - at for b in begins[first:]], places[first:]
+        if not more and len(held) >= 4 and (stop is None or places[-1] << 16 < stop):
+            raise ValueError("the file ends within a record")
+
+
+def bam_parts(header: str, batches: Iterable, names: list[str], level: int = 6) -> Iterator[bytes]:
+    """A whole file of batches' rows in their order, in parts."""
+    references = references_of(header)
+    ids = {n: i for i, (n, _) in enumerate(references)}
+    held = header_bytes(header, references)
+    for batch in batches:
+        for part in slices(batch):
+            held += encode_batch(part, names, ids)
+            whole = len(held) // BLOCK * BLOCK
+            yield b"".join(compress_block(held[i : i + BLOCK], level) for i in range(0, whole, BLOCK))
+            held = held[whole:]
+    yield (compress_block(held, level) if held else b"") + END
+
+
 def write_bam(header: str, rows: Iterable[dict], level: int = 6) -> bytes:
     """A whole file of rows in their order."""
     references = references_of(header)
@@ -362,7 +591,7 @@ class BamReader(Indexed, DataSourceReader):
         span = sum(n for n, o in operations(row[5]) if o in "MDN=X")
         return row[3] - 1 < self._region.stop and row[3] - 1 + max(span, 1) > self._region.beg
 
-    def read(self, partition) -> Iterator[tuple]:
+    def read(self, partition) -> Iterator:
         if partition is None:  # nothing to read
             return
         system, _ = open_path(self.path)
@@ -375,19 +604,13 @@ class BamReader(Indexed, DataSourceReader):
                 start = first_record(f, start, lambda data, at: plausible(data, at, len(references))) if start else blocks.tell()
                 if start is None:
                     return
-            if start is not None:
-                blocks = Blocks(f, start)
-            i = start or 0
-            while True:
-                at = blocks.tell()
-                if stop is not None and at >= stop:
-                    return
-                n = blocks.int()
-                if n is None:
-                    return
-                row = decode_record(blocks.read(n), references)
-                if self._inside(row):
-                    yield (*row, max(at, i))
+            for data, starts, offsets in stretches(f, blocks.tell() if start is None else start, stop):
+                batch = decode_batch(data, starts, references, offsets)
+                if self.region:
+                    import pyarrow as pa
+
+                    batch = batch.filter(pa.array([self._inside((None, None, r, p, None, c)) for r, p, c in zip(*(batch.column(k).to_pylist() for k in ("rname", "pos", "cigar")), strict=True)], pa.bool_()))
+                yield batch
 
 
 class PushedBamReader(Pushing, BamReader):
@@ -410,10 +633,4 @@ class BamSource(DataSource):
 
     def writer(self, schema, overwrite):
         names, header = schema.fieldNames(), self.options["header"]
-
-        def plain(row) -> dict:
-            r = dict(zip(names, row, strict=True))
-            r["aux"] = {k: {"type": v[0], "value": v[1]} for k, v in (r.get("aux") or {}).items()}
-            return r
-
-        return FolderWriter(self.options["path"], "bam", lambda rows: iter([write_bam(header, map(plain, rows))]))
+        return BatchFolderWriter(self.options["path"], "bam", lambda batches: bam_parts(header, batches, names))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
 def open_path(path: str):
@@ -145,6 +145,10 @@ class FolderWriter(DataSourceWriter):
                 system.delete_file(m.name)
 
 
+class BatchFolderWriter(FolderWriter, DataSourceArrowWriter):
+    """Likewise; ``parts`` gets a task's rows as Arrow batches."""
+
+
 class LineSource(DataSource):
     """A sink for SAM, VCF and other lines, each file with the same header.
 
