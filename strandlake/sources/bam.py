@@ -173,6 +173,7 @@ def distinct(column, f: Callable, kind):
 
 
 def numbers(column, none: int = 0) -> np.ndarray:
+    """A column of integers, with ``none`` for nulls."""
     import pyarrow as pa
 
     return column.cast(pa.int64()).fill_null(none).to_numpy(zero_copy_only=False)
@@ -210,6 +211,19 @@ def column_of(batch, names: list[str], name: str):
     return batch.column(names.index(name)) if name in names else pa.nulls(batch.num_rows, kinds.get(name, pa.string()))
 
 
+def batch_of(rows: Iterable[dict]):
+    """A batch of SCHEMA's columns; tags are pairs of type and value, or have these as names."""
+    import pyarrow as pa
+
+    kinds = {"flag": pa.int32(), "mapq": pa.int32(), "tlen": pa.int32(), "pos": pa.int64(), "pnext": pa.int64(), "rec_idx": pa.int64(), "aux_order": pa.list_(pa.string())}
+    # What rows have in common is converted once.
+    tags = [None if a is None else tuple((t, *(v if isinstance(v, tuple) else (v["type"], v["value"]))) for t, v in a.items()) for a in (r.get("aux") for r in rows)]
+    places = {x: i for i, x in enumerate(dict.fromkeys(tags))}
+    aux = pa.array([x and [(t, {"type": k, "value": v}) for t, k, v in x] for x in places], pa.map_(pa.string(), pa.struct([("type", pa.string()), ("value", pa.string())])))
+    columns = [aux.take(pa.array([places[x] for x in tags], pa.int32())) if k == "aux" else pa.array([r.get(k) for r in rows], kinds.get(k, pa.string())) for k in COLUMNS]
+    return pa.RecordBatch.from_arrays(columns, names=COLUMNS)
+
+
 def slices(batch) -> Iterator:
     """A batch in pieces of about TOGETHER bytes."""
     step = max(1, batch.num_rows * TOGETHER // max(batch.nbytes, 1))
