@@ -149,6 +149,25 @@ class BatchFolderWriter(FolderWriter, DataSourceArrowWriter):
     """Likewise; ``parts`` gets a task's rows as Arrow batches."""
 
 
+def line_parts(header: str, packed: bool, batches: Iterator) -> Iterator[bytes]:
+    """A file of the lines of Arrow batches' first column, in parts, block-compressed if ``packed``."""
+    import pyarrow.compute as pc
+
+    from .bam import slices, spread
+    from .bgzf import BLOCK, compress, compress_block
+
+    held = header.encode()
+    for batch in batches:
+        for part in slices(batch.select([0])):
+            if part.column(0).null_count:
+                raise ValueError("a line is null")
+            held += spread(pc.binary_join_element_wise(part.column(0), "", "\n"))[0].tobytes()
+            whole = len(held) // BLOCK * BLOCK if packed else len(held)
+            yield b"".join(compress_block(held[i : i + BLOCK]) for i in range(0, whole, BLOCK)) if packed else held
+            held = held[whole:]
+    yield compress(held) if packed else held
+
+
 class LineSource(DataSource):
     """A sink for SAM, VCF and other lines, each file with the same header.
 
@@ -166,23 +185,7 @@ class LineSource(DataSource):
     def writer(self, schema, overwrite):
         header, extension = self.options.get("header", ""), self.options.get("extension", "txt")
 
-        def parts(rows: Iterator) -> Iterator[bytes]:
-            from .bgzf import BLOCK, compress, compress_block
-
-            packed = extension.endswith("gz")
-            held = header.encode()
-            for r in rows:
-                held += r[0].encode() + b"\n"
-                if len(held) >= 1 << 20:
-                    if not packed:
-                        yield held
-                        held = b""
-                    while len(held) >= BLOCK:
-                        yield compress_block(held[:BLOCK])
-                        held = held[BLOCK:]
-            yield compress(held) if packed else held
-
-        return FolderWriter(self.options["path"], extension, parts)
+        return BatchFolderWriter(self.options["path"], extension, lambda batches: line_parts(header, extension.endswith("gz"), batches))
 
 
 class FastqReader(DataSourceReader):
