@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .bgzf import BLOCK, END, block_size, compress_block
-from .files import BatchFolderWriter, ByteRange, Indexed, Pushing, byte_ranges, flag, listed, open_path
+from .files import BatchFolderWriter, ByteRange, Indexed, Pushing, flag, listed, open_path
 
 #: 4-bit bases and CIGAR operators by code. Fixed values.
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
@@ -567,7 +567,8 @@ class BamReader(Indexed, DataSourceReader):
                     points = json.loads(f.read())
                 out += [Part(p, a, b) for a, b in zip(points, [*points[1:], None], strict=True)]
             else:
-                out += [x for x in byte_ranges(self.path, (".bam",), self.size) if x.path == p]
+                n = system.get_file_info(p).size
+                out += [ByteRange(p, i, min(i + self.size, n)) for i in range(0, max(n, 1), self.size)]
         return out
 
     def _pushed(self, system, path: str) -> list[tuple[int, int]] | None:

@@ -5,7 +5,7 @@ import random
 
 import pyarrow as pa
 
-from strandlake.sources import bam
+from strandlake.sources import bam, files
 
 HEADER = "@SQ\tSN:a\tLN:900000\n@SQ\tSN:b\tLN:900000\n"
 AUX = {"aux": pa.map_(pa.string(), pa.struct([("type", pa.string()), ("value", pa.string())])), "aux_order": pa.list_(pa.string())}
@@ -56,3 +56,13 @@ def test_a_batch_is_coded_at_once(tmp_path, monkeypatch):
         reader = bam.BamReader({"path": str(tmp_path / "x.bam"), "splitbytes": str(size)})
         back = [tuple(r.values()) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
         assert [(*x[:11], {k: tuple(v.values()) for k, v in x[11]}, *x[12:]) for x in back] == last
+
+
+def test_files_are_listed_once(tmp_path, monkeypatch):
+    """Byte ranges of many files: the folder isn't listed again for each of them."""
+    for i in range(9):
+        (tmp_path / f"{i}.bam").write_bytes(bam.write_bam(HEADER, []))
+    calls, one = [], files.listed
+    for module in (bam, files):
+        monkeypatch.setattr(module, "listed", lambda *x: calls.append(x) or one(*x))
+    assert len(bam.BamReader({"path": str(tmp_path)}).partitions()) == 9 and len(calls) == 1
