@@ -24,7 +24,7 @@ from ..sources.cram import CramSource
 from ..sources.files import FastqSource, LineSource, listed, removed, shared_folder
 from .views import reads, select_sql, view
 
-A, I, VV = (f"({select_sql(v)})" for v in ("alignments", "intervals", "variants"))
+A, I, DENSE, VV = (f"({select_sql(v)})" for v in ("alignments", "intervals", "dense_intervals", "variants"))
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -150,10 +150,10 @@ def interval_targets_anti(spark, sf):
     return intervals.interval_join(rows, regions(spark, sf), "left_anti").select("rec_idx", "rname", "pos")
 
 
-@query(f"with a as {A}, i as (select * from {I}) select i.region_idx, i.contig, cast(count(a.rec_idx) as bigint) as n from i left join a on {HIT} group by i.region_idx, i.contig")
+@query(f"with a as {A}, i as (select * from {DENSE}) select i.region_idx, i.contig, cast(count(a.rec_idx) as bigint) as n from i left join a on {HIT} group by i.region_idx, i.contig")
 def separate_regions(spark, sf):
     rows = spans(view(spark, sf, "alignments")).select("contig", "beg", "stop")
-    return intervals.count_per_region(rows, regions(spark, sf)).select("region_idx", "contig", F.col("n").cast("long"))
+    return intervals.count_per_region(rows, view(spark, sf, "dense_intervals")).select("region_idx", "contig", F.col("n").cast("long"))
 
 
 @query(f"with a as {A}, i as (select * from {I}) select i.region_idx, a.rec_idx from a join i on {HIT}")

@@ -32,6 +32,16 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "stop": "o_orderkey % 75 * 200 + o_custkey % 40 + 20 + o_custkey % 60",
         },
     ),
+    "dense_intervals": (
+        "orders",
+        {
+            "region_idx": "o_orderkey",
+            "contig": "concat('chr', cast(o_custkey % 5 + 1 as varchar(20)))",
+            # At all of 15,000 places, where ``intervals`` has 75 groups of 40.
+            "beg": "o_orderkey % 15000",
+            "stop": "o_orderkey % 15000 + 50 + o_custkey % 100",
+        },
+    ),
     "variants": (
         "part",
         {
